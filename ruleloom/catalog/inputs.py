@@ -114,7 +114,7 @@ _RULE_EXTENDS = f"""case when p_partkey % 50 = 0 then concat('extends: ../proj-'
             else concat('  extends: ', chr(34), './../../brands/', p_brand, '.md', chr(34), {NL}) end"""
 
 PROJECT_RULE_DOCS = f"""
-select concat('projects/proj-', p_partkey, '/.ai-rules.md') as path,
+select concat('projects/proj-', p_partkey, case when p_partkey % 23 = 9 and p_partkey % 50 > 2 then '/old-rules.md' else '/.ai-rules.md' end) as path,
   concat('# Rules', {NL}, {_RULE_EXTENDS}, {NL},
     '### RULE: PART-', p_partkey, {NL},
     'severity: ', case p_size % 4 when 0 then 'FATAL' when 1 then 'WARN' when 2 then 'INFO' else 'HIGH' end, {NL},
@@ -159,7 +159,8 @@ select concat('projects/proj-', c_custkey, '/rules-config.json') as path,
          else concat('"extends":"../../nations/', c_nationkey, '.json",') end,
     case when c_custkey % 9 = 4 then '"stack":null,' when c_custkey % 9 = 5 then '' else concat('"stack":"', c_mktsegment, '",') end,
     case when c_custkey % 19 = 3 then '"enabledRuleIds":[],'
-         else concat('"enabledRuleIds":["PART-', c_custkey, '","EXTRA-', c_custkey, '","BASE-1","GHOST-', c_custkey % 5, '","PART-', c_custkey, '"],') end,
+         else concat('"enabledRuleIds":["PART-', c_custkey, '","EXTRA-', c_custkey,
+           case when c_custkey % 4 = 0 then '' else concat('","GHOST-', c_custkey % 5, '","PART-', c_custkey) end, '"],') end,
     case when c_custkey % 7 = 3 and c_custkey % 2 = 0 then ''
          else concat('"scopes":["extra","', case c_custkey % 3 when 0 then 'ECONOMY' when 1 then 'SMALL' else 'base' end, '"],') end,
     case when c_custkey % 13 = 5 then '"thresholds":{"zMax":"80","maxLines":null},'
@@ -177,7 +178,7 @@ from customer"""
 NATION_CONFIGS = """
 select concat('nations/', n_nationkey, '.json') as path,
   concat('{"extends":"../regions/', n_regionkey, '.json","stack":"', n_name, '","version":"2.0",',
-    '"enabledRuleIds":["BASE-1","BRAND-', n_nationkey, '"],"scopes":["base","SMALL"],',
+    '"enabledRuleIds":["BASE-1"', case when n_nationkey % 5 = 0 then ',"NATION-0"' else '' end, '],"scopes":["base","brand","SMALL"],',
     '"pathAliases":{"@nation":"src/n"},"thresholds":{"maxParams":5,"zMax":80},',
     '"exceptions":{"SECRET-*":["gen/**"],"EXTRA-*":["gen/**","old/**"]},',
     '"detectOptions":{"include":["src/**"],"exclude":["dist/**"]}}') as content
@@ -186,12 +187,15 @@ from nation"""
 REGION_CONFIGS = """
 select concat('regions/', r_regionkey, '.json') as path,
   concat('{"version":"1.0","stack":"', r_name, '","severityThreshold":"WARN","rulesFile":".ai-rules.md",',
-    '"enabledRuleIds":["ROOT-1"],"pathAliases":{"@root":"src"},"thresholds":{"ratio":0.5,"maxParams":9},',
+    '"enabledRuleIds":["BASE-1"],"pathAliases":{"@root":"src"},"thresholds":{"ratio":0.5,"maxParams":9},',
     '"detectOptions":{"include":["src/**","public/**"],"exclude":["tmp/**"]}}') as content
 from region"""
 
 CONFIGS = f"{PROJECT_CONFIGS} union all {NATION_CONFIGS} union all {REGION_CONFIGS}"
 
+# Source files of the configured projects.
+PROJECT_FILES = CODE_FILES.replace("concat('p', user_id % 20) as project_id", "concat('proj-', user_id) as project_id")
+
 # All projects somebody expects to exist: with or without configuration and rules.
 PROJECTS = "select distinct concat('proj-', cast(floor(o_orderkey / 6) as bigint)) as project_id from orders"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\p{Zs}\x{FEFF}\x{2028}\x{2029}]"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Catalyst shares no subexpressions inside conditional branches or lambdas, so a costly
+    value that is mentioned several times there would be computed as often.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines_of(content: Column) -> Column:
     """Lines of a text; a trailing newline leaves a last empty line."""
     return F.split(content, r"\r?\n", -1)
@@ -31,12 +42,23 @@ def indent_width(line: Column) -> Column:
 
 def strip_quotes(text: Column) -> Column:
     """Drop one pair of equal quotes around a value; a lone quote character vanishes."""
-    quoted = text.rlike(r'(?s)\A(".*"|\'.*\'|"|\')\z')
-    return F.when(quoted, F.substr(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))).otherwise(text)
+
+    def strip(x: Column) -> Column:
+        paired = lambda q: x.startswith(q) & x.endswith(q)
+        return F.when(
+            paired('"') | paired("'"), F.substr(x, F.lit(2), F.greatest(F.length(x) - 2, F.lit(0)))
+        ).otherwise(x)
+
+    return bind(text, strip)
+
+
+def after_colon(trimmed: Column) -> Column:
+    """Trimmed text after the first colon, empty when there is none."""
+    return trim_blank(F.regexp_replace(trimmed, r"(?s)\A[^:]*:?", ""))
 
 
 def value_after_colon(trimmed: Column) -> Column:
-    return strip_quotes(trim_blank(F.regexp_replace(trimmed, r"(?s)\A[^:]*:?", "")))
+    return strip_quotes(after_colon(trimmed))
 
 
 def replace_first(text: Column, needle: Column, value: Column) -> Column:

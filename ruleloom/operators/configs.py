@@ -1,6 +1,7 @@
 """Configurations: JSON documents, inheritance chains and the merge along a chain (Q14).
 
-A chain is one row holding its documents as an array, so merging is a row-local expression.
+Each document is parsed once; a chain is one row holding its parsed documents as an array, so
+merging is a row-local expression.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
 from ruleloom.functions.paths import resolve_from
+from ruleloom.functions.text import bind
 from ruleloom.operators.inheritance import resolve_chains
 
 # Configuration keys with a merge rule of their own; all others are plain.
+SCALAR_KEYS = ("stack", "version", "rulesFile", "severityThreshold")
 LIST_KEYS = ("enabledRuleIds", "scopes")
 MAP_KEYS = ("i18n", "pathAliases", "thresholds")
 DETECT_LISTS = ("include", "exclude")
@@ -22,20 +25,6 @@ _ENTRY = "array<struct<key:string,value:variant>>"
 _TEXTS = "array<string>"
 
 
-def config_documents(configs: DataFrame) -> DataFrame:
-    """``(path, parent, body)`` rows from ``(path, content)`` JSON texts. Unreadable JSON has no parent."""
-    parent = V.truthy_text(F.try_parse_json("content"), "$.extends")
-    return configs.select(
-        "path",
-        F.when(parent.isNotNull(), resolve_from(F.col("path"), parent)).alias("parent"),
-        F.col("content").alias("body"),
-    )
-
-
-def config_chains(configs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    return resolve_chains(config_documents(configs), starts)
-
-
 def object_entries(json: Column) -> Column:
     """Entries of a JSON object in written order; a null value is an entry, too."""
     return F.coalesce(
@@ -60,106 +49,113 @@ def merge_arrays(parent: Column, child: Column) -> Column:
 
 def merge_entries(lists: Column) -> Column:
     """Merge entry lists, last list wins per key, keys stay where they first appeared."""
-    flat = F.flatten(lists)
-    keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
-    return F.transform(
-        keys,
-        lambda k: F.struct(k.alias("key"), F.element_at(F.filter(flat, lambda e: e["key"] == k), -1)["value"].alias("value")),
-    )
+
+    def build(flat: Column) -> Column:
+        keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(flat, lambda e: e["key"] == k), -1)["value"]
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), last(k).alias("value")))
+
+    return bind(F.flatten(lists), build)
 
 
 def string_list(value: Column) -> Column:
-    return F.try_variant_get(value, "$", _TEXTS)
+    """Elements as texts; a bare text counts as the list of its characters."""
+    letters = F.filter(F.split(F.try_variant_get(value, "$", "string"), ""), lambda x: x != "")
+    return F.coalesce(F.try_variant_get(value, "$", _TEXTS), F.when(F.schema_of_variant(value) == "STRING", letters))
 
 
 def merge_list_entries(lists: Column) -> Column:
     """Merge maps of lists: one ordered distinct union per key."""
-    flat = F.flatten(lists)
-    keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
     empty = F.array().cast(_TEXTS)
 
-    def globs(key: Column) -> Column:
-        own = F.filter(flat, lambda e: e["key"] == key)
-        united = F.flatten(F.transform(own, lambda e: F.coalesce(string_list(e["value"]), empty)))
-        return F.when(F.size(lists) > 1, F.array_distinct(united)).otherwise(united)
-
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), globs(k).alias("globs")))
+    def build(flat: Column) -> Column:
+        def globs(key: Column) -> Column:
+            own = F.filter(flat, lambda e: e["key"] == key)
+            united = F.flatten(F.transform(own, lambda e: F.coalesce(string_list(e["value"]), empty)))
+            return F.when(F.size(lists) > 1, F.array_distinct(united)).otherwise(united)
 
+        keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), globs(k).alias("globs")))
 
-def _bodies(chain: Column) -> Column:
-    """Documents of a chain, root first, as the merge reads them."""
-    return F.reverse(F.transform(chain, lambda c: c["body"]))
+    return bind(F.flatten(lists), build)
 
 
-def merged_list(bodies: Column, path: str) -> Column:
-    """Ordered distinct union of one list along a chain; a lone document keeps repeats (Q14)."""
-    empty = F.array().cast(_TEXTS)
-    flat = F.flatten(
-        F.transform(bodies, lambda b: F.coalesce(F.try_variant_get(F.try_parse_json(b), path, _TEXTS), empty))
-    )
-    return F.when(F.size(bodies) > 1, F.array_distinct(flat)).otherwise(flat)
+def entry_value(entries: Column, key: str) -> Column:
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
-def merged_map(bodies: Column, key: str) -> Column:
-    return merge_entries(F.transform(bodies, lambda b: object_entries(raw_field(b, key))))
+def config_documents(configs: DataFrame) -> DataFrame:
+    """``(path, parent, body)`` rows for :func:`resolve_chains` from ``(path, content)`` JSON texts.
 
+    The body is the parsed document: all entries as written, and the parts with a merge rule
+    of their own. Unreadable JSON has no parent and no entries.
+    """
+    nested = ", ".join(f"`{k}`: string" for k in (*MAP_KEYS, "exceptions", "prompt"))
+    prompts = ", ".join(f"`{k}`: string" for k in PROMPT_MAPS)
+    texts = configs.select(
+        "path",
+        F.try_parse_json("content").alias("doc"),
+        object_entries(F.col("content")).alias("plain"),
+        F.from_json("content", f"struct<{nested}>").alias("part"),
+    ).withColumn("prompt", F.from_json("part.prompt", f"struct<{prompts}>"))
+    doc = F.col("doc")
+    listed = lambda path: F.coalesce(F.try_variant_get(doc, path, _TEXTS), F.array().cast(_TEXTS))
+    body = F.struct(
+        "plain",
+        *[listed(f"$.{k}").alias(k) for k in LIST_KEYS],
+        *[listed(f"$.detectOptions.{k}").alias(k) for k in DETECT_LISTS],
+        *[object_entries(F.col(f"part.{k}")).alias(k) for k in (*MAP_KEYS, "exceptions")],
+        *[object_entries(F.col(f"prompt.{k}")).alias(k) for k in PROMPT_MAPS],
+    )
+    parent = bind(V.truthy_text(doc, "$.extends"), lambda p: F.when(p.isNotNull(), resolve_from(F.col("path"), p)))
+    return texts.select("path", parent.alias("parent"), body.alias("body"))
 
-def merged_prompt_map(bodies: Column, key: str) -> Column:
-    return merge_entries(F.transform(bodies, lambda b: object_entries(raw_field(raw_field(b, "prompt"), key))))
 
+def config_chains(configs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    return resolve_chains(config_documents(configs), starts)
 
-def merged_exceptions(bodies: Column) -> Column:
-    return merge_list_entries(F.transform(bodies, lambda b: object_entries(raw_field(b, "exceptions"))))
 
+def effective_configs(chains: DataFrame) -> DataFrame:
+    """Merged configuration of every unbroken chain (U4).
 
-def entry_value(entries: Column, key: str) -> Column:
-    found = F.filter(entries, lambda e: e["key"] == key)
-    return F.when(F.size(found) > 0, F.element_at(found, -1)["value"])
+    A key the child sets wins even when it sets null; lists and maps merge as above. A lone
+    document keeps its lists as written (Q14).
+    """
+    bodies = F.col("bodies")
+    part = lambda key: F.transform(bodies, lambda b: b[key])
+    several = F.size(bodies) > 1
+    listed = lambda key: bind(F.flatten(part(key)), lambda x: F.when(several, F.array_distinct(x)).otherwise(x))
+    with_level = lambda b, level: F.transform(
+        b["exceptions"], lambda e: F.struct(level.alias("level"), e["key"].alias("key"), e["value"].alias("value"))
+    )
+    root_first = F.reverse(F.transform("chain", lambda c: c["body"]))
+    merged = (
+        chains.where("status = 'ok'")
+        .select(F.col("start").alias("config_path"), root_first.alias("bodies"))
+        .select(
+            "config_path",
+            merge_entries(part("plain")).alias("plain"),
+            *[listed(k).alias(k) for k in (*LIST_KEYS, *DETECT_LISTS)],
+            *[merge_entries(part(k)).alias(k) for k in (*MAP_KEYS, *PROMPT_MAPS)],
+            merge_list_entries(part("exceptions")).alias("exceptions"),
+            F.flatten(F.transform(bodies, with_level)).alias("exception_entries"),
+            F.size(bodies).alias("n_documents"),
+        )
+    )
+    scalars = [V.as_text(entry_value(F.col("plain"), k)).alias(k) for k in SCALAR_KEYS]
+    return merged.select("config_path", *scalars, *[c for c in merged.columns if c != "config_path"])
 
 
 def text_entries(entries: Column) -> Column:
     """Entries as ``key, text``: numbers as the rule language prints them, null as ``null``."""
 
     def text(value: Column) -> Column:
-        number = F.try_variant_get(value, "$", "double")
-        return F.when(V.is_number(value), V.number_text(number)).otherwise(F.coalesce(V.as_text(value), F.lit("null")))
+        number = bind(F.try_variant_get(value, "$", "double"), V.number_text)
+        return F.when(V.is_number(value), number).otherwise(F.coalesce(V.as_text(value), F.lit("null")))
 
     return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("text")))
 
 
-def effective_configs(chains: DataFrame) -> DataFrame:
-    """Merged configuration of every unbroken chain (U4).
-
-    A key the child sets wins even when it sets null; lists and maps merge as above.
-    """
-    staged_bodies = chains.where("status = 'ok'").select("start", _bodies(F.col("chain")).alias("bodies"))
-    bodies = F.col("bodies")
-    merged = staged_bodies.select(
-        F.col("start").alias("config_path"),
-        merge_entries(F.transform(bodies, object_entries)).alias("plain"),
-        *[merged_list(bodies, f"$.{k}").alias(k) for k in LIST_KEYS],
-        *[merged_list(bodies, f"$.detectOptions.{k}").alias(k) for k in DETECT_LISTS],
-        *[merged_map(bodies, k).alias(k) for k in MAP_KEYS],
-        merged_exceptions(bodies).alias("exceptions"),
-        F.flatten(F.transform(bodies, lambda b: object_entries(raw_field(b, "exceptions")))).alias("exception_entries"),
-        F.size(bodies).alias("n_documents"),
-        *[merged_prompt_map(bodies, k).alias(k) for k in PROMPT_MAPS],
-    )
-    plain = F.col("plain")
-    return merged.select(
-        "config_path",
-        *[V.as_text(entry_value(plain, k)).alias(k) for k in ("stack", "version", "rulesFile", "severityThreshold")],
-        *LIST_KEYS,
-        *DETECT_LISTS,
-        *MAP_KEYS,
-        "exceptions",
-        *PROMPT_MAPS,
-        "plain",
-        "exception_entries",
-        "n_documents",
-    )
-
-
 def entries_text(entries: Column) -> Column:
     """``key=value, ...`` or ``(none)``."""
     parts = F.transform(text_entries(entries), lambda e: F.concat(e["key"], F.lit("="), e["text"]))

@@ -22,6 +22,8 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
     are too many to broadcast, the join shuffles and AQE splits a parent many children share.
     Rounds are cut by writing them to the shared folder.
     """
+    # Parsed once here; every round below reads the parsed form.
+    documents = staged(documents, "chain-documents")
     link = F.struct("path", "body")
     first = documents if starts is None else documents.join(starts.select(F.col("start").alias("path")), "path", "left_semi")
     open_chains = first.select(

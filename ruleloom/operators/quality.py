@@ -196,10 +196,13 @@ def threshold_findings(configs: DataFrame) -> DataFrame:
 
 def exception_findings(configs: DataFrame) -> DataFrame:
     """Exceptions must be an object of text arrays."""
-    items = V.elements(F.col("entry.value"), "$")
-    good = items.isNotNull() & ~F.exists(
+    value = F.col("entry.value")
+    items = V.elements(value, "$")
+    texts = items.isNotNull() & ~F.exists(
         F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.coalesce(V.kind(x), F.lit("VOID")) != "STRING"
     )
+    # Merging a child's bare text into a parent turns it into a list of characters.
+    good = texts | ((F.col("entry.level") > 0) & F.coalesce(V.kind(value) == "STRING", F.lit(False)))
     message = _text("exceptions.", F.col("entry.key"), " must be an array of glob strings.")
     return _not_an_object(configs, "exceptions", 5).unionByName(
         _entry_findings(configs, F.col("exception_entries"), good, message, 5)

@@ -9,7 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions.paths import resolve_from
-from ruleloom.functions.text import BLANK, indent_width, lines_of, strip_quotes, trim_blank, value_after_colon
+from ruleloom.functions.text import (
+    BLANK,
+    bind,
+    indent_width,
+    lines_of,
+    strip_quotes,
+    trim_blank,
+    value_after_colon,
+)
 from ruleloom.operators.inheritance import resolve_chains
 
 # The words of the rule document grammar.
@@ -21,120 +29,144 @@ LIST_WORD = "context"
 DETECT_KEYS = ("regex", "import", "include", "where")
 
 _ENTRIES = "array<struct<section:string,key:string,value:string>>"
-_STATE = f"struct<section:string,indent:int,entries:{_ENTRIES}>"
 _BLANK_IN_LINE = BLANK[:-1] + r"&&[^\n]]"
+_WORDS = "|".join((*FIELD_WORDS, *MAP_WORDS, LIST_WORD))
 
 
 def parent_path(path: Column, content: Column) -> Column:
-    """Resolved ``extends`` path: the first one given before the first rule header (Q16)."""
-    # Only a non-empty value counts; an empty one leaves the place open for a later line.
-    preamble = F.split(content, rf"(?:\A|\n){_BLANK_IN_LINE}*{RULE_HEADER}", 2)[0]
-    named = F.filter(
-        F.transform(lines_of(preamble), trim_blank), lambda x: x.startswith(PARENT_WORD) & (value_after_colon(x) != "")
+    """Resolved ``extends`` path: the first non-empty one before the first rule header (Q16)."""
+    preamble = F.get(F.split(content, rf"(?:\A|\n){_BLANK_IN_LINE}*{RULE_HEADER}", 2), F.lit(0))
+    trimmed = F.transform(lines_of(preamble), trim_blank)
+    values = F.transform(F.filter(trimmed, lambda x: x.startswith(PARENT_WORD)), value_after_colon)
+    return bind(
+        F.get(F.filter(values, lambda v: v != ""), F.lit(0)), lambda v: F.when(v.isNotNull(), resolve_from(path, v))
     )
-    return F.when(F.size(named) > 0, resolve_from(path, value_after_colon(named[0])))
 
 
 def rule_blocks_of(content: Column) -> Column:
     """Texts of the rule blocks of a document, header line first."""
     parts = F.split(content, rf"\r?\n(?={_BLANK_IN_LINE}*{RULE_HEADER})", -1)
-    return F.filter(parts, lambda p: trim_blank(p).startswith(RULE_HEADER))
+    return F.filter(parts, lambda p: p.rlike(rf"\A{BLANK}*{RULE_HEADER}"))
 
 
-def _entry(section: str, key: Column, value: Column) -> Column:
-    return F.struct(F.lit(section).alias("section"), key.alias("key"), value.alias("value"))
+def _line_parts(line: Column) -> Column:
+    """What the fold needs to know about a line, computed once per line."""
 
+    def parts(trimmed: Column) -> Column:
+        colon = F.instr(trimmed, ":")
+        return F.struct(
+            trimmed.alias("text"),
+            indent_width(line).alias("indent"),
+            F.regexp_extract(trimmed, rf"\A({_WORDS}):", 1).alias("word"),
+            (colon > 0).alias("keyed"),
+            trim_blank(F.substr(trimmed, F.lit(1), colon - 1)).alias("key"),
+            value_after_colon(trimmed).alias("value"),
+        )
+
+    return bind(trim_blank(line), parts)
 
-def block_entries(block: Column) -> Column:
+
+def block_entries(lines: Column) -> Column:
     """Fields and section entries of a block, in line order.
 
     What a line means depends on the lines before it: inside an indented section even a
     known word is just a key. Hence a fold over the block's lines. A section header adds an
     entry without key, because a repeated section replaces the earlier one.
     """
-    no_key, no_value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    nothing = F.lit(None).cast("string")
 
     def step(state: Column, line: Column) -> Column:
-        trimmed, indent = trim_blank(line), indent_width(line)
-        section, entries = state["section"], state["entries"]
-
-        def become(new_section: Column, new_indent: Column, *new: Column) -> Column:
-            grown = F.concat(entries, F.array(*new)) if new else entries
-            return F.struct(
-                new_section.alias("section"), new_indent.cast("int").alias("indent"), grown.cast(_ENTRIES).alias("entries")
-            ).cast(_STATE)
-
-        inside = (section != "") & (indent > state["indent"])
-        colon = F.instr(trimmed, ":")
-        key = trim_blank(F.substr(trimmed, F.lit(1), colon - 1))
-        value = strip_quotes(trim_blank(F.substr(trimmed, colon + 1)))
-        item = strip_quotes(trim_blank(F.substr(trimmed, F.lit(3))))
-        out = F.when(trimmed == "", become(section, state["indent"]))
-        out = out.when(
-            inside & (section == LIST_WORD) & trimmed.startswith("- "),
-            become(section, state["indent"], _entry(LIST_WORD, F.lit(""), item)),
-        )
-        for word in MAP_WORDS:
-            out = out.when(
-                inside & (section == word) & (colon > 0),
-                become(section, state["indent"], _entry(word, key, value)),
-            )
-        out = out.when(inside, become(section, state["indent"]))
-        closed = F.lit(0)
-        for word in FIELD_WORDS:
-            out = out.when(
-                trimmed.startswith(word + ":"),
-                become(F.lit(""), closed, _entry("field", F.lit(word), value_after_colon(trimmed))),
+        section, indent, entries = state["section"], state["indent"], state["entries"]
+        text, word = line["text"], line["word"]
+
+        def become(new_section, new_indent, *entry) -> Column:
+            grown = entries
+            if entry:
+                named = [c.alias(n) for c, n in zip(entry, ("section", "key", "value"))]
+                grown = F.array_append(entries, F.struct(*named))
+            return F.struct(new_section.alias("section"), new_indent.alias("indent"), grown.alias("entries"))
+
+        inside = (section != "") & (line["indent"] > indent)
+        item = strip_quotes(trim_blank(F.substr(text, F.lit(3))))
+        no_section, no_indent = F.lit(""), F.lit(0)
+        return (
+            F.when(text == "", state)
+            .when(
+                inside & (section == LIST_WORD) & text.startswith("- "),
+                become(section, indent, section, F.lit(""), item),
             )
-        for word in (*MAP_WORDS, LIST_WORD):
-            out = out.when(
-                trimmed.startswith(word + ":"), become(F.lit(word), indent, _entry(word, no_key, no_value))
+            .when(
+                inside & (section != LIST_WORD) & line["keyed"],
+                become(section, indent, section, line["key"], line["value"]),
             )
-        return out.otherwise(become(F.lit(""), closed))
+            .when(inside, state)
+            .when(word.isin(*FIELD_WORDS), become(no_section, no_indent, F.lit("field"), word, line["value"]))
+            .when(word != "", become(word, line["indent"], word, nothing, nothing))
+            .otherwise(become(no_section, no_indent))
+        )
 
-    body = F.slice(lines_of(block), F.lit(2), F.greatest(F.size(lines_of(block)) - 1, F.lit(0)))
-    start = F.struct(
-        F.lit("").alias("section"), F.lit(0).alias("indent"), F.array().cast(_ENTRIES).alias("entries")
-    ).cast(_STATE)
-    return F.aggregate(body, start, step)["entries"]
+    start = F.struct(F.lit("").alias("section"), F.lit(0).alias("indent"), F.array().cast(_ENTRIES).alias("entries"))
+    return F.aggregate(F.transform(lines, _line_parts), start, step)["entries"]
 
 
 def _last_field(entries: Column, word: str) -> Column:
     found = F.filter(entries, lambda e: (e["section"] == "field") & (e["key"] == word))
-    return F.when(F.size(found) > 0, F.element_at(found, -1)["value"])
+    return F.try_element_at(found, F.lit(-1))["value"]
 
 
 def _section(entries: Column, word: str) -> Column:
     """Entries after the last header of a section."""
     own = F.filter(entries, lambda e: e["section"] == word)
-    headers = F.filter(F.transform(own, lambda e, i: F.when(e["key"].isNull(), i)), lambda i: i.isNotNull())
-    begin = F.when(F.size(headers) > 0, F.element_at(headers, -1) + 2).otherwise(F.lit(1))
-    return F.slice(own, begin, F.size(own))
+
+    def after_header(mine: Column) -> Column:
+        header = F.array_max(F.transform(mine, lambda e, i: F.when(e["key"].isNull(), i)))
+        return F.slice(mine, F.coalesce(header, F.lit(-1)) + 2, F.size(mine))
+
+    return bind(own, after_header)
 
 
 def _ordered_map(entries: Column) -> Column:
     """Map in first-seen key order; a repeated key keeps its place and takes the last value."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, last))
+
+    def build(mine: Column) -> Column:
+        keys = F.array_distinct(F.transform(mine, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(mine, lambda e: e["key"] == k), -1)["value"]
+        return F.map_from_arrays(keys, F.transform(keys, last))
+
+    return bind(entries, build)
+
+
+def document_rules(content: Column) -> Column:
+    """Rules of a document as an array, ``block_pos`` from 0."""
+
+    def rule(block: Column, pos: Column) -> Column:
+        def from_lines(lines: Column) -> Column:
+            header = trim_blank(F.element_at(lines, 1))
+            body = F.slice(lines, F.lit(2), F.size(lines))
+            return bind(
+                block_entries(body),
+                lambda entries: F.struct(
+                    pos.alias("block_pos"),
+                    trim_blank(F.substr(header, F.lit(len(RULE_HEADER) + 1))).alias("rule_id"),
+                    *[_last_field(entries, w).alias(w) for w in FIELD_WORDS],
+                    *[_ordered_map(_section(entries, w)).alias(w) for w in MAP_WORDS],
+                    F.transform(_section(entries, LIST_WORD), lambda e: e["value"]).alias(LIST_WORD),
+                ),
+            )
+
+        return bind(lines_of(block), from_lines)
+
+    return F.transform(rule_blocks_of(content), rule)
+
+
+def with_detect_kind(rules: DataFrame) -> DataFrame:
+    return rules.withColumn("detect_kind", F.get(F.map_keys("detect"), F.lit(0)))
 
 
 def parse_rules(documents: DataFrame) -> DataFrame:
-    """Rules of each document ``(path, content)``: one row per block, ``block_pos`` from 0."""
+    """Rules of each document ``(path, content)``, one row per block."""
     keys = [c for c in documents.columns if c != "content"]
-    blocks = documents.select(*keys, F.posexplode(rule_blocks_of(F.col("content"))).alias("block_pos", "block"))
-    parsed = blocks.withColumn("entries", block_entries(F.col("block")))
-    header = trim_blank(F.substring_index("block", "\n", 1))
-    entries = F.col("entries")
-    rules = parsed.select(
-        *keys,
-        "block_pos",
-        trim_blank(F.substr(header, F.lit(len(RULE_HEADER) + 1))).alias("rule_id"),
-        *[_last_field(entries, w).alias(w) for w in FIELD_WORDS],
-        *[_ordered_map(_section(entries, w)).alias(w) for w in MAP_WORDS],
-        F.transform(_section(entries, LIST_WORD), lambda e: e["value"]).alias(LIST_WORD),
-    )
-    return rules.withColumn("detect_kind", F.get(F.map_keys("detect"), F.lit(0)))
+    return with_detect_kind(documents.select(*keys, F.inline(document_rules(F.col("content")))))
 
 
 def with_detect_columns(rules: DataFrame) -> DataFrame:
@@ -143,10 +175,9 @@ def with_detect_columns(rules: DataFrame) -> DataFrame:
 
 
 def rule_documents(documents: DataFrame) -> DataFrame:
-    """``(path, parent, body)`` rows for :func:`resolve_chains`."""
-    return documents.select(
-        "path", parent_path(F.col("path"), F.col("content")).alias("parent"), F.col("content").alias("body")
-    )
+    """``(path, parent, body)`` rows for :func:`resolve_chains`; the body is the parsed rules."""
+    content = F.col("content")
+    return documents.select("path", parent_path(F.col("path"), content).alias("parent"), document_rules(content).alias("body"))
 
 
 def rule_chains(documents: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -156,22 +187,15 @@ def rule_chains(documents: DataFrame, starts: DataFrame | None = None) -> DataFr
 def effective_rules(chains: DataFrame) -> DataFrame:
     """Inherited rules first, then own ones, without override.
 
-    A chain is a row, so the order is fixed by chain depth and block position alone; both
-    are packed into ``rule_pos``. Broken chains yield no rules.
+    ``rule_pos`` packs the level below the root and the block position, so it orders the
+    rules of a document without ranking them. Broken chains yield no rules.
     """
-    sized = chains.where("status = 'ok'").select(
-        "start", F.size("chain").alias("n_links"), F.posexplode("chain").alias("depth", "link")
-    )
-    parsed = parse_rules(
-        sized.select(
-            F.col("start").alias("document"),
-            F.col("link.path").alias("path"),
-            (F.col("n_links") - 1 - F.col("depth")).alias("level"),
-            "depth",
-            F.col("link.body").alias("content"),
-        )
+    links = chains.where("status = 'ok'").select(
+        F.col("start").alias("document"), F.posexplode(F.reverse("chain")).alias("level", "link")
     )
-    return parsed.withColumn("rule_pos", F.col("level").cast("bigint") * F.lit(1 << 32) + F.col("block_pos"))
+    rules = links.select("document", "level", F.inline("link.body"))
+    packed = F.col("level").cast("bigint") * F.lit(1 << 32) + F.col("block_pos")
+    return with_detect_kind(rules.withColumn("rule_pos", packed))
 
 
 def latest_rules(rules: DataFrame) -> DataFrame:
