@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from ruleloom.catalog import evidence_queries, registry, report_queries, setup_queries  # noqa: F401
+    from ruleloom.catalog import evidence_queries, registry, report_queries, setup_queries, text_queries  # noqa: F401
 
     return registry
 
