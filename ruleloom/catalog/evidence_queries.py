@@ -8,7 +8,7 @@ from ruleloom.catalog import inputs as I
 from ruleloom.catalog.registry import query
 from ruleloom.functions.globs import glob_regex, path_matches
 from ruleloom.operators import evidence as E
-from ruleloom.session import spread
+from ruleloom.session import staged
 from ruleloom.sources.documents import count_lines
 
 # --- oracle building blocks -----------------------------------------------------------------
@@ -109,8 +109,18 @@ PATTERN_LISTS = """case rule_id
 # --- shared Spark inputs --------------------------------------------------------------------
 
 
+def corpus(i: I.Inputs):
+    """Files in scope and resolved rules. The project list and the rule table are staged:
+
+    they are small, but finding the projects reads a column of every table.
+    """
+    projects = staged(i.corpus_projects(), "projects")
+    resolved = staged(E.resolve_rules(i.pack(projects), projects), "rules")
+    return E.files_in_scope(i.files(), projects), resolved
+
+
 def scoped_files(i: I.Inputs):
-    return E.files_in_scope(spread(i.files()), i.corpus_projects())
+    return E.files_in_scope(i.files(), i.corpus_projects())
 
 
 def resolved_rules(i: I.Inputs):
@@ -174,13 +184,13 @@ def files_in_scope(i):
 
 @query("rule_file_scope", f"with {SCOPED} select project_id, rule_id, path, suppressed from rule_files")
 def rule_file_scope(i):
-    scope = E.rule_file_scope(E.files_in_scope(i.files(), i.corpus_projects()), resolved_rules(i))
+    scope = E.rule_file_scope(*corpus(i))
     return scope.select("project_id", "rule_id", "path", "suppressed")
 
 
 @query("suppressed_files", f"with {SCOPED} select project_id, rule_id, path from rule_files where suppressed")
 def suppressed_files(i):
-    scope = E.rule_file_scope(E.files_in_scope(i.files(), i.corpus_projects()), resolved_rules(i))
+    scope = E.rule_file_scope(*corpus(i))
     return scope.where("suppressed").select("project_id", "rule_id", "path")
 
 
@@ -191,8 +201,8 @@ from rules r left join (select project_id, rule_pos, count(*) as n from rule_fil
   on r.project_id = c.project_id and r.rule_pos = c.rule_pos""",
 )
 def suppressed_counts(i):
-    resolved = resolved_rules(i)
-    scope = E.rule_file_scope(E.files_in_scope(i.files(), i.corpus_projects()), resolved)
+    files, resolved = corpus(i)
+    scope = E.rule_file_scope(files, resolved)
     return E.suppressed_counts(scope, resolved).select("project_id", "rule_id", "suppressed_files")
 
 
@@ -216,12 +226,12 @@ def corpus_lines(i):
 
 @query("regex_hits", f"with {SCOPED}, {HITS} select {_HIT_COLUMNS} from regex_hits")
 def regex_hits(i):
-    return _hit_view(E.regex_hits(scoped_files(i), resolved_rules(i)))
+    return _hit_view(E.regex_hits(*corpus(i)))
 
 
 @query("invalid_regex_hits", f"with {SCOPED}, {HITS} select {_HIT_COLUMNS} from invalid_hits")
 def invalid_regex_hits(i):
-    return _hit_view(E.invalid_regex_hits(E.files_in_scope(i.files(), i.corpus_projects()), resolved_rules(i)))
+    return _hit_view(E.invalid_regex_hits(*corpus(i)))
 
 
 @query(
@@ -236,7 +246,7 @@ def reference_extract(i):
 
 @query("import_hits", f"with {SCOPED}, {HITS} select {_HIT_COLUMNS} from import_hits")
 def import_hits(i):
-    return _hit_view(E.import_hits(scoped_files(i), resolved_rules(i)))
+    return _hit_view(E.import_hits(*corpus(i)))
 
 
 @query(
@@ -247,14 +257,14 @@ from rules r left join (select project_id, rule_pos, count(*) as n from hits gro
   on r.project_id = c.project_id and r.rule_pos = c.rule_pos""",
 )
 def evidence_totals(i):
-    resolved = resolved_rules(i)
-    totals = E.evidence_totals(E.all_hits(scoped_files(i), resolved), resolved)
+    files, resolved = corpus(i)
+    totals = E.evidence_totals(E.all_hits(files, resolved), resolved)
     return totals.select("project_id", "rule_id", "mode", "total_matches")
 
 
 @query("top_matches", f"with {SCOPED}, {HITS} select {_HIT_COLUMNS}, rank from top")
 def top_matches(i):
-    best = E.top_matches(E.all_hits(scoped_files(i), resolved_rules(i)))
+    best = E.top_matches(E.all_hits(*corpus(i)))
     return _longs(best, "line_no", "ord", "rank").select(
         "project_id", "rule_id", "path", "line_no", "ord", "snippet", "reference", "note", "rank"
     )
@@ -275,7 +285,7 @@ left join (select project_id, rule_pos,
   from top group by all) e on r.project_id = e.project_id and r.rule_pos = e.rule_pos""",
 )
 def evidence_records(i):
-    records = E.evidence_records(scoped_files(i), resolved_rules(i))
+    records = E.evidence_records(*corpus(i))
     shown = F.transform(
         "matches",
         lambda m: F.concat(

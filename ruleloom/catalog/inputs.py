@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.session import spread
+
 NL = "chr(10)"
 
 TEXT_FILES = """
@@ -228,6 +230,11 @@ LOCALES = [
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+# Tables that grow with the scale factor and feed per-row text work. A scan of one of them
+# that has fewer partitions than cores is spread by its key.
+LARGE_TABLES = ("documents", "pages", "events", "part", "customer")
+
+
 class Inputs:
     """The derived inputs for one folder of tables."""
 
@@ -237,7 +244,10 @@ class Inputs:
     def sql(self, text: str) -> DataFrame:
         for name in TABLES:
             if name in text:
-                self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if name in LARGE_TABLES:
+                    table = spread(table, table.columns[0])
+                table.createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def files(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.catalog import inputs as I
-from ruleloom.catalog.evidence_queries import HITS, LINES, PATTERN_LISTS, SCOPED, resolved_rules, scoped_files, sql_trim, _MODE
+from ruleloom.catalog.evidence_queries import HITS, LINES, PATTERN_LISTS, SCOPED, corpus, sql_trim, _MODE
 from ruleloom.catalog.registry import query
 from ruleloom.catalog.report_queries import FINDINGS, ISSUES, LOCATION, violations
 from ruleloom.catalog.setup_queries import BOTH, CONFIG, RULE_FINDINGS, RULES, configs, rules
@@ -16,7 +16,7 @@ from ruleloom.operators import quality as Q
 from ruleloom.operators import reports as R
 from ruleloom.operators.rules import latest_rules
 from ruleloom.plans import jobs
-from ruleloom.session import spread, staged
+from ruleloom.session import staged
 
 # --- oracle building blocks -----------------------------------------------------------------
 
@@ -138,12 +138,16 @@ refs as (
   from (select *, regexp_extract_all(line, 'from\\s+["'']([^"'']+)["'']', 1) || regexp_extract_all(line, 'import\\s+["'']([^"'']+)["'']', 1)
                   || regexp_extract_all(line, 'require\\(\\s*["'']([^"'']+)["'']\\s*\\)', 1) as r from lines) x),
 hits as (
-  select a.project_id, a.rule_pos, a.rule_id, path, line_no, ord, coalesce(nullif({sql_trim("line")}, ''), line) as snippet
+  select a.project_id, a.rule_pos, a.rule_id, refs.path, line_no, ord, coalesce(nullif({sql_trim("line")}, ''), line) as snippet
   from refs join active a using (project_id) where a.detect_kind = 'import' and reference like 'lib/%'
   union all
-  select a.project_id, a.rule_pos, a.rule_id, path, line_no, 0, coalesce(nullif({sql_trim("line")}, ''), line)
+  select a.project_id, a.rule_pos, a.rule_id, lines.path, line_no, 0, coalesce(nullif({sql_trim("line")}, ''), line)
   from lines join active a using (project_id)
-  where a.detect_kind = 'regex' and path like 'src/%' and contains(line, regexp_extract(a.detect, 'regex=(.*), where', 1))),
+  where a.detect_kind = 'include' and lines.path not like 'native/%' and regexp_matches(line, '#include\\s+[<"]sys/[^/]*\\.h[>"]')
+  union all
+  select a.project_id, a.rule_pos, a.rule_id, lines.path, line_no, 0, coalesce(nullif({sql_trim("line")}, ''), line)
+  from lines join active a using (project_id)
+  where a.detect_kind = 'regex' and lines.path like 'src/%' and contains(line, regexp_extract(a.detect, 'regex=(.*), where', 1))),
 top as (select *, row_number() over (partition by project_id, rule_pos order by path, line_no, ord) as rank from hits qualify rank <= 5),
 records as (
   select a.project_id, a.rule_pos, a.rule_id, case detect_kind when 'regex' then 'local-regex' when 'semantic' then 'ai-only' else 'local-import' end as mode,
@@ -190,7 +194,7 @@ def rule_sections_text(i):
     f"with {SCOPED}, {HITS}, {PACK_RECORDS} select project_id, rule_id, mode, cast(n as bigint) as total_matches, patterns from records",
 )
 def rules_with_evidence(i):
-    records = staged(E.evidence_records(scoped_files(i), resolved_rules(i)), "records")
+    records = staged(E.evidence_records(*corpus(i)), "records")
     joined = P.rules_with_evidence(i.pack(i.corpus_projects()), records)
     return joined.select(
         "project_id", "rule_id", "mode", "total_matches", F.array_join("exception_patterns", ", ").alias("patterns")
@@ -202,12 +206,12 @@ def rules_with_evidence(i):
     f"with {SCOPED}, {HITS}, {PACK_RECORDS} {evidence_text('records')}",
 )
 def evidence_sections_text(i):
-    records = staged(E.evidence_records(scoped_files(i), resolved_rules(i)), "records")
+    records = staged(E.evidence_records(*corpus(i)), "records")
     return P.evidence_sections(i.pack(i.corpus_projects()), records)
 
 
 def audit_job(i: I.Inputs) -> dict[str, DataFrame]:
-    return jobs.audit(spread(i.sql(I.PROJECT_FILES)), configs(i), rules(i), i.locales())
+    return jobs.audit(i.sql(I.PROJECT_FILES), configs(i), rules(i), i.locales())
 
 
 @query("audit_prompts", f"with {AUDIT} select project_id, prompt from audit")
@@ -220,7 +224,7 @@ def audit_context(i):
     from ruleloom.sources.sinks import as_json
 
     setup, found = configs(i), rules(i)
-    job = jobs.audit(spread(i.sql(I.PROJECT_FILES)), setup, found, i.locales())
+    job = jobs.audit(i.sql(I.PROJECT_FILES), setup, found, i.locales())
     return as_json(jobs.audit_context(setup, found, job["evidence"], job["findings"]), "project_id")
 
 

@@ -30,17 +30,20 @@ def string_only(value: Column, path: str) -> Column:
     return F.when(kind(found) == "STRING", as_text(found))
 
 
+def _falsy(text: Column, value: Column) -> Column:
+    # Only these texts can be a falsy number or boolean, so the type is looked up rarely.
+    doubtful = text.isin("false", "0") | (text.startswith("0.") & text.rlike(r"\A0\.0+\z"))
+    return text.isNull() | (text == "") | (doubtful & (kind(value) != "STRING"))
+
+
 def truthy(value: Column) -> Column:
     """The value itself unless it is absent, null, "", 0 or false."""
-    text = as_text(value)
-    # Only these texts can be a falsy number or boolean, so the type is looked up rarely.
-    doubtful = text.rlike(r"\A(false|-?0(\.0*)?([eE].*)?)\z")
-    falsy = text.isNull() | (text == "") | (doubtful & (kind(value) != "STRING"))
-    return F.when(~falsy, value)
+    return F.when(~_falsy(as_text(value), value), value)
 
 
 def truthy_text(value: Column, path: str) -> Column:
-    return as_text(truthy(field(value, path)))
+    text = F.try_variant_get(value, path, "string")
+    return F.when(~_falsy(text, field(value, path)), text)
 
 
 def cascade_text(value: Column, *paths: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions.globs import any_glob_regex, glob_regex, matches_regex, path_matches
+from ruleloom.functions.paths import forward_slashes
 from ruleloom.functions.patterns import pattern_table
 from ruleloom.functions.text import lines_of, snippet, trim_blank
 from ruleloom.session import broadcast_if_small, staged
@@ -92,27 +93,50 @@ def resolve_rules(rules: DataFrame, projects: DataFrame) -> DataFrame:
         "*",
         rule_mode(F.col("regex"), F.col("import"), F.col("include")).alias("mode"),
         F.when(F.coalesce("import", F.lit("")) != "", "import").otherwise("include").alias("target_kind"),
+        target.alias("target"),
         glob_regex(target).alias("target_re"),
         glob_regex(where_glob(F.col("where"))).alias("where_re"),
         any_glob_regex(F.col("exception_patterns")).alias("exception_re"),
     )
 
 
-def _looked_at(path: Column) -> Column:
-    return F.coalesce(path_matches(path, F.col("where_re")), F.lit(True))
+class PathTests:
+    """Path conditions of a rule dimension.
 
+    A file meets many rules in turn, so a regex held in a column would be compiled again for
+    almost every pair. The first few distinct regexes of the dimension therefore become
+    literals, compiled once per task; any further ones take the column form.
+    """
+
+    FEW = 32
+
+    def __init__(self, dim: DataFrame):
+        regexes = dim.select(F.explode(F.array("where_re", "exception_re")).alias("re")).where("re is not null")
+        self.known = [r["re"] for r in regexes.distinct().limit(self.FEW).collect()]
+
+    def _matches(self, regex: Column) -> Column:
+        path = forward_slashes(F.col("path"))
+        test = matches_regex(path, regex)
+        for known in self.known:
+            test = F.when(regex == known, path.rlike(known)).otherwise(test)
+        return F.when(regex.isNotNull(), test)
+
+    def looked_at(self) -> Column:
+        return F.coalesce(self._matches(F.col("where_re")), F.lit(True))
+
+    def suppressed(self) -> Column:
+        return F.coalesce(self._matches(F.col("exception_re")), F.lit(False))
 
-def _suppressed(path: Column) -> Column:
-    return F.coalesce(path_matches(path, F.col("exception_re")), F.lit(False))
+    def kept(self) -> Column:
+        return self.looked_at() & ~self.suppressed()
 
 
 def rule_file_scope(files: DataFrame, resolved: DataFrame) -> DataFrame:
     """Pairs of rule and file after ``where``, with the exception flag. Reads no content."""
     dim = resolved.select(*RULE_KEY, "where_re", "exception_re")
+    tests = PathTests(dim)
     pairs = files.select("project_id", "path").join(broadcast_if_small(dim), "project_id")
-    return pairs.where(_looked_at(F.col("path"))).select(
-        *RULE_KEY, "path", _suppressed(F.col("path")).alias("suppressed")
-    )
+    return pairs.where(tests.looked_at()).select(*RULE_KEY, "path", tests.suppressed().alias("suppressed"))
 
 
 def suppressed_counts(scope: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -132,43 +156,86 @@ def corpus_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def regex_hits(files: DataFrame, resolved: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
-    """Lines a regex rule matches, at most one hit per line and rule (Q6).
+def detector_dim(resolved: DataFrame, patterns: DataFrame, *modes: str) -> DataFrame:
+    """Detectors of the rules in ``modes``: pattern or target, and the literal a hit must hold.
 
-    One narrow stage from scan to hits: rules meet files by project, path conditions and the
-    literal a pattern requires weed out pairs before a text is split, and only surviving
-    lines reach the regex engine.
+    A reference that matches a glob starts with the glob's plain beginning, so that text is
+    the required literal of a reference rule.
     """
-    patterns = pattern_table(resolved) if patterns is None else patterns
-    dim = (
-        resolved.where("mode = 'local-regex'")
-        .join(patterns.where("pattern_ok"), "regex")
-        .select(*RULE_KEY, "pattern", "literal", "where_re", "exception_re")
-    )
-    holds = lambda text: F.col("literal").isNull() | F.contains(text, F.col("literal"))
-    candidates = (
-        files.join(broadcast_if_small(dim), "project_id")
-        .where(_looked_at(F.col("path")) & ~_suppressed(F.col("path")))
-        .where(holds(F.col("content")))
-        .select(*RULE_KEY, "path", "pattern", "literal", F.posexplode(lines_of(F.col("content"))).alias("_at", "line"))
+    beginning = F.regexp_extract(F.regexp_replace("target", r"\A\./", ""), r"\A([^*?{}/\\\\]*)", 1)
+    detectors = resolved.where(F.col("mode").isin(*modes)).join(patterns, "regex", "left")
+    return detectors.where("pattern_ok or mode = 'local-import'").select(
+        *RULE_KEY,
+        "mode",
+        "pattern",
+        F.when(F.col("mode") == "local-import", F.nullif(beginning, F.lit(""))).otherwise(F.col("literal")).alias("literal"),
+        "target_kind",
+        "target_re",
+        "where_re",
+        "exception_re",
     )
-    return (
-        candidates.where(holds(F.col("line")))
-        .where(matches_regex(F.col("line"), F.col("pattern")))
+
+
+def _may_hold_reference(text: Column) -> Column:
+    # Plain-text tests only; they skip texts and lines that cannot hold a reference.
+    return text.contains("from") | text.contains("import") | text.contains("require(") | text.contains("#include")
+
+
+def _import_references(line: Column) -> Column:
+    return F.concat(*[F.regexp_extract_all(line, F.lit(form), 1) for form in IMPORT_FORMS])
+
+
+def _include_references(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(INCLUDE_FORM), 1)
+
+
+def content_hits(files: DataFrame, detectors: DataFrame) -> DataFrame:
+    """Hits of all detectors in one scan of the texts, without any shuffle of them.
+
+    Rules meet files by project. Path conditions and the literal a rule requires weed out
+    pairs before a text is split into lines, and only lines that hold the literal reach the
+    regex engine. A regex gives at most one hit per line (Q6), a reference rule one for each
+    matching reference (Q9).
+    """
+    tests = PathTests(detectors)
+    by_regex = F.col("mode") == "local-regex"
+
+    def possible(text: Column) -> Column:
+        literal = F.col("literal").isNull() | F.contains(text, F.col("literal"))
+        return literal & (by_regex | _may_hold_reference(text))
+
+    lines = (
+        files.join(broadcast_if_small(detectors), "project_id")
+        .where(tests.kept())
+        .where(possible(F.col("content")))
         .select(
-            *RULE_KEY,
-            "path",
-            (F.col("_at") + 1).alias("line_no"),
-            F.lit(0).alias("ord"),
-            snippet(F.col("line")).alias("snippet"),
-            F.lit(None).cast("string").alias("reference"),
-            F.lit(None).cast("string").alias("note"),
+            *RULE_KEY, "mode", "pattern", "literal", "target_kind", "target_re", "path",
+            F.posexplode(lines_of(F.col("content"))).alias("_at", "line"),
         )
+        .where(possible(F.col("line")))
+    )
+    line, nothing = F.col("line"), F.lit(None).cast("string")
+    found = F.when(F.col("target_kind") == "import", _import_references(line)).otherwise(_include_references(line))
+    numbered = F.transform(found, lambda r, at: F.struct(at.alias("ord"), r.alias("reference")))
+    of_glob = F.filter(numbered, lambda x: path_matches(x["reference"], F.col("target_re")))
+    once = F.array(F.struct(F.lit(0).alias("ord"), nothing.alias("reference")))
+    hits = F.when(by_regex, F.when(matches_regex(line, F.col("pattern")), once)).otherwise(of_glob)
+    return lines.select(*RULE_KEY, "path", (F.col("_at") + 1).alias("line_no"), "line", F.inline(hits)).select(
+        *RULE_KEY, "path", "line_no", "ord", snippet(line).alias("snippet"), "reference", nothing.alias("note")
     )
 
 
+def regex_hits(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    return content_hits(files, detector_dim(resolved, pattern_table(resolved), "local-regex"))
+
+
+def import_hits(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """References that match a rule's import or include glob."""
+    return content_hits(files, detector_dim(resolved, pattern_table(resolved), "local-import"))
+
+
 def invalid_regex_hits(files: DataFrame, resolved: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
-    """A rule whose pattern is not a regex marks every file it keeps, on line 1 (Q7)."""
+    """A rule whose pattern is not a regex marks every file it keeps, on line 1 (Q7). Reads no content."""
     patterns = pattern_table(resolved) if patterns is None else patterns
     dim = (
         resolved.where("mode = 'local-regex'")
@@ -178,7 +245,7 @@ def invalid_regex_hits(files: DataFrame, resolved: DataFrame, patterns: DataFram
     return (
         files.select("project_id", "path")
         .join(broadcast_if_small(dim), "project_id")
-        .where(_looked_at(F.col("path")) & ~_suppressed(F.col("path")))
+        .where(PathTests(dim).kept())
         .select(
             *RULE_KEY,
             "path",
@@ -193,53 +260,24 @@ def invalid_regex_hits(files: DataFrame, resolved: DataFrame, patterns: DataFram
 
 def extract_references(files: DataFrame) -> DataFrame:
     """Import and include references per line, one row each, in the order they are tried (Q9)."""
-    # The plain-text tests only skip texts and lines that cannot hold a reference.
-    may_import = lambda t: t.contains("from") | t.contains("import") | t.contains("require(")
-    may_hold = lambda t: may_import(t) | t.contains("#include")
     line = F.col("line")
-    imports = F.concat(*[F.regexp_extract_all(line, F.lit(form), 1) for form in IMPORT_FORMS])
-    includes = F.regexp_extract_all(line, F.lit(INCLUDE_FORM), 1)
     tagged = F.array(
-        F.struct(F.lit("import").alias("target_kind"), imports.alias("refs")),
-        F.struct(F.lit("include").alias("target_kind"), includes.alias("refs")),
+        F.struct(F.lit("import").alias("target_kind"), _import_references(line).alias("refs")),
+        F.struct(F.lit("include").alias("target_kind"), _include_references(line).alias("refs")),
     )
-    lines = corpus_lines(files.where(may_hold(F.col("content")))).where(may_hold(line))
+    lines = corpus_lines(files.where(_may_hold_reference(F.col("content")))).where(_may_hold_reference(line))
     kinds = lines.select("project_id", "path", "line_no", "line", F.inline(tagged))
     return kinds.select(
         "project_id", "path", "line_no", "line", "target_kind", F.posexplode("refs").alias("ord", "reference")
     )
 
 
-def import_hits(files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """References that match a rule's import or include glob, one hit per reference."""
-    dim = resolved.where("mode = 'local-import'").select(
-        *RULE_KEY, "target_kind", "target_re", "where_re", "exception_re"
-    )
-    concerned = broadcast_if_small(dim.select("project_id").distinct())
-    refs = extract_references(files.join(concerned, "project_id", "left_semi"))
-    return (
-        refs.join(broadcast_if_small(dim), ["project_id", "target_kind"])
-        .where(_looked_at(F.col("path")) & ~_suppressed(F.col("path")))
-        .where(path_matches(F.col("reference"), F.col("target_re")))
-        .select(
-            *RULE_KEY,
-            "path",
-            "line_no",
-            "ord",
-            snippet(F.col("line")).alias("snippet"),
-            "reference",
-            F.lit(None).cast("string").alias("note"),
-        )
-    )
-
-
 def all_hits(files: DataFrame, resolved: DataFrame) -> DataFrame:
     patterns = pattern_table(resolved)
-    return (
-        regex_hits(files, resolved, patterns)
-        .unionByName(import_hits(files, resolved))
-        .unionByName(invalid_regex_hits(files, resolved, patterns))
-    )
+    hits = content_hits(files, detector_dim(resolved, patterns, "local-regex", "local-import"))
+    if patterns.where("not pattern_ok").isEmpty():
+        return hits
+    return hits.unionByName(invalid_regex_hits(files, resolved, patterns))
 
 
 def evidence_totals(hits: DataFrame, resolved: DataFrame) -> DataFrame:

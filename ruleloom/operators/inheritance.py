@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.session import broadcast_if_small, staged
@@ -17,51 +17,54 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
     ``chain`` (array of ``path, body``, the start first), ``status`` (``ok``, ``cycle`` or
     ``missing``) and ``trouble`` (the path that ended a broken chain).
 
-    One round per inheritance level, not per document. A round joins the open chains with the
-    documents that serve as somebody's parent, which are few next to all documents; when they
-    are too many to broadcast, the join shuffles and AQE splits a parent many children share.
-    Rounds are cut by writing them to the shared folder.
+    Chains are followed on paths alone, one round per inheritance level, each round cut by a
+    small table in the shared folder. A round joins the open chains with the documents that
+    serve as somebody's parent, which are few next to all documents; when they are too many
+    to broadcast, the join shuffles and AQE splits a parent that many children share. The
+    bodies are attached afterwards, one join per level, so no group of rows is gathered.
     """
-    # Parsed once here; every round below reads the parsed form.
+    # Parsed once here; everything below reads the parsed form.
     documents = staged(documents, "chain-documents")
-    link = F.struct("path", "body")
-    first = documents if starts is None else documents.join(starts.select(F.col("start").alias("path")), "path", "left_semi")
-    open_chains = first.select(
-        F.col("path").alias("start"),
-        F.array(link).alias("chain"),
-        F.col("parent").alias("next"),
-    )
-    used = documents.where("parent is not null").select(F.col("parent").alias("path")).distinct()
-    parents = documents.join(used, "path", "left_semi").select(
-        F.col("path").alias("next"), link.alias("link"), F.col("parent").alias("after")
-    )
-    parents = broadcast_if_small(staged(parents, "chain-parents"))
+    paths = documents.select("path", "parent")
+    if starts is not None:
+        paths = paths.join(starts.select(F.col("start").alias("path")), "path", "left_semi")
+    used = documents.select(F.col("parent").alias("path")).where("path is not null").distinct()
+    parents = documents.join(used, "path", "left_semi")
+    links = broadcast_if_small(parents.select(F.col("path").alias("next"), F.col("parent").alias("after"), F.lit(True).alias("known")))
 
+    open_chains = paths.select(F.col("path").alias("start"), F.array("path").alias("paths"), F.col("parent").alias("next"))
     finished = []
-    seen = F.exists("chain", lambda c: c["path"] == F.col("next"))
+
+    def finish(chains: DataFrame, status: Column) -> None:
+        finished.append(chains.select("start", "paths", status.alias("status"), F.col("next").alias("trouble")))
+
+    seen = F.array_contains("paths", F.col("next"))
     while True:
-        ended = open_chains.where(F.col("next").isNull() | seen)
-        finished.append(
-            ended.select(
-                "start",
-                "chain",
-                F.when(F.col("next").isNull(), "ok").otherwise("cycle").alias("status"),
-                F.col("next").alias("trouble"),
-            )
+        finish(
+            open_chains.where(F.col("next").isNull() | seen),
+            F.when(F.col("next").isNull(), "ok").otherwise("cycle"),
         )
         still = open_chains.where(F.col("next").isNotNull() & ~seen)
-        stepped = staged(still.join(parents, "next", "left"), "chain-level")
+        stepped = staged(still.join(links, "next", "left"), "chain-level")
         if stepped.isEmpty():
             break
-        finished.append(
-            stepped.where("link is null").select(
-                "start", "chain", F.lit("missing").alias("status"), F.col("next").alias("trouble")
-            )
-        )
-        open_chains = stepped.where("link is not null").select(
-            "start", F.array_append("chain", F.col("link")).alias("chain"), F.col("after").alias("next")
+        finish(stepped.where("known is null"), F.lit("missing"))
+        open_chains = stepped.where("known").select(
+            "start", F.array_append("paths", F.col("next")).alias("paths"), F.col("after").alias("next")
         )
-    return reduce(DataFrame.unionByName, finished)
+    chains = reduce(DataFrame.unionByName, finished)
+
+    link = F.struct("path", "body")
+    with_bodies = chains.join(documents.select(F.col("path").alias("start"), link.alias("link_0")), "start")
+    levels = len(finished) // 2 + 1
+    bodies = broadcast_if_small(parents.select(F.col("path").alias("_path"), link.alias("_link")))
+    for level in range(1, levels):
+        place = F.get("paths", F.lit(level))
+        with_bodies = with_bodies.join(
+            bodies.withColumnRenamed("_link", f"link_{level}"), place == F.col("_path"), "left"
+        ).drop("_path")
+    chain = F.array_compact(F.array(*[f"link_{level}" for level in range(levels)]))
+    return with_bodies.select("start", chain.alias("chain"), "status", "trouble")
 
 
 def chain_links(chains: DataFrame) -> DataFrame:

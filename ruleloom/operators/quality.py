@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
 from ruleloom.operators.configs import entry_value
-from ruleloom.operators.reports import REPORT_KEY, SEVERITIES, UNKNOWN_ISSUE, UNKNOWN_RULE, duplicate_issues
+from ruleloom.operators.reports import REPORT_KEY, SEVERITIES, UNKNOWN_ISSUE, UNKNOWN_RULE, issue_repeat
 from ruleloom.operators.rules import duplicate_rules
 
 # Fields every rule must fill.
@@ -271,27 +271,23 @@ def without_errors(subjects: DataFrame, findings: DataFrame, *keys: str) -> Data
 
 
 def report_findings(violations: DataFrame) -> DataFrame:
-    """Missing ids, repeated ids, bad severity, missing repair prompt, ordered by ``seq``."""
+    """Missing ids, repeated ids, bad severity, missing repair prompt, ordered by ``seq``.
 
+    One pass and one shuffle of five narrow columns; each issue yields its list of findings.
+    """
     issue, rule, severity = F.col("issue_id"), F.col("rule_id"), F.col("severity")
+    narrow = violations.select(
+        *REPORT_KEY, "pos", "issue_id", "rule_id", "severity", _blank(F.col("repair_prompt")).alias("no_prompt")
+    ).withColumn("nth", issue_repeat())
     checks = [
-        (issue == UNKNOWN_ISSUE, 0, "error", _text("Violation for rule '", rule, "' is missing issueId.")),
-        (rule == UNKNOWN_RULE, 2, "error", _text("Violation '", issue, "' is missing ruleId.")),
-        (~severity.isin(*SEVERITIES), 3, "error", _text("Violation '", issue, "' has invalid severity '", severity, "'.")),
-        (_blank(F.col("repair_prompt")), 4, "warn", _text("Violation '", issue, "' is missing repairPrompt.")),
+        (issue == UNKNOWN_ISSUE, "error", _text("Violation for rule '", rule, "' is missing issueId.")),
+        (F.col("nth") > 1, "error", _text("Duplicate issueId '", issue, "' found in report.")),
+        (rule == UNKNOWN_RULE, "error", _text("Violation '", issue, "' is missing ruleId.")),
+        (~severity.isin(*SEVERITIES), "error", _text("Violation '", issue, "' has invalid severity '", severity, "'.")),
+        (F.col("no_prompt"), "warn", _text("Violation '", issue, "' is missing repairPrompt.")),
     ]
-    # The row-wise checks share one pass: each issue yields its own list of findings.
-    hits = F.array(
-        *[
-            F.when(bad, F.struct(F.struct("pos", F.lit(check).alias("check")).alias("seq"), F.lit(level).alias("level"), text.alias("message")))
-            for bad, check, level, text in checks
-        ]
-    )
-    single = violations.select(*REPORT_KEY, F.inline(F.array_compact(hits)))
-    repeated = duplicate_issues(violations).select(
-        *REPORT_KEY,
-        F.struct("pos", F.lit(1).alias("check")).alias("seq"),
-        F.lit("error").alias("level"),
-        _text("Duplicate issueId '", issue, "' found in report.").alias("message"),
-    )
-    return single.unionByName(repeated)
+    findings = [
+        F.when(bad, F.struct(F.struct("pos", F.lit(at).alias("check")).alias("seq"), F.lit(level).alias("level"), text.alias("message")))
+        for at, (bad, level, text) in enumerate(checks)
+    ]
+    return narrow.select(*REPORT_KEY, F.inline(F.array_compact(F.array(*findings))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
@@ -27,7 +27,8 @@ def issue_array(report: Column) -> Column:
 
 def report_issues(reports: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per issue: report key, ``pos`` from 0, ``issue`` VARIANT. No shuffle."""
-    parsed = reports.select(*REPORT_KEY, F.try_parse_json(raw).alias("doc")).where("doc is not null")
+    # Unreadable reports have no array and so yield no rows; a filter would parse twice.
+    parsed = reports.select(*REPORT_KEY, F.try_parse_json(raw).alias("doc"))
     return parsed.select(*REPORT_KEY, F.posexplode(issue_array(F.col("doc"))).alias("pos", "issue"))
 
 
@@ -136,16 +137,18 @@ def location_text(file: Column, line: Column) -> Column:
     return F.when(F.coalesce(line, F.lit(0.0)) != 0, F.concat(given, F.lit(":"), V.number_text(line))).otherwise(given)
 
 
+def issue_repeat() -> Column:
+    """How often an issue id occurred in its report up to this issue; NULL without an id.
+
+    A window over parts of a report is safe, because a report is one input row.
+    """
+    earlier = Window.partitionBy(*REPORT_KEY, "issue_id").orderBy("pos")
+    return F.when(F.col("issue_id") != UNKNOWN_ISSUE, F.row_number().over(earlier))
+
+
 def duplicate_issues(violations: DataFrame) -> DataFrame:
     """Repeats of an issue id within a report, after the first (Q20)."""
-    named = violations.where(F.col("issue_id") != UNKNOWN_ISSUE)
-    firsts = (
-        named.groupBy(*REPORT_KEY, "issue_id")
-        .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    return named.join(firsts, [*REPORT_KEY, "issue_id"]).where("pos > first_pos").drop("first_pos")
+    return violations.withColumn("_nth", issue_repeat()).where("_nth > 1").drop("_nth")
 
 
 def issues_grouped(violations: DataFrame) -> DataFrame:

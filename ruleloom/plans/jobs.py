@@ -88,7 +88,7 @@ def audit_context(projects: DataFrame, rules: DataFrame, evidence: DataFrame, fi
 
 def validate_reports(reports: DataFrame, raw: str = "raw") -> dict[str, DataFrame]:
     """Normalised violations, findings and pass/fail summary of report texts."""
-    violations = R.normalize_issues(R.report_issues(reports, raw))
+    violations = staged(R.normalize_issues(R.report_issues(reports, raw)), "violations")
     findings = Q.report_findings(violations)
     return {
         "violations": violations,
@@ -100,6 +100,8 @@ def validate_reports(reports: DataFrame, raw: str = "raw") -> dict[str, DataFram
 
 def fix_issues(violations: DataFrame, rules: DataFrame) -> DataFrame:
     """Issues of the reports that pass, joined to the last definition of their rule."""
+    # Three consumers follow; staging parses the reports once.
+    violations = staged(violations, "violations")
     clean = Q.without_errors(violations, Q.report_findings(violations), *R.REPORT_KEY)
     return P.enrich_issues(clean, latest_rules(rules))
 
