@@ -26,7 +26,9 @@ def load_projects(config_table: DataFrame, project_configs: DataFrame) -> DataFr
 def projects_of(chains: DataFrame, project_configs: DataFrame) -> DataFrame:
     named = string_only(entry_value(F.col("i18n"), "defaultLocale"), "$")
     locale = F.coalesce(F.nullif(named, F.lit("")), F.lit("en"))
-    return effective_configs(chains).join(project_configs, "config_path").withColumn("locale", locale)
+    projects = effective_configs(chains).join(project_configs, "config_path").withColumn("locale", locale)
+    # Small next to the corpus, and every check reads it again.
+    return staged(projects, "projects")
 
 
 def load_rules(rule_table: DataFrame, project_rules: DataFrame) -> DataFrame:
@@ -37,16 +39,15 @@ def load_rules(rule_table: DataFrame, project_rules: DataFrame) -> DataFrame:
 
 def rules_of(chains: DataFrame, project_rules: DataFrame) -> DataFrame:
     rules = effective_rules(chains).join(project_rules.withColumnRenamed("rules_path", "document"), "document")
-    return with_detect_columns(rules)
+    return staged(with_detect_columns(rules), "rules")
 
 
 def audit(files: DataFrame, projects: DataFrame, rules: DataFrame, locales: DataFrame) -> dict[str, DataFrame]:
     """Findings, evidence and prompts. Projects with error findings are left out of the scan.
 
+    ``projects`` and ``rules`` come from :func:`load_projects` and :func:`load_rules`.
     Gating before the scan saves reading the texts of projects whose prompt would be withheld.
     """
-    rules = staged(rules, "rules")
-    projects = staged(projects, "projects")
     findings = Q.rule_findings(rules, projects)
     open_projects = staged(Q.without_errors(projects, findings), "open-projects")
     open_rules = rules.join(open_projects.select("project_id"), "project_id", "left_semi")
