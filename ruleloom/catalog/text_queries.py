@@ -38,7 +38,7 @@ RULE_TEXT = """'### ' || rule_id || chr(10) || '- severity: ' || severity || chr
 
 def evidence_text(records: str) -> str:
     """Section text from a relation with rule_id, mode, n, note, patterns, s and shown."""
-    return f"""select project_id, rule_pos, rule_id,
+    return f"""select project_id, cast(rule_pos as bigint) as rule_pos, rule_id,
   '- ' || rule_id || ' (' || mode || ', totalMatches=' || n || ')'
   || case when note is not null then chr(10) || '  note: ' || note else '' end
   || case when patterns <> '' then chr(10) || '  exceptions: ' || patterns else '' end

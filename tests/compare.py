@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -13,6 +14,9 @@ import duckdb
 from ruleloom.catalog.inputs import TABLES
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for name in TABLES:
@@ -43,6 +47,10 @@ def compare(spark, con, sf_dir, name, run, sql):
     want_columns, want = rows_of([d[0] for d in result.description], result.fetchall())
     if got_columns != want_columns:
         return f"columns {got_columns} vs {want_columns}"
+    types = dict(df.dtypes)
+    odd = [(d[0], types[d[0]], str(d[1])) for d in result.description if SQL_TYPES.get(types[d[0]], "?") != str(d[1]).upper()]
+    if odd:
+        return f"types {odd}"
     if got != want:
         only_got, only_want = sorted(set(got) - set(want)), sorted(set(want) - set(got))
         return f"rows {len(got)} vs {len(want)}\n  spark:  {only_got[:2]}\n  oracle: {only_want[:2]}"
@@ -55,7 +63,7 @@ if __name__ == "__main__":
 
     spark = build_session(cores="8")
     spark.sparkContext.setLogLevel("OFF")
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = os.environ.get("RULELOOM_SF_DIR", "/root/testdata/sf0.01")
     con = connect(sf_dir)
     oracles = all_oracles()
     wanted = sys.argv[1:]
