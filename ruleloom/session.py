@@ -23,8 +23,6 @@ def build_session(app: str = "ruleloom", cores: str = "*", partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # Recording a Python call site for every Column costs more than building it.
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
