@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ruleloom.llm.bpe import encoded
 from ruleloom.llm.common import table
 from ruleloom.llm.simhash import near_duplicates
 
 
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of all documents."""
+    return encoded(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op4_simhash_neardup": op4_simhash_neardup,
 }
 
