@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.bpe import encoded
 from ruleloom.llm.common import table
+from ruleloom.llm.langid import languages
 from ruleloom.llm.simhash import near_duplicates
+from ruleloom.llm.toxicity import toxicity
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,21 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op8_language_id": op8_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
