@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm.bpe import encoded
 from ruleloom.llm.common import table
 from ruleloom.llm.langid import languages
+from ruleloom.llm.lattice import lattice_scores
 from ruleloom.llm.simhash import near_duplicates
 from ruleloom.llm.toxicity import toxicity
 
@@ -34,6 +35,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op9_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents."""
+    return lattice_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op4_simhash_neardup": op4_simhash_neardup,
     "op8_language_id": op8_language_id,
+    "op9_lattice_scores": op9_lattice_scores,
     "op10_toxicity": op10_toxicity,
 }
 
