@@ -11,6 +11,7 @@ from ruleloom.llm.bpe import encoded
 from ruleloom.llm.common import table
 from ruleloom.llm.langid import languages
 from ruleloom.llm.lattice import lattice_scores
+from ruleloom.llm.omh import order_minhash
 from ruleloom.llm.simhash import near_duplicates
 from ruleloom.llm.toxicity import toxicity
 
@@ -30,6 +31,11 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of all documents, of edited copies, and their likeness."""
+    return order_minhash(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents."""
     return languages(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op6_order_minhash": op6_order_minhash,
     "op8_language_id": op8_language_id,
     "op9_lattice_scores": op9_lattice_scores,
     "op10_toxicity": op10_toxicity,
