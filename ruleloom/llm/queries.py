@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.bpe import encoded
 from ruleloom.llm.common import table
+from ruleloom.llm.htmltext import main_texts
 from ruleloom.llm.langid import languages
 from ruleloom.llm.lattice import lattice_scores
 from ruleloom.llm.omh import order_minhash
@@ -36,6 +37,11 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash(table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents."""
     return languages(table(spark, sf_dir, "documents"))
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op4_simhash_neardup": op4_simhash_neardup,
     "op6_order_minhash": op6_order_minhash,
+    "op7_html_main_text": op7_html_main_text,
     "op8_language_id": op8_language_id,
     "op9_lattice_scores": op9_lattice_scores,
     "op10_toxicity": op10_toxicity,
