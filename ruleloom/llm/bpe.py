@@ -20,11 +20,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 150_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 200_000
+CACHED_CHUNKS = 100_000
+CACHED_PAIRS = 500_000
+#: Texts that a task holds at a time.
+ROWS = 128
 
 
 def byte_letters() -> list[str]:
@@ -67,9 +70,8 @@ class Encoder:
 
     def __init__(self, spec: Spec) -> None:
         letters = byte_letters()
-        # Symbols: a byte inside a word is its letter, a byte that ends a word a letter of its own.
-        self.inner = {b: letters[b] for b in range(256)}
-        self.final = {b: chr(0xE000 + b) for b in range(256)}
+        # Symbols: a byte inside a word is its own letter, one that ends a word is 256 further.
+        self.final = [chr(256 + b) for b in range(256)]
         self.ids: list[int] = []
         self.text: list[str] = []
         self.split: list[tuple[int, int]] = []
@@ -83,7 +85,7 @@ class Encoder:
             self.split.append(parts or (rank, rank))
 
         for b in range(256):
-            add(letters[b], self.inner[b], None)
+            add(letters[b], chr(b), None)
         for b in range(256):
             add(letters[b] + spec.suffix, self.final[b], None)
         for left, right in spec.merges:
@@ -91,11 +93,12 @@ class Encoder:
             self.merged[a, b] = len(self.ids)
             add(left + right, self.text[a] + self.text[b], (a, b))
         self.tokens = ahocorasick.Automaton()
-        rank_of = {s: r for r, s in enumerate(self.text)}
+        rank_of = self.rank_of = {s: r for r, s in enumerate(self.text)}
         for s, r in rank_of.items():
-            self.tokens.add_word(s, r)
+            self.tokens.add_word(s, (r, len(s) - 1))
         self.tokens.make_automaton()
         self.shorter = [next((rank_of[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in rank_of), -1) for s in self.text]
+        self.size = [len(s) for s in self.text]
         self.fits: dict[tuple[int, int], bool] = {}
         self.find = regex.compile(spec.pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, spec.specials)) + ")") if spec.specials else None
@@ -111,9 +114,6 @@ class Encoder:
         would have taken it.
         """
         key = a, b
-        known = self.fits.get(key)
-        if known is not None:
-            return known
         before = len(self.ids)
         while True:
             joined = self.merged.get((a, b))
@@ -136,28 +136,35 @@ class Encoder:
 
     def word(self, word: bytes) -> list[int]:
         """Token ids of one word."""
-        line = "".join([self.inner[b] for b in word[:-1]]) + self.final[word[-1]]
-        longest = [-1] * len(line)
-        size = [0] * len(line)
-        for end, rank in self.tokens.iter(line):
-            n = len(self.text[rank])
-            if n > size[end - n + 1]:
-                longest[end - n + 1], size[end - n + 1] = rank, n
+        line = word[:-1].decode("latin-1") + self.final[word[-1]]
+        whole = self.rank_of.get(line)
+        if whole is not None:
+            return [self.ids[whole]]
+        length, size, fits = len(line), self.size, self.fits
+        longest = [-1] * (length + 1)
+        for end, (rank, before) in self.tokens.iter(line):  # by rising end: the longest comes last
+            longest[end - before] = rank
         dead, out, at, token = set(), [], 0, longest[0]
-        while at < len(line):
+        while at < length:
             while token >= 0:
-                end = at + len(self.text[token])
-                if end not in dead and (not out or self.compatible(out[-1], token)):
-                    break
+                end = at + size[token]
+                if end not in dead:
+                    if not out:
+                        break
+                    good = fits.get((out[-1], token))
+                    if good is None:
+                        good = self.compatible(out[-1], token)
+                    if good:
+                        break
                 token = self.shorter[token]
             if token >= 0:
                 out.append(token)
                 at = end
-                token = longest[at] if at < len(line) else -1
+                token = longest[at]
             else:
                 dead.add(at)
                 token = out.pop()
-                at -= len(self.text[token])
+                at -= size[token]
         return [self.ids[r] for r in out]
 
     def chunk(self, chunk: str) -> list[int]:
@@ -172,13 +179,12 @@ class Encoder:
         for w in self.find(line):
             ids = self.words.get(w)
             if ids is None:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                ids = self.words[w] = self.word(w.encode("utf-8", "surrogatepass"))
+                ids = self.word(w.encode("utf-8", "surrogatepass"))
+                if len(self.words) < CACHED_WORDS:  # frequent words come early
+                    self.words[w] = ids
             out += ids
-        if len(self.chunks) >= CACHED_WORDS:
-            self.chunks.clear()
-        self.chunks[chunk] = out
+        if len(self.chunks) < CACHED_CHUNKS:
+            self.chunks[chunk] = out
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -220,18 +226,36 @@ class Decoder:
         return self.data[at].tobytes()[:-1].decode("utf-8")
 
 
-def encode(spark: SparkSession, text: Column, path: str) -> Column:
-    """Token ids (array<int>) of a text column with the vocabulary file at ``path``; null is empty."""
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+    flat = np.fromiter((x for i in ids for x in i), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def encode(spark: SparkSession, text: Column, path: str, decoded: bool = False) -> Column:
+    """Token ids (array<int>) of a text column with the vocabulary file at ``path``; null is empty.
+
+    With ``decoded``: a struct of those ids and of the text that they decode to.
+    """
     spec = spark.sparkContext.broadcast(vars(Spec.load(path)))
+    ids_type = ArrayType(IntegerType(), containsNull=False)
 
-    @F.arrow_udf(ArrayType(IntegerType(), containsNull=False))
+    @F.arrow_udf(StructType().add("ids", ids_type).add("decoded", StringType()) if decoded else ids_type)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(Spec(**spec.value))
-        for texts in batches:
+        encoder, decoder = Encoder(Spec(**spec.value)), Decoder(Spec(**spec.value))
+        for texts in _parts(batches):
             ids = [encoder.encode(t) for t in texts.to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-            flat = np.fromiter((x for i in ids for x in i), dtype=np.int32, count=int(offsets[-1]))
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            if decoded:
+                back = [decoder.decode(np.array(i, dtype=np.int64)) for i in ids]
+                yield pa.StructArray.from_arrays([_lists(ids), pa.array(back, pa.string())], names=["ids", "decoded"])
+            else:
+                yield _lists(ids)
 
     return run(text)
 
@@ -243,12 +267,10 @@ def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     @F.arrow_udf(StringType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = Decoder(Spec(**spec.value))
-        for rows in batches:
-            flat = rows.values.to_numpy(zero_copy_only=False)
-            spans = zip(rows.offsets.to_numpy()[:-1].tolist(), rows.offsets.to_numpy()[1:].tolist(), strict=True)
-            yield pa.array([decoder.decode(flat[a:b]) for a, b in spans], type=pa.string())
+        for rows in _parts(batches):
+            yield pa.array([decoder.decode(np.array(i or [], dtype=np.int64)) for i in rows.to_pylist()], type=pa.string())
 
-    return run(F.coalesce(ids, F.array().cast("array<int>")))
+    return run(ids)
 
 
 def default_vocabulary() -> str:
@@ -265,5 +287,4 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     empty text. Other columns are ignored. Nothing is shuffled.
     """
     spark, path = docs.sparkSession, path or default_vocabulary()
-    ids = docs.select("doc_id", encode(spark, F.col("text"), path).alias("ids"))
-    return ids.withColumn("decoded", decode(spark, F.col("ids"), path))
+    return docs.select("doc_id", encode(spark, F.col("text"), path, decoded=True).alias("e")).select("doc_id", "e.ids", "e.decoded")
