@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.bpe import encoded
 from ruleloom.llm.common import table
+from ruleloom.llm.decontam import leaks
 from ruleloom.llm.htmltext import main_texts
 from ruleloom.llm.langid import languages
 from ruleloom.llm.lattice import lattice_scores
@@ -27,6 +28,11 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, copied or paraphrased."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_simhash_neardup": op4_simhash_neardup,
     "op6_order_minhash": op6_order_minhash,
     "op7_html_main_text": op7_html_main_text,
