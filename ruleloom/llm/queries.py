@@ -14,10 +14,17 @@ from ruleloom.llm.htmltext import main_texts
 from ruleloom.llm.langid import languages
 from ruleloom.llm.lattice import lattice_scores
 from ruleloom.llm.omh import order_minhash
+from ruleloom.llm.quotes import link_quotes
+from ruleloom.llm.resample import resample
 from ruleloom.llm.simhash import near_duplicates
 from ruleloom.llm.toxicity import toxicity
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, with the messages they quote and their place in the reply order."""
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of all documents."""
     return encoded(table(spark, sf_dir, "documents")).select(
@@ -38,6 +45,11 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn from all by their likeness to the texts labelled as good."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of all documents, of edited copies, and their likeness."""
     return order_minhash(table(spark, sf_dir, "documents"))
@@ -64,9 +76,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_order_minhash": op6_order_minhash,
     "op7_html_main_text": op7_html_main_text,
     "op8_language_id": op8_language_id,
