@@ -23,7 +23,6 @@ ROWS_PER_BUCKET = 1000
 MOST_BUCKETS = 10_000
 
 _POSITION = (1 << POSITION_BITS) - 1
-_NONE = F.array().cast("array<int>")
 
 
 def _hash_part(x: Column) -> Column:
@@ -40,7 +39,7 @@ def _packed(h: Column, at: Column) -> Column:
 
 def _upto(n: Column, start: int = 0) -> Column:
     """start, start + 1, ..., n - 1."""
-    return F.when(n > start, F.sequence(F.lit(start), n - 1)).otherwise(_NONE)
+    return F.when(n > start, F.sequence(F.lit(start), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
