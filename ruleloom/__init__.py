@@ -1,4 +1,10 @@
-"""Rule-driven auditing of large text corpora on Spark.
+"""Rule-driven auditing of large text and source corpora on Spark.
 
-Every table is keyed by ``project_id``; functions take and return DataFrames or Columns.
+Functions of the package travel to executors by value, so those need no copy of it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

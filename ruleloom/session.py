@@ -1,4 +1,4 @@
-"""Session settings, broadcast size checks, input spreading and lineage cuts."""
+"""Session settings, broadcast size checks and lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType, VariantType
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "ruleloom", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -23,31 +24,35 @@ def build_session(app: str = "ruleloom", cores: str = "*", partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Reports written by models repeat keys; the last one counts. A cluster sets this itself.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
+        # Small row groups still give every core a split of its own.
+        .config("spark.sql.files.maxPartitionBytes", "32m")
         .getOrCreate()
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the side, and stop counting at the bound.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for a side whose text, measured on its rows, stays below a bound.
 
-    Beyond the bound the side stays unhinted: Spark then takes a shuffled join, and
-    AQE splits the partitions of a hot project.
+    Beyond it the side stays unhinted: Spark then takes a shuffled join, and AQE splits the
+    partitions of a hot project. The plan's results are the same either way.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
-
-
-def spread(files: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores.
-
-    A corpus of a few large row groups would keep most cores idle during matching. Large
-    corpora already scan as more partitions than cores and pass through untouched.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= cores:
-        return files
-    return files.repartition(2 * cores, *(keys or ("project_id", "path")))
+    row = sum((F.coalesce(_width(F.col(f.name), f.dataType), F.lit(0)) for f in df.schema), F.lit(16))
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def _width(value: Column, kind: DataType) -> Column:
+    """Bytes of a value, roughly: texts by length, lists by their elements, the rest flat."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.octet_length(value) + 8
+    if isinstance(kind, ArrayType):
+        add = lambda total, x: total + F.coalesce(_width(x, kind.elementType), F.lit(0))
+        return F.aggregate(value, F.lit(8).cast("long"), lambda total, x: add(total, x).cast("long"))
+    if isinstance(kind, StructType):
+        return sum((F.coalesce(_width(value[f.name], f.dataType), F.lit(0)) for f in kind), F.lit(8))
+    return F.lit(16) if not isinstance(kind, VariantType) else F.octet_length(F.to_json(value)) + 8
 
 
 def stage_dir(spark: SparkSession) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.functions.paths import forward_slashes
+from ruleloom.sources.tree import list_files, read_files
 
 
 def utf8_text(raw: Column) -> Column:
@@ -14,21 +15,21 @@ def utf8_text(raw: Column) -> Column:
 
 
 def scan_tree(spark: SparkSession, root: str, project_id: str | None = None, path_filter: Column | None = None) -> DataFrame:
-    """Whole files under ``root``, one row each.
+    """Whole files under ``root``, one row each, whatever their names begin with.
 
-    Without ``project_id`` the first folder below ``root`` names the project. A filter on
-    ``_metadata.file_path`` prunes files before they are read.
+    Without ``project_id`` the first folder below ``root`` names the project; files directly
+    in ``root`` then belong to no project and are left out. ``path_filter``, a condition on
+    the column ``path`` (the whole path), prunes files before they are read.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = list_files(spark, root)
     if path_filter is not None:
-        scan = scan.where(path_filter)
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    base = forward_slashes(F.lit(root.split(":", 1)[-1].rstrip("/") + "/"))
-    relative = F.substr(full, F.position(base, full) + F.length(base))
-    scan = scan.select(relative.alias("relative"), utf8_text(F.col("content")).alias("content"))
+        listed = listed.where(path_filter)
+    base = root.rstrip("/") + "/"
+    relative = F.substr(forward_slashes(F.col("path")), F.lit(len(base) + 1))
+    scan = read_files(listed).select(relative.alias("relative"), utf8_text(F.col("content")).alias("content"))
     if project_id is not None:
         return scan.select(F.lit(project_id).alias("project_id"), F.col("relative").alias("path"), "content")
-    return scan.select(
+    return scan.where(F.contains("relative", F.lit("/"))).select(
         F.regexp_extract("relative", r"\A([^/]+)/", 1).alias("project_id"),
         F.regexp_replace("relative", r"\A[^/]+/", "").alias("path"),
         "content",
@@ -43,3 +44,8 @@ def corpus_table(table: DataFrame, project_id: str, path: str, content: str) ->
 def write_corpus(files: DataFrame, target: str) -> None:
     """Store a corpus so that a project filter prunes whole folders."""
     files.write.mode("errorifexists").partitionBy("project_id").parquet(target)
+
+
+def read_corpus(spark: SparkSession, source: str) -> DataFrame:
+    """A stored corpus. Project ids stay texts: ``007`` does not become a number."""
+    return spark.read.schema("path string, content string, project_id string").parquet(source).select("project_id", "path", "content")

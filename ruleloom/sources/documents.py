@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.functions.globs import glob_regex, path_matches
 from ruleloom.functions.text import lines_of
+from ruleloom.sources.tree import list_files, read_files
 
 
 def read_texts(spark: SparkSession, source: str) -> DataFrame:
-    """Whole text files as ``(path, content)``; serves rule documents, configs and reports."""
-    # wholetext works only as keyword of text(), the option of that name is ignored.
-    return spark.read.text(source, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
-    )
+    """Whole text files as ``(path, content)``; serves rule documents, configs and reports.
+
+    ``source`` is a file, a folder (with all below it), or a glob over the paths below a folder.
+    """
+    plain = re.split(r"[*?{]", source, maxsplit=1)[0]
+    files = list_files(spark, source if plain == source else plain.rpartition("/")[0] or "/")
+    if plain != source:
+        files = files.where(path_matches(F.col("path"), glob_regex(F.lit(source))))
+    return read_files(files).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def parse_json_column(table: DataFrame, column: str, into: str = "doc") -> DataFrame:

@@ -4,24 +4,30 @@ import json
 
 from pyspark.sql import functions as F
 
-from ruleloom.sources.corpus import scan_tree, write_corpus
+from ruleloom.sources.corpus import read_corpus, scan_tree, write_corpus
 from ruleloom.sources.documents import json_rejects, read_locales, read_texts
 from ruleloom.sources.sinks import as_json, write_json, write_texts
 
 
 def test_tree_scan_and_table(spark, tmp_path):
     root = tmp_path / "tree"
-    (root / "one" / "src dir").mkdir(parents=True)
-    (root / "two").mkdir()
-    (root / "one" / "src dir" / "a+b.txt").write_bytes("x\ny".encode() + b"\xff")
-    (root / "two" / ".hidden.md").write_text("h")
+    made = {
+        ("one", "src dir/a+b.txt"): "x\ny".encode() + b"\xff", ("one", "pkg/__init__.py"): b"", ("one", "_app.tsx"): b"a", ("one", ".env"): b"b",
+        ("one", ".github/ci.yml"): b"c", ("one", "_internal/.x/y.py"): b"d", ("007", ".rules/.rules.md"): b"e",
+    }
+    for (project, path), data in made.items():
+        (root / project / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / project / path).write_bytes(data)
     rows = {(r.project_id, r.path): r.content for r in scan_tree(spark, str(root)).collect()}
-    assert rows[("one", "src dir/a+b.txt")] == "x\ny�"
-    single = scan_tree(spark, str(root / "one"), "p", F.col("_metadata.file_path").endswith(".txt")).collect()
+    assert rows == {k: v.decode(errors="replace") for k, v in made.items()}
+    single = scan_tree(spark, str(root / "one"), "p", F.col("path").endswith(".txt")).collect()
     assert [(r.project_id, r.path) for r in single] == [("p", "src dir/a+b.txt")]
     target = str(tmp_path / "corpus")
     write_corpus(scan_tree(spark, str(root)), target)
-    assert spark.read.parquet(target).where("project_id = 'one'").count() == 1
+    back = {(r.project_id, r.path): r.content for r in read_corpus(spark, target).collect()}
+    assert back == rows
+    documents = read_texts(spark, str(root / "*" / ".rules" / "*.md")).collect()
+    assert [(r.path, r.content) for r in documents] == [(str(root / "007" / ".rules" / ".rules.md"), "e")]
 
 
 def test_texts_locales_and_sinks(spark, tmp_path):
