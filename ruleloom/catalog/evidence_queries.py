@@ -172,9 +172,10 @@ PROBE_GLOBS = {
     ),
 )
 def glob_match(i):
-    globs = F.explode(F.array(*[F.lit(g) for g in PROBE_GLOBS])).alias("glob")
+    # Literals: each glob becomes a regex once, while the plan is made.
+    globs = F.inline(F.array(*[F.struct(F.lit(g).alias("glob"), glob_regex(F.lit(g)).alias("regex")) for g in PROBE_GLOBS]))
     probes = i.files().select("project_id", "path", globs)
-    return probes.where(path_matches(F.col("path"), glob_regex(F.col("glob")))).select("glob", "project_id", "path")
+    return probes.where(path_matches(F.col("path"), F.col("regex"))).select("glob", "project_id", "path")
 
 
 @query("files_in_scope", f"with {SCOPED} select project_id, path from scoped")
@@ -202,8 +203,7 @@ from rules r left join (select project_id, rule_pos, count(*) as n from rule_fil
 )
 def suppressed_counts(i):
     files, resolved = corpus(i)
-    scope = E.rule_file_scope(files, resolved)
-    return E.suppressed_counts(scope, resolved).select("project_id", "rule_id", "suppressed_files")
+    return E.suppressed_counts(files, resolved).select("project_id", "rule_id", "suppressed_files")
 
 
 @query("rule_mode", f"with {SCOPED} select project_id, rule_id, {_MODE} as mode from rules")
@@ -258,13 +258,13 @@ from rules r left join (select project_id, rule_pos, count(*) as n from hits gro
 )
 def evidence_totals(i):
     files, resolved = corpus(i)
-    totals = E.evidence_totals(E.all_hits(files, resolved), resolved)
+    totals = E.evidence_totals(E.found_in_files(files, resolved, 0), resolved)
     return totals.select("project_id", "rule_id", "mode", "total_matches")
 
 
 @query("top_matches", f"with {SCOPED}, {HITS} select {_HIT_COLUMNS}, rank from top")
 def top_matches(i):
-    best = E.top_matches(E.all_hits(*corpus(i)))
+    best = E.top_matches(E.found_in_files(*corpus(i), E.MATCHES_KEPT))
     return _longs(best, "line_no", "ord", "rank").select(
         "project_id", "rule_id", "path", "line_no", "ord", "snippet", "reference", "note", "rank"
     )

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructType
 
-PATTERN_SCHEMA = "regex string, pattern string, literal string, pattern_ok boolean"
+from ruleloom.functions.text import BLANK
+
+TRANSLATED = StructType().add("pattern", StringType()).add("literal", StringType()).add("ok", BooleanType())
+# ``\s`` of the rule language: members of a class, and the class of all else.
+_BLANKS = BLANK[1:-1]
+_NOT_BLANK = f"[^{_BLANKS}]"
 
 _UNIT = re.compile(
     r"(?P<cls>\[\^?(?:\\.|[^\]\\])*\])"
@@ -28,7 +35,8 @@ def _class_text(text: str) -> str:
     head = "[^" if text.startswith("[^") else "["
     inner = text[len(head):-1].replace("&&", r"&\&")
     # "[" is an ordinary class member in the rule language but opens a union in Java.
-    return head + re.sub(r"(\\.)|\[", lambda m: m.group(1) or r"\[", inner, flags=re.S) + "]"
+    members = {"[": r"\[", r"\s": _BLANKS, r"\S": _NOT_BLANK}
+    return head + re.sub(r"\\.|\[", lambda m: members.get(m.group(), m.group()), inner, flags=re.S) + "]"
 
 
 def translate(regex: str) -> tuple[str, str | None]:
@@ -63,7 +71,9 @@ def translate(regex: str) -> tuple[str, str | None]:
         elif kind == "esc":
             java = text
             repeatable = text[1] not in "bB"
-            if text[1] in "pP":
+            if text[1] in "sS":
+                java = BLANK if text[1] == "s" else _NOT_BLANK
+            elif text[1] in "pP":
                 java = text[1]
             elif text[1] not in _WORDY:
                 plain = text[1]
@@ -107,22 +117,31 @@ def translate(regex: str) -> tuple[str, str | None]:
     return "(?d)" + "".join(out), literal or None
 
 
-def check_pattern(spark: SparkSession, regex: str) -> tuple[str, str | None, str | None, bool]:
-    try:
-        java, literal = translate(regex)
-        spark._jvm.java.util.regex.Pattern.compile(java)
-    except Exception:
-        return regex, None, None, False
-    return regex, java, literal, True
+@F.arrow_udf(TRANSLATED)
+def _translated(regexes: pa.Array) -> pa.Array:
+    rows = []
+    for regex in regexes.to_pylist():
+        try:
+            rows.append((*translate(regex), True))
+        except ValueError:
+            rows.append((None, None, False))
+    pattern, literal, ok = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(pattern, pa.string()), pa.array(literal, pa.string()), pa.array(ok, pa.bool_())], names=["pattern", "literal", "ok"]
+    )
 
 
 def pattern_table(rules: DataFrame) -> DataFrame:
-    """One row per distinct rule pattern: Java text, required literal, validity.
+    """One row per distinct rule pattern: ``regex, pattern, literal, pattern_ok, valid``.
 
-    A bad pattern would fail the whole Spark job, so each distinct one is compiled once
-    beforehand. Rule patterns are written by people; they stream through, never collected whole.
+    ``valid`` tells whether the rule language allows the pattern; ``pattern_ok`` whether Java
+    compiles its translation, too, so that matching cannot fail. Both are found on the
+    executors, as distinct patterns grow with the projects.
     """
-    spark = rules.sparkSession
     distinct = rules.select("regex").where(F.coalesce(F.col("regex"), F.lit("")) != "").distinct()
-    rows = [check_pattern(spark, r["regex"]) for r in distinct.toLocalIterator()]
-    return spark.createDataFrame(rows, PATTERN_SCHEMA)
+    # Compiled once for each pattern; a pattern that Java refuses gives NULL.
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("t.pattern"))
+    found = distinct.withColumn("t", _translated("regex"))
+    return found.select(
+        "regex", "t.pattern", "t.literal", (F.col("t.ok") & compiled.isNotNull()).alias("pattern_ok"), F.col("t.ok").alias("valid")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ruleloom.functions.globs import any_glob_regex, glob_regex, matches_regex, path_matches
 from ruleloom.functions.paths import forward_slashes
 from ruleloom.functions.patterns import pattern_table
-from ruleloom.functions.text import lines_of, snippet, trim_blank
+from ruleloom.functions.text import BLANK, lines_of, snippet, trim_blank
 from ruleloom.session import broadcast_if_small, staged
 
 MATCHES_KEPT = 10
@@ -18,14 +18,16 @@ MATCHES_SHOWN = 5
 AI_NOTE = "This rule uses AST or semantic detection and requires AI judgment."
 BAD_PATTERN_NOTE = "invalid-regex"
 BAD_PATTERN_TEXT = "Invalid regex pattern: "
+# Own note: the pattern is valid, but this library cannot run it.
+UNSUPPORTED_TEXT = "Regex pattern cannot be run here: "
 
 # How source lines name other modules, in the order they are tried.
 IMPORT_FORMS = (
-    r"""from\s+["']([^"']+)["']""",
-    r"""import\s+["']([^"']+)["']""",
-    r"""require\(\s*["']([^"']+)["']\s*\)""",
+    rf"""from{BLANK}+["']([^"']+)["']""",
+    rf"""import{BLANK}+["']([^"']+)["']""",
+    rf"""require\({BLANK}*["']([^"']+)["']{BLANK}*\)""",
 )
-INCLUDE_FORM = r"""#include\s+[<"]([^>"]+)[>"]"""
+INCLUDE_FORM = rf"""#include{BLANK}+[<"]([^>"]+)[>"]"""
 
 RULE_KEY = ("project_id", "rule_pos", "rule_id")
 HIT_ORDER = ("path", "line_no", "ord")
@@ -100,48 +102,32 @@ def resolve_rules(rules: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
-class PathTests:
-    """Path conditions of a rule dimension.
+def looked_at() -> Column:
+    """The rule's ``where`` glob takes the file."""
+    return F.coalesce(path_matches(F.col("path"), F.col("where_re")), F.lit(True))
 
-    A file meets many rules in turn, so a regex held in a column would be compiled again for
-    almost every pair. The first few distinct regexes of the dimension therefore become
-    literals, compiled once per task; any further ones take the column form.
-    """
-
-    FEW = 32
-
-    def __init__(self, dim: DataFrame):
-        regexes = dim.select(F.explode(F.array("where_re", "exception_re")).alias("re")).where("re is not null")
-        self.known = [r["re"] for r in regexes.distinct().limit(self.FEW).collect()]
 
-    def _matches(self, regex: Column) -> Column:
-        path = forward_slashes(F.col("path"))
-        test = matches_regex(path, regex)
-        for known in self.known:
-            test = F.when(regex == known, path.rlike(known)).otherwise(test)
-        return F.when(regex.isNotNull(), test)
+def suppressed() -> Column:
+    """An exception of the rule names the file."""
+    return F.coalesce(path_matches(F.col("path"), F.col("exception_re")), F.lit(False))
 
-    def looked_at(self) -> Column:
-        return F.coalesce(self._matches(F.col("where_re")), F.lit(True))
 
-    def suppressed(self) -> Column:
-        return F.coalesce(self._matches(F.col("exception_re")), F.lit(False))
-
-    def kept(self) -> Column:
-        return self.looked_at() & ~self.suppressed()
+def kept() -> Column:
+    return looked_at() & ~suppressed()
 
 
 def rule_file_scope(files: DataFrame, resolved: DataFrame) -> DataFrame:
     """Pairs of rule and file after ``where``, with the exception flag. Reads no content."""
     dim = resolved.select(*RULE_KEY, "where_re", "exception_re")
-    tests = PathTests(dim)
     pairs = files.select("project_id", "path").join(broadcast_if_small(dim), "project_id")
-    return pairs.where(tests.looked_at()).select(*RULE_KEY, "path", tests.suppressed().alias("suppressed"))
+    return pairs.where(looked_at()).select(*RULE_KEY, "path", suppressed().alias("suppressed"))
 
 
-def suppressed_counts(scope: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Files each rule skips because of exceptions, zero-filled."""
-    counted = scope.groupBy(*RULE_KEY).agg(F.count_if("suppressed").alias("suppressed_files"))
+def suppressed_counts(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Files each rule skips because of exceptions, zero-filled. Rules without any meet no file."""
+    dim = resolved.where("exception_re is not null").select(*RULE_KEY, "where_re", "exception_re")
+    pairs = files.select("project_id", "path").join(broadcast_if_small(dim), "project_id")
+    counted = pairs.where(looked_at() & suppressed()).groupBy(*RULE_KEY).agg(F.count("*").alias("suppressed_files"))
     return (
         resolved.select(*RULE_KEY)
         .join(counted, list(RULE_KEY), "left")
@@ -162,7 +148,8 @@ def detector_dim(resolved: DataFrame, patterns: DataFrame, *modes: str) -> DataF
     A reference that matches a glob starts with the glob's plain beginning, so that text is
     the required literal of a reference rule.
     """
-    beginning = F.regexp_extract(F.regexp_replace("target", r"\A\./", ""), r"\A([^*?{}/\\\\]*)", 1)
+    plain = F.regexp_replace(forward_slashes(F.col("target")), r"\A\./", "")
+    beginning = F.regexp_extract(plain, r"\A([^*?{}/]*)", 1)
     detectors = resolved.where(F.col("mode").isin(*modes)).join(patterns, "regex", "left")
     return detectors.where("pattern_ok or mode = 'local-import'").select(
         *RULE_KEY,
@@ -189,40 +176,54 @@ def _include_references(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(INCLUDE_FORM), 1)
 
 
-def content_hits(files: DataFrame, detectors: DataFrame) -> DataFrame:
-    """Hits of all detectors in one scan of the texts, without any shuffle of them.
+def file_hits(files: DataFrame, detectors: DataFrame, keep: int | None = None) -> DataFrame:
+    """What each detector finds in each file: ``n`` hits, of which ``hits`` holds the first ``keep``.
 
-    Rules meet files by project. Path conditions and the literal a rule requires weed out
-    pairs before a text is split into lines, and only lines that hold the literal reach the
-    regex engine. A regex gives at most one hit per line (Q6), a reference rule one for each
-    matching reference (Q9).
+    One scan of the texts, without any shuffle of them, and one row for a file and rule that
+    meet. Rules meet files by project. Path conditions and the literal a rule requires weed out
+    pairs before a text is split, and only lines that hold the literal reach the regex engine. A
+    regex gives at most one hit per line (Q6), a reference rule one for each matching reference
+    (Q9). A file's hits are in their final order, so the first ones per rule are among the first
+    ones per file.
     """
-    tests = PathTests(detectors)
     by_regex = F.col("mode") == "local-regex"
 
     def possible(text: Column) -> Column:
         literal = F.col("literal").isNull() | F.contains(text, F.col("literal"))
         return literal & (by_regex | _may_hold_reference(text))
 
-    lines = (
-        files.join(broadcast_if_small(detectors), "project_id")
-        .where(tests.kept())
-        .where(possible(F.col("content")))
-        .select(
-            *RULE_KEY, "mode", "pattern", "literal", "target_kind", "target_re", "path",
-            F.posexplode(lines_of(F.col("content"))).alias("_at", "line"),
-        )
-        .where(possible(F.col("line")))
+    pairs = files.join(broadcast_if_small(detectors), "project_id").where(kept()).where(possible(F.col("content")))
+    numbered = lambda lines: F.transform(lines, lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
+    lines = F.filter(numbered(lines_of(F.col("content"))), lambda x: possible(x["line"]))
+    nothing = F.lit(None).cast("string")
+
+    def in_line(x: Column) -> Column:
+        found = F.when(F.col("target_kind") == "import", _import_references(x["line"])).otherwise(_include_references(x["line"]))
+        hit = lambda ord_, reference: F.struct(x["line_no"].alias("line_no"), ord_.alias("ord"), x["line"].alias("line"), reference.alias("reference"))
+        listed = F.transform(found, lambda r, at: hit(at, r))
+        return F.filter(listed, lambda h: path_matches(h["reference"], F.col("target_re")))
+
+    whole = F.transform(
+        F.filter(lines, lambda x: matches_regex(x["line"], F.col("pattern"))),
+        lambda x: F.struct(x["line_no"].alias("line_no"), F.lit(0).alias("ord"), x["line"].alias("line"), nothing.alias("reference")),
     )
-    line, nothing = F.col("line"), F.lit(None).cast("string")
-    found = F.when(F.col("target_kind") == "import", _import_references(line)).otherwise(_include_references(line))
-    numbered = F.transform(found, lambda r, at: F.struct(at.alias("ord"), r.alias("reference")))
-    of_glob = F.filter(numbered, lambda x: path_matches(x["reference"], F.col("target_re")))
-    once = F.array(F.struct(F.lit(0).alias("ord"), nothing.alias("reference")))
-    hits = F.when(by_regex, F.when(matches_regex(line, F.col("pattern")), once)).otherwise(of_glob)
-    return lines.select(*RULE_KEY, "path", (F.col("_at") + 1).alias("line_no"), "line", F.inline(hits)).select(
-        *RULE_KEY, "path", "line_no", "ord", snippet(line).alias("snippet"), "reference", nothing.alias("note")
+    found = pairs.select(*RULE_KEY, "path", F.when(by_regex, whole).otherwise(F.flatten(F.transform(lines, in_line))).alias("hits"))
+    first = F.col("hits") if keep is None else F.slice("hits", 1, keep)
+    shown = F.transform(
+        first,
+        lambda h: F.struct(h["line_no"].alias("line_no"), h["ord"].alias("ord"), snippet(h["line"]).alias("snippet"), h["reference"].alias("reference"), nothing.alias("note")),
     )
+    return found.where(F.size("hits") > 0).select(*RULE_KEY, "path", F.size("hits").cast("bigint").alias("n"), shown.alias("hits"))
+
+
+def hit_rows(found: DataFrame) -> DataFrame:
+    """One row for each hit that :func:`file_hits` holds."""
+    return found.select(*RULE_KEY, "path", F.inline("hits"))
+
+
+def content_hits(files: DataFrame, detectors: DataFrame) -> DataFrame:
+    """Hits of all detectors, one row each."""
+    return hit_rows(file_hits(files, detectors))
 
 
 def regex_hits(files: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -239,13 +240,13 @@ def invalid_regex_hits(files: DataFrame, resolved: DataFrame, patterns: DataFram
     patterns = pattern_table(resolved) if patterns is None else patterns
     dim = (
         resolved.where("mode = 'local-regex'")
-        .join(patterns.where("not pattern_ok"), "regex")
+        .join(patterns.where("not valid"), "regex")
         .select(*RULE_KEY, "regex", "where_re", "exception_re")
     )
     return (
         files.select("project_id", "path")
         .join(broadcast_if_small(dim), "project_id")
-        .where(PathTests(dim).kept())
+        .where(kept())
         .select(
             *RULE_KEY,
             "path",
@@ -258,6 +259,13 @@ def invalid_regex_hits(files: DataFrame, resolved: DataFrame, patterns: DataFram
     )
 
 
+def untranslatable_patterns(resolved: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Rules whose pattern the rule language allows but Java does not: they match nothing, and say so."""
+    patterns = pattern_table(resolved) if patterns is None else patterns
+    found = resolved.where("mode = 'local-regex'").join(patterns.where("valid and not pattern_ok"), "regex")
+    return found.select(*RULE_KEY, F.lit("warn").alias("level"), F.concat(F.lit(UNSUPPORTED_TEXT), "regex").alias("message"))
+
+
 def extract_references(files: DataFrame) -> DataFrame:
     """Import and include references per line, one row each, in the order they are tried (Q9)."""
     line = F.col("line")
@@ -272,17 +280,18 @@ def extract_references(files: DataFrame) -> DataFrame:
     )
 
 
-def all_hits(files: DataFrame, resolved: DataFrame) -> DataFrame:
-    patterns = pattern_table(resolved)
-    hits = content_hits(files, detector_dim(resolved, patterns, "local-regex", "local-import"))
-    if patterns.where("not pattern_ok").isEmpty():
-        return hits
-    return hits.unionByName(invalid_regex_hits(files, resolved, patterns))
+def found_in_files(files: DataFrame, resolved: DataFrame, keep: int | None = None) -> DataFrame:
+    """Rows of :func:`file_hits` for every rule, those with an invalid pattern included."""
+    patterns = staged(pattern_table(resolved), "patterns")
+    found = file_hits(files, detector_dim(resolved, patterns, "local-regex", "local-import"), keep)
+    bad = invalid_regex_hits(files, resolved, patterns)
+    one = F.array(F.struct("line_no", "ord", "snippet", "reference", "note"))
+    return found.unionByName(bad.select(*RULE_KEY, "path", F.lit(1).cast("bigint").alias("n"), one.alias("hits")))
 
 
-def evidence_totals(hits: DataFrame, resolved: DataFrame) -> DataFrame:
+def evidence_totals(found: DataFrame, resolved: DataFrame) -> DataFrame:
     """Uncapped number of matches per rule, zero for rules without any."""
-    counted = hits.groupBy(*RULE_KEY).agg(F.count("*").alias("total_matches"))
+    counted = found.groupBy(*RULE_KEY).agg(F.sum("n").alias("total_matches"))
     return (
         resolved.select(*RULE_KEY, "mode")
         .join(counted, list(RULE_KEY), "left")
@@ -290,28 +299,30 @@ def evidence_totals(hits: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def top_matches(hits: DataFrame, keep: int = MATCHES_KEPT) -> DataFrame:
+def top_matches(found: DataFrame, keep: int = MATCHES_KEPT) -> DataFrame:
     """First ``keep`` matches of every rule (Q10, Q13).
 
     Each task forwards at most ``keep`` rows per rule (window group limit), so a rule that
     holds most hits does not pile them up behind one key.
     """
     first = Window.partitionBy(*RULE_KEY).orderBy(*HIT_ORDER)
-    return hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= keep)
+    return hit_rows(found).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= keep)
 
 
 def evidence_records(files: DataFrame, resolved: DataFrame) -> DataFrame:
     """One record per project and rule: mode, first matches, totals, exceptions (A3)."""
-    hits = staged(all_hits(files, resolved), "hits")
+    found = found_in_files(files, resolved, MATCHES_KEPT)
+    key = list(RULE_KEY)
+    # Two consumers follow; a row per file and rule with a hit, ten hits at most, is what they read.
+    found = staged(found, "found")
     best = (
-        top_matches(hits)
+        top_matches(found)
         .groupBy(*RULE_KEY)
         # At most ten rows per group.
         .agg(F.array_sort(F.collect_list(F.struct("rank", "path", "line_no", "snippet", "reference", "note"))).alias("matches"))
     )
-    totals = evidence_totals(hits, resolved)
-    skipped = suppressed_counts(rule_file_scope(files, resolved), resolved)
-    key = list(RULE_KEY)
+    totals = evidence_totals(found, resolved)
+    skipped = suppressed_counts(files, resolved)
     return (
         totals.join(best, key, "left")
         .join(skipped, key)

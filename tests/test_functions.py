@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.functions.globs import any_glob_regex, glob_regex, path_matches
-from ruleloom.functions.patterns import check_pattern, translate
+from ruleloom.functions.patterns import pattern_table, translate
 from ruleloom.functions.paths import resolve_from
 from ruleloom.functions.text import indent_block, snippet, value_after_colon
 from ruleloom.functions.variants import number_text
@@ -78,12 +78,19 @@ def test_required_literal(regex, literal):
      ("[^]", True), ("a{", True), ("[[]", True), ("a{2}", True), ("(?<n>a)", True), ("(?=a)b", True), ("x]", True)],
 )
 def test_pattern_validity(spark, regex, ok):
-    assert check_pattern(spark, regex)[3] is ok
+    row = pattern_table(spark.createDataFrame([(regex,)], "regex string")).first()
+    assert row.valid is ok and row.pattern_ok is ok
+
+
+def test_valid_pattern_that_java_refuses(spark):
+    row = pattern_table(spark.createDataFrame([("x\\0",), (None,), ("",)], "regex string")).collect()
+    assert [(r.regex, r.valid, r.pattern_ok) for r in row] == [("x\\0", True, False)]
 
 
 @pytest.mark.parametrize(
     "regex, text, want",
-    [("a.c", "a\rc", False), ("a$", "a", True), ("[^]", "\r", True), ("[[]x", "[x", True), ("a{", "a{", True), ("[&&]", "&", True), ("x$", "x\r", False)],
+    [("a.c", "a\rc", False), ("a$", "a", True), ("[^]", "\r", True), ("[[]x", "[x", True), ("a{", "a{", True), ("[&&]", "&", True), ("x$", "x\r", False),
+     (r"a\sb", "a\u00a0b", True), (r"a[^\s]b", "a\u00a0b", False), (r"a[\s,]b", "a\ufeffb", True), (r"a\Sb", "a\u3000b", False), (r"a[\Sx]b", "a\u00a0b", False), (r"a[\Sx]b", "ayb", True)],
 )
 def test_pattern_meaning(spark, regex, text, want):
     assert spark.range(1).select(F.lit(text).rlike(translate(regex)[0])).first()[0] is want
