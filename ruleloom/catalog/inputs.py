@@ -108,14 +108,14 @@ from {_KEYED_EVENTS}"""
 
 REPORTS = report_raw()
 
-_RULE_EXTENDS = f"""case when p_partkey % 50 = 0 then concat('extends: ../proj-', p_partkey + 1, '/.ai-rules.md', {NL})
-            when p_partkey % 50 = 1 then concat('extends: ../proj-', p_partkey - 1, '/.ai-rules.md', {NL})
+_RULE_EXTENDS = f"""case when p_partkey % 50 = 0 then concat('extends: ../proj-', p_partkey + 1, '/house-rules.md', {NL})
+            when p_partkey % 50 = 1 then concat('extends: ../proj-', p_partkey - 1, '/house-rules.md', {NL})
             when p_partkey % 50 = 2 then concat('extends: ../../brands/nowhere.md', {NL})
             when p_partkey % 11 = 0 then ''
             else concat('  extends: ', chr(34), './../../brands/', p_brand, '.md', chr(34), {NL}) end"""
 
 PROJECT_RULE_DOCS = f"""
-select concat('projects/proj-', p_partkey, case when p_partkey % 23 = 9 and p_partkey % 50 > 2 then '/old-rules.md' else '/.ai-rules.md' end) as path,
+select concat('projects/proj-', p_partkey, case when p_partkey % 23 = 9 and p_partkey % 50 > 2 then '/old-rules.md' else '/house-rules.md' end) as path,
   concat('# Rules', {NL}, {_RULE_EXTENDS}, {NL},
     '### RULE: PART-', p_partkey, {NL},
     'severity: ', case p_size % 4 when 0 then 'FATAL' when 1 then 'WARN' when 2 then 'INFO' else 'HIGH' end, {NL},
@@ -151,10 +151,10 @@ from (select count(*) as n from part) c"""
 RULE_DOCS = f"{PROJECT_RULE_DOCS} union all {BRAND_RULE_DOCS} union all {BASE_RULE_DOC}"
 
 PROJECT_CONFIGS = """
-select concat('projects/proj-', c_custkey, '/rules-config.json') as path,
+select concat('projects/proj-', c_custkey, '/project.json') as path,
   concat('{',
-    case when c_custkey % 50 = 10 then concat('"extends":"../proj-', c_custkey + 1, '/rules-config.json",')
-         when c_custkey % 50 = 11 then concat('"extends":"../proj-', c_custkey - 1, '/rules-config.json",')
+    case when c_custkey % 50 = 10 then concat('"extends":"../proj-', c_custkey + 1, '/project.json",')
+         when c_custkey % 50 = 11 then concat('"extends":"../proj-', c_custkey - 1, '/project.json",')
          when c_custkey % 50 = 12 then '"extends":"../../nations/none.json",'
          when c_custkey % 7 = 3 then ''
          else concat('"extends":"../../nations/', c_nationkey, '.json",') end,
@@ -187,7 +187,7 @@ from nation"""
 
 REGION_CONFIGS = """
 select concat('regions/', r_regionkey, '.json') as path,
-  concat('{"version":"1.0","stack":"', r_name, '","severityThreshold":"WARN","rulesFile":".ai-rules.md",',
+  concat('{"version":"1.0","stack":"', r_name, '","severityThreshold":"WARN","rulesFile":"house-rules.md",',
     '"enabledRuleIds":["BASE-1"],"pathAliases":{"@root":"src"},"thresholds":{"ratio":0.5,"maxParams":9},',
     '"detectOptions":{"include":["src/**","public/**"],"exclude":["tmp/**"]}}') as content
 from region"""

@@ -9,6 +9,7 @@ from ruleloom.catalog.registry import query
 from ruleloom.operators import quality as Q
 from ruleloom.operators import reports as R
 from ruleloom.sources.documents import json_rejects
+from ruleloom.sources.sinks import as_json
 
 # --- oracle building blocks -----------------------------------------------------------------
 
@@ -39,8 +40,11 @@ v as (select project_id, report_id, pos, clean, k, user_id, n,
 
 LOCATION = "case when line is null or line = 0 then file else file || ':' || cast(line as bigint) end"
 
-SUMMARY = """select project_id, report_id, count(*) as total, count(*) filter (severity = 'FATAL') as fatal,
-  count(*) filter (severity = 'WARN') as warn, count(*) filter (severity = 'INFO') as info from v group by all"""
+READABLE = "readable as (select 'proj-' || user_id as project_id, event_id as report_id from events where event_id % 97 <> 5)"
+
+SUMMARY = """select r.project_id, r.report_id, count(v.pos) as total, count(*) filter (severity = 'FATAL') as fatal,
+  count(*) filter (severity = 'WARN') as warn, count(*) filter (severity = 'INFO') as info
+from readable r left join v on v.project_id = r.project_id and v.report_id = r.report_id group by all"""
 
 REPEATS = """
 repeats as (
@@ -137,9 +141,9 @@ def report_header(i):
     return R.report_header(i.reports())
 
 
-@query("severity_summary", f"with {ISSUES} {SUMMARY}")
+@query("severity_summary", f"with {ISSUES}, {READABLE} {SUMMARY}")
 def severity_summary(i):
-    return R.severity_summary(violations(i))
+    return R.severity_summary(i.reports())
 
 
 @query(
@@ -147,8 +151,8 @@ def severity_summary(i):
     f"with {ISSUES} select {_KEYS}, issue_id, rule_id from v where rule_id like 'EXTRA-%'",
 )
 def issues_by_rule(i):
-    found = violations(i).where(F.col("rule_id").startswith("EXTRA-"))
-    return found.select("project_id", "report_id", "pos", "issue_id", "rule_id")
+    wanted = F.concat(F.lit("EXTRA-"), F.regexp_replace("project_id", "proj-", ""))
+    return R.issues_of_rule(violations(i), wanted).select("project_id", "report_id", "pos", "issue_id", "rule_id")
 
 
 @query(
@@ -196,54 +200,78 @@ def report_findings(i):
 
 @query(
     "report_status",
-    f"""with {ISSUES}, {FINDINGS} select project_id, report_id, count(*) filter (level = 'error') as errors,
+    f"""with {ISSUES}, {FINDINGS}, {READABLE} select r.project_id, r.report_id, count(*) filter (level = 'error') as errors,
   count(*) filter (level = 'warn') as warnings, count(*) filter (level = 'error') = 0 as passed
-from findings group by all""",
+from readable r left join findings f on f.project_id = r.project_id and f.report_id = r.report_id group by all""",
 )
 def report_status(i):
-    return Q.finding_summary(Q.report_findings(violations(i)), *R.REPORT_KEY)
+    return Q.finding_summary(R.report_header(i.reports()), Q.report_findings(violations(i)), *R.REPORT_KEY)
 
 
 @query(
     "gated_projects",
-    f"""with {ISSUES}, {FINDINGS}
-select distinct project_id, report_id from v
+    f"""with {ISSUES}, {FINDINGS}, {READABLE}
+select project_id, report_id from readable
 where (project_id, report_id) not in (select project_id, report_id from findings where level = 'error')""",
 )
 def gated_projects(i):
-    found = violations(i)
-    reports = found.select("project_id", "report_id").distinct()
-    return Q.without_errors(reports, Q.report_findings(found), *R.REPORT_KEY)
+    reports = R.report_header(i.reports()).select(*R.REPORT_KEY)
+    return Q.without_errors(reports, Q.report_findings(violations(i)), *R.REPORT_KEY)
 
 
-@query(
-    "report_normalized",
-    f"""with {ISSUES}, s as ({SUMMARY}),
-packed as (select project_id, report_id, string_agg(issue_id || '/' || rule_id || '/' || severity || '/' || coalesce({LOCATION}, '-'), ' ' order by pos) as issues
-  from v group by all)
+# A report's issues in their documented form, as one text of all twelve fields.
+_TEXT = "coalesce(cast({} as varchar), '-')"
+_SHOWN = " || '/' || ".join(
+    _TEXT.format(x)
+    for x in (
+        "issue_id", "rule_id", "severity", "confidence", "file", "cast(line as bigint)", "snippet", "description", "fix_suggestion",
+        "repair_prompt", "evidence_source", "matched_by", "context",
+    )
+)
+
+NORMALIZED = f"""with {ISSUES}, {READABLE}, s as ({SUMMARY}),
+packed as (select project_id, report_id, string_agg({_SHOWN}, ' ; ' order by pos) as issues from v group by all)
 select 'proj-' || user_id as project_id, event_id as report_id,
   case when event_id % 97 not in (6, 7) and event_id % 5 = 0 then '1.0' else '1.1' end as version,
-  coalesce(total, 0) as total, coalesce(fatal, 0) as fatal, coalesce(warn, 0) as warn, coalesce(info, 0) as info,
-  coalesce(issues, '') as issues
+  case when event_id % 97 not in (6, 7) and event_id % 5 = 0 then '2024-01-01T00:00:00Z' end as generated_at,
+  case when event_id % 97 not in (6, 7) and event_id % 5 = 0 then '{{"cwd":"."}}' else '{{}}' end as project,
+  total, fatal, warn, info, coalesce(issues, '') as issues
 from events
-left join s on s.report_id = event_id and s.project_id = 'proj-' || user_id
+join s on s.report_id = event_id and s.project_id = 'proj-' || user_id
 left join packed p on p.report_id = event_id and p.project_id = 'proj-' || user_id
-where event_id % 97 <> 5""",
-)
+where event_id % 97 <> 5"""
+
+
+def _shown(violations):
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    names = ("issueId", "ruleId", "severity", "confidence", "file", "line", "snippet", "description", "fixSuggestion", "repairPrompt")
+
+    def one(x):
+        plain = [text(x[n].cast("bigint") if n == "line" else x[n]) for n in names]
+        return F.concat_ws("/", *plain, text(x["evidence"]["source"]), text(x["evidence"]["matchedBy"]), F.array_join(x["context"], "|"))
+
+    return F.array_join(F.transform(violations, one), " ; ")
+
+
+@query("report_normalized", NORMALIZED)
 def report_normalized(i):
-    place = lambda x: F.coalesce(R.location_text(x["file"], x["line"]), F.lit("-"))
-    shown = F.transform("violations", lambda x: F.concat_ws("/", x["issue_id"], x["rule_id"], x["severity"], place(x)))
     return R.normalized_reports(i.reports()).select(
-        "project_id", "report_id", "version", "summary.*", F.array_join(shown, " ").alias("issues")
-    )
+        "project_id", "report_id", "version", F.col("generatedAt").alias("generated_at"), F.to_json("project").alias("project"), "summary.*",
+        _shown(F.col("violations")).alias("issues"),
+    )
 
 
-@query(
-    "report_json",
-)
-def report_json(i):
-    from ruleloom.sources.sinks import as_json
-
-    return as_json(R.normalized_reports(i.reports()), *R.REPORT_KEY)
+REPORT_FORM = """version string, generatedAt string, project variant, summary struct<total: bigint, fatal: bigint, warn: bigint, info: bigint>,
+violations array<struct<issueId: string, ruleId: string, severity: string, confidence: double, file: string, line: double, snippet: string,
+description: string, fixSuggestion: string, repairPrompt: string, evidence: struct<source: string, matchedBy: string>, context: array<string>>>"""
 
 
+@query("report_json", NORMALIZED)
+def report_json(i):
+    """The written JSON, read again by its documented names."""
+    written = as_json(R.normalized_reports(i.reports()), *R.REPORT_KEY)
+    read = written.select(*R.REPORT_KEY, F.from_json("json", REPORT_FORM, {"mode": "FAILFAST"}).alias("j")).select(*R.REPORT_KEY, "j.*")
+    return read.select(
+        "project_id", "report_id", "version", F.col("generatedAt").alias("generated_at"), F.to_json("project").alias("project"), "summary.*",
+        _shown(F.col("violations")).alias("issues"),
+    )

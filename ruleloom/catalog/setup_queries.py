@@ -18,7 +18,7 @@ from ruleloom.plans import jobs
 RULES = """
 own as (
   select *, p_partkey as k, 'proj-' || p_partkey as project_id, p_partkey % 23 = 9 and p_partkey % 50 > 2 as misnamed,
-    'projects/proj-' || p_partkey || case when p_partkey % 23 = 9 and p_partkey % 50 > 2 then '/old-rules.md' else '/.ai-rules.md' end as path,
+    'projects/proj-' || p_partkey || case when p_partkey % 23 = 9 and p_partkey % 50 > 2 then '/old-rules.md' else '/house-rules.md' end as path,
     case when p_partkey % 50 < 2 then 'cycle' when p_partkey % 50 = 2 then 'missing' else 'ok' end as status,
     p_partkey % 50 > 2 and p_partkey % 11 = 0 as alone
   from part),
@@ -45,7 +45,7 @@ doc_rules as (
     'v', 'r', 's', 'violation=v, requirement=r, solution=s', ''),
 links as (
   select project_id, path as start, 0 as depth, path, status, alone from own where not misnamed
-  union all select project_id, path, 1, 'projects/proj-' || (k + case k % 50 when 0 then 1 else -1 end) || '/.ai-rules.md', status, alone
+  union all select project_id, path, 1, 'projects/proj-' || (k + case k % 50 when 0 then 1 else -1 end) || '/house-rules.md', status, alone
     from own where status = 'cycle'
   union all select project_id, path, 1, 'brands/' || p_brand || '.md', status, alone from own where status = 'ok' and not alone and not misnamed
   union all select project_id, path, 2, 'base.md', status, alone from own where status = 'ok' and not alone and not misnamed),
@@ -57,7 +57,7 @@ erules as (
 
 CONFIG = """
 cust as (
-  select *, c_custkey as c, 'proj-' || c_custkey as project_id, 'projects/proj-' || c_custkey || '/rules-config.json' as config_path,
+  select *, c_custkey as c, 'proj-' || c_custkey as project_id, 'projects/proj-' || c_custkey || '/project.json' as config_path,
     case when c_custkey % 50 in (10, 11) then 'cycle' when c_custkey % 50 = 12 then 'missing' else 'ok' end as status,
     c_custkey % 50 not in (10, 11, 12) and c_custkey % 7 = 3 as lone
   from customer join nation on c_nationkey = n_nationkey),
@@ -122,14 +122,14 @@ f_fields as (select project_id, rule_id, rule_pos, 1 as chk, sub, 'error' as lev
 f_severity as (select project_id, rule_id, rule_pos, 2 as chk, 0 as sub, 'error' as level,
   'Rule ''' || rule_id || ''' has invalid severity ''' || severity || '''.' as message from erules where severity = 'HIGH'),
 f_scope as (select project_id, rule_id, rule_pos, 3 as chk, 0 as sub, 'error' as level,
-  'Rule ''' || rule_id || ''' uses scope ''' || scope || ''' that is not declared in rules-config.json.' as message
+  'Rule ''' || rule_id || ''' uses scope ''' || scope || ''' that is not declared in project.json.' as message
   from known where len(scopes) > 0 and not list_contains(scopes, scope)),
 f_detect as (select project_id, rule_id, rule_pos, 4 as chk, 0 as sub, 'error' as level,
   'Rule ''' || rule_id || ''' must declare a detect block.' as message from erules where detect_kind is null),
 f_prompts as (select project_id, rule_id, rule_pos, 5 as chk, sub, 'error' as level,
   'Rule ''' || rule_id || ''' is missing prompt.' || field || '.' as message from prompts where coalesce(value, '') = ''),
 f_idle as (select project_id, rule_id, rule_pos, 6 as chk, 0 as sub, 'warn' as level,
-  'Rule ''' || rule_id || ''' is defined but not enabled in rules-config.json.' as message
+  'Rule ''' || rule_id || ''' is defined but not enabled in project.json.' as message
   from known k where not exists (select 1 from enabled e where e.project_id = k.project_id and e.rule_id = k.rule_id)),
 f_absent as (select project_id, rule_id, 9223372036854775807 as rule_pos, 7 as chk, 0 as sub, 'error' as level,
   'enabledRuleIds references missing rule ''' || rule_id || '''.' as message
@@ -158,9 +158,9 @@ inputs as (
     coalesce(not o.misnamed, false) as has_rules
   from expected x left join cust c on c.project_id = x.project_id left join own o on o.project_id = x.project_id),
 missing as (
-  select project_id, case when not has_folder then '.ai-rules directory not found.'
-    when not has_config then '.ai-rules/rules-config.json not found.'
-    else 'Rules file not found: projects/' || project_id || '/.ai-rules.md' end as message
+  select project_id, case when not has_folder then 'setup directory not found.'
+    when not has_config then 'setup/project.json not found.'
+    else 'Rules file not found: projects/' || project_id || '/house-rules.md' end as message
   from inputs where not has_folder or not has_config or not has_rules)"""
 
 
@@ -169,13 +169,13 @@ missing as (
 
 def project_rules(i: I.Inputs) -> DataFrame:
     paths = i.rule_docs().select(F.col("path").alias("rules_path"))
-    project = F.regexp_extract("rules_path", r"\Aprojects/([^/]+)/\.ai-rules\.md\z", 1)
+    project = F.regexp_extract("rules_path", r"\Aprojects/([^/]+)/house-rules\.md\z", 1)
     return paths.select(project.alias("project_id"), "rules_path").where("project_id <> ''")
 
 
 def project_configs(i: I.Inputs) -> DataFrame:
     paths = i.configs().select(F.col("path").alias("config_path"))
-    project = F.regexp_extract("config_path", r"\Aprojects/([^/]+)/rules-config\.json\z", 1)
+    project = F.regexp_extract("config_path", r"\Aprojects/([^/]+)/project\.json\z", 1)
     return paths.select(project.alias("project_id"), "config_path").where("project_id <> ''")
 
 
@@ -200,10 +200,10 @@ def project_inputs(i: I.Inputs) -> DataFrame:
     have_config = project_configs(i).withColumn("has_config", F.lit(True))
     folders = i.rule_docs().select(
         F.regexp_extract("path", r"\Aprojects/([^/]+)/", 1).alias("project_id"),
-        F.col("path").endswith("/.ai-rules.md").alias("has_rules"),
+        F.col("path").endswith("/house-rules.md").alias("has_rules"),
     )
     folders = folders.where("project_id <> ''").groupBy("project_id").agg(F.bool_or("has_rules").alias("has_rules"))
-    rules_path = F.concat(F.lit("projects/"), "project_id", F.lit("/.ai-rules.md"))
+    rules_path = F.concat(F.lit("projects/"), "project_id", F.lit("/house-rules.md"))
     joined = i.projects().join(have_config, "project_id", "left").join(folders, "project_id", "left")
     return joined.select(
         "project_id",
@@ -281,7 +281,7 @@ def duplicate_rules(i):
     "config_chain",
     f"""with {CONFIG}
 select config_path as start, cast(0 as bigint) as depth, config_path as path, status from cust
-union all select config_path, 1, 'projects/proj-' || (c + case c % 50 when 10 then 1 else -1 end) || '/rules-config.json', status
+union all select config_path, 1, 'projects/proj-' || (c + case c % 50 when 10 then 1 else -1 end) || '/project.json', status
   from cust where status = 'cycle'
 union all select config_path, 1, 'nations/' || c_nationkey || '.json', status from cust where status = 'ok' and not lone
 union all select config_path, 2, 'regions/' || n_regionkey || '.json', status from cust where status = 'ok' and not lone""",
@@ -447,13 +447,13 @@ doctor as (
   select m.project_id, 'error' as level, m.message from missing m join loaded l using (project_id)
     where not l.has_config or l.config_status = 'ok'
   union all select project_id, 'error', 'Failed to load config: ' || case when config_status = 'cycle'
-      then 'Circular config extends detected: projects/' || project_id || '/rules-config.json' else 'no such file: nations/none.json' end
+      then 'Circular config extends detected: projects/' || project_id || '/project.json' else 'no such file: nations/none.json' end
     from loaded where has_config and config_status <> 'ok'
   union all select project_id, level, message from c_lists
   union all select project_id, 'error', message from c_thresholds
   union all select project_id, 'error', message from c_exceptions
   union all select project_id, 'error', 'Failed to parse rules: ' || case when rule_status = 'cycle'
-      then 'Circular rule extends detected: projects/' || project_id || '/.ai-rules.md' else 'no such file: brands/nowhere.md' end
+      then 'Circular rule extends detected: projects/' || project_id || '/house-rules.md' else 'no such file: brands/nowhere.md' end
     from loaded where config_status = 'ok' and has_rules and rule_status <> 'ok'
   union all select f.project_id, level, message from rule_findings f join loaded l using (project_id)
     where has_rules and rule_status = 'ok')"""
@@ -467,7 +467,7 @@ def doctor_findings(i):
 @query(
     "doctor_summary",
     f"""with {DOCTOR} select project_id, count(*) filter (level = 'error') as errors, count(*) filter (level = 'warn') as warnings,
-  false as passed from doctor group by all""",
+  count(level) = 0 as passed from expected left join doctor using (project_id) group by all""",
 )
 def doctor_summary(i):
-    return Q.finding_summary(doctor_rows(i), strict=True)
+    return Q.finding_summary(i.projects(), doctor_rows(i), strict=True)

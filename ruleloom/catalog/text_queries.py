@@ -9,7 +9,7 @@ from ruleloom.catalog import inputs as I
 from ruleloom.catalog.evidence_queries import HITS, LINES, PATTERN_LISTS, SCOPED, corpus, sql_trim, _MODE
 from ruleloom.catalog.registry import query
 from ruleloom.catalog.report_queries import FINDINGS, ISSUES, LOCATION, violations
-from ruleloom.catalog.setup_queries import BOTH, CONFIG, RULE_FINDINGS, RULES, configs, rules
+from ruleloom.catalog.setup_queries import BOTH, CONFIG, RULE_FINDINGS, RULES, configs, project_rules, rule_chain_table, rules
 from ruleloom.operators import evidence as E
 from ruleloom.operators import prompts as P
 from ruleloom.operators import quality as Q
@@ -62,9 +62,9 @@ records as (
     on r.project_id = c.project_id and r.rule_pos = c.rule_pos)"""
 
 FIX = f"""
-{ISSUES}, {FINDINGS}, {RULES},
+{ISSUES}, {FINDINGS}, {BOTH},
 clean as (select * from v where (project_id, report_id) not in (select project_id, report_id from findings where level = 'error')),
-latest as (select * from erules qualify row_number() over (partition by project_id, rule_id order by rule_pos desc) = 1),
+latest as (select * from erules where project_id in (select project_id from config) qualify row_number() over (partition by project_id, rule_id order by rule_pos desc) = 1),
 enriched as (
   select c.*, r.rule_id is not null as known, r.severity as r_severity, r.scope as r_scope, r.intent as r_intent, r.fix as r_fix,
     r.requirement as r_requirement, r.context as r_context, {LOCATION} as location,
@@ -124,7 +124,8 @@ by_rule as (
 # Audit of the configured projects: their files, hand-written globs, gate, and prompt text.
 AUDIT = f"""
 {BOTH}, {RULE_FINDINGS}, {LOCALES},
-open_projects as (select * from config where project_id not in (select project_id from rule_findings where level = 'error')),
+open_projects as (select * from config where project_id not in (select project_id from rule_findings where level = 'error')
+  and project_id in (select project_id from erules)),
 project_files as ({I.PROJECT_FILES}),
 scoped as (
   select f.* from project_files f join open_projects o using (project_id)
@@ -210,8 +211,14 @@ def evidence_sections_text(i):
     return P.evidence_sections(i.pack(i.corpus_projects()), records)
 
 
+def parsed_projects(i: I.Inputs) -> DataFrame:
+    """Projects whose rule document and all it extends could be read."""
+    read = rule_chain_table(i).where("status = 'ok'").select(F.col("start").alias("rules_path"))
+    return project_rules(i).join(read, "rules_path", "left_semi").select("project_id")
+
+
 def audit_job(i: I.Inputs) -> dict[str, DataFrame]:
-    return jobs.audit(i.sql(I.PROJECT_FILES), configs(i), rules(i), i.locales())
+    return jobs.audit(i.sql(I.PROJECT_FILES), configs(i), rules(i), i.locales(), parsed_projects(i))
 
 
 @query("audit_prompts", f"with {AUDIT} select project_id, prompt from audit")
@@ -224,15 +231,15 @@ def audit_context(i):
     from ruleloom.sources.sinks import as_json
 
     setup, found = configs(i), rules(i)
-    job = jobs.audit(i.sql(I.PROJECT_FILES), setup, found, i.locales())
-    return as_json(jobs.audit_context(setup, found, job["evidence"], job["findings"]), "project_id")
+    job = jobs.audit(i.sql(I.PROJECT_FILES), setup, found, i.locales(), parsed_projects(i))
+    return as_json(jobs.audit_context(job["projects"], found, job["evidence"], job["findings"]), "project_id")
 
 
 # --- repair texts ---------------------------------------------------------------------------
 
 
 def enriched_issues(i: I.Inputs) -> DataFrame:
-    return jobs.fix_issues(violations(i), rules(i))
+    return jobs.fix_issues(violations(i), rules(i), configs(i))
 
 
 @query(

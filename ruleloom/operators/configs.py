@@ -20,6 +20,8 @@ LIST_KEYS = ("enabledRuleIds", "scopes")
 MAP_KEYS = ("i18n", "pathAliases", "thresholds")
 DETECT_LISTS = ("include", "exclude")
 PROMPT_MAPS = ("promptTemplates", "promptTemplateKeys")
+# Objects whose own entries are merged one by one.
+NESTED = ("prompt", "detectOptions")
 
 _ENTRY = "array<struct<key:string,value:variant>>"
 _TEXTS = "array<string>"
@@ -87,17 +89,17 @@ def entry_value(entries: Column, key: str) -> Column:
 def config_documents(configs: DataFrame) -> DataFrame:
     """``(path, parent, body)`` rows for :func:`resolve_chains` from ``(path, content)`` JSON texts.
 
-    The body is the parsed document: all entries as written, and the parts with a merge rule
-    of their own. Unreadable JSON has no parent and no entries.
+    The body is the parsed document: all entries as written but ``extends``, and the parts with
+    a merge rule of their own. ``readable`` is false for a text that is no JSON.
     """
-    nested = ", ".join(f"`{k}`: string" for k in (*MAP_KEYS, "exceptions", "prompt"))
+    nested = ", ".join(f"`{k}`: string" for k in (*MAP_KEYS, "exceptions", *NESTED))
     prompts = ", ".join(f"`{k}`: string" for k in PROMPT_MAPS)
     texts = configs.select(
         "path",
         F.try_parse_json("content").alias("doc"),
-        object_entries(F.col("content")).alias("plain"),
+        F.filter(object_entries(F.col("content")), lambda e: e["key"] != "extends").alias("plain"),
         F.from_json("content", f"struct<{nested}>").alias("part"),
-    ).withColumn("prompt", F.from_json("part.prompt", f"struct<{prompts}>"))
+    ).withColumn("promptMaps", F.from_json("part.prompt", f"struct<{prompts}>"))
     doc = F.col("doc")
     listed = lambda path: F.coalesce(F.try_variant_get(doc, path, _TEXTS), F.array().cast(_TEXTS))
     body = F.struct(
@@ -105,10 +107,11 @@ def config_documents(configs: DataFrame) -> DataFrame:
         *[listed(f"$.{k}").alias(k) for k in LIST_KEYS],
         *[listed(f"$.detectOptions.{k}").alias(k) for k in DETECT_LISTS],
         *[object_entries(F.col(f"part.{k}")).alias(k) for k in (*MAP_KEYS, "exceptions")],
-        *[object_entries(F.col(f"prompt.{k}")).alias(k) for k in PROMPT_MAPS],
+        *[object_entries(F.col(f"promptMaps.{k}")).alias(k) for k in PROMPT_MAPS],
+        *[object_entries(F.col(f"part.{k}")).alias(k) for k in NESTED],
     )
     parent = bind(V.truthy_text(doc, "$.extends"), lambda p: F.when(p.isNotNull(), resolve_from(F.col("path"), p)))
-    return texts.select("path", parent.alias("parent"), body.alias("body"))
+    return texts.select("path", parent.alias("parent"), body.alias("body"), F.col("doc").isNotNull().alias("readable"))
 
 
 def config_chains(configs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -136,7 +139,7 @@ def effective_configs(chains: DataFrame) -> DataFrame:
             "config_path",
             merge_entries(part("plain")).alias("plain"),
             *[listed(k).alias(k) for k in (*LIST_KEYS, *DETECT_LISTS)],
-            *[merge_entries(part(k)).alias(k) for k in (*MAP_KEYS, *PROMPT_MAPS)],
+            *[merge_entries(part(k)).alias(k) for k in (*MAP_KEYS, *PROMPT_MAPS, *NESTED)],
             merge_list_entries(part("exceptions")).alias("exceptions"),
             F.flatten(F.transform(bodies, with_level)).alias("exception_entries"),
             F.size(bodies).alias("n_documents"),

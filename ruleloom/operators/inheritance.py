@@ -13,9 +13,10 @@ from ruleloom.session import broadcast_if_small, staged
 def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Follow ``parent`` links from every start document up to its root.
 
-    ``documents`` has ``path, parent, body``. The result has one row per start: ``start``,
-    ``chain`` (array of ``path, body``, the start first), ``status`` (``ok``, ``cycle`` or
-    ``missing``) and ``trouble`` (the path that ended a broken chain).
+    ``documents`` has ``path, parent, body``, and may have ``readable``. The result has one row
+    per start: ``start``, ``chain`` (array of ``path, body``, the start first), ``status``
+    (``ok``, ``cycle``, ``missing`` or ``unreadable``) and ``trouble`` (the path that ended a
+    broken chain). A document that cannot be read ends its chain.
 
     Chains are followed on paths alone, one round per inheritance level, each round cut by a
     small table in the shared folder. A round joins the open chains with the documents that
@@ -24,16 +25,21 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
     bodies are attached afterwards, one join per level, so no group of rows is gathered.
     """
     # Parsed once here; everything below reads the parsed form.
+    if "readable" not in documents.columns:
+        documents = documents.withColumn("readable", F.lit(True))
     documents = staged(documents, "chain-documents")
-    paths = documents.select("path", "parent")
+    paths = documents.select("path", "parent", "readable")
     if starts is not None:
         paths = paths.join(starts.select(F.col("start").alias("path")), "path", "left_semi")
     used = documents.select(F.col("parent").alias("path")).where("path is not null").distinct()
     parents = documents.join(used, "path", "left_semi")
-    links = broadcast_if_small(parents.select(F.col("path").alias("next"), F.col("parent").alias("after"), F.lit(True).alias("known")))
+    after = F.col("parent").alias("after")
+    links = broadcast_if_small(parents.select(F.col("path").alias("next"), after, F.col("readable").alias("known")))
 
-    open_chains = paths.select(F.col("path").alias("start"), F.array("path").alias("paths"), F.col("parent").alias("next"))
-    finished = []
+    start = F.col("path").alias("start")
+    open_chains = paths.where("readable").select(start, F.array("path").alias("paths"), F.col("parent").alias("next"))
+    unread = paths.where("not readable")
+    finished = [unread.select(start, F.array("path").alias("paths"), F.lit("unreadable").alias("status"), F.col("path").alias("trouble"))]
 
     def finish(chains: DataFrame, status: Column) -> None:
         finished.append(chains.select("start", "paths", status.alias("status"), F.col("next").alias("trouble")))
@@ -48,7 +54,7 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
         stepped = staged(still.join(links, "next", "left"), "chain-level")
         if stepped.isEmpty():
             break
-        finish(stepped.where("known is null"), F.lit("missing"))
+        finish(stepped.where("known is not true"), F.when(F.col("known").isNull(), "missing").otherwise("unreadable"))
         open_chains = stepped.where("known").select(
             "start", F.array_append("paths", F.col("next")).alias("paths"), F.col("after").alias("next")
         )
@@ -56,7 +62,7 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
 
     link = F.struct("path", "body")
     with_bodies = chains.join(documents.select(F.col("path").alias("start"), link.alias("link_0")), "start")
-    levels = len(finished) // 2 + 1
+    levels = (len(finished) - 1) // 2 + 1
     bodies = broadcast_if_small(parents.select(F.col("path").alias("_path"), link.alias("_link")))
     for level in range(1, levels):
         place = F.get("paths", F.lit(level))

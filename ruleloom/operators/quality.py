@@ -15,6 +15,9 @@ from ruleloom.operators.configs import entry_value
 from ruleloom.operators.reports import REPORT_KEY, SEVERITIES, UNKNOWN_ISSUE, UNKNOWN_RULE, issue_repeat
 from ruleloom.operators.rules import duplicate_rules
 
+# Name that messages give to a project's configuration file.
+CONFIG_FILE = "project.json"
+
 # Fields every rule must fill.
 RULE_FIELDS = {"rule_id": "id", "severity": "severity", "scope": "scope", "intent": "intent", "fix": "fix"}
 PROMPT_FIELDS = ("violation", "requirement", "solution")
@@ -71,7 +74,7 @@ def _severity_gap() -> Column:
 
 def _scope_gap() -> Column:
     scope, declared = F.col("scope"), F.col("scopes")
-    message = _text("Rule '", F.col("rule_id"), "' uses scope '", scope, "' that is not declared in rules-config.json.")
+    message = _text("Rule '", F.col("rule_id"), "' uses scope '", scope, f"' that is not declared in {CONFIG_FILE}.")
     return _rule_finding(3, "error", message, ~_blank(scope) & (F.size(declared) > 0) & ~F.array_contains(declared, scope))
 
 
@@ -81,7 +84,7 @@ def _detect_gap() -> Column:
 
 
 def _enabled_gap() -> Column:
-    message = _text("Rule '", F.col("rule_id"), "' is defined but not enabled in rules-config.json.")
+    message = _text("Rule '", F.col("rule_id"), f"' is defined but not enabled in {CONFIG_FILE}.")
     idle = ~F.array_contains(F.coalesce("enabledRuleIds", F.array().cast("array<string>")), F.col("rule_id"))
     return _rule_finding(6, "warn", message, idle)
 
@@ -223,14 +226,15 @@ def config_findings(configs: DataFrame) -> DataFrame:
     return no_rules.unionByName(no_scopes)
 
 
-def missing_inputs(projects: DataFrame) -> DataFrame:
+def missing_inputs(projects: DataFrame, folder: str = "setup", config_file: str = CONFIG_FILE) -> DataFrame:
     """D9 for a project table with ``has_folder, has_config, has_rules, rules_path`` flags.
 
-    Each project reports the first input it lacks; later checks do not apply to it.
+    Each project reports the first input it lacks; later checks do not apply to it. ``folder``
+    and ``config_file`` are the names that the messages tell.
     """
     message = (
-        F.when(~F.col("has_folder"), ".ai-rules directory not found.")
-        .when(~F.col("has_config"), ".ai-rules/rules-config.json not found.")
+        F.when(~F.col("has_folder"), f"{folder} directory not found.")
+        .when(~F.col("has_config"), f"{folder}/{config_file} not found.")
         .when(~F.col("has_rules"), F.concat(F.lit("Rules file not found: "), "rules_path"))
     )
     step = F.when(~F.col("has_folder") | ~F.col("has_config"), 0).otherwise(6)
@@ -238,11 +242,13 @@ def missing_inputs(projects: DataFrame) -> DataFrame:
 
 
 def broken_chains(chains: DataFrame, what: str) -> DataFrame:
-    """Load failures of inherited documents: a cycle, or a parent that does not exist."""
+    """Load failures of inherited documents: a cycle, a parent that does not exist, text that is no JSON."""
     subject = {"config": "Failed to load config: ", "rule": "Failed to parse rules: "}[what]
-    reason = F.when(
-        F.col("status") == "cycle", F.concat(F.lit(f"Circular {what} extends detected: "), "trouble")
-    ).otherwise(F.concat(F.lit("no such file: "), "trouble"))
+    reason = (
+        F.when(F.col("status") == "cycle", F.concat(F.lit(f"Circular {what} extends detected: "), "trouble"))
+        .when(F.col("status") == "unreadable", F.concat(F.lit("not valid JSON: "), "trouble"))
+        .otherwise(F.concat(F.lit("no such file: "), "trouble"))
+    )
     return chains.where("status <> 'ok'").select("start", F.concat(F.lit(subject), reason).alias("message"))
 
 
@@ -252,12 +258,23 @@ def as_doctor_rows(rule_rows: DataFrame, step: int = 7) -> DataFrame:
     return rule_rows.select("project_id", seq.alias("seq"), "level", "message")
 
 
-def finding_summary(findings: DataFrame, *keys: str, strict: bool = False) -> DataFrame:
-    """Counts per subject and whether it passes; ``strict`` lets warnings fail, too."""
-    counted = findings.groupBy(*(keys or ("project_id",))).agg(
+def finding_summary(subjects: DataFrame, findings: DataFrame, *keys: str, strict: bool = False) -> DataFrame:
+    """Counts per subject and whether it passes; ``strict`` lets warnings fail, too.
+
+    Each of ``subjects`` has its row, also without any finding.
+    """
+    on = list(keys or ("project_id",))
+    found = findings.groupBy(*on).agg(
         F.count_if(F.col("level") == "error").alias("errors"),
         F.count_if(F.col("level") == "warn").alias("warnings"),
     )
+    none = F.lit(0).cast("bigint")
+    counted = (
+        subjects.select(*on)
+        .distinct()
+        .join(found, on, "left")
+        .select(*on, F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings"))
+    )
     failing = F.col("errors") > 0
     if strict:
         failing = failing | (F.col("warnings") > 0)

@@ -82,28 +82,46 @@ def evidence_source(issue: Column, by: Column) -> Column:
     return F.coalesce(V.truthy_text(issue, "$.evidence.source"), inferred)
 
 
+def _fields(issue: Column) -> dict[str, Column]:
+    """The normalised fields of an issue (R2-R9), flat."""
+    pick = lambda *names: V.cascade_text(issue, *[f"$.{n}" for n in names])
+    by = matched_by(issue)
+    return {
+        "issue_id": F.coalesce(pick("issueId", "issue_id"), F.lit(UNKNOWN_ISSUE)),
+        "rule_id": F.coalesce(pick("ruleId", "rule_id", "id", "code"), F.lit(UNKNOWN_RULE)),
+        "severity": normalize_severity(issue),
+        "confidence": normalize_confidence(issue),
+        "file": pick("file", "filePath", "path"),
+        "line": normalize_line(issue),
+        "snippet": pick("snippet", "codeSnippet"),
+        "description": F.coalesce(pick("description", "message", "reason"), F.lit(NO_DESCRIPTION)),
+        "fix_suggestion": pick("fixSuggestion", "suggestion", "repair.suggestion"),
+        "repair_prompt": repair_prompt(issue),
+        "evidence_source": evidence_source(issue, by),
+        "matched_by": by,
+        "context": issue_context(issue),
+    }
+
+
+# Names of an issue's fields in a normalised report.
+DOCUMENTED = {
+    "issueId": "issue_id", "ruleId": "rule_id", "severity": "severity", "confidence": "confidence", "file": "file", "line": "line",
+    "snippet": "snippet", "description": "description", "fixSuggestion": "fix_suggestion", "repairPrompt": "repair_prompt",
+}
+
+
+def documented_issue(issue: Column) -> Column:
+    """A normalised issue as a normalised report holds it."""
+    found = _fields(issue)
+    evidence = F.struct(found["evidence_source"].alias("source"), found["matched_by"].alias("matchedBy"))
+    plain = [found[own].alias(name) for name, own in DOCUMENTED.items()]
+    return F.struct(*plain, evidence.alias("evidence"), found["context"].alias("context"))
+
+
 def normalize_issues(issues: DataFrame) -> DataFrame:
     """All normalised fields in one projection over ``issue`` VARIANT rows."""
-    issue = F.col("issue")
     keys = [c for c in issues.columns if c != "issue"]
-    pick = lambda *names: V.cascade_text(issue, *[f"$.{n}" for n in names])
-    by = matched_by(issue)
-    return issues.select(
-        *keys,
-        F.coalesce(pick("issueId", "issue_id"), F.lit(UNKNOWN_ISSUE)).alias("issue_id"),
-        F.coalesce(pick("ruleId", "rule_id", "id", "code"), F.lit(UNKNOWN_RULE)).alias("rule_id"),
-        normalize_severity(issue).alias("severity"),
-        normalize_confidence(issue).alias("confidence"),
-        pick("file", "filePath", "path").alias("file"),
-        normalize_line(issue).alias("line"),
-        pick("snippet", "codeSnippet").alias("snippet"),
-        F.coalesce(pick("description", "message", "reason"), F.lit(NO_DESCRIPTION)).alias("description"),
-        pick("fixSuggestion", "suggestion", "repair.suggestion").alias("fix_suggestion"),
-        repair_prompt(issue).alias("repair_prompt"),
-        evidence_source(issue, by).alias("evidence_source"),
-        by.alias("matched_by"),
-        issue_context(issue).alias("context"),
-    )
+    return issues.select(*keys, *[c.alias(name) for name, c in _fields(F.col("issue")).items()])
 
 
 def report_header(reports: DataFrame, raw: str = "raw") -> DataFrame:
@@ -123,12 +141,18 @@ def report_header(reports: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def severity_summary(violations: DataFrame, *keys: str) -> DataFrame:
-    """Counts per report; unknown severities only count in ``total`` (Q18)."""
-    return violations.groupBy(*(keys or REPORT_KEY)).agg(
-        F.count("*").alias("total"),
-        *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES],
-    )
+def severity_counts(severities: Column) -> Column:
+    """Struct of counts for an array of severities; unknown ones only count in ``total`` (Q18)."""
+    count = lambda s: F.size(F.filter(severities, lambda x: x == s)).cast("bigint")
+    return F.struct(F.size(severities).cast("bigint").alias("total"), *[count(s).alias(s.lower()) for s in SEVERITIES])
+
+
+def severity_summary(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """Counts of every readable report, zeros for one without issues. Read off the row, no shuffle."""
+    parsed = reports.select(*REPORT_KEY, F.try_parse_json(raw).alias("doc")).where("doc is not null")
+    issues = F.coalesce(issue_array(F.col("doc")), F.array().cast("array<variant>"))
+    severities = parsed.select(*REPORT_KEY, F.transform(issues, normalize_severity).alias("severities"))
+    return severities.select(*REPORT_KEY, severity_counts(F.col("severities")).alias("s")).select(*REPORT_KEY, "s.*")
 
 
 def location_text(file: Column, line: Column) -> Column:
@@ -158,6 +182,11 @@ def issues_grouped(violations: DataFrame) -> DataFrame:
     )
 
 
+def issues_of_rule(violations: DataFrame, rule_id: Column) -> DataFrame:
+    """Issues of one rule (F9); the id may differ from report to report."""
+    return violations.where(F.col("rule_id") == rule_id)
+
+
 def first_issue(violations: DataFrame, issue_id: Column) -> DataFrame:
     """First issue with the id in every report that has one."""
     found = violations.where(F.col("issue_id") == issue_id)
@@ -173,26 +202,21 @@ def at_or_above(violations: DataFrame, threshold: Column) -> DataFrame:
 
 
 def normalized_reports(reports: DataFrame, raw: str = "raw") -> DataFrame:
-    """One nested row per report (R12). A group is what one report row held."""
-    violations = normalize_issues(report_issues(reports, raw))
-    fields = [c for c in violations.columns if c not in REPORT_KEY]
-    packed = violations.groupBy(*REPORT_KEY).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("violations"),
-        F.struct(
-            F.count("*").alias("total"),
-            *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES],
-        ).alias("summary"),
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("total"), *[F.lit(0).cast("bigint").alias(s.lower()) for s in SEVERITIES])
-    return (
-        report_header(reports, raw)
-        .join(packed, list(REPORT_KEY), "left")
-        .select(
-            *REPORT_KEY,
-            "version",
-            "generated_at",
-            "project",
-            F.coalesce("summary", zero).alias("summary"),
-            F.coalesce("violations", F.array().cast(packed.schema["violations"].dataType)).alias("violations"),
-        )
+    """One nested row per readable report (R12), with the documented names of the normalised form.
+
+    Each report is parsed once and stays in its row; nothing is shuffled.
+    """
+    doc = F.col("doc")
+    project = V.field(doc, "$.project")
+    is_object = F.coalesce(V.kind(project).rlike(r"\A(OBJECT|ARRAY)"), F.lit(False))
+    parsed = reports.select(*REPORT_KEY, F.try_parse_json(raw).alias("doc")).where("doc is not null")
+    issues = F.coalesce(issue_array(doc), F.array().cast("array<variant>"))
+    normal = parsed.select(
+        *REPORT_KEY,
+        F.coalesce(V.string_only(doc, "$.version"), F.lit(DEFAULT_VERSION)).alias("version"),
+        V.string_only(doc, "$.generatedAt").alias("generatedAt"),
+        F.when(is_object, project).otherwise(F.parse_json(F.lit("{}"))).alias("project"),
+        F.transform(issues, documented_issue).alias("violations"),
     )
+    severities = F.transform("violations", lambda v: v["severity"])
+    return normal.select(*REPORT_KEY, "version", "generatedAt", "project", severity_counts(severities).alias("summary"), "violations")

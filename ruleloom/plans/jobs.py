@@ -10,7 +10,7 @@ from ruleloom.operators import evidence as E
 from ruleloom.operators import prompts as P
 from ruleloom.operators import quality as Q
 from ruleloom.operators import reports as R
-from ruleloom.operators.configs import config_chains, effective_configs, entry_value
+from ruleloom.operators.configs import LIST_KEYS, MAP_KEYS, NESTED, config_chains, effective_configs, entry_value
 from ruleloom.operators.rules import effective_rules, latest_rules, rule_chains, with_detect_columns
 from ruleloom.session import staged
 
@@ -42,14 +42,20 @@ def rules_of(chains: DataFrame, project_rules: DataFrame) -> DataFrame:
     return staged(with_detect_columns(rules), "rules")
 
 
-def audit(files: DataFrame, projects: DataFrame, rules: DataFrame, locales: DataFrame) -> dict[str, DataFrame]:
+def audit(
+    files: DataFrame, projects: DataFrame, rules: DataFrame, locales: DataFrame, parsed: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Findings, evidence and prompts. Projects with error findings are left out of the scan.
 
+    ``parsed`` names the projects whose rule documents could be read; others stop, too,
+    whatever their configuration enables. Without it all count as read.
+
     ``projects`` and ``rules`` come from :func:`load_projects` and :func:`load_rules`.
     Gating before the scan saves reading the texts of projects whose prompt would be withheld.
     """
     findings = Q.rule_findings(rules, projects)
-    open_projects = staged(Q.without_errors(projects, findings), "open-projects")
+    ready = projects if parsed is None else projects.join(parsed.select("project_id"), "project_id", "left_semi")
+    open_projects = staged(Q.without_errors(ready, findings), "open-projects")
     open_rules = rules.join(open_projects.select("project_id"), "project_id", "left_semi")
     resolved = E.resolve_rules(open_rules, exceptions_of(open_projects))
     evidence = staged(E.evidence_records(E.files_in_scope(files, open_projects), resolved), "evidence")
@@ -57,7 +63,7 @@ def audit(files: DataFrame, projects: DataFrame, rules: DataFrame, locales: Data
     maps = P.locale_maps(locales)
     headers = P.audit_headers(P.resolve_locales(open_projects, locales), maps)
     prompts = P.audit_prompts(headers, P.rule_sections(active), P.evidence_sections(active, evidence))
-    return {"findings": findings, "evidence": evidence, "prompts": prompts}
+    return {"projects": open_projects, "findings": findings, "evidence": evidence, "prompts": prompts}
 
 
 def exceptions_of(projects: DataFrame) -> DataFrame:
@@ -65,9 +71,10 @@ def exceptions_of(projects: DataFrame) -> DataFrame:
 
 
 def audit_context(projects: DataFrame, rules: DataFrame, evidence: DataFrame, findings: DataFrame) -> DataFrame:
-    """One nested row per project (S6): its rules, evidence and findings.
+    """One nested row per audited project (S6): its configuration, rules, evidence and findings.
 
-    Groups hold a project's rules and what was kept for each, not its corpus.
+    ``projects`` are the open ones of :func:`audit`. Groups hold a project's rules and what was
+    kept for each, not its corpus.
     """
 
     def packed(table: DataFrame, order: str, name: str, *drop: str) -> DataFrame:
@@ -80,8 +87,14 @@ def audit_context(projects: DataFrame, rules: DataFrame, evidence: DataFrame, fi
         )
         return table.groupBy("project_id").agg(by_order.alias(name))
 
-    out = projects.select("project_id", "stack", "severityThreshold", "enabledRuleIds", "scopes", "include", "exclude")
-    out = out.withColumn("version", F.lit(CONTEXT_VERSION))
+    # Keys with a merge rule come merged, all others as written.
+    merged = (*LIST_KEYS, *MAP_KEYS, "exceptions", *NESTED)
+    others = F.filter("plain", lambda e: ~e["key"].isin(*merged))
+    maps = [F.map_from_entries(c).alias(c) for c in (*MAP_KEYS, "exceptions", "prompt")]
+    detect = F.struct("include", "exclude").alias("detectOptions")
+    config = F.struct(F.map_from_entries(others).alias("plain"), *LIST_KEYS, *maps, detect)
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    out = projects.select("project_id", F.lit(CONTEXT_VERSION).alias("version"), stamp.alias("generatedAt"), "locale", config.alias("config"))
     for table, order, name in ((rules, "rule_pos", "rules"), (evidence, "rule_pos", "evidence"), (findings, "seq", "findings")):
         out = out.join(packed(table, order, name), "project_id", "left")
     return out
@@ -94,13 +107,18 @@ def validate_reports(reports: DataFrame, raw: str = "raw") -> dict[str, DataFram
     return {
         "violations": violations,
         "findings": findings,
-        "summary": R.severity_summary(violations),
-        "status": Q.finding_summary(findings, *R.REPORT_KEY),
+        "summary": R.severity_summary(reports, raw),
+        "status": Q.finding_summary(R.report_header(reports, raw), findings, *R.REPORT_KEY),
     }
 
 
-def fix_issues(violations: DataFrame, rules: DataFrame) -> DataFrame:
-    """Issues of the reports that pass, joined to the last definition of their rule."""
+def fix_issues(violations: DataFrame, rules: DataFrame, projects: DataFrame) -> DataFrame:
+    """Issues of the reports that pass, joined to the last definition of their rule.
+
+    ``projects`` are those whose configuration was found and loaded; issues of others get no
+    rule metadata.
+    """
+    rules = rules.join(projects.select("project_id"), "project_id", "left_semi")
     # Three consumers follow; staging parses the reports once.
     violations = staged(violations, "violations")
     clean = Q.without_errors(violations, Q.report_findings(violations), *R.REPORT_KEY)

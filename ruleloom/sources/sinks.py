@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def as_json(table: DataFrame, *keys: str) -> DataFrame:
     """Keep the key columns and pack the rest of each row into one JSON text."""
     rest = [c for c in table.columns if c not in keys]
-    return table.select(*keys, F.to_json(F.struct(*rest)).alias("json"))
+    # Missing values are written as null, as the documented form has every field.
+    return table.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_json(table: DataFrame, target: str, *partition_by: str) -> None:
-    table.write.mode("errorifexists").partitionBy(*partition_by).json(target)
+    table.write.mode("errorifexists").partitionBy(*partition_by).option("ignoreNullFields", "false").json(target)
 
 
 def write_texts(texts: DataFrame, target: str) -> None:
