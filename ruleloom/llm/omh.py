@@ -62,7 +62,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     def numbered(first: Column, k: Column) -> Column:
         end = F.coalesce(F.get(F.col("_s"), k + 1), F.size("_r"))
         one = lambda i: F.col("_p")[F.col("_r")[i]]
-        return F.transform(F.sequence(first, end - 1), lambda i: _packed(F.xxhash64(_hash_part(one(i)), i - first + 1), one(i)))
+        return F.transform(F.sequence(first, end - 1), lambda i: _packed(F.xxhash64(_hash_part(one(i)), (i - first + 1).cast("long")), one(i)))
 
     firsts = F.filter("_p", lambda x, j: (j == 0) | (_hash_part(x) != _hash_part(F.col("_p")[F.greatest(j - 1, F.lit(0))])))
     all_of = F.when(F.size("_r") == 0, F.col("_p")).otherwise(
