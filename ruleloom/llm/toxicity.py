@@ -41,7 +41,7 @@ ROWS_PER_CLASS = 4000
 FEATURES = 1024
 LEAST_ROWS = 3
 RIDGE = 0.02
-SWAP_PENALTY = 1.0
+SWAP_PENALTY = 10.0
 CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
