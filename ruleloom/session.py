@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType, VariantType
 
 BROADCAST_BYTES = 64 << 20
+_STAGED: list[str] = []
 
 
 def build_session(app: str = "ruleloom", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -75,4 +76,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = os.path.join(stage_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete what :func:`staged` wrote, once the results that read it are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -1,6 +1,6 @@
 import pytest
 
-from ruleloom.session import build_session
+from ruleloom.session import build_session, release_staged
 
 
 @pytest.fixture(scope="session")
@@ -8,4 +8,5 @@ def spark():
     session = build_session("ruleloom-tests", cores="4", partitions=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release_staged(session)
     session.stop()
