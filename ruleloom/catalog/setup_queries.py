@@ -195,21 +195,24 @@ def configs(i: I.Inputs) -> DataFrame:
     return jobs.projects_of(config_chain_table(i), project_configs(i))
 
 
-def project_inputs(i: I.Inputs) -> DataFrame:
-    """Which inputs each expected project has."""
+RULES_FILE = "house-rules.md"
+
+
+def project_inputs(i: I.Inputs, projects: DataFrame) -> DataFrame:
+    """Which inputs each expected project has; the merged configuration names the rule document."""
     have_config = project_configs(i).withColumn("has_config", F.lit(True))
-    folders = i.rule_docs().select(
-        F.regexp_extract("path", r"\Aprojects/([^/]+)/", 1).alias("project_id"),
-        F.col("path").endswith("/house-rules.md").alias("has_rules"),
-    )
-    folders = folders.where("project_id <> ''").groupBy("project_id").agg(F.bool_or("has_rules").alias("has_rules"))
-    rules_path = F.concat(F.lit("projects/"), "project_id", F.lit("/house-rules.md"))
-    joined = i.projects().join(have_config, "project_id", "left").join(folders, "project_id", "left")
+    documents = i.rule_docs().select("path", F.regexp_extract("path", r"\Aprojects/([^/]+)/", 1).alias("project_id")).where("project_id <> ''")
+    folders = documents.select("project_id", F.lit(True).alias("has_documents")).distinct()
+    default = F.concat(F.lit("projects/"), "project_id", F.lit(f"/{RULES_FILE}"))
+    named = jobs.rules_paths(projects, RULES_FILE).withColumnRenamed("rules_path", "named_path")
+    placed = i.projects().join(have_config, "project_id", "left").join(folders, "project_id", "left").join(named, "project_id", "left")
+    placed = placed.withColumn("rules_path", F.coalesce("named_path", default))
+    joined = placed.join(documents.select(F.col("path").alias("rules_path"), F.lit(True).alias("has_rules")).distinct(), "rules_path", "left")
     return joined.select(
         "project_id",
         "config_path",
-        rules_path.alias("rules_path"),
-        (F.col("has_config").isNotNull() | F.col("has_rules").isNotNull()).alias("has_folder"),
+        "rules_path",
+        (F.col("has_config").isNotNull() | F.col("has_documents").isNotNull()).alias("has_folder"),
         F.coalesce("has_config", F.lit(False)).alias("has_config"),
         F.coalesce("has_rules", F.lit(False)).alias("has_rules"),
     )
@@ -429,14 +432,13 @@ def config_findings(i):
 
 @query("missing_inputs", f"with {BOTH}, {MISSING} select project_id, message from missing")
 def missing_inputs(i):
-    return Q.missing_inputs(project_inputs(i)).select("project_id", "message")
+    return Q.missing_inputs(project_inputs(i, configs(i))).select("project_id", "message")
 
 
 def doctor_rows(i: I.Inputs) -> DataFrame:
     chains, rule_chains = config_chain_table(i), rule_chain_table(i)
-    return jobs.doctor(
-        project_inputs(i), chains, jobs.projects_of(chains, project_configs(i)), rule_chains, jobs.rules_of(rule_chains, project_rules(i))
-    )
+    projects = jobs.projects_of(chains, project_configs(i))
+    return jobs.doctor(project_inputs(i, projects), chains, projects, rule_chains, jobs.rules_of(rule_chains, project_rules(i)))
 
 
 DOCTOR = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.functions.paths import resolve_from
 from ruleloom.functions.variants import string_only
 from ruleloom.operators import evidence as E
 from ruleloom.operators import prompts as P
@@ -31,6 +32,16 @@ def projects_of(chains: DataFrame, project_configs: DataFrame) -> DataFrame:
     return staged(projects, "projects")
 
 
+def rules_paths(projects: DataFrame, default: str) -> DataFrame:
+    """``project_id, rules_path``: the rule document that a project's merged configuration names.
+
+    ``rulesFile`` is seen from the configuration's folder; without it ``default`` is. The result
+    serves :func:`load_rules` and the setup check.
+    """
+    named = F.coalesce(F.nullif("rulesFile", F.lit("")), F.lit(default))
+    return projects.select("project_id", resolve_from(F.col("config_path"), named).alias("rules_path"))
+
+
 def load_rules(rule_table: DataFrame, project_rules: DataFrame) -> DataFrame:
     """Effective rules per project. ``project_rules`` maps ``project_id`` to ``rules_path``."""
     chains = rule_chains(rule_table, project_rules.select(F.col("rules_path").alias("start")))

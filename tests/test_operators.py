@@ -150,6 +150,14 @@ def test_three_configs_merge(spark):
     assert "extends" not in [e.key for e in row.plain]
 
 
+def test_merged_config_names_the_rule_document(spark):
+    docs = [("t/base.json", '{"rulesFile":"../rules/team.md"}'), ("t/p/a.json", '{"extends":"../base.json"}'), ("t/q/b.json", '{"rulesFile":""}')]
+    places = spark.createDataFrame([("a", "t/p/a.json"), ("b", "t/q/b.json")], "project_id string, config_path string")
+    projects = jobs.load_projects(spark.createDataFrame(docs, "path string, content string"), places)
+    found = {r.project_id: r.rules_path for r in jobs.rules_paths(projects, "rules.md").collect()}
+    assert found == {"a": "t/rules/team.md", "b": "t/q/rules.md"}
+
+
 def test_unreadable_config_is_a_load_failure(spark):
     rows = [("a.json", '{"extends":"b.json"}'), ("b.json", "{nope"), ("c.json", '{"version":"1","version":"2"}')]
     chains = C.config_chains(spark.createDataFrame(rows, "path string, content string"))
