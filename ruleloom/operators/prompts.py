@@ -24,15 +24,7 @@ OUTPUT_LINES = (
     "- Use local evidence when available, but do not fabricate certainty if evidence is weak.",
     "- If no violations are found, return an empty violations array.",
 )
-REPORT_SCHEMA = (
-    '{ "version": "1.1", "generatedAt": "ISO-8601", "project": { "cwd": ".", "stack": "optional" }, '
-    '"summary": { "total": 0, "fatal": 0, "warn": 0, "info": 0 }, "violations": [ { "issueId": "ISSUE-001", '
-    '"ruleId": "RULE-001", "severity": "FATAL|WARN|INFO", "confidence": 0.0, "file": "src/...", "line": 1, '
-    '"snippet": "...", "description": "...", "fixSuggestion": "...", "repairPrompt": "...", "evidence": '
-    '{ "source": "local-regex|local-import|ai-only", "matchedBy": '
-    '"detect.regex|detect.import|detect.include|detect.ast|detect.semantic|unknown" }, '
-    '"context": ["optional/path"] } ] }'
-)
+REPORT_SCHEMA = '{ "version": "1.1", "generatedAt": "ISO-8601", "project": { "cwd": ".", "stack": "optional" }, "summary": { "total": 0, "fatal": 0, "warn": 0, "info": 0 }, "violations": [ { "issueId": "ISSUE-001", "ruleId": "RULE-001", "severity": "FATAL|WARN|INFO", "confidence": 0.0, "file": "src/...", "line": 1, "snippet": "...", "description": "...", "fixSuggestion": "...", "repairPrompt": "...", "evidence": { "source": "local-regex|local-import|ai-only", "matchedBy": "detect.regex|detect.import|detect.include|detect.ast|detect.semantic|unknown" }, "context": ["optional/path"] } ] }'  # noqa: E501
 # Wording of the repair texts.
 FALLBACK_TASK = "Task: Provide a minimal patch that fixes this violation and keeps existing architecture boundaries intact."
 FALLBACK_OUTPUT = "Expected output: short step-by-step fix plan + patch-ready code edits."
@@ -66,6 +58,7 @@ def detect_text(detect: Column) -> Column:
     return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, F.array_join(parts, ", ")).otherwise("none")
 
 
+# The labels of the lines below.
 def rule_section(rules: DataFrame) -> Column:
     """Text of one rule in the audit prompt."""
     said = lambda key: F.try_element_at("prompt", F.lit(key))
@@ -87,6 +80,7 @@ def rule_sections(rules: DataFrame) -> DataFrame:
     return rules.select("project_id", "rule_pos", "rule_id", rule_section(rules).alias("section"))
 
 
+# The labels of the lines below.
 def evidence_section() -> Column:
     """Text of one evidence record (P2); NULL ``mode`` means no record."""
 
@@ -125,6 +119,7 @@ def evidence_sections(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("project_id", "rule_pos", "rule_id", evidence_section().alias("section"))
 
 
+# The labels of the lines below.
 def config_summary() -> Column:
     """Configuration lines of the audit prompt."""
     return _lines(
@@ -206,6 +201,7 @@ def suggestion() -> Column:
     return F.coalesce(first_text(F.col("fix_suggestion"), F.col("rule.fix")), F.lit(NO_SUGGESTION))
 
 
+# The labels of the lines below.
 def fallback_prompt() -> Column:
     """Repair text for an issue whose report gives none (P5)."""
     location = location_text(F.col("file"), F.col("line"))
@@ -225,6 +221,7 @@ def fallback_prompt() -> Column:
     )
 
 
+# The labels of the lines below.
 def _issue_lines(first: Column, detailed: bool) -> Column:
     """Lines of one issue. Only the per-rule form shows confidence and evidence (Q24)."""
     location = location_text(F.col("file"), F.col("line"))
@@ -244,6 +241,7 @@ def _issue_lines(first: Column, detailed: bool) -> Column:
     )
 
 
+# The labels of the lines below.
 def rule_context() -> Column:
     """Rule metadata lines of a repair text."""
     known = lambda c: F.coalesce(first_text(c), F.lit("unknown"))
