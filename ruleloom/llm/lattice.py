@@ -29,8 +29,8 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Words start with this letter, as in the vocabulary.
 MARK = "▁"
 #: A chunk closes when it holds so many distinct words, or so many documents.
-CHUNK_WORDS = 150_000
-CHUNK_DOCS = 5_000
+CHUNK_WORDS = 300_000
+CHUNK_DOCS = 20_000
 ROUNDS = 2
 #: Weight, in occurrences, of the vocabulary's own order against the corpus.
 PRIOR = 100.0
