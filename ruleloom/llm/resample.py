@@ -21,6 +21,9 @@ HASH_BITS = 16
 CACHED_WORDS = 200_000
 PIECE = 1 << 16
 SEED = "gumbel"
+#: The target model is counted over about so many labelled good texts at most, those with the least
+#: hash of their id; the raw model over all texts.
+TARGET_DOCS = 20_000
 #: Bits of the sort key settled in each counting round.
 ROUND_BITS = 16
 
@@ -50,7 +53,7 @@ class Grams:
 
 
 def _models(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket over all texts, and over those whose id is in ``good``."""
+    """Counts of each bucket over all texts, and over those whose id is in ``good``, a bounded table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -66,7 +69,7 @@ def _models(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.col("good").isNotNull().alias("good"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.col("good").isNotNull().alias("good"))
     counted = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros((2, 1 << HASH_BITS))
     for r in counted.collect():  # at most one row for each bucket
@@ -124,17 +127,18 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     """(doc_id, log_weight, gumbel_key) of the ``k`` rows drawn; by default the labelled share of good texts.
 
     The target model is counted over the texts that ``labels`` gives quality 1 (of an id that is
-    labelled twice, the higher label), the raw model over all texts; both cover all rows. A null
+    labelled twice, the higher label), TARGET_DOCS of them, the raw model over all texts. A null
     or empty text weighs nothing, a null id draws the noise of a null. Equal keys go to the smaller
     id. Without labels all texts weigh the same and all rows are drawn. Repeated rows take part one
     by one; an empty table gives an empty result; other columns are ignored.
     """
     named = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     named = staged(named)
-    good = named.where("quality = 1").select("doc_id", F.lit(1).alias("good"))
+    known, ones = named.agg(F.count("*"), F.sum("quality")).first()
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("target")), F.lit(1_000_000)) / 1_000_000
+    good = named.where((F.col("quality") == 1) & (place < min(1.0, TARGET_DOCS / max(1, ones or 0)))).select("doc_id", F.lit(1).alias("good"))
     keyed = staged(weighted(docs, good))
     if k is None:
-        known, ones = named.agg(F.count("*"), F.sum("quality")).first()
         rows = keyed.count()
         k = rows if not known else round(rows * (ones or 0) / known)
     return top_k(keyed, "gumbel_key", k)
