@@ -80,14 +80,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     tree = staged(
         parents.select("conv_id", "turn", F.coalesce("quoted_turns", F.array().cast("array<bigint>")).alias("quoted_turns"), F.coalesce("quoted_parent", "last_turn").alias("parent_turn"))
     )
-    # Pointer doubling: after n rounds each message knows its ancestor 2^n replies up.
-    up = tree.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"), F.col("parent_turn").isNotNull().cast("long").alias("depth"))
-    while True:
-        up = staged(up)
-        above = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"), F.col("depth").alias("more"))
-        if up.join(above, ["conv_id", "root_turn"]).where("more > 0").isEmpty():
-            break
-        up = up.join(above, ["conv_id", "root_turn"]).select("conv_id", "turn", F.col("higher").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"))
+    # Pointer doubling: a message that has not found its root yet takes over its ancestor's ancestor,
+    # so each round doubles the distance, and rows that have arrived are not joined again.
+    root = F.col("parent_turn").isNull()
+    up = staged(tree.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"), (~root).cast("long").alias("depth"), root.alias("done")))
+    while not (open_rows := up.where("not done")).isEmpty():
+        above = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = open_rows.drop("done").join(above, ["conv_id", "root_turn"])
+        moved = moved.select("conv_id", "turn", F.col("higher").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        up = staged(up.where("done").unionByName(moved))
+    up = up.drop("done")
     placed = staged(tree.join(up, ["conv_id", "turn"]))
     return rows.join(placed, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "own_text", F.size("quotes").cast("long").alias("n_quotes"),
