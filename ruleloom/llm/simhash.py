@@ -130,6 +130,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     One document of each group stays. Exact repeats of a kept row (same id and text) collapse to
     one; rows of a component without any id stay as they are.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = staged(found.withColumnRenamed("doc_id", "__kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = staged(found.select(key.alias("__key")).distinct())
+    # One exchange of the texts, by id, at any size; it serves the removal of repeats, too.
+    marked = docs.withColumn("__key", key).join(kept.hint("merge"), "__key", "left_semi").withColumn("__text", F.xxhash64("text"))
+    return marked.dropDuplicates(["__key", "__text"]).drop("__key", "__text")
