@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from ruleloom.llm import decontam
+from ruleloom.llm.common import staged
 from ruleloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +13,7 @@ def test_stages_follow_each_other(spark):
     docs, names = documents, [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "toxicity", "near_dedup", "decontaminate", "tokenize"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, SF)
+        kept = staged(stage(spark, docs, SF))
         assert kept.columns == documents.columns, name
         assert not kept.exceptAll(docs).count(), name
         docs = kept
