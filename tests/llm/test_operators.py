@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bpe, components, decontam, htmltext, langid, lattice, omh, quotes, resample, simhash, toxicity
+from ruleloom.llm import bpe, components, decontam, htmltext, langid, lattice, nearcopies, omh, quotes, resample, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, fingerprint string, component_id long, bucket int"
 RNG = random.Random(5)
@@ -215,6 +215,39 @@ def test_one_document_of_each_group_stays(docs):
     assert 0 in ids and 60 not in ids
 
 
+def plain_similarity(a, b):
+    sets = []
+    for t in (a, b):
+        words = (t or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_stage_keeps_no_two_texts_of_shingle_similarity_080(spark):
+    rng = random.Random(21)
+    made = lambda n: ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for g in range(30):
+        base = made(rng.randint(60, 400))
+        rows.append((len(rows), " ".join(base), "en"))
+        for share in (0.005, 0.01, 0.018, 0.02, 0.1):
+            words = list(base)
+            for at in rng.sample(range(len(words)), max(1, round(share * len(words)))):
+                words[at] = "changed"
+            rows.append((len(rows), " ".join(words), "en"))
+    rows += [rows[0], (5000, rows[0][1], "en"), (None, rows[6][1], "en"), (None, "alone of its kind without an id", "en"), (6000, None, "en"), (6001, "", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = nearcopies.drop_near_copies(table)
+    assert kept.columns == table.columns
+    kept = kept.collect()
+    assert not [(a.doc_id, b.doc_id) for i, a in enumerate(kept) for b in kept[:i] if plain_similarity(a.text, b.text) >= 0.8]
+    ids = {r.doc_id for r in kept}
+    assert len(ids) == len(kept) and None in ids and 6000 in ids and 6001 not in ids
+    for i, text, _ in rows:
+        if i is not None and i not in ids:
+            assert any(plain_similarity(text, t) >= 0.8 for j, t, _ in rows if j is not None and j < i)
+
+
 # 5 importance resampling
 
 
