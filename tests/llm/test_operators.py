@@ -157,6 +157,28 @@ def test_planted_items_and_paraphrases_are_found(spark):
     assert kept == {d[0] for d in docs} - {d for d, _ in want}
 
 
+def test_paraphrases_among_other_words_are_found_at_any_size(spark):
+    rng = random.Random(9)
+    made = lambda n: ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(4, 8))) for _ in range(n)]
+    shared = made(60)
+    lines = [[rng.choice(shared) if rng.random() < 0.7 else w for w in made(32)] for _ in range(20)]
+    other = made(400)
+    docs = []
+    for i, line in enumerate(lines):
+        words = list(line)
+        for at in rng.sample(range(len(words) - 8), 10):
+            words[at] = rng.choice(other)
+        docs.append((i, " ".join([rng.choice(other) for _ in range(60)] + words + [rng.choice(other) for _ in range(60)])))
+    docs += [(100 + i, " ".join(rng.choice(other + shared) for _ in range(150))) for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    model = decontam.fit(table, [(i, " ".join(line)) for i, line in enumerate(lines)])
+    of = decontam.TermIds(model["terms"]).of
+    rows, seen = decontam._document_frequency(table, model["terms"])
+    for times in (1, 300, 100_000):
+        m = model | {"squares": decontam.weights(rows * times, seen * times, [of(" ".join(line)) for line in lines]) ** 2}
+        assert all(i in decontam._candidates(of(docs[i][1]), m, decontam.COSINE) for i in range(20)), times
+
+
 # 4 SimHash
 
 
