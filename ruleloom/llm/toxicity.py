@@ -36,7 +36,7 @@ IDENTITY_TERMS = (
 HASH_BITS = 20
 #: Words count whole and by their first letters, so that inflected forms share evidence.
 PREFIXES = (4, 5)
-#: At most about so many labelled rows of each class are learnt from.
+#: At most about so many labelled rows of each class are learnt from, weighed back to the class's share.
 ROWS_PER_CLASS = 4000
 FEATURES = 1024
 LEAST_ROWS = 3
@@ -67,28 +67,31 @@ def _hashes(words: set[str]) -> list[int]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(toxic, features, swapped) of about ``rows`` labelled texts of each class; swapped: null without a group name."""
+    """(toxic, weight, features, swapped) of about ``rows`` labelled texts of each class.
+
+    ``weight`` is one over the sampling share of the class; ``swapped`` is null without a group name.
+    """
     exchange = swaps()
     named = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = staged(named.where(~held_out("doc_id", 0)))
     counts = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, rows / max(1, counts.get(1, 0)))).otherwise(min(1.0, rows / max(1, counts.get(0, 0))))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
-    chosen = train.where(place < share).select(F.col("doc_id").alias("labelled_id"), "toxic")
+    chosen = train.where(place < share).select(F.col("doc_id").alias("labelled_id"), "toxic", (1 / share).alias("weight"))
     # A bounded number of ids: about two times ``rows``, whatever the size of the tables.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             features, swapped = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = text_words(text)
                 features.append(_hashes(words))
                 swapped.append(_hashes({exchange.get(w, w) for w in words}) if words & exchange.keys() else None)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, kind), pa.array(swapped, kind)], names=["toxic", "features", "swapped"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(features, kind), pa.array(swapped, kind)], names=["toxic", "weight", "features", "swapped"])
 
-    return staged(texts.select("toxic", "text").mapInArrow(run, "toxic int, features array<int>, swapped array<int>"))
+    return staged(texts.select(F.col("toxic").cast("int"), "weight", "text").mapInArrow(run, "toxic int, weight double, features array<int>, swapped array<int>"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, features: int = FEATURES, penalty: float = SWAP_PENALTY) -> dict | None:
@@ -118,28 +121,33 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[np.packbits(np.isin(ids, f)).tobytes() if f is not None else None for f in c.to_pylist()] for c in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, pa.binary()) for r in rows]], names=["toxic", "x", "y"])
+            rows = [[np.packbits(np.isin(ids, f)).tobytes() if f is not None else None for f in c.to_pylist()] for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(r, pa.binary()) for r in rows]], names=["toxic", "weight", "x", "y"])
 
-    found = sample.mapInArrow(run, "toxic int, x binary, y binary").toPandas()
+    found = sample.mapInArrow(run, "toxic int, weight double, x binary, y binary").toPandas()
     bits = lambda c: np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in c]), axis=1)[:, : len(ids)].astype(np.float32)
     x, label = bits(found["x"]), found["toxic"].to_numpy(np.float32)
     pairs = found["y"].notna().to_numpy()
     moved = bits(found["y"][pairs]) - x[pairs] if pairs.any() else np.zeros((0, len(ids)), np.float32)
-    return {"ids": ids, **_train(x, label, moved, penalty)}
+    share = found["weight"].to_numpy()
+    return {"ids": ids, **_train(x, label, share / share.sum(), moved, share[pairs] / max(share[pairs].sum(), 1e-12), penalty)}
 
 
-def _train(x: np.ndarray, label: np.ndarray, moved: np.ndarray, penalty: float) -> dict:
-    """Newton steps for mean log-loss + ridge + penalty * mean squared change of the logit."""
+def _train(x: np.ndarray, label: np.ndarray, share: np.ndarray, moved: np.ndarray, moved_share: np.ndarray, penalty: float) -> dict:
+    """Newton steps for mean log-loss + ridge + penalty * mean squared change of the logit.
+
+    Both means weigh each row by its share, so a sample stands for all labelled rows and the
+    classes keep their shares, however many rows of each were drawn.
+    """
     rows, width = x.shape
     x = np.column_stack([x, np.ones(rows, np.float32)])
     hold = np.zeros((width + 1, width + 1))
-    hold[:width, :width] = RIDGE / 100 * np.eye(width) + (penalty * (moved.T @ moved) / len(moved) if len(moved) else 0)
+    hold[:width, :width] = RIDGE / 100 * np.eye(width) + (penalty * ((moved * moved_share[:, None]).T @ moved) if len(moved) else 0)
     w = np.zeros(width + 1)
     for _ in range(12):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (s - label) / rows + hold @ w
-        curve = (x * (s * (1 - s))[:, None].astype(np.float32)).T @ x / rows + hold + 1e-8 * np.eye(width + 1)
+        slope = x.T @ (share * (s - label)) + hold @ w
+        curve = (x * (share * s * (1 - s))[:, None].astype(np.float32)).T @ x + hold + 1e-8 * np.eye(width + 1)
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-3:

@@ -503,6 +503,15 @@ def test_toxic_texts_are_found_and_group_names_are_not(spark):
     assert change(calm) < 0.3 * change(plain)
 
 
+def test_sampled_classes_keep_their_share(spark):
+    rng = random.Random(17)
+    rows = [(i, sentence(12, rng) + (" maybe" if i % 10 == 0 or i % 10 == 5 or i % 10 == 7 else "")) for i in range(3000)]
+    labels = labels_of(spark, [(i, 1, int(i % 10 == 0), "") for i, _ in rows])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    mean = lambda n: table.where("text like '%maybe'").select(toxicity.score(spark, F.col("text"), toxicity.fit(table, labels, n)).alias("s")).agg(F.avg("s")).first()[0]
+    assert mean(240) == pytest.approx(mean(4000), abs=0.15)  # a third of these are toxic
+
+
 def test_one_class_alone_teaches_nothing(spark, docs):
     found = toxicity.toxicity(docs, labels_of(spark, [(1, 1, 0, ""), (2, 1, 0, "")]))
     assert {r.score for r in found.collect()} == {0.0}
