@@ -55,42 +55,50 @@ _TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role|itemprop|hidden|aria-hidden)(?![\w:.-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for t in RAW}
 
 #: One text block: its text, the hashed paths of its branches, whether it is worthless, and main.
 Block = tuple[str, tuple[int, ...], bool, bool]
 
 
-def _marks(attrs: str) -> set[str]:
+def _marks(attrs: str) -> tuple[set[str], set[str]]:
+    """Whole marking tokens, and the words in them, of which paths are made."""
     found: set[str] = set()
+    words: set[str] = set()
     for name, *values in _ATTRIBUTE.findall(attrs):
         value = "".join(values).lower()
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
             found.add("hidden")
+            words.add("hidden")
         elif name.lower() != "aria-hidden":
-            found.update(re.findall(r"[^\W\d_]+", value))
-    return found
+            found.update(value.split())
+            words.update(re.findall(r"[^\W\d_]+", value))
+    return found, words
 
 
 def parse(page: str | None) -> list[Block]:
     """Text blocks of a page in order.
 
     Tags that HTML lets one leave open are closed by what follows; a closing tag without an opening
-    one is ignored; a page may end anywhere. Inline tags do not end a block.
+    one is ignored; a page may end anywhere. Inline tags do not end a block. A name (class, id, role)
+    makes an element worthless unless an ``article`` or ``main`` lies in it; one inside another
+    ``article``, as comments are, or itself named so, saves nothing.
     """
     page = page or ""
-    blocks: list[Block] = []
+    found: list[tuple[str, tuple[int, ...], bool, bool, tuple[int, ...]]] = []
     parts: list[str] = []
-    # tag, hashed path, worthless, main
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # tag, hashed path, worthless, main, numbers of the elements around that their names make worthless
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]
+    names = 0
+    saved: set[int] = set()
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                blocks.append((text, tuple(n[1] for n in stack[1:]), stack[-1][2], stack[-1][3]))
+                found.append((text, tuple(n[1] for n in stack[1:]), *stack[-1][2:]))
 
     at = 0
     for token in iter(lambda: _TOKEN.search(page, at), None):
@@ -121,17 +129,22 @@ def parse(page: str | None) -> list[Block]:
             continue
         flush()
         attrs = token["attrs"] or ""
-        marks = _marks(attrs) if attrs else set()
-        _, path, worthless, main = stack[-1]
-        main = main or tag in MAIN_TAGS or bool(marks & MAIN_MARKS)
+        marks, words = _marks(attrs) if attrs else (set(), set())
+        _, path, worthless, main, named = stack[-1]
+        opens = tag in MAIN_TAGS or bool(marks & MAIN_MARKS)
+        main = main or opens
         if tag not in ("html", "body"):
-            worthless = worthless or tag in WORTHLESS_TAGS or bool(marks & WORTHLESS_MARKS)
-            worthless = worthless or (not main and (tag == "header" or bool(marks & OUTSIDE_MARKS)))
-        path = xxh64_intdigest(f"{path} {tag} {' '.join(sorted(marks))}") >> 1
-        stack.append((tag, path, worthless, main))
+            worthless = worthless or tag in WORTHLESS_TAGS or (not main and tag == "header")
+            if marks & WORTHLESS_MARKS or (not main and marks & OUTSIDE_MARKS):
+                names += 1
+                named = (*named, names)
+            elif opens and not any(n[0] == "article" for n in stack):
+                saved.update(named)
+        path = xxh64_intdigest(f"{path} {tag} {' '.join(sorted(words))}") >> 1
+        stack.append((tag, path, worthless, main, named))
     parts.append(page[at:])
     flush()
-    return blocks
+    return [(text, paths, worthless or not saved.issuperset(named), main) for text, paths, worthless, main, named in found]
 
 
 def host_of(url: str) -> Column:

@@ -390,6 +390,15 @@ def test_style_tree_removes_what_pages_share(spark):
     assert (20, 0.0) in tree and (20, 1.0) in tree
 
 
+def test_names_around_an_article_do_not_discard_it():
+    kept = lambda page: [b[0] for b in htmltext.parse(page) if not b[2]]
+    for name in ("class='overflow-hidden'", "class='with-sidebar x'", "class=no-sidebar", "class='has-comments'", "id=search-content", "data-id=search", "class=search"):
+        assert kept(f"<body><div {name}><article><p>text</article></div>") == ["text"], name
+        assert name == "class=search" or kept(f"<body><article {name}><p>text</article>") == ["text"], name
+    assert kept("<article><p>a<ol class=comments><li><article>first!</article></ol></article>") == ["a"]
+    assert kept("<div class='box ad'>buy</div><p>text") == ["text"]
+
+
 # 8 language
 
 
