@@ -1,11 +1,14 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged by element paths (tag and marking attributes). A branch of that tree
-is worth as much as its presentation and content vary between pages: a menu is laid out and worded
-alike on all of them, an article is not. Branches below a threshold are removed from each page. What
-HTML itself marks decides first: ``nav``, ``footer``, ``aside``, forms, adverts, comments and the
-like are worth nothing, ``article`` and ``main`` all, so hosts with few pages, or with many copies of
-one page, lose no article.
+that holds text is worth as much as its presentation and content vary between pages: a menu is laid
+out and worded alike on all of them, an article is not. Branches below a threshold are removed from
+each page; an inner branch is worth what its best one is, so it never takes a good one with it.
+Copies of a page count as one page. All pages take part, with or without ``article`` and ``main``.
+
+What HTML itself marks is a prior: ``nav``, ``footer``, ``aside``, forms, adverts, comments and the
+like go; of a page with ``article`` or ``main`` all else goes, and what is inside goes only at a
+lower importance.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from ruleloom.llm.common import staged
 #: Branches of fewer pages are not judged by entropy; others go below this importance.
 LEAST_PAGES = 8
 THRESHOLD = 0.6
+#: The same inside ``article`` and ``main``, which speak for the branch.
+MAIN_THRESHOLD = 0.3
 #: Weight of a branch's content against its presentation.
 DAMPING = 0.9
 #: Up to this size the table of removed branches is broadcast; beyond it is joined by host.
@@ -152,43 +157,54 @@ def host_of(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _branches(blocks: list[Block]) -> tuple[int, list[tuple[int, int, int, bool]]]:
+    """Signature of a page's text, and (path, kind, value, main) of its branches that hold text.
+
+    Kind 0 is the branch's shape, 1 a text of its own. The signature is of the text in ``article``
+    and ``main`` if there is any, else of all: pages with the same one are copies.
+    """
+    own = [b for b in blocks if not b[2]]
+    inner: dict[int, list[int]] = {}
+    texts: set[tuple[int, int, int, bool]] = set()
+    for text, paths, _, main in own:
+        for path, below in zip(paths or (0,), (*paths[1:], 0), strict=True):
+            shape = inner.setdefault(path, [])
+            if shape[-1:] != [below]:
+                shape.append(below)
+        texts.add((paths[-1] if paths else 0, 1, xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, main))
+    shapes = {(path, 0, xxh64_intdigest(repr(inner[path])) >> 1, main) for path, _, _, main in texts}
+    signed = [b for b in own if b[3]] or own
+    return xxh64_intdigest("\0".join(b[0] for b in signed).encode("utf-8", "surrogatepass")) >> 1, sorted(texts | shapes)
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, presentation, content, importance) of each branch that HTML marks neither way.
+    """(host, path, main, n_pages, presentation, content, importance) of each branch that holds text of its own.
 
     Presentation is the entropy of the shapes (sequences of inner branches) that the branch takes
     on its host's pages, content one less the mean entropy of its texts over the pages, both with
-    the number of pages as base. Texts and shapes are counted per page and summed map-side.
+    the number of pages as base. Copies count as one page, the one whose branches come first in
+    order. ``main`` tells branches inside ``article`` or ``main``. Branches without text of their
+    own are as good as their best inner one and need no row.
     """
+    kind = "array<struct<path:bigint,kind:int,value:bigint,main:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        branch = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("main", pa.bool_())]))
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks = parse(page)
-                if any(main and not worthless for *_, worthless, main in blocks):
-                    continue  # HTML says what the article is; nothing is left to judge
-                inner: dict[int, list[int]] = {}
-                seen: set[tuple[int, int, int]] = set()
-                for text, paths, worthless, _ in blocks:
-                    if worthless:
-                        continue
-                    for k, path in enumerate(paths):
-                        seen.add((path, 1, xxh64_intdigest(text) >> 1))
-                        shape = inner.setdefault(path, [])
-                        below = paths[k + 1] if k + 1 < len(paths) else 0
-                        if shape[-1:] != [below]:
-                            shape.append(below)
-                seen.update((path, 0, xxh64_intdigest(repr(shape)) >> 1) for path, shape in inner.items())
-                if seen:
-                    path, kind, value = zip(*sorted(seen), strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([host] * len(path), pa.string()), pa.array(path), pa.array(kind, pa.int32()), pa.array(value)],
-                        names=["host", "path", "kind", "value"],
-                    )
-
-    seen = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, path long, kind int, value long")
-    counted = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                parsed = [parse(page) for page in part.column(1).to_pylist()]
+                # Pages with an article are not judged.
+                found = [_branches([] if any(b[3] and not b[2] for b in p) else p) for p in parsed]
+                rows = [[dict(zip(("path", "kind", "value", "main"), b, strict=True)) for b in branches] for _, branches in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array(rows, branch)], names=["host", "copy", "branches"])
+
+    seen = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, f"host string, copy long, branches {kind}")
+    once = seen.groupBy("host", "copy").agg(F.min("branches").alias("branches"))
+    each = once.select("host", F.explode("branches").alias("b")).select("host", "b.*")
+    counted = each.groupBy("host", "path", "main", "kind", "value").agg(F.count("*").alias("n"))
     shape = F.col("kind") == 0
-    sums = counted.groupBy("host", "path").agg(
+    sums = counted.groupBy("host", "path", "main").agg(
         F.sum(F.when(shape, F.col("n"))).alias("n_pages"),
         F.sum(F.when(shape, F.col("n") * F.log("n"))).alias("shapes"),
         F.avg(F.when(~shape, F.log("n"))).alias("texts"),
@@ -196,21 +212,22 @@ def style_tree(pages: DataFrame) -> DataFrame:
     base = F.log(F.greatest("n_pages", F.lit(2)))
     presentation = F.when(F.col("n_pages") == 1, 1.0).otherwise((F.log("n_pages") - F.col("shapes") / F.col("n_pages")) / base)
     content = F.when(F.col("n_pages") == 1, 1.0).otherwise(1 - F.col("texts") / base)
-    return sums.select("host", "path", "n_pages", presentation.alias("presentation"), content.alias("content")).withColumn(
+    return sums.select("host", "path", "main", "n_pages", presentation.alias("presentation"), content.alias("content")).withColumn(
         "importance", (1 - DAMPING) * F.col("presentation") + DAMPING * F.col("content")
     )
 
 
-def main_texts(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
+def main_texts(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES, main_threshold: float = MAIN_THRESHOLD) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page.
 
-    Of a page with an ``article`` or ``main`` the rest goes; of others the branches that HTML marks
-    as something else, or whose importance on their host is below ``threshold``. White space in a
+    Branches that HTML marks as something else go, and those whose importance on their host is
+    below ``threshold``, or below ``main_threshold`` inside ``article`` and ``main``; of a page with
+    one of these, what is outside goes, too. White space in a
     block becomes one space, blocks are joined by one. A null or empty page has an empty text; a
     null or odd URL counts to the host without a name. Repeated rows come once each; an empty table
     gives an empty result; other columns are ignored.
     """
-    low = style_tree(pages).where((F.col("n_pages") >= least_pages) & (F.col("importance") < threshold))
+    low = style_tree(pages).where((F.col("n_pages") >= least_pages) & (F.col("importance") < F.when(F.col("main"), main_threshold).otherwise(threshold)))
     gone = staged(low.groupBy("host").agg(F.collect_set("path").alias("gone")))
     size = gone.agg(F.sum(F.length("host") + 8 * F.size("gone") + 64)).first()[0] or 0
     sized = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
@@ -222,12 +239,9 @@ def main_texts(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int
                 texts = []
                 for page, removed in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     blocks = [b for b in parse(page) if not b[2]]
-                    if any(b[3] for b in blocks):
-                        kept = [b[0] for b in blocks if b[3]]
-                    else:
-                        less = frozenset(removed or ())
-                        kept = [b[0] for b in blocks if less.isdisjoint(b[1])]
-                    texts.append(" ".join(kept))
+                    less = frozenset(removed or ())
+                    marked = [b for b in blocks if b[3]] or blocks
+                    texts.append(" ".join(b[0] for b in marked if (b[1][-1] if b[1] else 0) not in less))
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 

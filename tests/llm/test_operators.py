@@ -390,6 +390,19 @@ def test_style_tree_removes_what_pages_share(spark):
     assert (20, 0.0) in tree and (20, 1.0) in tree
 
 
+def main_texts_of(spark, pages):
+    table = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in htmltext.main_texts(table).orderBy("page_id").collect()]
+
+
+def test_long_menus_and_copies_leave_the_text(spark):
+    menu = "".join(f"<li>entry {k}" for k in range(40))
+    page = "<body><ul>{1}</ul><div><p>one {0}<p>two {0}</div>".format
+    assert main_texts_of(spark, [page(i, menu) for i in range(8)]) == [f"one {i} two {i}" for i in range(8)]
+    page = "<body><div class=t>Home</div><div class=m><h2>Story {0}</h2><p>body {0}<p>more {0}</div>".format
+    assert main_texts_of(spark, [page(i % 15) for i in range(100)]) == [f"Story {i % 15} body {i % 15} more {i % 15}" for i in range(100)]
+
+
 def test_names_around_an_article_do_not_discard_it():
     kept = lambda page: [b[0] for b in htmltext.parse(page) if not b[2]]
     for name in ("class='overflow-hidden'", "class='with-sidebar x'", "class=no-sidebar", "class='has-comments'", "id=search-content", "data-id=search", "class=search"):
