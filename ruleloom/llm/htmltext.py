@@ -193,9 +193,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                parsed = [parse(page) for page in part.column(1).to_pylist()]
-                # Pages with an article are not judged.
-                found = [_branches([] if any(b[3] and not b[2] for b in p) else p) for p in parsed]
+                found = [_branches(parse(page)) for page in part.column(1).to_pylist()]
                 rows = [[dict(zip(("path", "kind", "value", "main"), b, strict=True)) for b in branches] for _, branches in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array(rows, branch)], names=["host", "copy", "branches"])
 

@@ -395,6 +395,11 @@ def main_texts_of(spark, pages):
     return [r.text for r in htmltext.main_texts(table).orderBy("page_id").collect()]
 
 
+def test_what_a_site_repeats_inside_article_goes(spark):
+    page = "<body><article><h1>Story {0}</h1><div class=box>Win a car today</div><p>words {0}<p>more {0}</article>".format
+    assert main_texts_of(spark, [page(i) for i in range(20)]) == [f"Story {i} words {i} more {i}" for i in range(20)]
+
+
 def test_long_menus_and_copies_leave_the_text(spark):
     menu = "".join(f"<li>entry {k}" for k in range(40))
     page = "<body><ul>{1}</ul><div><p>one {0}<p>two {0}</div>".format
