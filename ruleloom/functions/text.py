@@ -21,6 +21,37 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Items that a fold handles before its output is put aside.
+FOLD_PART = 256
+
+
+def fold_out(items: Column, state: Column, step: Callable[[Column, Column], Column], out_type: str) -> Column:
+    """What a fold over ``items`` puts out, in order, in linear time.
+
+    ``step(state, item)`` gives a struct of the next ``state`` and ``more``, an array of ``out_type``
+    elements. An array that grows by one copies itself, so elements are gathered part by part; only the list of parts grows
+    over the whole.
+    """
+    empty = F.array().cast(f"array<{out_type}>")
+    carried = lambda s, out: F.struct(s.alias("state"), out.alias("out"))
+
+    def within(acc: Column, item: Column) -> Column:
+        return bind(step(acc["state"], item), lambda r: carried(r["state"], F.concat(acc["out"], r["more"])))
+
+    def whole(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, carried(acc["state"], empty), within)
+        return bind(done, lambda d: carried(d["state"], F.array_append(acc["out"], d["out"])))
+
+    def folded(all_items: Column) -> Column:
+        count = F.floor((F.size(all_items) + (FOLD_PART - 1)) / FOLD_PART).cast("int")
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda k: F.slice(all_items, k * FOLD_PART + 1, F.lit(FOLD_PART)))
+        outs = F.aggregate(parts, carried(state, F.array().cast(f"array<array<{out_type}>>")), whole)["out"]
+        return F.flatten(outs)
+
+    return bind(items, folded)
+
+
 def lines_of(content: Column) -> Column:
     """Lines of a text; a trailing newline leaves a last empty line."""
     return F.split(content, r"\r?\n", -1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
+from ruleloom.functions.entries import key_groups, last_of_each_key
 from ruleloom.functions.paths import resolve_from
 from ruleloom.functions.text import bind
 from ruleloom.operators.inheritance import resolve_chains
@@ -52,12 +53,7 @@ def merge_arrays(parent: Column, child: Column) -> Column:
 def merge_entries(lists: Column) -> Column:
     """Merge entry lists, last list wins per key, keys stay where they first appeared."""
 
-    def build(flat: Column) -> Column:
-        keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
-        last = lambda k: F.element_at(F.filter(flat, lambda e: e["key"] == k), -1)["value"]
-        return F.transform(keys, lambda k: F.struct(k.alias("key"), last(k).alias("value")))
-
-    return bind(F.flatten(lists), build)
+    return last_of_each_key(F.flatten(lists))
 
 
 def string_list(value: Column) -> Column:
@@ -71,13 +67,15 @@ def merge_list_entries(lists: Column) -> Column:
     empty = F.array().cast(_TEXTS)
 
     def build(flat: Column) -> Column:
-        def globs(key: Column) -> Column:
-            own = F.filter(flat, lambda e: e["key"] == key)
-            united = F.flatten(F.transform(own, lambda e: F.coalesce(string_list(e["value"]), empty)))
-            return F.when(F.size(lists) > 1, F.array_distinct(united)).otherwise(united)
+        def picked(found: Column) -> Column:
+            def globs(group: Column) -> Column:
+                own = F.slice(found["places"], group["at"] + 1, group["size"])
+                united = F.flatten(F.transform(own, lambda at: F.coalesce(string_list(F.get(flat, at)["value"]), empty)))
+                return F.when(F.size(lists) > 1, F.array_distinct(united)).otherwise(united)
+
+            return F.transform(found["groups"], lambda g: F.struct(F.get(flat, g["place"])["key"].alias("key"), globs(g).alias("globs")))
 
-        keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
-        return F.transform(keys, lambda k: F.struct(k.alias("key"), globs(k).alias("globs")))
+        return bind(key_groups(flat), picked)
 
     return bind(F.flatten(lists), build)
 

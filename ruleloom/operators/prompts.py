@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
-from ruleloom.functions.text import BLANK, first_text, indent_block, joined_or_none, lines_of, replace_first, trim_blank
+from ruleloom.functions.text import BLANK, bind, first_text, fold_out, indent_block, joined_or_none, lines_of, replace_first, trim_blank
 from ruleloom.operators.configs import entries_text, entry_value, exception_summary, object_entries, raw_field
 from ruleloom.operators.evidence import MATCHES_SHOWN
 from ruleloom.operators.reports import REPORT_KEY, location_text
@@ -336,18 +336,26 @@ def localized_document(content: Column, texts: Column, extends_path: Column | No
     """Rule template with its keys replaced by texts.
 
     Key lists run until the first line of another form, so lines are folded in order; the
-    state is the open list and its indentation.
+    state is the open list and its indentation. The fold is linear in the lines.
     """
-    state_type = "struct<open:string,pad:string,out:array<string>>"
+    state_type = "struct<open:string,pad:string>"
 
-    def step(state: Column, line: Column) -> Column:
-        trimmed = trim_blank(line)
-        pad = F.regexp_extract(line, rf"\A({BLANK}*)", 1)
-        after = trim_blank(F.regexp_replace(trimmed, r"(?s)\A[^:]*:?", ""))
+    def line_parts(line: Column) -> Column:
+        """What the fold needs to know about a line, computed once."""
 
-        def put(opened: Column | str, new_pad: Column, text: Column) -> Column:
-            opened = F.lit(opened) if isinstance(opened, str) else opened
-            return F.struct(opened.alias("open"), new_pad.alias("pad"), F.array_append(state["out"], text).alias("out")).cast(state_type)
+        def parts(trimmed: Column) -> Column:
+            after = trim_blank(F.regexp_replace(trimmed, r"(?s)\A[^:]*:?", ""))
+            pad = F.regexp_extract(line, rf"\A({BLANK}*)", 1)
+            return F.struct(line.alias("line"), trimmed.alias("trimmed"), after.alias("after"), pad.alias("pad"))
+
+        return bind(trim_blank(line), parts)
+
+    def step(state: Column, x: Column) -> Column:
+        line, trimmed, after, pad = x["line"], x["trimmed"], x["after"], x["pad"]
+
+        def put(opened: str, new_pad: Column, text: Column) -> Column:
+            now = F.struct(F.lit(opened).alias("open"), new_pad.alias("pad")).cast(state_type)
+            return F.struct(now.alias("state"), F.array(text).alias("more"))
 
         item = (state["open"] == "list") & trimmed.startswith("- ")
         out = F.when(item, put("list", state["pad"], F.concat(state["pad"], F.lit("  - "), localize(texts, F.substr(trimmed, F.lit(3))))))
@@ -366,8 +374,8 @@ def localized_document(content: Column, texts: Column, extends_path: Column | No
             out = out.when(moved, put("", pad, F.concat(pad, F.lit("extends: "), extends_path)))
         return out.otherwise(put("", pad, line))
 
-    start = F.struct(F.lit("").alias("open"), F.lit("").alias("pad"), F.array().cast("array<string>").alias("out")).cast(state_type)
-    return F.array_join(F.aggregate(lines_of(content), start, step)["out"], "\n")
+    start = F.struct(F.lit("").alias("open"), F.lit("").alias("pad")).cast(state_type)
+    return F.array_join(fold_out(F.transform(lines_of(content), line_parts), start, step, "string"), "\n")
 
 
 def localized_rules(documents: DataFrame, maps: DataFrame) -> DataFrame:

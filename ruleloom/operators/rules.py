@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleloom.functions.entries import last_of_each_key
 from ruleloom.functions.paths import resolve_from
 from ruleloom.functions.text import (
     BLANK,
     bind,
+    fold_out,
     indent_width,
     lines_of,
     strip_quotes,
@@ -70,43 +72,35 @@ def block_entries(lines: Column) -> Column:
     """Fields and section entries of a block, in line order.
 
     What a line means depends on the lines before it: inside an indented section even a
-    known word is just a key. Hence a fold over the block's lines. A section header adds an
-    entry without key, because a repeated section replaces the earlier one.
+    known word is just a key. Hence a fold over the block's lines, linear in them. A section header
+    adds an entry without key, because a repeated section replaces the earlier one.
     """
     nothing = F.lit(None).cast("string")
 
     def step(state: Column, line: Column) -> Column:
-        section, indent, entries = state["section"], state["indent"], state["entries"]
+        section, indent = state["section"], state["indent"]
         text, word = line["text"], line["word"]
 
         def become(new_section, new_indent, *entry) -> Column:
-            grown = entries
-            if entry:
-                named = [c.alias(n) for c, n in zip(entry, ("section", "key", "value"))]
-                grown = F.array_append(entries, F.struct(*named))
-            return F.struct(new_section.alias("section"), new_indent.alias("indent"), grown.alias("entries"))
+            named = [c.alias(n) for c, n in zip(entry, ("section", "key", "value"))]
+            put = F.array(F.struct(*named)) if entry else F.array()
+            return F.struct(F.struct(new_section.alias("section"), new_indent.alias("indent")).alias("state"), put.cast(_ENTRIES).alias("more"))
 
         inside = (section != "") & (line["indent"] > indent)
         item = strip_quotes(trim_blank(F.substr(text, F.lit(3))))
         no_section, no_indent = F.lit(""), F.lit(0)
         return (
-            F.when(text == "", state)
-            .when(
-                inside & (section == LIST_WORD) & text.startswith("- "),
-                become(section, indent, section, F.lit(""), item),
-            )
-            .when(
-                inside & (section != LIST_WORD) & line["keyed"],
-                become(section, indent, section, line["key"], line["value"]),
-            )
-            .when(inside, state)
+            F.when(text == "", become(section, indent))
+            .when(inside & (section == LIST_WORD) & text.startswith("- "), become(section, indent, section, F.lit(""), item))
+            .when(inside & (section != LIST_WORD) & line["keyed"], become(section, indent, section, line["key"], line["value"]))
+            .when(inside, become(section, indent))
             .when(word.isin(*FIELD_WORDS), become(no_section, no_indent, F.lit("field"), word, line["value"]))
             .when(word != "", become(word, line["indent"], word, nothing, nothing))
             .otherwise(become(no_section, no_indent))
         )
 
-    start = F.struct(F.lit("").alias("section"), F.lit(0).alias("indent"), F.array().cast(_ENTRIES).alias("entries"))
-    return F.aggregate(F.transform(lines, _line_parts), start, step)["entries"]
+    start = F.struct(F.lit("").alias("section"), F.lit(0).alias("indent"))
+    return fold_out(F.transform(lines, _line_parts), start, step, _ENTRIES[len("array<") : -1])
 
 
 def _last_field(entries: Column, word: str) -> Column:
@@ -127,13 +121,7 @@ def _section(entries: Column, word: str) -> Column:
 
 def _ordered_map(entries: Column) -> Column:
     """Map in first-seen key order; a repeated key keeps its place and takes the last value."""
-
-    def build(mine: Column) -> Column:
-        keys = F.array_distinct(F.transform(mine, lambda e: e["key"]))
-        last = lambda k: F.element_at(F.filter(mine, lambda e: e["key"] == k), -1)["value"]
-        return F.map_from_arrays(keys, F.transform(keys, last))
-
-    return bind(entries, build)
+    return F.map_from_entries(last_of_each_key(entries))
 
 
 def document_rules(content: Column) -> Column:
