@@ -16,7 +16,7 @@ from ruleloom.operators import quality as Q
 from ruleloom.operators import reports as R
 from ruleloom.operators.rules import latest_rules
 from ruleloom.plans import jobs
-from ruleloom.session import staged
+from ruleloom.session import lookup_join, staged
 
 # --- oracle building blocks -----------------------------------------------------------------
 
@@ -333,7 +333,7 @@ select path, locale, key, {_lookup('x.locale', 'x.key')} as text from x""",
 def localize_keys(i):
     wanted = i.rule_templates().select("path", "locale", F.regexp_extract("content", r"fixKey: (\S+)", 1).alias("key"))
     known = i.locales()
-    named = P.resolve_locales(wanted, known).drop("wanted_locale").join(P.locale_maps(known), "locale", "left")
+    named = lookup_join(P.resolve_locales(wanted, known).drop("wanted_locale"), P.locale_maps(known), "locale")
     return named.select("path", "locale", "key", P.localize(F.col("texts"), F.col("key")).alias("text"))
 
 
@@ -362,6 +362,6 @@ def localized_rules(i):
 def localized_config(i):
     known = i.locales()
     wanted = F.regexp_extract("content", r'"defaultLocale":"([^"]+)"', 1)
-    named = P.resolve_locales(i.configs().withColumn("locale", wanted), known).join(P.locale_maps(known), "locale", "left")
+    named = lookup_join(P.resolve_locales(i.configs().withColumn("locale", wanted), known), P.locale_maps(known), "locale")
     own = F.when(F.col("path").startswith("projects/"), F.lit("./base-config.json"))
     return named.select("path", P.localized_config(F.col("content"), F.col("texts"), own).alias("content"))

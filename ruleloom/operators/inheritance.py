@@ -2,14 +2,56 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.session import broadcast_if_small, staged
 
 
+def _until_repeat(walk: Column) -> Column:
+    """A walk up to, and without, the first document that comes again."""
+    again = F.filter(F.transform(walk, lambda p, at: F.struct(at.alias("at"), (F.array_position(walk, p) <= at).alias("seen"))), lambda x: x["seen"])
+    return F.slice(walk, F.lit(1), F.coalesce(F.get(again, F.lit(0))["at"], F.size(walk)))
+
+
+def parent_walks(parents: DataFrame) -> DataFrame:
+    """``path, walk, status, trouble`` of each document that is somebody's parent (``path, parent, readable``).
+
+    ``walk`` begins with the document itself. By pointer doubling: each round joins a walk to the walk
+    that its end goes on with, so a chain of n documents takes about log2(n) rounds, on paths alone. A
+    walk in which a document comes twice is a cycle.
+    """
+    one = F.array("path").alias("walk")
+    nothing = F.lit(None).cast("string")
+    state = parents.select(
+        "path", one, F.col("parent").alias("next"), F.when(F.col("parent").isNull(), "ok").alias("status"), nothing.alias("trouble"), "readable"
+    )
+    state = staged(state, "chain-round")
+    while not state.where("status is null").isEmpty():
+        ahead = broadcast_if_small(
+            state.select(
+                F.col("path").alias("next"), F.col("walk").alias("_walk"), F.col("next").alias("_next"), F.col("status").alias("_status"),
+                F.col("trouble").alias("_trouble"), F.col("readable").alias("_readable"),
+            )
+        )
+        met = state.where("status is null").join(ahead, "next", "left")
+        joined = F.concat("walk", "_walk")
+        # An end that leads back into its own walk, or to another that runs in a circle.
+        turns = F.size(F.array_distinct(joined)) < F.size(joined)
+        cut = _until_repeat(joined)
+        goes_on = F.coalesce(F.col("_readable"), F.lit(False))
+        step = met.select(
+            "path",
+            F.when(~goes_on, F.col("walk")).when(turns, cut).otherwise(joined).alias("walk"),
+            F.when(goes_on & ~turns, F.col("_next")).alias("next"),
+            F.when(F.col("_readable").isNull(), "missing").when(~F.col("_readable"), "unreadable").when(turns, "cycle").otherwise(F.col("_status")).alias("status"),
+            F.when(~goes_on, F.col("next")).when(turns, F.get(joined, F.size(cut))).otherwise(F.col("_trouble")).alias("trouble"),
+            "readable",
+        )
+        state = staged(state.where("status is not null").unionByName(step), "chain-round")
+    return state.select("path", "walk", "status", "trouble")
+
+
 def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Follow ``parent`` links from every start document up to its root.
 
@@ -18,59 +60,54 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
     (``ok``, ``cycle``, ``missing`` or ``unreadable``) and ``trouble`` (the path that ended a
     broken chain). A document that cannot be read ends its chain.
 
-    Chains are followed on paths alone, one round per inheritance level, each round cut by a
-    small table in the shared folder. A round joins the open chains with the documents that
-    serve as somebody's parent, which are few next to all documents; when they are too many
-    to broadcast, the join shuffles and AQE splits a parent that many children share. The
-    bodies are attached afterwards, one join per level, so no group of rows is gathered.
+    Only documents that serve as a parent, few next to all, are followed round by round
+    (:func:`parent_walks`). Their bodies are attached in long form by one join, and gathered for
+    each: a group is one chain. A start then meets the chain of its parent in one join, for which
+    that side is broadcast when it is small; otherwise AQE splits a parent that many share.
     """
     # Parsed once here; everything below reads the parsed form.
     if "readable" not in documents.columns:
         documents = documents.withColumn("readable", F.lit(True))
     documents = staged(documents, "chain-documents")
-    paths = documents.select("path", "parent", "readable")
-    if starts is not None:
-        paths = paths.join(starts.select(F.col("start").alias("path")), "path", "left_semi")
     used = documents.select(F.col("parent").alias("path")).where("path is not null").distinct()
     parents = documents.join(used, "path", "left_semi")
-    after = F.col("parent").alias("after")
-    links = broadcast_if_small(parents.select(F.col("path").alias("next"), after, F.col("readable").alias("known")))
-
-    start = F.col("path").alias("start")
-    open_chains = paths.where("readable").select(start, F.array("path").alias("paths"), F.col("parent").alias("next"))
-    unread = paths.where("not readable")
-    finished = [unread.select(start, F.array("path").alias("paths"), F.lit("unreadable").alias("status"), F.col("path").alias("trouble"))]
-
-    def finish(chains: DataFrame, status: Column) -> None:
-        finished.append(chains.select("start", "paths", status.alias("status"), F.col("next").alias("trouble")))
-
-    seen = F.array_contains("paths", F.col("next"))
-    while True:
-        finish(
-            open_chains.where(F.col("next").isNull() | seen),
-            F.when(F.col("next").isNull(), "ok").otherwise("cycle"),
-        )
-        still = open_chains.where(F.col("next").isNotNull() & ~seen)
-        stepped = staged(still.join(links, "next", "left"), "chain-level")
-        if stepped.isEmpty():
-            break
-        finish(stepped.where("known is not true"), F.when(F.col("known").isNull(), "missing").otherwise("unreadable"))
-        open_chains = stepped.where("known").select(
-            "start", F.array_append("paths", F.col("next")).alias("paths"), F.col("after").alias("next")
-        )
-    chains = reduce(DataFrame.unionByName, finished)
-
-    link = F.struct("path", "body")
-    with_bodies = chains.join(documents.select(F.col("path").alias("start"), link.alias("link_0")), "start")
-    levels = (len(finished) - 1) // 2 + 1
-    bodies = broadcast_if_small(parents.select(F.col("path").alias("_path"), link.alias("_link")))
-    for level in range(1, levels):
-        place = F.get("paths", F.lit(level))
-        with_bodies = with_bodies.join(
-            bodies.withColumnRenamed("_link", f"link_{level}"), place == F.col("_path"), "left"
-        ).drop("_path")
-    chain = F.array_compact(F.array(*[f"link_{level}" for level in range(levels)]))
-    return with_bodies.select("start", chain.alias("chain"), "status", "trouble")
+    walks = parent_walks(parents.select("path", "parent", "readable"))
+
+    link = F.struct("path", "body").alias("link")
+    steps = walks.select(F.col("path").alias("owner"), F.posexplode("walk").alias("depth", "path"))
+    bodies = steps.join(broadcast_if_small(parents.select("path", link)), "path")
+    by_depth = lambda a, b: a["depth"] - b["depth"]  # noqa: E731 - bodies hold values without an order
+    gathered = bodies.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("depth", "link")), by_depth).alias("links"))
+    above = walks.join(gathered.withColumnRenamed("owner", "path"), "path").select(
+        F.col("path").alias("parent"), "walk", F.transform("links", lambda x: x["link"]).alias("links"), F.col("status").alias("_status"), F.col("trouble").alias("_trouble")
+    )
+    readable_parents = parents.select(F.col("path").alias("parent"), F.col("readable").alias("_readable"))
+    above = staged(above.join(broadcast_if_small(readable_parents), "parent"), "chain-parents")
+
+    own = documents if starts is None else documents.join(starts.select(F.col("start").alias("path")), "path", "left_semi")
+    met = own.select("path", "parent", "readable", link).join(broadcast_if_small(above), "parent", "left")
+    # The parent's chain up to the start itself, if it leads back to it.
+    back = F.array_position("walk", F.col("path")).cast("int")
+    circle = F.coalesce(back, F.lit(0)) > 0
+    goes_on = F.col("readable") & F.coalesce(F.col("_readable"), F.lit(False))
+    rest = F.when(circle, F.slice("links", F.lit(1), back - 1)).otherwise(F.col("links"))
+    status = (
+        F.when(~F.col("readable"), "unreadable")
+        .when(F.col("parent").isNull(), "ok")
+        .when(F.col("_readable").isNull(), "missing")
+        .when(~F.col("_readable"), "unreadable")
+        .when(circle, "cycle")
+        .otherwise(F.col("_status"))
+    )
+    trouble = (
+        F.when(~F.col("readable"), F.col("path"))
+        .when(F.col("parent").isNull(), F.lit(None).cast("string"))
+        .when(~goes_on, F.col("parent"))
+        .when(circle, F.col("path"))
+        .otherwise(F.col("_trouble"))
+    )
+    chain = F.when(goes_on, F.concat(F.array("link"), rest)).otherwise(F.array("link"))
+    return met.select(F.col("path").alias("start"), chain.alias("chain"), status.alias("status"), trouble.alias("trouble"))
 
 
 def chain_links(chains: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ruleloom.functions.text import BLANK, bind, first_text, fold_out, indent_bl
 from ruleloom.operators.configs import entries_text, entry_value, exception_summary, object_entries, raw_field
 from ruleloom.operators.evidence import MATCHES_SHOWN
 from ruleloom.operators.reports import REPORT_KEY, location_text
+from ruleloom.session import lookup_join
 
 # Wording of the audit text, in output order.
 AUDIT_KEYS = ("prompt.audit.system", "prompt.audit.user")
@@ -148,7 +149,7 @@ def audit_headers(configs: DataFrame, locale_maps: DataFrame) -> DataFrame:
         return F.when(F.size(own) > 0, F.coalesce(V.as_text(entry_value(own, place)), F.lit(""))).otherwise(localized)
 
     header = _lines(text("auditSystem", AUDIT_KEYS[0]), "", text("auditUser", AUDIT_KEYS[1]), "", config_summary())
-    return configs.join(locale_maps, "locale", "left").select("project_id", header.alias("header"))
+    return lookup_join(configs, locale_maps, "locale").select("project_id", header.alias("header"))
 
 
 def audit_prompts(headers: DataFrame, rule_texts: DataFrame, evidence_texts: DataFrame) -> DataFrame:
@@ -314,8 +315,8 @@ def locale_maps(entries: DataFrame) -> DataFrame:
 
 def resolve_locales(wanted: DataFrame, known: DataFrame, fallback: str = "en") -> DataFrame:
     """Locale each project really gets: the wanted one if it has texts, else the fallback."""
-    have = known.select(F.col("locale").alias("_have")).distinct()
-    return wanted.join(have, F.col("locale") == F.col("_have"), "left").select(
+    have = known.select("locale", F.col("locale").alias("_have")).distinct()
+    return lookup_join(wanted, have, "locale").select(
         *[c for c in wanted.columns if c != "locale"],
         F.col("locale").alias("wanted_locale"),
         F.coalesce("_have", F.lit(fallback)).alias("locale"),
@@ -382,7 +383,7 @@ def localized_rules(documents: DataFrame, maps: DataFrame) -> DataFrame:
     """``documents`` has ``path, content, locale`` and an optional ``extends_path``."""
     target = F.col("extends_path") if "extends_path" in documents.columns else None
     keep = [c for c in documents.columns if c not in ("content", "extends_path")]
-    return documents.join(maps, "locale", "left").select(
+    return lookup_join(documents, maps, "locale").select(
         *keep, localized_document(F.col("content"), F.col("texts"), target).alias("content")
     )
 

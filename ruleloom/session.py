@@ -8,9 +8,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType, VariantType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType, VariantType
 
 BROADCAST_BYTES = 64 << 20
+#: Copies of a looked-up row that is too large to broadcast.
+SALTS = 64
 _STAGED: list[str] = []
 
 
@@ -44,6 +46,23 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if size <= max_bytes else df
 
 
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` left-joined to a ``table`` that has one row for each of few keys, without a shuffle of ``rows`` by the key.
+
+    The table is staged, so it is computed once and measured; below the bound it is broadcast. Beyond
+    it each of its rows is copied to ``SALTS`` salts, and a key that holds most of ``rows`` is dealt to
+    as many tasks.
+    """
+    table = staged(table, "lookup")
+    hinted = broadcast_if_small(table, max_bytes)
+    if hinted is not table:
+        return rows.join(hinted, key, "left")
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, ArrayType | StructType | MapType | VariantType)]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def _width(value: Column, kind: DataType) -> Column:
     """Bytes of a value, roughly: texts by length, lists by their elements, the rest flat."""
     if isinstance(kind, StringType | BinaryType):
@@ -53,6 +72,8 @@ def _width(value: Column, kind: DataType) -> Column:
         return F.aggregate(value, F.lit(8).cast("long"), lambda total, x: add(total, x).cast("long"))
     if isinstance(kind, StructType):
         return sum((F.coalesce(_width(value[f.name], f.dataType), F.lit(0)) for f in kind), F.lit(8))
+    if isinstance(kind, MapType):
+        return _width(F.map_entries(value), ArrayType(StructType().add("key", kind.keyType).add("value", kind.valueType)))
     return F.lit(16) if not isinstance(kind, VariantType) else F.octet_length(F.to_json(value)) + 8
 
 

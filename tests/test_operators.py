@@ -12,6 +12,7 @@ from ruleloom.operators import reports as R
 from ruleloom.operators import rules as RU
 from ruleloom.operators.inheritance import chain_links
 from ruleloom.plans import jobs
+from ruleloom.session import lookup_join
 from ruleloom.sources.sinks import as_json
 
 RULE_ROW = "project_id string, rule_pos bigint, rule_id string, regex string, `import` string, include string, `where` string"
@@ -351,3 +352,22 @@ def test_localized_config(spark):
     want = {"n": None, "prompt": {"style": "s", "promptTemplates": {"auditSystem": "Text", "repairUser": "q"}}}
     assert one(None) == want
     assert one("../base") == {"extends": "../base", **want}
+
+
+def test_few_keys_are_looked_up_without_a_shuffle_by_key(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 10 > 0, "en").when(F.col("id") > 0, "fr").alias("locale"), F.lit("text").alias("content"))
+    known = P.locale_maps(spark.createDataFrame([("en", "k", "one"), ("en", "l", "two"), ("fr", "k", "un"), ("zh", "k", "-")], "locale string, key string, text string"))
+    for bound in (1 << 20, 0):
+        found = lookup_join(rows, known, "locale", bound)
+        assert not bound or "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        counted = {r.locale: r.n for r in found.groupBy("locale").agg(F.count_if(F.col("texts")["k"].isNotNull()).alias("n")).collect()}
+        assert counted == {"en": 1800, "fr": 199, None: 0}
+
+
+def test_no_plan_deals_rows_by_locale(spark):
+    locales = spark.createDataFrame([("en", "k", "one"), ("fr", "k", "un")], "locale string, key string, text string")
+    documents = spark.createDataFrame([("a", "titleKey: k", "fr"), ("b", "titleKey: k", "xx")], "path string, content string, locale string")
+    named = P.resolve_locales(documents, locales).drop("wanted_locale")
+    done = P.localized_rules(named, P.locale_maps(locales))
+    assert "hashpartitioning" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r.path: (r.locale, r.content) for r in done.collect()} == {"a": ("fr", "title: un"), "b": ("en", "title: one")}
