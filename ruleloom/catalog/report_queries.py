@@ -70,6 +70,14 @@ def violations(i: I.Inputs):
     return R.normalize_issues(R.report_issues(i.reports())).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def report_violations(i: I.Inputs):
+    return R.report_violations(i.reports())
+
+
+def _position(rows):
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 # --- queries --------------------------------------------------------------------------------
 
 
@@ -152,7 +160,8 @@ def severity_summary(i):
 )
 def issues_by_rule(i):
     wanted = F.concat(F.lit("EXTRA-"), F.regexp_replace("project_id", "proj-", ""))
-    return R.issues_of_rule(violations(i), wanted).select("project_id", "report_id", "pos", "issue_id", "rule_id")
+    found = R.violation_rows(R.select_rule(report_violations(i), wanted))
+    return _position(found).select("project_id", "report_id", "pos", "issue_id", "rule_id")
 
 
 @query(
@@ -162,8 +171,8 @@ def issues_by_rule(i):
 where nth = 1""",
 )
 def issue_lookup(i):
-    found = R.first_issue(violations(i), F.lit("ISSUE-0"))
-    return found.select("project_id", "report_id", "pos", "issue_id", "rule_id", "severity")
+    found = R.violation_rows(R.select_issue(report_violations(i), F.lit("ISSUE-0")))
+    return _position(found).select("project_id", "report_id", "pos", "issue_id", "rule_id", "severity")
 
 
 @query(
@@ -180,12 +189,12 @@ def severity_threshold(i):
 from v group by all""",
 )
 def issues_grouped(i):
-    return R.issues_grouped(violations(i))
+    return R.issues_grouped(report_violations(i)).withColumn("first_pos", F.col("first_pos").cast("bigint"))
 
 
 @query("duplicate_issues", f"with {ISSUES}, {REPEATS} select {_KEYS}, issue_id, rule_id from repeats")
 def duplicate_issues(i):
-    return R.duplicate_issues(violations(i)).select("project_id", "report_id", "pos", "issue_id", "rule_id")
+    return _position(R.duplicate_issues(report_violations(i))).select("project_id", "report_id", "pos", "issue_id", "rule_id")
 
 
 @query(
@@ -193,8 +202,8 @@ def duplicate_issues(i):
     f"with {ISSUES}, {FINDINGS} select {_KEYS}, cast(chk as bigint) as check_no, level, message from findings",
 )
 def report_findings(i):
-    return Q.report_findings(violations(i)).select(
-        "project_id", "report_id", F.col("seq.pos").alias("pos"), F.col("seq.check").cast("bigint").alias("check_no"), "level", "message"
+    return Q.report_findings(report_violations(i)).select(
+        "project_id", "report_id", F.col("seq.pos").cast("bigint").alias("pos"), F.col("seq.check").cast("bigint").alias("check_no"), "level", "message"
     )
 
 
@@ -205,7 +214,7 @@ def report_findings(i):
 from readable r left join findings f on f.project_id = r.project_id and f.report_id = r.report_id group by all""",
 )
 def report_status(i):
-    return Q.finding_summary(R.report_header(i.reports()), Q.report_findings(violations(i)), *R.REPORT_KEY)
+    return Q.report_status(report_violations(i))
 
 
 @query(
@@ -215,8 +224,7 @@ select project_id, report_id from readable
 where (project_id, report_id) not in (select project_id, report_id from findings where level = 'error')""",
 )
 def gated_projects(i):
-    reports = R.report_header(i.reports()).select(*R.REPORT_KEY)
-    return Q.without_errors(reports, Q.report_findings(violations(i)), *R.REPORT_KEY)
+    return Q.clean_reports(report_violations(i)).select(*R.REPORT_KEY)
 
 
 # A report's issues in their documented form, as one text of all twelve fields.

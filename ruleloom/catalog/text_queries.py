@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ruleloom.catalog import inputs as I
 from ruleloom.catalog.evidence_queries import HITS, LINES, PATTERN_LISTS, SCOPED, corpus, sql_trim, _MODE
 from ruleloom.catalog.registry import query
-from ruleloom.catalog.report_queries import FINDINGS, ISSUES, LOCATION, violations
+from ruleloom.catalog.report_queries import FINDINGS, ISSUES, LOCATION, report_violations
 from ruleloom.catalog.setup_queries import BOTH, CONFIG, RULE_FINDINGS, RULES, configs, project_rules, rule_chain_table, rules
 from ruleloom.operators import evidence as E
 from ruleloom.operators import prompts as P
@@ -238,8 +238,14 @@ def audit_context(i):
 # --- repair texts ---------------------------------------------------------------------------
 
 
+def enriched_reports(i: I.Inputs) -> DataFrame:
+    return jobs.fix_issues(report_violations(i), rules(i), configs(i))
+
+
 def enriched_issues(i: I.Inputs) -> DataFrame:
-    return jobs.fix_issues(violations(i), rules(i), configs(i))
+    """One row per issue, the issue as a struct."""
+    rows = enriched_reports(i).select(*R.REPORT_KEY, F.explode("violations").alias("issue"))
+    return rows.withColumn("pos", F.col("issue.pos").cast("bigint"))
 
 
 @query(
@@ -248,8 +254,8 @@ def enriched_issues(i: I.Inputs) -> DataFrame:
 )
 def issues_enriched(i):
     return enriched_issues(i).select(
-        "project_id", "report_id", "pos", "issue_id", "rule_id", F.col("rule").isNotNull().alias("known"),
-        F.col("rule.severity").alias("rule_severity"), F.col("rule.fix").alias("rule_fix"),
+        "project_id", "report_id", "pos", "issue.issue_id", "issue.rule_id", F.col("issue.rule").isNotNull().alias("known"),
+        F.col("issue.rule.severity").alias("rule_severity"), F.col("issue.rule.fix").alias("rule_fix"),
     )
 
 
@@ -260,7 +266,7 @@ def issues_enriched(i):
 )
 def merged_context(i):
     return enriched_issues(i).select(
-        "project_id", "report_id", "pos", P.merged_context(F.col("context"), F.col("rule.context")).alias("context")
+        "project_id", "report_id", "pos", P.merged_context(F.col("issue.context"), F.col("issue.rule.context")).alias("context")
     )
 
 
@@ -269,7 +275,7 @@ def merged_context(i):
     f"with {FIX} select project_id, report_id, cast(pos as bigint) as pos, {FALLBACK} as prompt from enriched",
 )
 def fallback_prompts(i):
-    return enriched_issues(i).select("project_id", "report_id", "pos", P.fallback_prompt().alias("prompt"))
+    return enriched_issues(i).select("project_id", "report_id", "pos", P.fallback_prompt(F.col("issue")).alias("prompt"))
 
 
 @query(
@@ -277,7 +283,7 @@ def fallback_prompts(i):
     f"with {FIX}, {BY_RULE} select project_id, report_id, rule_id, cast(first_pos as bigint) as first_pos, prompt from by_rule",
 )
 def fix_prompts_by_rule(i):
-    return P.fix_prompts_by_rule(enriched_issues(i))
+    return P.fix_prompts_by_rule(enriched_reports(i)).withColumn("first_pos", F.col("first_pos").cast("bigint"))
 
 
 @query(
@@ -287,7 +293,7 @@ def fix_prompts_by_rule(i):
 select project_id, report_id, rule_id, issue_id, prompt from by_rule""",
 )
 def fix_prompts_by_issue(i):
-    return P.fix_prompts_by_rule(enriched_issues(i), "issue_id").drop("first_pos")
+    return P.fix_prompts_by_issue(enriched_reports(i))
 
 
 @query(
@@ -300,7 +306,7 @@ def fix_prompts_by_issue(i):
 from enriched group by all""",
 )
 def fix_prompts_all(i):
-    return P.fix_prompts_all(enriched_issues(i))
+    return P.fix_prompts_all(enriched_reports(i))
 
 
 @query(
@@ -309,7 +315,21 @@ def fix_prompts_all(i):
 from by_rule group by all""",
 )
 def fix_prompts_grouped(i):
-    return P.fix_prompts_grouped(P.fix_prompts_by_rule(enriched_issues(i)))
+    return P.fix_prompts_grouped(enriched_reports(i))
+
+
+# One issue of each report, under another rule than its own.
+FIX_ONE = FIX.replace("from clean c left join", "from chosen c left join").replace(
+    "latest as (", "chosen as (select * replace ('EXTRA-' || user_id as rule_id) from clean where issue_id = 'ISSUE-' || report_id || '-1'),\nlatest as ("
+)
+
+
+@query("fix_prompt_of_issue", f"with {FIX_ONE}, {BY_RULE} select project_id, report_id, rule_id, cast(first_pos as bigint) as first_pos, prompt from by_rule")
+def fix_prompt_of_issue(i):
+    issue = F.concat(F.lit("ISSUE-"), "report_id", F.lit("-1"))
+    rule = F.concat(F.lit("EXTRA-"), F.regexp_replace("project_id", "proj-", ""))
+    chosen = jobs.fix_issues(report_violations(i), rules(i), configs(i), issue, rule)
+    return P.fix_prompts_by_rule(chosen).withColumn("first_pos", F.col("first_pos").cast("bigint"))
 
 
 # --- localisation ---------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,30 @@ def last_of_each_key(entries: Column) -> Column:
         return bind(key_groups(flat), picked)
 
     return bind(entries, build)
+
+
+def occurrences(keys: Column) -> Column:
+    """For each element of ``keys`` how often it has come up to there, from 1."""
+
+    def counted(found: Column) -> Column:
+        own = lambda g: F.slice(found["places"], g["at"] + 1, g["size"])
+        numbered = F.transform(found["groups"], lambda g: F.transform(own(g), lambda p, n: F.struct(p.alias("place"), (n + 1).alias("nth"))))
+        return F.transform(F.array_sort(F.flatten(numbered)), lambda x: x["nth"])
+
+    return bind(key_groups(F.transform(keys, lambda k: F.struct(k.alias("key")))), counted)
+
+
+def grouped(elements: Column, key: Callable[[Column], Column], made: Callable[[Column, Column], Column]) -> Column:
+    """``made(first, own)`` for the elements of each key, keys in the order in which they first appear.
+
+    ``own`` are the key's elements in order, ``first`` is the first of them.
+    """
+
+    def build(all_: Column) -> Column:
+        def picked(found: Column) -> Column:
+            own = lambda g: F.transform(F.slice(found["places"], g["at"] + 1, g["size"]), lambda p: F.get(all_, p))
+            return F.transform(found["groups"], lambda g: bind(own(g), lambda mine: bind(F.get(mine, F.lit(0)), lambda first: made(first, mine))))
+
+        return bind(key_groups(F.transform(all_, lambda e: F.struct(key(e).alias("key")))), picked)
+
+    return bind(elements, build)

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
+from ruleloom.functions.entries import grouped
 from ruleloom.functions.text import BLANK, bind, first_text, fold_out, indent_block, joined_or_none, lines_of, replace_first, trim_blank
 from ruleloom.operators.configs import entries_text, entry_value, exception_summary, object_entries, raw_field
 from ruleloom.operators.evidence import MATCHES_SHOWN
 from ruleloom.operators.reports import REPORT_KEY, location_text
-from ruleloom.session import lookup_join
+from ruleloom.session import broadcast_if_small, lookup_join, staged
 
 # Wording of the audit text, in output order.
 AUDIT_KEYS = ("prompt.audit.system", "prompt.audit.user")
@@ -30,7 +31,6 @@ REPORT_SCHEMA = '{ "version": "1.1", "generatedAt": "ISO-8601", "project": { "cw
 FALLBACK_TASK = "Task: Provide a minimal patch that fixes this violation and keeps existing architecture boundaries intact."
 FALLBACK_OUTPUT = "Expected output: short step-by-step fix plan + patch-ready code edits."
 NO_SUGGESTION = "Refactor this code path to satisfy the rule intent and architecture boundaries."
-RULE_TASK = "Task: Fix all reported instances of {} while preserving architecture boundaries and existing behavior."
 RULE_OUTPUT = "Expected output: short fix plan + minimal patch-ready code edits + tests when behavior changes."
 ALL_INTRO = (
     "You have multiple rule violations in this report.",
@@ -177,18 +177,17 @@ def audit_prompts(headers: DataFrame, rule_texts: DataFrame, evidence_texts: Dat
 # --- repair texts ---------------------------------------------------------------------------
 
 
-def enrich_issues(violations: DataFrame, rules: DataFrame) -> DataFrame:
-    """Issues with the metadata of their rule as struct ``rule``, NULL when unknown.
+def enrich_issues(reports: DataFrame, rules: DataFrame) -> DataFrame:
+    """Reports whose ``violations`` carry the metadata of their rule as struct ``rule``, NULL when unknown.
 
-    ``rules`` is unique per project and rule id. Neither side is hinted: Spark broadcasts a
-    rule table it knows to be small, and otherwise AQE splits the shuffle of a hot rule.
+    ``rules`` is unique per project and rule id. A project's rules make one map, which meets each of
+    its reports once; that side is broadcast when it is small. All texts are then made in the row.
     """
-    meta = rules.select(
-        "project_id",
-        "rule_id",
-        F.struct("severity", "scope", "intent", "fix", "context", F.try_element_at("prompt", F.lit("requirement")).alias("requirement")).alias("rule"),
-    )
-    return violations.join(meta, ["project_id", "rule_id"], "left")
+    meta = F.struct("severity", "scope", "intent", "fix", "context", F.try_element_at("prompt", F.lit("requirement")).alias("requirement"))
+    maps = rules.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("rule_id", meta.alias("rule")))).alias("_rules"))
+    met = reports.join(broadcast_if_small(staged(maps, "rule-maps")), "project_id", "left")
+    rule = lambda v: F.try_element_at("_rules", v["rule_id"])
+    return met.select(*REPORT_KEY, F.transform("violations", lambda v: v.withField("rule", rule(v))).alias("violations"))
 
 
 def merged_context(issue_context: Column, rule_context: Column) -> Column:
@@ -198,44 +197,44 @@ def merged_context(issue_context: Column, rule_context: Column) -> Column:
     return F.when(F.size(both) > 0, F.array_join(both, ", ", "null"))
 
 
-def suggestion() -> Column:
-    return F.coalesce(first_text(F.col("fix_suggestion"), F.col("rule.fix")), F.lit(NO_SUGGESTION))
+def suggestion(issue: Column) -> Column:
+    return F.coalesce(first_text(issue["fix_suggestion"], issue["rule"]["fix"]), F.lit(NO_SUGGESTION))
 
 
 # The labels of the lines below.
-def fallback_prompt() -> Column:
+def fallback_prompt(issue: Column) -> Column:
     """Repair text for an issue whose report gives none (P5)."""
-    location = location_text(F.col("file"), F.col("line"))
+    location, rule = location_text(issue["file"], issue["line"]), issue["rule"]
     labelled = lambda label, text, tail="": F.concat(F.lit(label), F.nullif(text, F.lit("")), F.lit(tail))
     return _lines(
-        _say("You violated rule ", F.col("rule_id"), "."),
-        labelled("Rule intent: ", F.col("rule.intent")),
-        labelled("Requirement: ", F.col("rule.requirement")),
+        _say("You violated rule ", issue["rule_id"], "."),
+        labelled("Rule intent: ", rule["intent"]),
+        labelled("Requirement: ", rule["requirement"]),
         labelled("Location: ", location, "."),
-        labelled("Snippet: ", F.col("snippet")),
-        _say("Issue: ", F.col("description")),
+        labelled("Snippet: ", issue["snippet"]),
+        _say("Issue: ", issue["description"]),
         FALLBACK_TASK,
         FALLBACK_OUTPUT,
-        _say("Suggested direction: ", suggestion()),
-        labelled("Rule fix guidance: ", F.col("rule.fix")),
-        labelled("Available context: ", merged_context(F.col("context"), F.col("rule.context"))),
+        _say("Suggested direction: ", suggestion(issue)),
+        labelled("Rule fix guidance: ", rule["fix"]),
+        labelled("Available context: ", merged_context(issue["context"], rule["context"])),
     )
 
 
 # The labels of the lines below.
-def _issue_lines(first: Column, detailed: bool) -> Column:
+def _issue_lines(issue: Column, first: Column, detailed: bool) -> Column:
     """Lines of one issue. Only the per-rule form shows confidence and evidence (Q24)."""
-    location = location_text(F.col("file"), F.col("line"))
-    text = F.coalesce(first_text(F.col("repair_prompt")), fallback_prompt())
-    confidence = F.concat(F.lit("  Confidence: "), V.number_text(F.col("confidence")))
-    evidence = _say("  Evidence: source=", F.col("evidence_source"), ", matchedBy=", first_text(F.col("matched_by")))
+    location = location_text(issue["file"], issue["line"])
+    text = F.coalesce(first_text(issue["repair_prompt"]), fallback_prompt(issue))
+    confidence = F.concat(F.lit("  Confidence: "), V.number_text(issue["confidence"]))
+    evidence = _say("  Evidence: source=", issue["evidence_source"], ", matchedBy=", first_text(issue["matched_by"]))
     return _lines(
         first,
         F.concat(F.lit("  Location: "), location),
         confidence if detailed else F.lit(None).cast("string"),
-        _say("  Issue: ", F.col("description")),
-        _say("  Suggested direction: ", suggestion()),
-        F.concat(F.lit("  Snippet: "), F.nullif("snippet", F.lit(""))),
+        _say("  Issue: ", issue["description"]),
+        _say("  Suggested direction: ", suggestion(issue)),
+        F.concat(F.lit("  Snippet: "), F.nullif(issue["snippet"], F.lit(""))),
         evidence if detailed else F.lit(None).cast("string"),
         "  Repair prompt:",
         indent_block(text, 4),
@@ -243,10 +242,9 @@ def _issue_lines(first: Column, detailed: bool) -> Column:
 
 
 # The labels of the lines below.
-def rule_context() -> Column:
+def rule_context(rule_id: Column, rule: Column) -> Column:
     """Rule metadata lines of a repair text."""
     known = lambda c: F.coalesce(first_text(c), F.lit("unknown"))
-    rule = F.col("rule")
     lines = _lines(
         _say("- severity: ", known(rule["severity"])),
         _say("- scope: ", known(rule["scope"])),
@@ -255,53 +253,60 @@ def rule_context() -> Column:
         _say("- fix guidance: ", known(rule["fix"])),
         F.when(F.size(rule["context"]) > 0, _say("- context assets: ", F.array_join(rule["context"], ", "))),
     )
-    return F.when(rule.isNull(), _say("- Rule metadata for ", F.col("rule_id"), " was not found locally.")).otherwise(lines)
-
+    return F.when(rule.isNull(), _say("- Rule metadata for ", rule_id, " was not found locally.")).otherwise(lines)
 
-def fix_prompts_by_rule(enriched: DataFrame, *extra: str) -> DataFrame:
-    """Repair text per report and rule (P6). ``extra`` keys narrow it, e.g. to single issues.
 
-    A group holds issues of one report, and a report is one input row.
-    """
-    task = RULE_TASK.split("{}")
+def rule_prompt(first: Column, issues: Column) -> Column:
+    """Repair text for issues of one rule (P6), ``first`` being the first of them."""
+    rule_id = first["rule_id"]
     head = _lines(
-        _say("You need to fix violations of rule ", F.col("rule_id"), "."),
-        _say(task[0], F.col("rule_id"), task[1]),
+        _say("You need to fix violations of rule ", rule_id, "."),
+        _say("Task: Fix all reported instances of ", rule_id, " while preserving architecture boundaries and existing behavior."),
         RULE_OUTPUT,
         "",
         "Rule context:",
-        rule_context(),
+        rule_context(rule_id, first["rule"]),
         "",
         "Violations:",
     )
-    issue = _issue_lines(_say("- IssueId: ", F.col("issue_id")), detailed=True)
-    # The head is equal within a group, so it is built once per group instead of per issue.
-    grouped = (
-        enriched.select(*REPORT_KEY, "rule_id", *extra, "rule", F.struct("pos", issue.alias("text")).alias("piece"))
-        .groupBy(*REPORT_KEY, "rule_id", *extra)
-        .agg(F.first("rule").alias("rule"), F.array_sort(F.collect_list("piece")).alias("pieces"))
-    )
-    body = F.array_join(F.transform("pieces", lambda p: p["text"]), "\n")
-    first_pos = F.element_at("pieces", 1)["pos"]
-    return grouped.select(*REPORT_KEY, "rule_id", *extra, first_pos.alias("first_pos"), _lines(head, body).alias("prompt"))
+    texts = F.transform(issues, lambda v: _issue_lines(v, _say("- IssueId: ", v["issue_id"]), detailed=True))
+    return _lines(head, F.array_join(texts, "\n"))
+
+
+def _rule_prompts() -> Column:
+    """Texts of a report's rules, in first-seen order."""
+
+    def made(first: Column, own: Column) -> Column:
+        return F.struct(first["rule_id"].alias("rule_id"), first["pos"].alias("first_pos"), rule_prompt(first, own).alias("prompt"))
+
+    return grouped(F.col("violations"), lambda v: v["rule_id"], made)
+
+
+def fix_prompts_by_rule(enriched: DataFrame) -> DataFrame:
+    """Repair text per report and rule."""
+    return enriched.select(*REPORT_KEY, F.inline(_rule_prompts()))
+
+
+def fix_prompts_by_issue(enriched: DataFrame) -> DataFrame:
+    """Repair text per report and issue id; of a repeated id the first issue counts."""
+
+    def made(first: Column, own: Column) -> Column:
+        return F.struct(first["rule_id"].alias("rule_id"), first["issue_id"].alias("issue_id"), rule_prompt(first, F.array(first)).alias("prompt"))
+
+    return enriched.select(*REPORT_KEY, F.inline(grouped(F.col("violations"), lambda v: v["issue_id"], made)))
 
 
 def fix_prompts_all(enriched: DataFrame) -> DataFrame:
     """Flat repair text over all issues of a report."""
-    issue = _issue_lines(_say("- Rule: ", F.col("rule_id"), " | IssueId: ", F.col("issue_id")), detailed=False)
-    grouped = (
-        enriched.select(*REPORT_KEY, F.struct("pos", issue.alias("text")).alias("piece"))
-        .groupBy(*REPORT_KEY)
-        .agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-    )
-    body = F.array_join(F.transform("pieces", lambda p: p["text"]), "\n")
-    return grouped.select(*REPORT_KEY, _lines(*ALL_INTRO, body).alias("prompt"))
+    first = lambda v: _say("- Rule: ", v["rule_id"], " | IssueId: ", v["issue_id"])
+    body = F.array_join(F.transform("violations", lambda v: _issue_lines(v, first(v), detailed=False)), "\n")
+    return enriched.where(F.size("violations") > 0).select(*REPORT_KEY, _lines(*ALL_INTRO, body).alias("prompt"))
 
 
-def fix_prompts_grouped(by_rule: DataFrame) -> DataFrame:
+def fix_prompts_grouped(enriched: DataFrame) -> DataFrame:
     """Per-rule repair texts of a report in first-seen order (Q26)."""
-    pieces = by_rule.groupBy(*REPORT_KEY).agg(F.array_sort(F.collect_list(F.struct("first_pos", "prompt"))).alias("pieces"))
-    return pieces.select(*REPORT_KEY, F.array_join(F.transform("pieces", lambda p: p["prompt"]), "\n\n").alias("prompt"))
+    texts = F.array_join(F.transform(_rule_prompts(), lambda p: p["prompt"]), "\n\n")
+    return enriched.where(F.size("violations") > 0).select(*REPORT_KEY, texts.alias("prompt"))
 
 
 # --- localisation ---------------------------------------------------------------------------

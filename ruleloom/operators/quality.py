@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
+from ruleloom.functions.entries import occurrences
+from ruleloom.functions.text import bind
 from ruleloom.operators.configs import entry_value
-from ruleloom.operators.reports import REPORT_KEY, SEVERITIES, UNKNOWN_ISSUE, UNKNOWN_RULE, issue_repeat
+from ruleloom.operators.reports import REPORT_KEY, SEVERITIES, UNKNOWN_ISSUE, UNKNOWN_RULE
 from ruleloom.operators.rules import duplicate_rules
 
 # Name that messages give to a project's configuration file.
@@ -287,24 +289,43 @@ def without_errors(subjects: DataFrame, findings: DataFrame, *keys: str) -> Data
     return subjects.join(findings.where("level = 'error'").select(*on), on, "left_anti")
 
 
-def report_findings(violations: DataFrame) -> DataFrame:
-    """Missing ids, repeated ids, bad severity, missing repair prompt, ordered by ``seq``.
+def issue_findings(violations: Column) -> Column:
+    """D10 for the violations of one report: missing ids, repeated ids, bad severity, missing repair prompt.
 
-    One pass and one shuffle of five narrow columns; each issue yields its list of findings.
+    An array of ``seq, level, message`` in the order of the issues and checks, made within the row.
     """
-    issue, rule, severity = F.col("issue_id"), F.col("rule_id"), F.col("severity")
-    narrow = violations.select(
-        *REPORT_KEY, "pos", "issue_id", "rule_id", "severity", _blank(F.col("repair_prompt")).alias("no_prompt")
-    ).withColumn("nth", issue_repeat())
-    checks = [
-        (issue == UNKNOWN_ISSUE, "error", _text("Violation for rule '", rule, "' is missing issueId.")),
-        (F.col("nth") > 1, "error", _text("Duplicate issueId '", issue, "' found in report.")),
-        (rule == UNKNOWN_RULE, "error", _text("Violation '", issue, "' is missing ruleId.")),
-        (~severity.isin(*SEVERITIES), "error", _text("Violation '", issue, "' has invalid severity '", severity, "'.")),
-        (F.col("no_prompt"), "warn", _text("Violation '", issue, "' is missing repairPrompt.")),
-    ]
-    findings = [
-        F.when(bad, F.struct(F.struct("pos", F.lit(at).alias("check")).alias("seq"), F.lit(level).alias("level"), text.alias("message")))
-        for at, (bad, level, text) in enumerate(checks)
-    ]
-    return narrow.select(*REPORT_KEY, F.inline(F.array_compact(F.array(*findings))))
+
+    def checked(v: Column, nth: Column) -> Column:
+        issue, rule, severity = v["issue_id"], v["rule_id"], v["severity"]
+        checks = [
+            (issue == UNKNOWN_ISSUE, "error", _text("Violation for rule '", rule, "' is missing issueId.")),
+            ((issue != UNKNOWN_ISSUE) & (nth > 1), "error", _text("Duplicate issueId '", issue, "' found in report.")),
+            (rule == UNKNOWN_RULE, "error", _text("Violation '", issue, "' is missing ruleId.")),
+            (~severity.isin(*SEVERITIES), "error", _text("Violation '", issue, "' has invalid severity '", severity, "'.")),
+            (_blank(v["repair_prompt"]), "warn", _text("Violation '", issue, "' is missing repairPrompt.")),
+        ]
+        found = [
+            F.when(bad, F.struct(F.struct(v["pos"].alias("pos"), F.lit(at).alias("check")).alias("seq"), F.lit(level).alias("level"), text.alias("message")))
+            for at, (bad, level, text) in enumerate(checks)
+        ]
+        return F.array_compact(F.array(*found))
+
+    nths = occurrences(F.transform(violations, lambda v: v["issue_id"]))
+    return F.flatten(bind(nths, lambda n: F.transform(violations, lambda v, at: checked(v, F.get(n, at)))))
+
+
+def report_findings(reports: DataFrame) -> DataFrame:
+    """D10 findings of :func:`ruleloom.operators.reports.report_violations`, one row each, ordered by ``seq``. No shuffle."""
+    return reports.select(*REPORT_KEY, F.inline(issue_findings(F.col("violations"))))
+
+
+def report_status(reports: DataFrame) -> DataFrame:
+    """A6 for reports: errors, warnings and whether a report passes, read off its row."""
+    levels = reports.select(*REPORT_KEY, F.transform(issue_findings(F.col("violations")), lambda f: f["level"]).alias("levels"))
+    count = lambda level: F.size(F.filter("levels", lambda x: x == level)).cast("bigint")
+    return levels.select(*REPORT_KEY, count("error").alias("errors"), count("warn").alias("warnings"), (count("error") == 0).alias("passed"))
+
+
+def clean_reports(reports: DataFrame) -> DataFrame:
+    """F12 for reports: those without an error finding (Q22)."""
+    return reports.where(~F.exists(issue_findings(F.col("violations")), lambda f: f["level"] == "error"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
+from ruleloom.functions.entries import grouped, occurrences
+from ruleloom.functions.text import bind
 
 REPORT_KEY = ("project_id", "report_id")
 
@@ -118,6 +120,22 @@ def documented_issue(issue: Column) -> Column:
     return F.struct(*plain, evidence.alias("evidence"), found["context"].alias("context"))
 
 
+def report_violations(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row per readable report: ``violations``, its normalised issues with ``pos`` from 0.
+
+    Parsed once and kept in the report's row, so that checks and texts of a report need no shuffle.
+    """
+    parsed = reports.select(*REPORT_KEY, F.try_parse_json(raw).alias("doc")).where("doc is not null")
+    issues = F.coalesce(issue_array(F.col("doc")), F.array().cast("array<variant>"))
+    one = lambda issue, pos: F.struct(pos.alias("pos"), *[c.alias(name) for name, c in _fields(issue).items()])
+    return parsed.select(*REPORT_KEY, F.transform(issues, one).alias("violations"))
+
+
+def violation_rows(reports: DataFrame) -> DataFrame:
+    """The violations of :func:`report_violations`, one row each."""
+    return reports.select(*REPORT_KEY, F.inline("violations"))
+
+
 def normalize_issues(issues: DataFrame) -> DataFrame:
     """All normalised fields in one projection over ``issue`` VARIANT rows."""
     keys = [c for c in issues.columns if c != "issue"]
@@ -161,37 +179,38 @@ def location_text(file: Column, line: Column) -> Column:
     return F.when(F.coalesce(line, F.lit(0.0)) != 0, F.concat(given, F.lit(":"), V.number_text(line))).otherwise(given)
 
 
-def issue_repeat() -> Column:
-    """How often an issue id occurred in its report up to this issue; NULL without an id.
-
-    A window over parts of a report is safe, because a report is one input row.
-    """
-    earlier = Window.partitionBy(*REPORT_KEY, "issue_id").orderBy("pos")
-    return F.when(F.col("issue_id") != UNKNOWN_ISSUE, F.row_number().over(earlier))
+def duplicate_issues(reports: DataFrame) -> DataFrame:
+    """Repeats of an issue id within a report, after the first (Q20), one row each."""
 
+    def repeats(violations: Column, nth: Column) -> Column:
+        return F.filter(violations, lambda v, at: (v["issue_id"] != UNKNOWN_ISSUE) & (F.get(nth, at) > 1))
 
-def duplicate_issues(violations: DataFrame) -> DataFrame:
-    """Repeats of an issue id within a report, after the first (Q20)."""
-    return violations.withColumn("_nth", issue_repeat()).where("_nth > 1").drop("_nth")
+    nth = occurrences(F.transform("violations", lambda v: v["issue_id"]))
+    return reports.select(*REPORT_KEY, F.inline(bind(nth, lambda n: repeats(F.col("violations"), n))))
 
 
-def issues_grouped(violations: DataFrame) -> DataFrame:
+def issues_grouped(reports: DataFrame) -> DataFrame:
     """Issues per report and rule; ``first_pos`` gives first-seen order (A5, Q26)."""
-    return violations.groupBy(*REPORT_KEY, "rule_id").agg(
-        F.count("*").alias("n_issues"), F.min("pos").alias("first_pos")
-    )
+
+    def made(first: Column, own: Column) -> Column:
+        return F.struct(first["rule_id"].alias("rule_id"), F.size(own).cast("bigint").alias("n_issues"), first["pos"].alias("first_pos"))
+
+    return reports.select(*REPORT_KEY, F.inline(grouped(F.col("violations"), lambda v: v["rule_id"], made)))
 
 
-def issues_of_rule(violations: DataFrame, rule_id: Column) -> DataFrame:
-    """Issues of one rule (F9); the id may differ from report to report."""
-    return violations.where(F.col("rule_id") == rule_id)
+def select_rule(reports: DataFrame, rule_id: Column) -> DataFrame:
+    """Reports with their issues of one rule only (F9); the id may differ from report to report."""
+    own = F.filter("violations", lambda v: v["rule_id"] == rule_id)
+    return reports.withColumn("violations", own).where(F.size("violations") > 0)
 
 
-def first_issue(violations: DataFrame, issue_id: Column) -> DataFrame:
-    """First issue with the id in every report that has one."""
-    found = violations.where(F.col("issue_id") == issue_id)
-    rest = [c for c in found.columns if c not in REPORT_KEY]
-    return found.groupBy(*REPORT_KEY).agg(F.min_by(F.struct(*rest), "pos").alias("_first")).select(*REPORT_KEY, "_first.*")
+def select_issue(reports: DataFrame, issue_id: Column, rule_id: Column | None = None) -> DataFrame:
+    """Reports with the first issue of an id only (F10); ``rule_id``, unless empty, takes the place of the issue's own."""
+    found = F.slice(F.filter("violations", lambda v: v["issue_id"] == issue_id), F.lit(1), F.lit(1))
+    if rule_id is not None:
+        given = F.nullif(rule_id, F.lit(""))
+        found = F.transform(found, lambda v: v.withField("rule_id", F.coalesce(given, v["rule_id"])))
+    return reports.withColumn("violations", found).where(F.size("violations") > 0)
 
 
 def at_or_above(violations: DataFrame, threshold: Column) -> DataFrame:

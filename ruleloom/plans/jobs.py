@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.paths import resolve_from
@@ -54,13 +54,15 @@ def rules_of(chains: DataFrame, project_rules: DataFrame) -> DataFrame:
 
 
 def audit(
-    files: DataFrame, projects: DataFrame, rules: DataFrame, locales: DataFrame, parsed: DataFrame | None = None
+    files: DataFrame, projects: DataFrame, rules: DataFrame, locales: DataFrame, parsed: DataFrame | None = None, locale: str | None = None
 ) -> dict[str, DataFrame]:
     """Findings, evidence and prompts. Projects with error findings are left out of the scan.
 
     ``parsed`` names the projects whose rule documents could be read; others stop, too,
     whatever their configuration enables. Without it all count as read.
 
+    ``locale``, unless empty, goes before the locales that the configurations name.
+
     ``projects`` and ``rules`` come from :func:`load_projects` and :func:`load_rules`.
     Gating before the scan saves reading the texts of projects whose prompt would be withheld.
     """
@@ -72,7 +74,8 @@ def audit(
     evidence = staged(E.evidence_records(E.files_in_scope(files, open_projects), resolved), "evidence")
     active = Q.active_rules(open_rules, open_projects)
     maps = P.locale_maps(locales)
-    headers = P.audit_headers(P.resolve_locales(open_projects, locales), maps)
+    wanted = open_projects.withColumn("locale", F.lit(locale)) if locale else open_projects
+    headers = P.audit_headers(P.resolve_locales(wanted, locales), maps)
     prompts = P.audit_prompts(headers, P.rule_sections(active), P.evidence_sections(active, evidence))
     return {"projects": open_projects, "findings": findings, "evidence": evidence, "prompts": prompts}
 
@@ -113,26 +116,33 @@ def audit_context(projects: DataFrame, rules: DataFrame, evidence: DataFrame, fi
 
 def validate_reports(reports: DataFrame, raw: str = "raw") -> dict[str, DataFrame]:
     """Normalised violations, findings and pass/fail summary of report texts."""
-    violations = staged(R.normalize_issues(R.report_issues(reports, raw)), "violations")
-    findings = Q.report_findings(violations)
+    # Parsed once; all four are read off the report's row.
+    normal = staged(R.report_violations(reports, raw), "reports")
+    severities = F.transform("violations", lambda v: v["severity"])
     return {
-        "violations": violations,
-        "findings": findings,
-        "summary": R.severity_summary(reports, raw),
-        "status": Q.finding_summary(R.report_header(reports, raw), findings, *R.REPORT_KEY),
+        "violations": R.violation_rows(normal),
+        "findings": Q.report_findings(normal),
+        "summary": normal.select(*R.REPORT_KEY, R.severity_counts(severities).alias("s")).select(*R.REPORT_KEY, "s.*"),
+        "status": Q.report_status(normal),
     }
 
 
-def fix_issues(violations: DataFrame, rules: DataFrame, projects: DataFrame) -> DataFrame:
-    """Issues of the reports that pass, joined to the last definition of their rule.
+def fix_issues(
+    reports: DataFrame, rules: DataFrame, projects: DataFrame, issue_id: Column | None = None, rule_id: Column | None = None
+) -> DataFrame:
+    """Reports that pass, their issues joined to the last definition of their rule.
 
-    ``projects`` are those whose configuration was found and loaded; issues of others get no
-    rule metadata.
+    ``reports`` come from :func:`ruleloom.operators.reports.report_violations`; ``projects`` are those
+    whose configuration was found and loaded; issues of others get no rule metadata. With ``issue_id``
+    only the first issue of that id stays in each report, and ``rule_id`` then overrides its rule; with
+    ``rule_id`` alone only the issues of that rule stay. Reports without any such issue are left out.
     """
     rules = rules.join(projects.select("project_id"), "project_id", "left_semi")
-    # Three consumers follow; staging parses the reports once.
-    violations = staged(violations, "violations")
-    clean = Q.without_errors(violations, Q.report_findings(violations), *R.REPORT_KEY)
+    clean = Q.clean_reports(reports)
+    if issue_id is not None:
+        clean = R.select_issue(clean, issue_id, rule_id)
+    elif rule_id is not None:
+        clean = R.select_rule(clean, rule_id)
     return P.enrich_issues(clean, latest_rules(rules))
 
 

@@ -259,9 +259,16 @@ def test_projects_without_readable_rules_are_not_audited(spark):
     assert [r.project_id for r in job["projects"].collect()] == ["a"]
 
 
+def report_row(spark, *raws):
+    rows = [("p", n, json.dumps(raw)) for n, raw in enumerate(raws, 1)]
+    return R.report_violations(spark.createDataFrame(rows, "project_id string, report_id bigint, raw string"))
+
+
 def report_of(spark, raw):
     reports = spark.createDataFrame([("p", 1, json.dumps(raw))], "project_id string, report_id bigint, raw string")
-    return R.normalize_issues(R.report_issues(reports))
+    found = R.normalize_issues(R.report_issues(reports))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.violation_rows(report_row(spark, raw)).collect()))
+    return found
 
 
 def test_old_field_names(spark):
@@ -289,21 +296,62 @@ def test_reports_with_and_without_issues(spark):
         "issueId", "ruleId", "severity", "confidence", "file", "line", "snippet", "description", "fixSuggestion", "repairPrompt", "evidence", "context",
     ]
     assert form[4]["violations"][0]["evidence"] == {"source": "ai-only", "matchedBy": "unknown"}
-    status = Q.finding_summary(R.report_header(reports), Q.report_findings(R.normalize_issues(R.report_issues(reports))), *R.REPORT_KEY)
-    assert {r.report_id: r.passed for r in status.collect()} == {1: True, 2: True, 4: False}
+    job = jobs.validate_reports(reports)
+    assert {r.report_id: (r.errors, r.passed) for r in job["status"].collect()} == {1: (0, True), 2: (0, True), 4: (3, False)}
+    assert {r.report_id: (r.total, r.fatal, r.warn, r.info) for r in job["summary"].collect()} == counts
 
 
 def test_faults_of_a_report(spark):
-    found = report_of(spark, {"issues": [{"issueId": "t", "ruleId": "A"}, {"ruleId": "A"}, {"issueId": "t", "severity": "meh", "fixPrompt": "p"}]})
+    found = report_row(spark, {"issues": [{"issueId": "t", "ruleId": "A"}, {"ruleId": "A"}, {"issueId": "t", "severity": "meh", "fixPrompt": "p"}]})
     messages = [(r.level, r.message) for r in Q.report_findings(found).orderBy("seq").collect()]
     assert ("error", "Violation for rule 'A' is missing issueId.") in messages
     assert ("error", "Duplicate issueId 't' found in report.") in messages and ("error", "Violation 't' has invalid severity 'MEH'.") in messages
     assert [m for m in messages if m[0] == "warn"] == [("warn", "Violation 't' is missing repairPrompt."), ("warn", "Violation 'UNKNOWN-ISSUE' is missing repairPrompt.")]
 
 
-def test_issues_of_one_rule(spark):
-    found = report_of(spark, [{"issueId": "a", "ruleId": "X"}, {"issueId": "b", "ruleId": "Y"}, {"issueId": "c", "ruleId": "X"}])
-    assert [r.issue_id for r in R.issues_of_rule(found, F.lit("X")).orderBy("pos").collect()] == ["a", "c"]
+def test_selection_within_reports(spark):
+    one = [{"issueId": "a", "ruleId": "X"}, {"issueId": "b", "ruleId": "Y"}, {"issueId": "b", "ruleId": "X", "file": "later"}, {"ruleId": "X"}]
+    rows = report_row(spark, one, [{"issueId": "c", "ruleId": "Y"}], [])
+    told = lambda found: {r.report_id: [(v.issue_id, v.rule_id, v.pos) for v in r.violations] for r in found.collect()}
+    assert told(R.select_rule(rows, F.lit("X"))) == {1: [("a", "X", 0), ("b", "X", 2), ("UNKNOWN-ISSUE", "X", 3)]}
+    assert told(R.select_issue(rows, F.lit("b"))) == {1: [("b", "Y", 1)]}
+    assert told(R.select_issue(rows, F.lit("b"), F.lit("Z"))) == {1: [("b", "Z", 1)]}
+    assert told(R.select_issue(rows, F.lit("b"), F.lit(""))) == {1: [("b", "Y", 1)]}
+    assert told(R.select_issue(rows, F.lit("none"))) == {}
+    assert [(r.issue_id, r.pos) for r in R.duplicate_issues(rows).collect()] == [("b", 2)]
+    grouped = {(r.report_id, r.rule_id): (r.n_issues, r.first_pos) for r in R.issues_grouped(rows).collect()}
+    assert grouped == {(1, "X"): (3, 0), (1, "Y"): (1, 1), (2, "Y"): (1, 0)}
+
+
+def test_checks_of_reports_shuffle_nothing(spark):
+    rows = report_row(spark, [{"issueId": "a", "ruleId": "X"}])
+    for found in (Q.report_findings(rows), Q.report_status(rows), Q.clean_reports(rows), R.duplicate_issues(rows), R.issues_grouped(rows), R.select_issue(rows, F.lit("a"))):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_for_one_issue_under_another_rule(spark):
+    rows = report_row(spark, [{"issueId": "a", "ruleId": "X", "message": "m", "repairPrompt": "p"}, {"issueId": "b", "ruleId": "Y", "message": "n"}])
+    rules = spark.createDataFrame(
+        [("p", 0, n, "WARN", "s", f"intent {n}", None, [], {}) for n in ("X", "Z")],
+        "project_id string, rule_pos bigint, rule_id string, severity string, scope string, intent string, fix string, context array<string>, prompt map<string,string>",
+    )
+    projects = spark.createDataFrame([("p",)], "project_id string")
+    own = P.fix_prompts_by_rule(jobs.fix_issues(rows, rules, projects, F.lit("b"))).collect()
+    assert [(r.rule_id, r.first_pos) for r in own] == [("Y", 1)] and "Rule metadata for Y was not found" in own[0].prompt
+    other = P.fix_prompts_by_rule(jobs.fix_issues(rows, rules, projects, F.lit("b"), F.lit("Z"))).collect()
+    assert [r.rule_id for r in other] == ["Z"] and "You violated rule Z." in other[0].prompt and "intent Z" in other[0].prompt
+    ruled = P.fix_prompts_all(jobs.fix_issues(rows, rules, projects, rule_id=F.lit("X"))).collect()
+    assert len(ruled) == 1 and "IssueId: a" in ruled[0].prompt and "IssueId: b" not in ruled[0].prompt
+
+
+def test_a_given_locale_goes_before_the_configured_one(spark):
+    table = spark.createDataFrame([("a.json", '{"i18n":{"defaultLocale":"fr"}}')], "path string, content string")
+    projects = jobs.load_projects(table, spark.createDataFrame([("a", "a.json")], "project_id string, config_path string"))
+    rules = jobs.load_rules(spark.createDataFrame([("a.md", "")], "path string, content string"), spark.createDataFrame([("a", "a.md")], "project_id string, rules_path string"))
+    files = spark.createDataFrame([], "project_id string, path string, content string")
+    locales = spark.createDataFrame([(x, P.AUDIT_KEYS[0], f"say {x}") for x in ("en", "fr", "de")], "locale string, key string, text string")
+    for given, said in ((None, "fr"), ("", "fr"), ("de", "de"), ("xx", "en")):
+        assert jobs.audit(files, projects, rules, locales, locale=given)["prompts"].first().prompt.startswith(f"say {said}\n")
 
 
 def test_falsy_cascades(spark):
