@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -45,6 +47,20 @@ def read_ranks(path: str) -> list[bytes]:
     return [found[n] for n in range(len(found))]
 
 
+class Remembered(dict):
+    """Token ids of runs; those met first stay, as frequent runs come early."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        out = self.make(run)
+        if len(run) <= CACHED_LETTERS and len(self) < CACHED_RUNS:
+            self[run] = out
+        return out
+
+
 class ByteEncoder:
     """Encodes texts with one list of ranked tokens; lives as long as a task."""
 
@@ -54,7 +70,9 @@ class ByteEncoder:
         self.size = [len(t) for t in letters]
         self.halves: list[tuple[int, int]] = [(-1, -1)] * len(letters)
         self.joined: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: By left token: its right neighbours met so far, and whether the two stay side by side.
+        self.fits: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.pairs = 0
         # The two tokens whose merge makes each token, found with the tokens before it only.
         for r, t in enumerate(letters):
             for cut in range(1, len(t)):
@@ -79,7 +97,7 @@ class ByteEncoder:
         for r, t in enumerate(letters):
             self.shorter[r] = next((p for p in (self.rank.get(t[:n], -1) for n in range(len(t) - 1, 0, -1)) if p >= 0 and usable[p]), -1)
         self.matches = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.runs = Remembered(self.run)
 
     def _side_by_side(self, a: int, b: int, limit: int) -> bool:
         """Whether the merges below ``limit`` leave ``a`` and ``b`` as neighbours.
@@ -101,9 +119,12 @@ class ByteEncoder:
                 limit, b = b + 1, left_of_b
 
     def _compatible(self, a: int, b: int) -> bool:
-        if len(self.fits) >= CACHED_PAIRS:
-            self.fits.clear()
-        found = self.fits[a, b] = self._side_by_side(a, b, len(self.size))
+        if self.pairs >= CACHED_PAIRS:
+            for known in self.fits.values():
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        found = self.fits[a][b] = self._side_by_side(a, b, len(self.size))
         return found
 
     def match(self, piece: bytes) -> list[int]:
@@ -117,22 +138,23 @@ class ByteEncoder:
         given_up: set[int] = set()
         out: list[int] = []
         at, token, left = 0, within[line[: longest(line[:reach])]], -1
+        good: dict[int, bool] = {}
         while at < n:
             while token >= 0:
-                if at + size[token] not in given_up:
-                    good = left < 0 or fits.get((left, token))
-                    if good or (good is None and self._compatible(left, token)):
+                if left < 0 or good.get(token, False) or (token not in good and self._compatible(left, token)):
+                    if at + size[token] not in given_up:
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at, left = at + size[token], token
+                at, left, good = at + size[token], token, fits[token]
                 if at < n:
                     token = within[line[at : at + longest(line[at : at + reach])]]
             elif out:
                 given_up.add(at)
                 token = out.pop()
                 at, token, left = at - size[token], shorter[token], out[-1] if out else -1
+                good = fits[left]
             else:
                 raise ValueError("a byte has no token")
         return out
@@ -141,20 +163,14 @@ class ByteEncoder:
         """Token ids of a run of letters that ends where matches end."""
         # The pattern takes a space and letters as one match; most runs are no more than that.
         if (run[1:] if run[0] == " " else run).isalpha():
-            out = tuple(self.match(run.encode()))
-        else:
-            out = tuple([i for m in self.matches(run) for i in self.match(m.encode())])
-        if len(run) <= CACHED_LETTERS and len(self.runs) < CACHED_RUNS:  # frequent runs come early
-            self.runs[run] = out
-        return out
+            return tuple(self.match(run.encode()))
+        parts = self.matches(run)
+        # A match is a run, too, and often one met before.
+        return tuple(self.match(run.encode())) if len(parts) == 1 else tuple(chain.from_iterable(map(self.runs.__getitem__, parts)))
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text; null is empty."""
-        out: list[int] = []
-        known, run = self.runs.get, self.run
-        for r in _RUNS.findall(text or ""):
-            out += known(r) or run(r)
-        return out
+        return np.fromiter(chain.from_iterable(map(self.runs.__getitem__, _RUNS.findall(text or ""))), dtype=np.int32)
 
 
 _ENCODERS: dict[tuple[str, str], ByteEncoder] = {}
@@ -218,7 +234,7 @@ def encode(spark: SparkSession, text: Column, path: str, pattern: str) -> Column
         for batch in batches:
             out = []
             for texts in _portions(batch):
-                lists = [np.array(encoder.encode(t), dtype=np.int32) for t in texts]
+                lists = [encoder.encode(t) for t in texts]
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in lists], dtype=np.int64)))
                 ids = np.concatenate(lists)
                 decoded = _binary(*decoder.decode(ids, offsets))
