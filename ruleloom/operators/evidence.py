@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions.globs import any_glob_regex, glob_regex, matches_regex, path_matches
 from ruleloom.functions.paths import forward_slashes
 from ruleloom.functions.patterns import pattern_table
-from ruleloom.functions.text import BLANK, lines_of, snippet, trim_blank
+from ruleloom.functions.text import BLANK, bind, lines_of, snippet, trim_blank
 from ruleloom.session import broadcast_if_small, staged
 
+#: Rules with a required literal in one project from which on trigrams choose the ones to look at, and files that tell which trigrams are rare.
+INDEX_FROM = 100
+SAMPLE_FILES = 500
+
 MATCHES_KEPT = 10
 MATCHES_SHOWN = 5
 
@@ -102,18 +108,20 @@ def resolve_rules(rules: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
-def looked_at() -> Column:
-    """The rule's ``where`` glob takes the file."""
-    return F.coalesce(path_matches(F.col("path"), F.col("where_re")), F.lit(True))
+def looked_at(rule: Column | None = None) -> Column:
+    """The ``where`` glob takes the file; of a rule given as a struct, else of the row's own."""
+    glob = F.col("where_re") if rule is None else rule["where_re"]
+    return F.coalesce(path_matches(F.col("path"), glob), F.lit(True))
 
 
-def suppressed() -> Column:
+def suppressed(rule: Column | None = None) -> Column:
     """An exception of the rule names the file."""
-    return F.coalesce(path_matches(F.col("path"), F.col("exception_re")), F.lit(False))
+    globs = F.col("exception_re") if rule is None else rule["exception_re"]
+    return F.coalesce(path_matches(F.col("path"), globs), F.lit(False))
 
 
-def kept() -> Column:
-    return looked_at() & ~suppressed()
+def kept(rule: Column | None = None) -> Column:
+    return looked_at(rule) & ~suppressed(rule)
 
 
 def rule_file_scope(files: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -176,44 +184,131 @@ def _include_references(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(INCLUDE_FORM), 1)
 
 
-def file_hits(files: DataFrame, detectors: DataFrame, keep: int | None = None) -> DataFrame:
+def trigrams(text: Column) -> Column:
+    """Every three letters in a row of a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), 1))
+
+
+def with_rarest_trigram(detectors: DataFrame, files: DataFrame) -> DataFrame:
+    """Add ``gram``: of the required literal's trigrams the one that fewest files hold; NULL for a shorter literal.
+
+    A sample of files tells which are rare; results do not depend on it.
+    """
+    grams = detectors.select("literal").where("length(literal) > 2").distinct()
+    grams = staged(grams.select("literal", F.explode(trigrams(F.col("literal"))).alias("gram")), "trigrams")
+    held = files.limit(SAMPLE_FILES).select(F.explode(trigrams(F.col("content"))).alias("gram"))
+    counted = held.join(broadcast_if_small(grams.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("files"))
+    rank = F.struct(F.coalesce("files", F.lit(0)), "gram")
+    rarest = grams.join(counted, "gram", "left").groupBy("literal").agg(F.min_by("gram", rank).alias("gram"))
+    return detectors.join(rarest, "literal", "left")
+
+
+def project_detectors(detectors: DataFrame, files: DataFrame, index_from: int | None = None) -> tuple[DataFrame, bool]:
+    """One row per project with its ``detectors`` as an array, and whether they are indexed by trigrams.
+
+    With an index, ``grams`` holds the distinct trigrams by which a project's detectors are found.
+    """
+    detectors = staged(detectors, "detectors")
+    most = detectors.where("length(literal) > 2").groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+    indexed = most >= (INDEX_FROM if index_from is None else index_from)
+    if indexed:
+        detectors = with_rarest_trigram(detectors, files)
+    else:
+        detectors = detectors.withColumn("gram", F.lit(None).cast("string"))
+    fields = F.struct(*[c for c in detectors.columns if c != "project_id"])
+    projects = detectors.groupBy("project_id").agg(F.collect_list(fields).alias("detectors"), F.collect_set("gram").alias("grams"))
+    return staged(projects, "project-detectors"), indexed
+
+
+def file_hits(files: DataFrame, detectors: DataFrame, keep: int | None = None, share_copies: bool = False) -> DataFrame:
     """What each detector finds in each file: ``n`` hits, of which ``hits`` holds the first ``keep``.
 
-    One scan of the texts, without any shuffle of them, and one row for a file and rule that
-    meet. Rules meet files by project. Path conditions and the literal a rule requires weed out
-    pairs before a text is split, and only lines that hold the literal reach the regex engine. A
-    regex gives at most one hit per line (Q6), a reference rule one for each matching reference
+    One scan of the texts, without any shuffle of them; a file meets one row, its project's detectors
+    as an array, and gives one row for each rule with a hit. The literal a rule requires weeds out
+    detectors by a byte search; from ``INDEX_FROM`` rules on, those whose rarest trigram is not among
+    the file's are left out before. Path conditions follow. The text is split, and its references are
+    taken, once for all detectors left, and only lines that hold the literal reach the regex engine.
+    A regex gives at most one hit per line (Q6), a reference rule one for each matching reference
     (Q9). A file's hits are in their final order, so the first ones per rule are among the first
     ones per file.
+
+    ``share_copies`` matches files of a project with equal contents once, whatever their paths.
     """
-    by_regex = F.col("mode") == "local-regex"
+    projects, indexed = project_detectors(detectors, files)
+    if share_copies:
+        return _shared_hits(files, projects, indexed, keep)
+    return _hits(files, projects, indexed, kept, keep).select(*RULE_KEY, "path", "n", "hits")
 
-    def possible(text: Column) -> Column:
-        literal = F.col("literal").isNull() | F.contains(text, F.col("literal"))
-        return literal & (by_regex | _may_hold_reference(text))
 
-    pairs = files.join(broadcast_if_small(detectors), "project_id").where(kept()).where(possible(F.col("content")))
-    numbered = lambda lines: F.transform(lines, lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
-    lines = F.filter(numbered(lines_of(F.col("content"))), lambda x: possible(x["line"]))
+def _hits(files: DataFrame, projects: DataFrame, indexed: bool, applies: Callable[[Column], Column], keep: int | None, *more: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
-
-    def in_line(x: Column) -> Column:
-        found = F.when(F.col("target_kind") == "import", _import_references(x["line"])).otherwise(_include_references(x["line"]))
-        hit = lambda ord_, reference: F.struct(x["line_no"].alias("line_no"), ord_.alias("ord"), x["line"].alias("line"), reference.alias("reference"))
-        listed = F.transform(found, lambda r, at: hit(at, r))
-        return F.filter(listed, lambda h: path_matches(h["reference"], F.col("target_re")))
-
-    whole = F.transform(
-        F.filter(lines, lambda x: matches_regex(x["line"], F.col("pattern"))),
-        lambda x: F.struct(x["line_no"].alias("line_no"), F.lit(0).alias("ord"), x["line"].alias("line"), nothing.alias("reference")),
-    )
-    found = pairs.select(*RULE_KEY, "path", F.when(by_regex, whole).otherwise(F.flatten(F.transform(lines, in_line))).alias("hits"))
-    first = F.col("hits") if keep is None else F.slice("hits", 1, keep)
-    shown = F.transform(
-        first,
-        lambda h: F.struct(h["line_no"].alias("line_no"), h["ord"].alias("ord"), snippet(h["line"]).alias("snippet"), h["reference"].alias("reference"), nothing.alias("note")),
-    )
-    return found.where(F.size("hits") > 0).select(*RULE_KEY, "path", F.size("hits").cast("bigint").alias("n"), shown.alias("hits"))
+    content = F.col("content")
+
+    def holds(text: Column, d: Column) -> Column:
+        return d["literal"].isNull() | F.contains(text, d["literal"])
+
+    def remaining(grams: Column) -> Column:
+        by_regex = lambda d: d["mode"] == "local-regex"
+        found = lambda d: d["gram"].isNull() | F.array_contains(grams, d["gram"]) if indexed else F.lit(True)
+        return F.filter("detectors", lambda d: found(d) & holds(content, d) & (by_regex(d) | _may_hold_reference(content)) & applies(d))
+
+    def hit(line_no: Column, ord_: Column, line: Column, reference: Column) -> Column:
+        return F.struct(line_no.alias("line_no"), ord_.alias("ord"), line.alias("line"), reference.alias("reference"))
+
+    def references(lines: Column, taken: Callable[[Column], Column]) -> Column:
+        candidates = F.filter(lines, lambda x: _may_hold_reference(x["line"]))
+        return F.flatten(F.transform(candidates, lambda x: F.transform(taken(x["line"]), lambda r, at: hit(x["line_no"], at, x["line"], r))))
+
+    def within(lines: Column, left: Column) -> Column:
+        """Hits of all remaining detectors in the lines of one file."""
+        of_kind = lambda kind: F.exists(left, lambda d: (d["mode"] == "local-import") & (d["target_kind"] == kind))
+        none = F.filter(references(lines, _import_references), lambda _: F.lit(False))
+        imports = F.when(of_kind("import"), references(lines, _import_references)).otherwise(none)
+        includes = F.when(of_kind("include"), references(lines, _include_references)).otherwise(none)
+
+        def found(d: Column, refs: Column) -> Column:
+            own = F.filter(lines, lambda x: holds(x["line"], d) & matches_regex(x["line"], d["pattern"]))
+            whole = F.transform(own, lambda x: hit(x["line_no"], F.lit(0), x["line"], nothing))
+            listed = F.when(d["target_kind"] == "import", refs["imports"]).otherwise(refs["includes"])
+            matching = F.filter(listed, lambda h: path_matches(h["reference"], d["target_re"]))
+            return F.when(d["mode"] == "local-regex", whole).otherwise(matching)
+
+        def shown(d: Column, hits: Column) -> Column:
+            first = hits if keep is None else F.slice(hits, 1, keep)
+            cut = F.transform(
+                first,
+                lambda h: F.struct(h["line_no"].alias("line_no"), h["ord"].alias("ord"), snippet(h["line"]).alias("snippet"), h["reference"].alias("reference"), nothing.alias("note")),
+            )
+            extra = [d[name].alias(name) for name in ("where_re", "exception_re")]
+            return F.struct(d["rule_pos"].alias("rule_pos"), d["rule_id"].alias("rule_id"), *extra, F.size(hits).cast("bigint").alias("n"), cut.alias("hits"))
+
+        refs = F.struct(imports.alias("imports"), includes.alias("includes"))
+        return bind(refs, lambda r: F.transform(left, lambda d: bind(found(d, r), lambda h: shown(d, h))))
+
+    def in_file(left: Column) -> Column:
+        numbered = F.transform(lines_of(content), lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
+        return F.when(F.size(left) > 0, bind(numbered, lambda lines: F.filter(within(lines, left), lambda x: x["n"] > 0)))
+
+    grams = F.array_intersect(trigrams(content), F.col("grams")) if indexed else F.array().cast("array<string>")
+    found = bind(grams, lambda g: bind(remaining(g), in_file))
+    met = files.join(broadcast_if_small(projects), "project_id")
+    return met.select("project_id", "path", *more, F.inline(found))
+
+
+def _shared_hits(files: DataFrame, projects: DataFrame, indexed: bool, keep: int | None) -> DataFrame:
+    """:func:`file_hits` with equal contents of a project matched once.
+
+    Contents are told apart by 128 bits of hash and their length. The first path of each stands for
+    all; path conditions, which differ between copies, follow when the hits are joined back.
+    """
+    same = [F.xxhash64("content").alias("_a"), F.xxhash64("content", F.lit(1)).alias("_b"), F.octet_length("content").alias("_n")]
+    key = ["project_id", "_a", "_b", "_n"]
+    copies = staged(files.select("project_id", "path", *same), "contents")
+    firsts = staged(copies.groupBy(*key).agg(F.min("path").alias("path")), "first-contents")
+    once = files.join(broadcast_if_small(firsts), ["project_id", "path"])
+    found = staged(_hits(once, projects, indexed, lambda _: F.lit(True), keep, "_a", "_b", "_n").drop("path"), "shared-hits")
+    # Contents without a hit end here; those that many files share are spread by the join's split of skewed keys.
+    return copies.join(broadcast_if_small(found), key).where(kept()).select(*RULE_KEY, "path", "n", "hits")
 
 
 def hit_rows(found: DataFrame) -> DataFrame:
@@ -280,10 +375,10 @@ def extract_references(files: DataFrame) -> DataFrame:
     )
 
 
-def found_in_files(files: DataFrame, resolved: DataFrame, keep: int | None = None) -> DataFrame:
+def found_in_files(files: DataFrame, resolved: DataFrame, keep: int | None = None, share_copies: bool = False) -> DataFrame:
     """Rows of :func:`file_hits` for every rule, those with an invalid pattern included."""
     patterns = staged(pattern_table(resolved), "patterns")
-    found = file_hits(files, detector_dim(resolved, patterns, "local-regex", "local-import"), keep)
+    found = file_hits(files, detector_dim(resolved, patterns, "local-regex", "local-import"), keep, share_copies)
     bad = invalid_regex_hits(files, resolved, patterns)
     one = F.array(F.struct("line_no", "ord", "snippet", "reference", "note"))
     return found.unionByName(bad.select(*RULE_KEY, "path", F.lit(1).cast("bigint").alias("n"), one.alias("hits")))
@@ -309,9 +404,9 @@ def top_matches(found: DataFrame, keep: int = MATCHES_KEPT) -> DataFrame:
     return hit_rows(found).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= keep)
 
 
-def evidence_records(files: DataFrame, resolved: DataFrame) -> DataFrame:
+def evidence_records(files: DataFrame, resolved: DataFrame, share_copies: bool = False) -> DataFrame:
     """One record per project and rule: mode, first matches, totals, exceptions (A3)."""
-    found = found_in_files(files, resolved, MATCHES_KEPT)
+    found = found_in_files(files, resolved, MATCHES_KEPT, share_copies)
     key = list(RULE_KEY)
     # Two consumers follow; a row per file and rule with a hit, ten hits at most, is what they read.
     found = staged(found, "found")
