@@ -17,6 +17,7 @@ from ruleloom.operators import reports as R
 from ruleloom.operators.rules import latest_rules
 from ruleloom.plans import jobs
 from ruleloom.session import lookup_join, staged
+from ruleloom.sources.sinks import as_json
 
 # --- oracle building blocks -----------------------------------------------------------------
 
@@ -226,13 +227,39 @@ def audit_prompts(i):
     return audit_job(i)["prompts"]
 
 
-@query("audit_context")
-def audit_context(i):
-    from ruleloom.sources.sinks import as_json
+# The audit context holds all rules of a project, not only the enabled ones.
+AUDIT_ALL = AUDIT.replace(
+    "active as (select e.* from erules e join enabled using (project_id, rule_id) where project_id in (select project_id from open_projects))",
+    "active as (select e.* from erules e where project_id in (select project_id from open_projects))",
+)
+CONTEXT_FORM = """version string, generatedAt string, locale string, config struct<enabledRuleIds: array<string>, scopes: array<string>>,
+rules array<struct<rule_id: string>>, evidence array<struct<rule_id: string, mode: string, total_matches: bigint>>,
+findings array<struct<level: string, message: string>>"""
+
 
+@query(
+    "audit_context",
+    f"""with {AUDIT_ALL} select o.project_id, '0.3' as version, true as stamped, o.locale, array_to_string(o.enabled, ',') as enabled,
+  array_to_string(o.scopes, ',') as scopes, r.rules, e.evidence, f.findings
+from open_projects o
+left join (select project_id, string_agg(rule_id, ',' order by rule_pos) as rules from erules group by all) r using (project_id)
+left join (select project_id, string_agg(rule_id || ':' || mode || ':' || n, ',' order by rule_pos) as evidence from records group by all) e using (project_id)
+left join (select project_id, string_agg(level || ' ' || message, chr(10) order by rule_pos, chk, sub) as findings from rule_findings group by all) f using (project_id)""",
+)
+def audit_context(i):
+    """The written JSON, read again by its documented names."""
     setup, found = configs(i), rules(i)
     job = jobs.audit(i.sql(I.PROJECT_FILES), setup, found, i.locales(), parsed_projects(i))
-    return as_json(jobs.audit_context(job["projects"], found, job["evidence"], job["findings"]), "project_id")
+    written = as_json(jobs.audit_context(job["projects"], found, job["evidence"], job["findings"]), "project_id")
+    read = written.select("project_id", F.from_json("json", CONTEXT_FORM, {"mode": "FAILFAST"}).alias("j")).select("project_id", "j.*")
+    joined = lambda items, text, sep=",": F.array_join(F.transform(items, text), sep)
+    return read.select(
+        "project_id", "version", F.col("generatedAt").rlike(r"\A\d{4}-\d\d-\d\dT[\d:.]+Z\z").alias("stamped"), "locale",
+        F.array_join("config.enabledRuleIds", ",").alias("enabled"), F.array_join("config.scopes", ",").alias("scopes"),
+        joined("rules", lambda x: x["rule_id"]).alias("rules"),
+        joined("evidence", lambda x: F.concat_ws(":", x["rule_id"], x["mode"], x["total_matches"])).alias("evidence"),
+        joined("findings", lambda x: F.concat_ws(" ", x["level"], x["message"]), "\n").alias("findings"),
+    )
 
 
 # --- repair texts ---------------------------------------------------------------------------
@@ -378,10 +405,38 @@ def localized_rules(i):
     return P.localized_rules(documents.withColumn("extends_path", F.lit("../new-base.md")), P.locale_maps(known))
 
 
-@query("localized_config")
+_CONFIG_LOCALE = "case c % 3 when 0 then 'zh-CN' else 'en' end"
+# Configurations with their keys in order, as a VARIANT prints them.
+LOCALIZED_CONFIGS = f"""
+  select 'projects/proj-' || c || '/project.json' as path, '{{"detectOptions":{{"include":["lib/**"]}},"enabledRuleIds":['
+    || case when c % 19 = 3 then '' else '"PART-' || c || '","EXTRA-' || c || case when c % 4 = 0 then '' else '","GHOST-' || (c % 5) || '","PART-' || c end || '"' end || '],'
+    || case when c % 17 = 3 then '"exceptions":{{"EXTRA-*":["src/x/**"],"X-1":[5],"Y-1":"no"}},' when c % 17 = 4 then ''
+            else '"exceptions":{{"BASE-1":["native/**"],"EXTRA-*":["src/x/**","gen/**"]}},' end
+    || '"extends":"./base-config.json",'
+    || case when c % 8 = 6 then '"prompt":{{"promptTemplates":{{"auditSystem":"own system","auditUser":"own user"}}}},'
+            else '"prompt":{{"promptTemplates":{{"auditSystem":"' || {_lookup(_CONFIG_LOCALE, "'prompt.audit.system'")} || '","repairUser":"'
+              || {_lookup(_CONFIG_LOCALE, "'prompt.repair.user'")} || '"}},"style":"strict"}},' end
+    || case when c % 7 = 3 and c % 2 = 0 then '' else '"scopes":["extra","' || case c % 3 when 0 then 'ECONOMY' when 1 then 'SMALL' else 'base' end || '"],' end
+    || case when c % 9 = 4 then '"stack":null,' when c % 9 = 5 then '' else '"stack":"' || c_mktsegment || '",' end
+    || case when c % 13 = 5 then '"thresholds":{{"maxLines":null,"zMax":"80"}}' when c % 7 = 3 and c % 4 = 1 then '"thresholds":[1]'
+            else '"thresholds":{{"ratio":0.25,"zMax":' || (c % 100) || '}}' end || '}}' as content
+  from (select *, c_custkey as c from customer) x
+  union all
+  select 'nations/' || n_nationkey || '.json', '{{"detectOptions":{{"exclude":["dist/**"],"include":["src/**"]}},"enabledRuleIds":["BASE-1"'
+    || case when n_nationkey % 5 = 0 then ',"NATION-0"' else '' end || '],"exceptions":{{"EXTRA-*":["gen/**","old/**"],"SECRET-*":["gen/**"]}},'
+    || '"pathAliases":{{"@nation":"src/n"}},"scopes":["base","brand","SMALL"],"stack":"' || n_name || '","thresholds":{{"maxParams":5,"zMax":80}},"version":"2.0"}}'
+  from nation
+  union all
+  select 'regions/' || r_regionkey || '.json', '{{"detectOptions":{{"exclude":["tmp/**"],"include":["src/**","public/**"]}},"enabledRuleIds":["BASE-1"],'
+    || '"pathAliases":{{"@root":"src"}},"rulesFile":"house-rules.md","severityThreshold":"WARN","stack":"' || r_name || '","thresholds":{{"maxParams":9,"ratio":0.5}},"version":"1.0"}}'
+  from region"""
+
+
+@query("localized_config", f"with {LOCALES} {LOCALIZED_CONFIGS}")
 def localized_config(i):
     known = i.locales()
     wanted = F.regexp_extract("content", r'"defaultLocale":"([^"]+)"', 1)
     named = lookup_join(P.resolve_locales(i.configs().withColumn("locale", wanted), known), P.locale_maps(known), "locale")
     own = F.when(F.col("path").startswith("projects/"), F.lit("./base-config.json"))
-    return named.select("path", P.localized_config(F.col("content"), F.col("texts"), own).alias("content"))
+    made = named.select("path", P.localized_config(F.col("content"), F.col("texts"), own).alias("content"))
+    return made.select("path", F.to_json(F.parse_json("content")).alias("content"))

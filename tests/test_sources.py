@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ruleloom.sources import tree
 from ruleloom.sources.corpus import read_corpus, scan_tree, write_corpus
 from ruleloom.sources.documents import json_rejects, read_locales, read_texts
-from ruleloom.sources.sinks import as_json, write_json, write_texts
+from ruleloom.sources.sinks import as_json, replace_projects, write_json, write_texts
 
 
 def test_tree_scan_and_table(spark, tmp_path):
@@ -102,3 +102,18 @@ def test_an_empty_tree(spark, tmp_path):
     assert tree.read_files(tree.list_files(spark, str(tmp_path))).count() == 0
     with pytest.raises(Exception, match="FileNotFound"):
         tree.list_files(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("form", ["parquet", "json"])
+def test_a_repeated_job_replaces_its_projects(spark, tmp_path, form):
+    target = str(tmp_path / "out")
+    table = lambda *rows: spark.createDataFrame(rows, "project_id string, n int, text string")
+    scope = lambda *ids: spark.createDataFrame([(i,) for i in ids], "project_id string")
+    stored = lambda: sorted(tuple(r) for r in spark.read.format(form).schema("n int, text string, project_id string").load(target).select("project_id", "n", "text").collect())
+    first = [("a", 1, "x"), ("a", 2, None), ("b/c=d", 3, "y"), ("007", 4, "z")]
+    replace_projects(table(*first), target, scope("a", "b/c=d", "007"), form)
+    assert stored() == sorted(first)
+    replace_projects(table(*first), target, scope("a", "b/c=d", "007"), form)  # twice is once
+    assert stored() == sorted(first)
+    replace_projects(table(("a", 9, "new")), target, scope("a", "b/c=d", "never-there"), form)
+    assert stored() == [("007", 4, "z"), ("a", 9, "new")]
