@@ -16,8 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; only where it is unset (tests) one below the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.stage"
+    """Folder of ``spark.checkpoint.dir``; only where it is unset and Spark is local (tests) one below the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.stage"
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -32,20 +37,27 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that :func:`staged` wrote, once the results that read them are stored."""
+def staged_so_far() -> int:
+    """Mark for :func:`release`: tables staged later are those after it."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete the tables that :func:`staged` wrote, once the results that read them are stored.
+
+    Tables that ``keep`` reads stay, and so do those from before the mark ``since``.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    read = [] if keep is None else keep.inputFiles()
+    later = _STAGED[since:]
+    kept = [p for p in later if any(p.rpartition("/")[2] in f for f in read)]
+    for name in set(later) - set(kept):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    _STAGED[since:] = kept
 
 
 def held_out(doc_id: str, remainder: int) -> Column:
     """True where crc32 of the id as text leaves ``remainder`` by 5; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == remainder, F.lit(False))
-
-
-def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most ``rows`` rows, the same ones at each run: those with the least hash of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit("sample")), key).limit(rows)

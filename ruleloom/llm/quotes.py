@@ -8,7 +8,7 @@ replies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.llm.common import staged
@@ -48,15 +48,16 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, own_text, n_quotes, max_level, quoted_turns, parent_turn, root_turn, depth).
+    """(conv_id, turn, role, own_text, n_quotes, max_level, quoted_turns, parent_turn, root_turn, depth, position).
 
     A quote is looked up whole, by its single lines, and as a whole message; its original is the
     earliest turn of the conversation, before the quoting one, whose own text holds it. The parent
     is the latest such turn among quotes of the lowest level found; without any it is the turn just
-    before, if that exists. ``root_turn`` and ``depth`` place a message in its thread: ordering by
-    (conv_id, root_turn, depth, turn) gives the reply order. Null texts are empty; rows with a null
-    conversation or turn stay, unlinked, as roots. Repeated turns of one conversation each come
-    once per row and count as one message. Empty tables give an empty result; other columns are
+    before, if that exists. ``root_turn`` and ``depth`` tell a message's thread and its level in it.
+    ``position`` is the reply order, from 0 in each conversation: a message is followed by its replies,
+    each with its own below it, in order of turns; threads do not interleave. Null texts are empty;
+    rows with a null conversation or turn stay, unlinked, as roots without a position. Repeated turns
+    of one conversation each come once per row and count as one message. Empty tables give an empty result; other columns are
     ignored.
     """
     rows = staged(parsed(messages))
@@ -80,20 +81,60 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     tree = staged(
         parents.select("conv_id", "turn", F.coalesce("quoted_turns", F.array().cast("array<bigint>")).alias("quoted_turns"), F.coalesce("quoted_parent", "last_turn").alias("parent_turn"))
     )
+    siblings = Window.partitionBy("conv_id", "parent_turn").orderBy("turn")
+    tree = staged(tree.withColumn("next_turn", F.lead("turn").over(siblings)))
     # Pointer doubling: a message that has not found its root yet takes over its ancestor's ancestor,
-    # so each round doubles the distance, and rows that have arrived are not joined again.
+    # so each round doubles the distance, and rows that have arrived are not joined again. ``leave``
+    # is the message after the whole thread below the nearest ancestor, or the message, that has one.
     root = F.col("parent_turn").isNull()
-    up = staged(tree.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"), (~root).cast("long").alias("depth"), root.alias("done")))
+    up = tree.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"), (~root).cast("long").alias("depth"), F.col("next_turn").alias("leave"), root.alias("done"))
+    up = staged(up)
     while not (open_rows := up.where("not done")).isEmpty():
-        above = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        above = up.select(
+            "conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"), F.col("depth").alias("more"),
+            F.col("leave").alias("later"), F.col("done").alias("there"),
+        )
         moved = open_rows.drop("done").join(above, ["conv_id", "root_turn"])
-        moved = moved.select("conv_id", "turn", F.col("higher").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        moved = moved.select(
+            "conv_id", "turn", F.col("higher").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"),
+            F.coalesce("leave", "later").alias("leave"), F.col("there").alias("done"),
+        )
         up = staged(up.where("done").unionByName(moved))
     up = up.drop("done")
-    placed = staged(tree.join(up, ["conv_id", "turn"]))
+    placed = staged(tree.drop("next_turn").join(up, ["conv_id", "turn"]))
+    placed = placed.join(_positions(placed), ["conv_id", "turn"]).drop("leave")
     return rows.join(placed, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "own_text", F.size("quotes").cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).alias("max_level"),
         F.coalesce("quoted_turns", F.array().cast("array<bigint>")).alias("quoted_turns"), "parent_turn",
-        F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "position",
     )
+
+
+def _positions(placed: DataFrame) -> DataFrame:
+    """(conv_id, turn, position): the place of each message in its conversation's reply order, from 0.
+
+    A message is followed by its first reply, or else by the message after its thread. Doubling along
+    these steps counts how many are left to the end.
+    """
+    first_reply = placed.where("parent_turn is not null").groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("reply"))
+    after = F.coalesce("reply", "leave")
+    steps = placed.join(first_reply, ["conv_id", "turn"], "left").select("conv_id", "turn", after.alias("after"), after.isNotNull().cast("long").alias("left"))
+    steps = staged(steps)
+    while not (open_rows := steps.where("after is not null")).isEmpty():
+        ahead = steps.select("conv_id", F.col("turn").alias("after"), F.col("after").alias("further"), F.col("left").alias("more"))
+        moved = open_rows.join(ahead, ["conv_id", "after"]).select("conv_id", "turn", F.col("further").alias("after"), (F.col("left") + F.col("more")).alias("left"))
+        steps = staged(steps.where("after is null").unionByName(moved))
+    size = placed.groupBy("conv_id").agg(F.count("*").alias("size"))
+    return steps.join(size, "conv_id").select("conv_id", "turn", (F.col("size") - 1 - F.col("left")).alias("position"))
+
+
+def reply_ordered(linked: DataFrame) -> DataFrame:
+    """(conv_id, position, turn, role, own_text): conversations without quotes, each in its reply order.
+
+    Rows are dealt by ranges of (conv_id, position) and sorted there, so the rows of a conversation
+    follow each other, and a very long one takes several tasks instead of one row. Messages without a
+    conversation or turn come last in theirs.
+    """
+    order = [F.asc_nulls_last("conv_id"), F.asc_nulls_last("position"), F.col("turn")]
+    return linked.select("conv_id", "position", "turn", "role", "own_text").repartitionByRange(*order).sortWithinPartitions(*order)

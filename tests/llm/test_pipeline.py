@@ -1,7 +1,9 @@
 """The pipeline's stages on the small tables, against plain versions of what they decide."""
 
+import pytest
+
 import corpus_pipeline
-from ruleloom.llm import decontam
+from ruleloom.llm import common, decontam
 from ruleloom.llm.common import staged
 from ruleloom.llm.queries import QUERIES
 
@@ -28,3 +30,25 @@ def test_stages_follow_each_other(spark):
 
 def test_each_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_the_pipeline_leaves_its_last_table_only(spark):
+    other = staged(spark.range(3))
+    mark = common.staged_so_far()
+    found = corpus_pipeline.run(spark, SF)
+    assert common.staged_so_far() == mark + 1
+    assert found.count() > 0 and other.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
