@@ -122,6 +122,9 @@ by_rule as (
     || chr(10) || chr(10) || 'Violations:' || chr(10) || string_agg({ISSUE_DETAILED}, chr(10) order by pos) as prompt
   from enriched group by project_id, report_id, rule_id, known, r_severity, r_scope, r_intent, r_requirement, r_fix, r_context)"""
 
+# Fixed value: the shape of a report that the audit text asks for.
+_REPORT_SHAPE = '''{ "version": "1.1", "generatedAt": "ISO-8601", "project": { "cwd": ".", "stack": "optional" }, "summary": { "total": 0, "fatal": 0, "warn": 0, "info": 0 }, "violations": [ { "issueId": "ISSUE-001", "ruleId": "RULE-001", "severity": "FATAL|WARN|INFO", "confidence": 0.0, "file": "src/...", "line": 1, "snippet": "...", "description": "...", "fixSuggestion": "...", "repairPrompt": "...", "evidence": { "source": "local-regex|local-import|ai-only", "matchedBy": "detect.regex|detect.import|detect.include|detect.ast|detect.semantic|unknown" }, "context": ["optional/path"] } ] }'''  # noqa: E501
+
 # Audit of the configured projects: their files, hand-written globs, gate, and prompt text.
 AUDIT = f"""
 {BOTH}, {RULE_FINDINGS}, {LOCALES},
@@ -175,7 +178,7 @@ audit as (
     || '- thresholds: ' || thresholds || chr(10) || '- exception rules: ' || exception_summary || chr(10) || chr(10)
     || 'Resolved rules:' || coalesce(chr(10) || r.body, '') || chr(10) || chr(10)
     || 'Local evidence candidates:' || coalesce(chr(10) || e.body, '') || chr(10) || chr(10) || 'Output requirements:' || chr(10)
-    || 'Return strict JSON only with shape: ' || '{P.REPORT_SCHEMA}' || chr(10)
+    || 'Return strict JSON only with shape: ' || '{_REPORT_SHAPE}' || chr(10)
     || '- Only report violations at or above the configured severity threshold.' || chr(10)
     || '- Each issue must reference exactly one ruleId.' || chr(10)
     || '- Use local evidence when available, but do not fabricate certainty if evidence is weak.' || chr(10)

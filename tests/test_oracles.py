@@ -11,7 +11,10 @@ from ruleloom.catalog import all_oracles, all_queries
 from tests.compare import compare, connect
 
 SF_DIR = os.environ.get("RULELOOM_SF_DIR", "/root/testdata/sf0.001")
-SOME = ("glob_match", "evidence_records", "violations_normalized", "report_findings", "config_effective", "rule_findings", "fix_prompts_grouped", "localized_rules")
+SOME = (
+    "glob_match", "regex_hits", "evidence_records", "violations_normalized", "report_findings", "report_status", "config_chain", "rule_chain", "config_effective",
+    "merge_exceptions", "doctor_findings", "fix_prompts_grouped", "fix_prompt_of_issue", "localized_rules", "localized_config", "audit_context",
+)
 NAMES = list(all_queries()) if os.environ.get("RULELOOM_ALL_ORACLES") else SOME
 
 
