@@ -14,6 +14,7 @@ counts and probabilities, computed once for each distinct word of the corpus, an
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -28,9 +29,10 @@ from ruleloom.llm.common import held_out, staged
 VOCABULARY = "piece_bpe_32k.model"
 #: Words start with this letter, as in the vocabulary.
 MARK = "▁"
-#: A chunk closes when it holds so many distinct words, or so many documents.
+#: A chunk closes when it holds so many distinct words, so many documents, or their bags so many entries.
 CHUNK_WORDS = 300_000
 CHUNK_DOCS = 20_000
+CHUNK_ENTRIES = 2_000_000
 ROUNDS = 2
 #: Weight, in occurrences, of the vocabulary's own order against the corpus.
 PRIOR = 100.0
@@ -152,22 +154,21 @@ def _chunks(docs: DataFrame, remainder: int) -> DataFrame:
         task: int | None = None
         number = 0
         place: dict[bytes, int] = {}
-        train: list[int] = []
+        train = array("q")
         docs_of: list[tuple] = []
-        word_at: list[int] = []
-        times: list[int] = []
+        word_at, times = array("i"), array("i")  # four bytes an entry
 
         def close() -> pa.RecordBatch:
             words = [w.decode("utf-8", "replace") for w in place]
             ids, held, tokens, sizes = (list(x) for x in zip(*docs_of, strict=True))
-            row = [(task << 32) + number, words, train, ids, held, tokens, sizes, word_at, times]
+            row = [(task << 32) + number, words, np.asarray(train), ids, held, tokens, sizes, np.asarray(word_at), np.asarray(times)]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
                 task = batch.column(3)[0].as_py()
-            for doc_id, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                bag = Counter((text or "").encode().lower().split())
+            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                bag = Counter((text.as_py() or b"").lower().split())
                 for w, n in bag.items():
                     at = place.setdefault(w, len(place))
                     if at == len(train):
@@ -177,10 +178,11 @@ def _chunks(docs: DataFrame, remainder: int) -> DataFrame:
                     word_at.append(at)
                     times.append(n)
                 docs_of.append((doc_id, held, bag.total() + 1, len(bag)))
-                if len(place) >= CHUNK_WORDS or len(docs_of) >= CHUNK_DOCS:
+                if len(place) >= CHUNK_WORDS or len(docs_of) >= CHUNK_DOCS or len(word_at) >= CHUNK_ENTRIES:
                     yield close()
                     number += 1
-                    place, train, docs_of, word_at, times = {}, [], [], [], []
+                    place, train, docs_of = {}, array("q"), []
+                    word_at, times = array("i"), array("i")
         if docs_of:
             yield close()
 

@@ -171,9 +171,11 @@ def test_paraphrases_among_other_words_are_found_at_any_size(spark):
         docs.append((i, " ".join([rng.choice(other) for _ in range(60)] + words + [rng.choice(other) for _ in range(60)])))
     docs += [(100 + i, " ".join(rng.choice(other + shared) for _ in range(150))) for i in range(400)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    model = decontam.fit(table, [(i, " ".join(line)) for i, line in enumerate(lines)])
-    of = decontam.TermIds(model["terms"]).of
-    rows, seen = decontam._document_frequency(table, model["terms"])
+    texts = [" ".join(line) for line in lines]
+    known = decontam.vocabulary(table, texts)
+    model = decontam.fit(known, list(enumerate(texts)))
+    of = lambda text: decontam.term_ids(text, known["terms"])
+    rows, seen = decontam._document_frequency(known["ids"], len(known["terms"]))
     for times in (1, 300, 100_000):
         m = model | {"squares": decontam.weights(rows * times, seen * times, [of(" ".join(line)) for line in lines]) ** 2}
         assert all(i in decontam._candidates(of(docs[i][1]), m, decontam.COSINE) for i in range(20)), times
@@ -512,6 +514,43 @@ def test_chunk_size_does_not_change_scores(docs, monkeypatch):
     want = rounded()
     monkeypatch.setattr(lattice, "CHUNK_DOCS", 3)
     assert rounded() == want
+    monkeypatch.setattr(lattice, "CHUNK_DOCS", 10**6)
+    monkeypatch.setattr(lattice, "CHUNK_ENTRIES", 50)
+    assert rounded() == want
+    assert lattice.lattice_scores(docs.where("trim(text) = '' or text is null"), rounds=1).count() > 1
+
+
+def test_whole_score_equals_sums_over_all_segmentations(spark, monkeypatch):
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
+    monkeypatch.setattr(lattice, "read_pieces", lambda path: pieces)
+    texts = ["ab a ab", "Ba\tba a", "", None, "aab b\u00a0", "bbaa"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    split = [(t or "").encode().lower().split() for t in texts]
+    counts = collections.Counter(w.decode() for i, words in enumerate(split) if not held(i) for w in words)
+    ends, in_words = sum(not held(i) for i in range(len(texts))), counts.total()
+    words = spark.createDataFrame([(w, c) for w, c in counts.items()], "word string, c long")
+    logp = lattice._weights(spark, words, pieces, 2)
+    place = {p: i for i, p in enumerate(pieces)}
+
+    def mass(text):
+        if not text:
+            return 1.0
+        total = mass(text[1:]) * math.exp(logp[place[text[0]]] if text[0] in place else sum(logp[len(pieces) + b] for b in text[0].encode()))
+        return total + sum(math.exp(logp[place[text[:n]]]) * mass(text[n:]) for n in range(2, len(text) + 1) if text[:n] in place)
+
+    end = (ends + 0.5) / (in_words + ends + 1)
+
+    def plain(words_):
+        score = math.log10(end)
+        for w in words_:
+            w = w.decode()
+            subwords = lattice.DISCOUNT * len(counts) / in_words * mass(lattice.MARK + w)
+            score += math.log10((1 - end) * (subwords + max(counts[w] - lattice.DISCOUNT, 0) / in_words))
+        return score
+
+    for r in lattice.lattice_scores(table, path="given").collect():
+        assert r.score == pytest.approx(plain(split[r.doc_id]), abs=1e-6), r.doc_id
 
 
 # 10 toxicity
