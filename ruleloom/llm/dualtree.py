@@ -31,7 +31,9 @@ BLOCK_BYTES = 1 << 20
 #: Children of a node, of items and of documents.
 ITEM_FANOUT, DOC_FANOUT = 8, 16
 #: Documents of one tree, and values of its lowest level.
-TREE_DOCS, TREE_VALUES = 4096, 8 << 20
+TREE_DOCS, TREE_VALUES = 2048, 2 << 20
+#: Documents that a task searches, about.
+TASK_DOCS = 50_000
 #: Documents, about, whose best scores open the search; more open it no better than they must.
 OPENING_DOCS = 20_000
 
@@ -218,7 +220,9 @@ def _searched(docs: DataFrame, texts: list[tuple[int, str]], k: int) -> DataFram
     some = _ranked(_found(counted.where(place < min(1.0, OPENING_DOCS / rows)).coalesce(8), model, k), k)
     opening = {r["text_no"]: r["score"] for r in some.where(F.col("rank") == k).select("text_no", "score").collect()}
     model["opening"] = np.array([opening.get(no, 0) for no, _ in lines])
-    return _ranked(_found(counted, model, k), k)
+    # The counts are small and the search is not: more tasks than their files would give.
+    tasks = max(4 * counted.sparkSession.sparkContext.defaultParallelism, rows // TASK_DOCS)
+    return _ranked(_found(counted.where(F.size("terms") > 0).repartition(tasks), model, k), k)
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
