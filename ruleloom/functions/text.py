@@ -29,8 +29,8 @@ def fold_out(items: Column, state: Column, step: Callable[[Column, Column], Colu
     """What a fold over ``items`` puts out, in order, in linear time.
 
     ``step(state, item)`` gives a struct of the next ``state`` and ``more``, an array of ``out_type``
-    elements. An array that grows by one copies itself, so elements are gathered part by part; only the list of parts grows
-    over the whole.
+    elements. No items give an empty array, NULL gives NULL. An array that grows by one copies itself,
+    so elements are gathered part by part; only the list of parts grows over the whole.
     """
     empty = F.array().cast(f"array<{out_type}>")
     carried = lambda s, out: F.struct(s.alias("state"), out.alias("out"))
@@ -47,7 +47,7 @@ def fold_out(items: Column, state: Column, step: Callable[[Column, Column], Colu
         starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
         parts = F.transform(starts, lambda k: F.slice(all_items, k * FOLD_PART + 1, F.lit(FOLD_PART)))
         outs = F.aggregate(parts, carried(state, F.array().cast(f"array<array<{out_type}>>")), whole)["out"]
-        return F.flatten(outs)
+        return F.when(all_items.isNotNull(), F.flatten(outs))
 
     return bind(items, folded)
 

@@ -262,7 +262,7 @@ def _hits(files: DataFrame, projects: DataFrame, indexed: bool, applies: Callabl
     def within(lines: Column, left: Column) -> Column:
         """Hits of all remaining detectors in the lines of one file."""
         of_kind = lambda kind: F.exists(left, lambda d: (d["mode"] == "local-import") & (d["target_kind"] == kind))
-        none = F.filter(references(lines, _import_references), lambda _: F.lit(False))
+        none = F.array().cast("array<struct<line_no:int,ord:int,line:string,reference:string>>")
         imports = F.when(of_kind("import"), references(lines, _import_references)).otherwise(none)
         includes = F.when(of_kind("include"), references(lines, _include_references)).otherwise(none)
 

@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ruleloom.functions.entries import grouped, occurrences
 from ruleloom.functions.globs import any_glob_regex, glob_regex, path_matches
 from ruleloom.functions.patterns import pattern_table, translate
 from ruleloom.functions.paths import resolve_from
-from ruleloom.functions.text import indent_block, snippet, value_after_colon
+from ruleloom.functions.text import fold_out, indent_block, snippet, value_after_colon
 from ruleloom.functions.variants import number_text
 
 GLOBS = [
@@ -112,3 +113,22 @@ def test_text(spark):
     assert one(indent_block(F.lit("a\n\nb"), 2)) == "  a\n  \n  b"
     for number, text in [(5.0, "5"), (0.5, "0.5"), (0.0001, "0.0001"), (0.0, "0"), (1e7, "10000000"), (1e21, "1e+21"), (1e-7, "1e-7")]:
         assert one(number_text(F.lit(number))) == text
+
+
+def test_folds_put_out_in_order(spark):
+    def step(state, item):
+        more = F.when(item % 2 == 0, F.array(item + state["n"])).otherwise(F.array().cast("array<int>"))
+        return F.struct(F.struct((state["n"] + 1).alias("n")).alias("state"), more.alias("more"))
+
+    rows = spark.createDataFrame([(0, []), (1, None), (2, list(range(1000))), (3, [4])], "k int, items array<int>")
+    start = F.struct(F.lit(0).alias("n"))
+    found = {r.k: r.out for r in rows.select("k", fold_out(F.col("items"), start, step, "int").alias("out")).collect()}
+    assert found == {0: [], 1: None, 2: [2 * i for i in range(0, 1000, 2)], 3: [4]}
+
+
+def test_grouping_within_a_row(spark):
+    rows = spark.createDataFrame([(0, []), (1, ["b", "a", "b", "c", "a", "b"]), (2, None)], "k int, keys array<string>")
+    found = {r.k: r.n for r in rows.select("k", occurrences(F.col("keys")).alias("n")).collect()}
+    assert found == {0: [], 1: [1, 1, 2, 1, 2, 3], 2: None}
+    sizes = grouped(F.col("keys"), lambda x: x, lambda first, own: F.concat_ws(":", first, F.size(own).cast("string")))
+    assert {r.k: r.s for r in rows.select("k", sizes.alias("s")).collect()} == {0: [], 1: ["b:3", "a:2", "c:1"], 2: None}
