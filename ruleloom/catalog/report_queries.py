@@ -70,8 +70,8 @@ def violations(i: I.Inputs):
     return R.normalize_issues(R.report_issues(i.reports())).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def report_violations(i: I.Inputs):
-    return R.report_violations(i.reports())
+def report_violations(i: I.Inputs, *fields: str):
+    return R.report_violations(i.reports(), fields=fields or None)
 
 
 def _position(rows):
@@ -160,7 +160,7 @@ def severity_summary(i):
 )
 def issues_by_rule(i):
     wanted = F.concat(F.lit("EXTRA-"), F.regexp_replace("project_id", "proj-", ""))
-    found = R.violation_rows(R.select_rule(report_violations(i), wanted))
+    found = R.violation_rows(R.select_rule(report_violations(i, "issue_id", "rule_id"), wanted))
     return _position(found).select("project_id", "report_id", "pos", "issue_id", "rule_id")
 
 
@@ -171,7 +171,7 @@ def issues_by_rule(i):
 where nth = 1""",
 )
 def issue_lookup(i):
-    found = R.violation_rows(R.select_issue(report_violations(i), F.lit("ISSUE-0")))
+    found = R.violation_rows(R.select_issue(report_violations(i, "issue_id", "rule_id", "severity"), F.lit("ISSUE-0")))
     return _position(found).select("project_id", "report_id", "pos", "issue_id", "rule_id", "severity")
 
 
@@ -189,12 +189,12 @@ def severity_threshold(i):
 from v group by all""",
 )
 def issues_grouped(i):
-    return R.issues_grouped(report_violations(i)).withColumn("first_pos", F.col("first_pos").cast("bigint"))
+    return R.issues_grouped(report_violations(i, "rule_id")).withColumn("first_pos", F.col("first_pos").cast("bigint"))
 
 
 @query("duplicate_issues", f"with {ISSUES}, {REPEATS} select {_KEYS}, issue_id, rule_id from repeats")
 def duplicate_issues(i):
-    return _position(R.duplicate_issues(report_violations(i))).select("project_id", "report_id", "pos", "issue_id", "rule_id")
+    return _position(R.duplicate_issues(report_violations(i, "issue_id", "rule_id"))).select("project_id", "report_id", "pos", "issue_id", "rule_id")
 
 
 @query(
@@ -202,7 +202,7 @@ def duplicate_issues(i):
     f"with {ISSUES}, {FINDINGS} select {_KEYS}, cast(chk as bigint) as check_no, level, message from findings",
 )
 def report_findings(i):
-    return Q.report_findings(report_violations(i)).select(
+    return Q.report_findings(report_violations(i, *R.CHECKED)).select(
         "project_id", "report_id", F.col("seq.pos").cast("bigint").alias("pos"), F.col("seq.check").cast("bigint").alias("check_no"), "level", "message"
     )
 
@@ -214,7 +214,7 @@ def report_findings(i):
 from readable r left join findings f on f.project_id = r.project_id and f.report_id = r.report_id group by all""",
 )
 def report_status(i):
-    return Q.report_status(report_violations(i))
+    return Q.report_status(report_violations(i, *R.CHECKED))
 
 
 @query(
@@ -224,7 +224,7 @@ select project_id, report_id from readable
 where (project_id, report_id) not in (select project_id, report_id from findings where level = 'error')""",
 )
 def gated_projects(i):
-    return Q.clean_reports(report_violations(i)).select(*R.REPORT_KEY)
+    return Q.clean_reports(report_violations(i, *R.CHECKED)).select(*R.REPORT_KEY)
 
 
 # A report's issues in their documented form, as one text of all twelve fields.

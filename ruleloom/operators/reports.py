@@ -120,14 +120,20 @@ def documented_issue(issue: Column) -> Column:
     return F.struct(*plain, evidence.alias("evidence"), found["context"].alias("context"))
 
 
-def report_violations(reports: DataFrame, raw: str = "raw") -> DataFrame:
+#: Fields that the checks of a report read.
+CHECKED = ("issue_id", "rule_id", "severity", "repair_prompt")
+
+
+def report_violations(reports: DataFrame, raw: str = "raw", fields: tuple[str, ...] | None = None) -> DataFrame:
     """One row per readable report: ``violations``, its normalised issues with ``pos`` from 0.
 
     Parsed once and kept in the report's row, so that checks and texts of a report need no shuffle.
+    ``fields`` names the ones to make, by default all.
     """
     parsed = reports.select(*REPORT_KEY, F.try_parse_json(raw).alias("doc")).where("doc is not null")
     issues = F.coalesce(issue_array(F.col("doc")), F.array().cast("array<variant>"))
-    one = lambda issue, pos: F.struct(pos.alias("pos"), *[c.alias(name) for name, c in _fields(issue).items()])
+    wanted = lambda issue: {n: c for n, c in _fields(issue).items() if fields is None or n in fields}
+    one = lambda issue, pos: F.struct(pos.alias("pos"), *[c.alias(name) for name, c in wanted(issue).items()])
     return parsed.select(*REPORT_KEY, F.transform(issues, one).alias("violations"))
 
 

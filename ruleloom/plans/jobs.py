@@ -138,7 +138,8 @@ def fix_issues(
     ``rule_id`` alone only the issues of that rule stay. Reports without any such issue are left out.
     """
     rules = rules.join(projects.select("project_id"), "project_id", "left_semi")
-    clean = Q.clean_reports(reports)
+    # The gate would otherwise move below the parsing and repeat it.
+    clean = Q.clean_reports(staged(reports, "reports"))
     if issue_id is not None:
         clean = R.select_issue(clean, issue_id, rule_id)
     elif rule_id is not None:
