@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.session import dealt
 
 NL = "chr(10)"
 
@@ -148,7 +149,7 @@ select 'base.md' as path,
     'prompt:', {NL}, '  violation: v', {NL}, '  requirement: r', {NL}, '  solution: s') as content
 from (select count(*) as n from part) c"""
 
-RULE_DOCS = f"{PROJECT_RULE_DOCS} union all {BRAND_RULE_DOCS} union all {BASE_RULE_DOC}"
+SHARED_RULE_DOCS = f"{BRAND_RULE_DOCS} union all {BASE_RULE_DOC}"
 
 PROJECT_CONFIGS = """
 select concat('projects/proj-', c_custkey, '/project.json') as path,
@@ -192,7 +193,7 @@ select concat('regions/', r_regionkey, '.json') as path,
     '"detectOptions":{"include":["src/**","public/**"],"exclude":["tmp/**"]}}') as content
 from region"""
 
-CONFIGS = f"{PROJECT_CONFIGS} union all {NATION_CONFIGS} union all {REGION_CONFIGS}"
+SHARED_CONFIGS = f"{NATION_CONFIGS} union all {REGION_CONFIGS}"
 
 # Source files of the configured projects.
 PROJECT_FILES = CODE_FILES.replace("concat('p', user_id % 20) as project_id", "concat('proj-', user_id) as project_id")
@@ -226,6 +227,9 @@ LOCALES = [
     ("zh-CN", "desc.0", ""),
 ]
 
+#: Tables of short rows, each of which becomes a long text, with the key that they are dealt by.
+DEALT = {"part": "p_partkey", "customer": "c_custkey", "events": "event_id"}
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -235,10 +239,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, deal: bool = False) -> DataFrame:
+        """``deal`` spreads short rows over tasks by their number, as their bytes tell little of the work."""
         for name in TABLES:
             if name in text:
-                self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+                rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                rows = dealt(rows, DEALT[name]) if deal and name in DEALT else rows
+                rows.createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def files(self) -> DataFrame:
@@ -267,19 +274,19 @@ class Inputs:
         return projects.select("project_id", F.inline(F.array(*rules)))
 
     def reports(self) -> DataFrame:
-        return self.sql(REPORTS)
+        return self.sql(REPORTS, deal=True)
 
-    def rule_docs(self) -> DataFrame:
-        return self.sql(RULE_DOCS)
+    def rule_docs(self, deal: bool = True) -> DataFrame:
+        return self.sql(PROJECT_RULE_DOCS, deal).unionByName(self.sql(SHARED_RULE_DOCS))
 
-    def configs(self) -> DataFrame:
-        return self.sql(CONFIGS)
+    def configs(self, deal: bool = True) -> DataFrame:
+        return self.sql(PROJECT_CONFIGS, deal).unionByName(self.sql(SHARED_CONFIGS))
 
     def projects(self) -> DataFrame:
         return self.sql(PROJECTS)
 
     def rule_templates(self) -> DataFrame:
-        return self.sql(RULE_TEMPLATES)
+        return self.sql(RULE_TEMPLATES, deal=True)
 
     def locales(self) -> DataFrame:
         return self.spark.createDataFrame(LOCALES, "locale string, key string, text string")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Whitespace as the rule language defines it: ASCII blanks, all space separators,
 # line/paragraph separators and the byte order mark.
 BLANK = r"[\s\p{Zs}\x{FEFF}\x{2028}\x{2029}]"
+# The same characters, for Python.
+BLANK_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

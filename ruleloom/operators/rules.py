@@ -5,21 +5,16 @@ A document is one row and is parsed inside that row, so parsing needs no shuffle
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
-from ruleloom.functions.entries import last_of_each_key
 from ruleloom.functions.paths import resolve_from
-from ruleloom.functions.text import (
-    BLANK,
-    bind,
-    fold_out,
-    indent_width,
-    lines_of,
-    strip_quotes,
-    trim_blank,
-    value_after_colon,
-)
+from ruleloom.functions.text import BLANK, BLANK_CHARS, bind, lines_of, trim_blank, value_after_colon
 from ruleloom.operators.inheritance import resolve_chains
 
 # The words of the rule document grammar.
@@ -30,9 +25,15 @@ MAP_WORDS = ("detect", "prompt")
 LIST_WORD = "context"
 DETECT_KEYS = ("regex", "import", "include", "where")
 
-_ENTRIES = "array<struct<section:string,key:string,value:string>>"
+_TEXT = StringType()
+_KINDS = dict.fromkeys(FIELD_WORDS, _TEXT) | dict.fromkeys(MAP_WORDS, MapType(_TEXT, _TEXT)) | {LIST_WORD: ArrayType(_TEXT)}
+RULE_TYPE = StructType([StructField(n, t) for n, t in ({"block_pos": IntegerType(), "rule_id": _TEXT} | _KINDS).items()])
+RULES_TYPE = ArrayType(RULE_TYPE)
+
 _BLANK_IN_LINE = BLANK[:-1] + r"&&[^\n]]"
-_WORDS = "|".join((*FIELD_WORDS, *MAP_WORDS, LIST_WORD))
+_LINE_END = re.compile(r"\r?\n")
+_BLOCK_START = re.compile(rf"\r?\n(?=[{BLANK_CHARS.replace(chr(10), '')}]*{RULE_HEADER})")
+_BLOCK = re.compile(rf"[{BLANK_CHARS}]*{RULE_HEADER}")
 
 
 def parent_path(path: Column, content: Column) -> Column:
@@ -45,106 +46,67 @@ def parent_path(path: Column, content: Column) -> Column:
     )
 
 
-def rule_blocks_of(content: Column) -> Column:
-    """Texts of the rule blocks of a document, header line first."""
-    parts = F.split(content, rf"\r?\n(?={_BLANK_IN_LINE}*{RULE_HEADER})", -1)
-    return F.filter(parts, lambda p: p.rlike(rf"\A{BLANK}*{RULE_HEADER}"))
-
-
-def _line_parts(line: Column) -> Column:
-    """What the fold needs to know about a line, computed once per line."""
-
-    def parts(trimmed: Column) -> Column:
-        colon = F.instr(trimmed, ":")
-        return F.struct(
-            trimmed.alias("text"),
-            indent_width(line).alias("indent"),
-            F.regexp_extract(trimmed, rf"\A({_WORDS}):", 1).alias("word"),
-            (colon > 0).alias("keyed"),
-            trim_blank(F.substr(trimmed, F.lit(1), colon - 1)).alias("key"),
-            value_after_colon(trimmed).alias("value"),
-        )
+def _unquoted(text: str) -> str:
+    """:func:`ruleloom.functions.text.strip_quotes` of one text."""
+    paired = any(text.startswith(q) and text.endswith(q) for q in "\"'")
+    return text[1 : max(len(text) - 1, 1)] if paired else text
 
-    return bind(trim_blank(line), parts)
 
+def _block_rule(block: str, pos: int) -> dict:
+    """Fields and sections of one block, header line first.
 
-def block_entries(lines: Column) -> Column:
-    """Fields and section entries of a block, in line order.
-
-    What a line means depends on the lines before it: inside an indented section even a
-    known word is just a key. Hence a fold over the block's lines, linear in them. A section header
-    adds an entry without key, because a repeated section replaces the earlier one.
+    What a line means depends on the lines before it: inside an indented section even a known word is
+    just a key. A repeated section replaces the earlier one; a repeated key keeps its place and takes
+    the last value.
     """
-    nothing = F.lit(None).cast("string")
-
-    def step(state: Column, line: Column) -> Column:
-        section, indent = state["section"], state["indent"]
-        text, word = line["text"], line["word"]
-
-        def become(new_section, new_indent, *entry) -> Column:
-            named = [c.alias(n) for c, n in zip(entry, ("section", "key", "value"))]
-            put = F.array(F.struct(*named)) if entry else F.array()
-            return F.struct(F.struct(new_section.alias("section"), new_indent.alias("indent")).alias("state"), put.cast(_ENTRIES).alias("more"))
-
-        inside = (section != "") & (line["indent"] > indent)
-        item = strip_quotes(trim_blank(F.substr(text, F.lit(3))))
-        no_section, no_indent = F.lit(""), F.lit(0)
-        return (
-            F.when(text == "", become(section, indent))
-            .when(inside & (section == LIST_WORD) & text.startswith("- "), become(section, indent, section, F.lit(""), item))
-            .when(inside & (section != LIST_WORD) & line["keyed"], become(section, indent, section, line["key"], line["value"]))
-            .when(inside, become(section, indent))
-            .when(word.isin(*FIELD_WORDS), become(no_section, no_indent, F.lit("field"), word, line["value"]))
-            .when(word != "", become(word, line["indent"], word, nothing, nothing))
-            .otherwise(become(no_section, no_indent))
-        )
-
-    start = F.struct(F.lit("").alias("section"), F.lit(0).alias("indent"))
-    return fold_out(F.transform(lines, _line_parts), start, step, _ENTRIES[len("array<") : -1])
-
-
-def _last_field(entries: Column, word: str) -> Column:
-    found = F.filter(entries, lambda e: (e["section"] == "field") & (e["key"] == word))
-    return F.try_element_at(found, F.lit(-1))["value"]
-
-
-def _section(entries: Column, word: str) -> Column:
-    """Entries after the last header of a section."""
-    own = F.filter(entries, lambda e: e["section"] == word)
-
-    def after_header(mine: Column) -> Column:
-        header = F.array_max(F.transform(mine, lambda e, i: F.when(e["key"].isNull(), i)))
-        return F.slice(mine, F.coalesce(header, F.lit(-1)) + 2, F.size(mine))
-
-    return bind(own, after_header)
-
-
-def _ordered_map(entries: Column) -> Column:
-    """Map in first-seen key order; a repeated key keeps its place and takes the last value."""
-    return F.map_from_entries(last_of_each_key(entries))
+    header, *lines = _LINE_END.split(block)
+    rule: dict = {"block_pos": pos, "rule_id": header.strip(BLANK_CHARS)[len(RULE_HEADER) :].strip(BLANK_CHARS)}
+    rule |= {word: None for word in FIELD_WORDS} | {word: {} for word in MAP_WORDS} | {LIST_WORD: []}
+    section, opened_at = "", 0
+    for line in lines:
+        text = line.strip(BLANK_CHARS)
+        if not text:
+            continue
+        indent = len(line) - len(line.lstrip(BLANK_CHARS))
+        start, colon, rest = text.partition(":")
+        if section and indent > opened_at:
+            if section == LIST_WORD:
+                if text.startswith("- "):
+                    rule[section].append(_unquoted(text[2:].strip(BLANK_CHARS)))
+            elif colon:
+                rule[section][start.strip(BLANK_CHARS)] = _unquoted(rest.strip(BLANK_CHARS))
+            continue
+        section, opened_at = "", 0
+        if not colon:
+            continue
+        if start in FIELD_WORDS:
+            rule[start] = _unquoted(rest.strip(BLANK_CHARS))
+        elif start in MAP_WORDS or start == LIST_WORD:
+            section, opened_at = start, indent
+            rule[section] = [] if start == LIST_WORD else {}
+    for word in MAP_WORDS:
+        rule[word] = list(rule[word].items())
+    return rule
+
+
+@F.arrow_udf(RULES_TYPE)
+def _parsed(contents: pa.Array) -> pa.Array:
+    rows = []
+    for content in contents:
+        text = content.as_py()
+        blocks = None if text is None else filter(_BLOCK.match, _BLOCK_START.split(text))
+        rows.append(None if blocks is None else [_block_rule(block, at) for at, block in enumerate(blocks)])
+    return pa.array(rows, to_arrow_type(RULES_TYPE))
 
 
 def document_rules(content: Column) -> Column:
-    """Rules of a document as an array, ``block_pos`` from 0."""
-
-    def rule(block: Column, pos: Column) -> Column:
-        def from_lines(lines: Column) -> Column:
-            header = trim_blank(F.element_at(lines, 1))
-            body = F.slice(lines, F.lit(2), F.size(lines))
-            return bind(
-                block_entries(body),
-                lambda entries: F.struct(
-                    pos.alias("block_pos"),
-                    trim_blank(F.substr(header, F.lit(len(RULE_HEADER) + 1))).alias("rule_id"),
-                    *[_last_field(entries, w).alias(w) for w in FIELD_WORDS],
-                    *[_ordered_map(_section(entries, w)).alias(w) for w in MAP_WORDS],
-                    F.transform(_section(entries, LIST_WORD), lambda e: e["value"]).alias(LIST_WORD),
-                ),
-            )
-
-        return bind(lines_of(block), from_lines)
-
-    return F.transform(rule_blocks_of(content), rule)
+    """Rules of a document as an array, ``block_pos`` from 0; NULL gives NULL.
+
+    Lines are told apart by those before them, for which Spark has only a fold that interprets every
+    expression for every line. Hence one pass over the lines in Python, in Arrow batches within the
+    row's task. Bytes that are no UTF-8 become U+FFFD.
+    """
+    return _parsed(F.make_valid_utf8(content))
 
 
 def with_detect_kind(rules: DataFrame) -> DataFrame:

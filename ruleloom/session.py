@@ -13,6 +13,9 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringTy
 BROADCAST_BYTES = 64 << 20
 #: Copies of a looked-up row that is too large to broadcast.
 SALTS = 64
+#: Rows that one task turns into texts or parses, and the most tasks for it.
+DEALT_ROWS = 4096
+MOST_DEALT = 2000
 _STAGED: list[str] = []
 
 
@@ -35,6 +38,16 @@ def build_session(app: str = "ruleloom", cores: str = "*", partitions: int = 8,
     )
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` spread over tasks of about ``DEALT_ROWS`` rows by a ``key`` that is near unique.
+
+    For short rows that cost much work each: a reader plans its tasks by bytes, and a file of a
+    million such rows is one or two tasks to it.
+    """
+    tasks = min(MOST_DEALT, -(-df.count() // DEALT_ROWS))
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast for a side whose text, measured on its rows, stays below a bound.
 
