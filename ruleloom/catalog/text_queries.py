@@ -16,7 +16,7 @@ from ruleloom.operators import quality as Q
 from ruleloom.operators import reports as R
 from ruleloom.operators.rules import latest_rules
 from ruleloom.plans import jobs
-from ruleloom.session import lookup_join, staged
+from ruleloom.session import lookup_join, shuffled, staged
 from ruleloom.sources.sinks import as_json
 
 # --- oracle building blocks -----------------------------------------------------------------
@@ -218,7 +218,7 @@ def evidence_sections_text(i):
 def parsed_projects(i: I.Inputs) -> DataFrame:
     """Projects whose rule document and all it extends could be read."""
     read = rule_chain_table(i).where("status = 'ok'").select(F.col("start").alias("rules_path"))
-    return project_rules(i).join(read, "rules_path", "left_semi").select("project_id")
+    return project_rules(i).join(shuffled(read), "rules_path", "left_semi").select("project_id")
 
 
 def audit_job(i: I.Inputs) -> dict[str, DataFrame]:

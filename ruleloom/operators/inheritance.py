@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.session import broadcast_if_small, staged
+from ruleloom.session import broadcast_if_small, shuffled, staged
 
 
 def _until_repeat(walk: Column) -> Column:
@@ -70,7 +70,7 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
         documents = documents.withColumn("readable", F.lit(True))
     documents = staged(documents, "chain-documents")
     used = documents.select(F.col("parent").alias("path")).where("path is not null").distinct()
-    parents = documents.join(used, "path", "left_semi")
+    parents = documents.join(broadcast_if_small(used), "path", "left_semi")
     walks = parent_walks(parents.select("path", "parent", "readable"))
 
     link = F.struct("path", "body").alias("link")
@@ -78,13 +78,13 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
     bodies = steps.join(broadcast_if_small(parents.select("path", link)), "path")
     by_depth = lambda a, b: a["depth"] - b["depth"]  # noqa: E731 - bodies hold values without an order
     gathered = bodies.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("depth", "link")), by_depth).alias("links"))
-    above = walks.join(gathered.withColumnRenamed("owner", "path"), "path").select(
+    above = walks.join(shuffled(gathered.withColumnRenamed("owner", "path")), "path").select(
         F.col("path").alias("parent"), "walk", F.transform("links", lambda x: x["link"]).alias("links"), F.col("status").alias("_status"), F.col("trouble").alias("_trouble")
     )
     readable_parents = parents.select(F.col("path").alias("parent"), F.col("readable").alias("_readable"))
     above = staged(above.join(broadcast_if_small(readable_parents), "parent"), "chain-parents")
 
-    own = documents if starts is None else documents.join(starts.select(F.col("start").alias("path")), "path", "left_semi")
+    own = documents if starts is None else documents.join(shuffled(starts.select(F.col("start").alias("path"))), "path", "left_semi")
     met = own.select("path", "parent", "readable", link).join(broadcast_if_small(above), "parent", "left")
     # The parent's chain up to the start itself, if it leads back to it.
     back = F.array_position("walk", F.col("path")).cast("int")

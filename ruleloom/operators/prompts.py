@@ -11,7 +11,7 @@ from ruleloom.functions.text import BLANK, bind, first_text, fold_out, indent_bl
 from ruleloom.operators.configs import entries_text, entry_value, exception_summary, object_entries, raw_field
 from ruleloom.operators.evidence import MATCHES_SHOWN
 from ruleloom.operators.reports import REPORT_KEY, location_text
-from ruleloom.session import broadcast_if_small, lookup_join, staged
+from ruleloom.session import broadcast_if_small, lookup_join, shuffled, staged
 
 # Wording of the audit text, in output order.
 AUDIT_KEYS = ("prompt.audit.system", "prompt.audit.user")
@@ -112,7 +112,7 @@ def rules_with_evidence(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rules with the last evidence record of their id."""
     fields = [c for c in evidence.columns if c not in ("project_id", "rule_pos", "rule_id")]
     last = evidence.groupBy("project_id", "rule_id").agg(F.max_by(F.struct(*fields), "rule_pos").alias("_record"))
-    return rules.join(last.select("project_id", "rule_id", "_record.*"), ["project_id", "rule_id"], "left")
+    return rules.join(shuffled(last.select("project_id", "rule_id", "_record.*")), ["project_id", "rule_id"], "left")
 
 
 def evidence_sections(rules: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def audit_prompts(headers: DataFrame, rule_texts: DataFrame, evidence_texts: Dat
             F.array(*[F.lit(x) for x in ("", OUTPUT_TITLE, SCHEMA_LEAD + REPORT_SCHEMA, *OUTPUT_LINES)]),
         )
     )
-    return headers.join(gathered, "project_id", "left").select("project_id", F.array_join(body, "\n").alias("prompt"))
+    return headers.join(shuffled(gathered), "project_id", "left").select("project_id", F.array_join(body, "\n").alias("prompt"))
 
 
 # --- repair texts ---------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, Struc
 from ruleloom.functions.paths import resolve_from
 from ruleloom.functions.text import BLANK, BLANK_CHARS, bind, lines_of, trim_blank, value_after_colon
 from ruleloom.operators.inheritance import resolve_chains
+from ruleloom.session import shuffled
 
 # The words of the rule document grammar.
 RULE_HEADER = "### RULE:"
@@ -165,4 +166,4 @@ def duplicate_rules(rules: DataFrame) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
-    return rules.join(firsts, ["project_id", "rule_id"]).where("rule_pos > first_pos").drop("first_pos")
+    return rules.join(shuffled(firsts), ["project_id", "rule_id"]).where("rule_pos > first_pos").drop("first_pos")

@@ -13,7 +13,7 @@ from ruleloom.operators import quality as Q
 from ruleloom.operators import reports as R
 from ruleloom.operators.configs import LIST_KEYS, MAP_KEYS, NESTED, config_chains, effective_configs, entry_value
 from ruleloom.operators.rules import effective_rules, latest_rules, rule_chains, with_detect_columns
-from ruleloom.session import staged
+from ruleloom.session import shuffled, staged
 
 CONTEXT_VERSION = "0.3"
 
@@ -27,7 +27,7 @@ def load_projects(config_table: DataFrame, project_configs: DataFrame) -> DataFr
 def projects_of(chains: DataFrame, project_configs: DataFrame) -> DataFrame:
     named = string_only(entry_value(F.col("i18n"), "defaultLocale"), "$")
     locale = F.coalesce(F.nullif(named, F.lit("")), F.lit("en"))
-    projects = effective_configs(chains).join(project_configs, "config_path").withColumn("locale", locale)
+    projects = effective_configs(chains).join(shuffled(project_configs), "config_path").withColumn("locale", locale)
     # Small next to the corpus, and every check reads it again.
     return staged(projects, "projects")
 
@@ -49,7 +49,7 @@ def load_rules(rule_table: DataFrame, project_rules: DataFrame) -> DataFrame:
 
 
 def rules_of(chains: DataFrame, project_rules: DataFrame) -> DataFrame:
-    rules = effective_rules(chains).join(project_rules.withColumnRenamed("rules_path", "document"), "document")
+    rules = effective_rules(chains).join(shuffled(project_rules.withColumnRenamed("rules_path", "document")), "document")
     return staged(with_detect_columns(rules), "rules")
 
 
@@ -67,9 +67,9 @@ def audit(
     Gating before the scan saves reading the texts of projects whose prompt would be withheld.
     """
     findings = Q.rule_findings(rules, projects)
-    ready = projects if parsed is None else projects.join(parsed.select("project_id"), "project_id", "left_semi")
+    ready = projects if parsed is None else projects.join(shuffled(parsed.select("project_id")), "project_id", "left_semi")
     open_projects = staged(Q.without_errors(ready, findings), "open-projects")
-    open_rules = rules.join(open_projects.select("project_id"), "project_id", "left_semi")
+    open_rules = rules.join(shuffled(open_projects.select("project_id")), "project_id", "left_semi")
     resolved = E.resolve_rules(open_rules, exceptions_of(open_projects))
     evidence = staged(E.evidence_records(E.files_in_scope(files, open_projects), resolved), "evidence")
     active = Q.active_rules(open_rules, open_projects)
@@ -110,7 +110,7 @@ def audit_context(projects: DataFrame, rules: DataFrame, evidence: DataFrame, fi
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     out = projects.select("project_id", F.lit(CONTEXT_VERSION).alias("version"), stamp.alias("generatedAt"), "locale", config.alias("config"))
     for table, order, name in ((rules, "rule_pos", "rules"), (evidence, "rule_pos", "evidence"), (findings, "seq", "findings")):
-        out = out.join(packed(table, order, name), "project_id", "left")
+        out = out.join(shuffled(packed(table, order, name)), "project_id", "left")
     return out
 
 
@@ -137,7 +137,7 @@ def fix_issues(
     only the first issue of that id stays in each report, and ``rule_id`` then overrides its rule; with
     ``rule_id`` alone only the issues of that rule stay. Reports without any such issue are left out.
     """
-    rules = rules.join(projects.select("project_id"), "project_id", "left_semi")
+    rules = rules.join(shuffled(projects.select("project_id")), "project_id", "left_semi")
     # The gate would otherwise move below the parsing and repeat it.
     clean = Q.clean_reports(staged(reports, "reports"))
     if issue_id is not None:
@@ -162,22 +162,22 @@ def doctor(inputs: DataFrame, config_chain_table: DataFrame, projects: DataFrame
 
     missing = Q.missing_inputs(inputs)
     unloadable = Q.broken_chains(config_chain_table, "config").join(
-        inputs.where("has_config").select("project_id", F.col("config_path").alias("start")), "start"
+        shuffled(inputs.where("has_config").select("project_id", F.col("config_path").alias("start"))), "start"
     )
     unparsed = (
         Q.broken_chains(rule_chain_table, "rule")
-        .join(inputs.where("has_config and has_rules").select("project_id", F.col("rules_path").alias("start")), "start")
-        .join(projects.select("project_id"), "project_id", "left_semi")
+        .join(shuffled(inputs.where("has_config and has_rules").select("project_id", F.col("rules_path").alias("start"))), "start")
+        .join(shuffled(projects.select("project_id")), "project_id", "left_semi")
     )
     # Without rules, a loaded project still gets its configuration checked; one without
     # loadable configuration gets no rule finding, because rule checks join on projects.
     no_rules = missing.where("step = 0").unionByName(
-        missing.where("step = 6").join(projects.select("project_id"), "project_id", "left_semi")
+        missing.where("step = 6").join(shuffled(projects.select("project_id")), "project_id", "left_semi")
     )
     parsed = inputs.where("has_rules").select("project_id", F.col("rules_path").alias("start")).join(
-        rule_chain_table.where("status = 'ok'").select("start"), "start", "left_semi"
+        shuffled(rule_chain_table.where("status = 'ok'").select("start")), "start", "left_semi"
     )
-    checked = projects.join(parsed.select("project_id"), "project_id", "left_semi")
+    checked = projects.join(shuffled(parsed.select("project_id")), "project_id", "left_semi")
     return (
         step_rows(no_rules, F.col("step"))
         .unionByName(step_rows(unloadable, F.lit(1)))

@@ -51,12 +51,24 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast for a side whose text, measured on its rows, stays below a bound.
 
-    Beyond it the side stays unhinted: Spark then takes a shuffled join, and AQE splits the
-    partitions of a hot project. The plan's results are the same either way.
+    Beyond it the side is :func:`shuffled`, and AQE splits the partitions of a hot project. The
+    plan's results are the same either way.
     """
+    return F.broadcast(df) if _is_small(df, max_bytes) else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the input, for a shuffled join.
+
+    Without a hint Spark goes by the bytes of the files below: a few compressed megabytes of staged
+    rows are hundreds in the driver, which builds what it broadcasts.
+    """
+    return df.hint("merge")
+
+
+def _is_small(df: DataFrame, max_bytes: int) -> bool:
     row = sum((F.coalesce(_width(F.col(f.name), f.dataType), F.lit(0)) for f in df.schema), F.lit(16))
-    size = df.agg(F.sum(row)).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return (df.agg(F.sum(row)).first()[0] or 0) <= max_bytes
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -67,9 +79,8 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, max_bytes: int = BR
     as many tasks.
     """
     table = staged(table, "lookup")
-    hinted = broadcast_if_small(table, max_bytes)
-    if hinted is not table:
-        return rows.join(hinted, key, "left")
+    if _is_small(table, max_bytes):
+        return rows.join(F.broadcast(table), key, "left")
     plain = [f.name for f in rows.schema if not isinstance(f.dataType, ArrayType | StructType | MapType | VariantType)]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.catalog import inputs as I
 from ruleloom.functions.text import BLANK, BLANK_CHARS
+from ruleloom.operators import quality as Q
 from ruleloom.operators import rules as RU
 from ruleloom.session import DEALT_ROWS
 
@@ -36,3 +37,13 @@ def test_documents_without_text_or_rules_and_long_ones(spark):
     assert [(r.block_pos, r.rule_id, r.intent, r.detect) for r in found[4]] == [(k, f"R-{k}", str(k), {"regex": f"x{k}"}) for k in range(3000)]
     broken = spark.range(1).select(RU.document_rules(F.concat(F.lit("### RULE: B"), F.unhex(F.lit("FF")).cast("string"))).alias("rules")).first().rules
     assert [r.rule_id for r in broken] == ["B�"]
+
+
+def test_sides_that_grow_with_the_projects_are_not_broadcast_by_an_estimate(spark):
+    rules = spark.createDataFrame([("p", "R-1", 0)], "project_id string, rule_id string, rule_pos bigint")
+    projects = spark.createDataFrame([("p", ["R-1", "R-2"], ["s"])], "project_id string, enabledRuleIds array<string>, scopes array<string>")
+    for table in (Q.active_rules(rules, projects), Q.enabled_missing(rules, projects), RU.duplicate_rules(rules)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [r.rule_id for r in Q.active_rules(rules, projects).collect()] == ["R-1"]
+    assert [r.rule_id for r in Q.enabled_missing(rules, projects).collect()] == ["R-2"]
