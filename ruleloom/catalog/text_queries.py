@@ -14,6 +14,7 @@ from ruleloom.operators import evidence as E
 from ruleloom.operators import prompts as P
 from ruleloom.operators import quality as Q
 from ruleloom.operators import reports as R
+from ruleloom.operators.configs import DETECT_LISTS, LIST_KEYS, PROMPT_MAPS
 from ruleloom.operators.rules import latest_rules
 from ruleloom.plans import jobs
 from ruleloom.session import lookup_join, shuffled, staged
@@ -215,19 +216,23 @@ def evidence_sections_text(i):
     return P.evidence_sections(i.pack(i.corpus_projects()), records)
 
 
-def parsed_projects(i: I.Inputs) -> DataFrame:
+def parsed_projects(i: I.Inputs, chains: DataFrame) -> DataFrame:
     """Projects whose rule document and all it extends could be read."""
-    read = rule_chain_table(i).where("status = 'ok'").select(F.col("start").alias("rules_path"))
+    read = chains.where("status = 'ok'").select(F.col("start").alias("rules_path"))
     return project_rules(i).join(shuffled(read), "rules_path", "left_semi").select("project_id")
 
 
-def audit_job(i: I.Inputs) -> dict[str, DataFrame]:
-    return jobs.audit(i.sql(I.PROJECT_FILES), configs(i), rules(i), i.locales(), parsed_projects(i))
+def audit_job(i: I.Inputs, *fields: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The job's tables and the rules; ``fields`` names the merged columns of a configuration that are read."""
+    chains = rule_chain_table(i)  # parsed once for both
+    found = jobs.rules_of(chains, project_rules(i))
+    return jobs.audit(i.sql(I.PROJECT_FILES), configs(i, *fields), found, i.locales(), parsed_projects(i, chains)), found
 
 
 @query("audit_prompts", f"with {AUDIT} select project_id, prompt from audit")
 def audit_prompts(i):
-    return audit_job(i)["prompts"]
+    fields = ("stack", "severityThreshold", *LIST_KEYS, *DETECT_LISTS, "i18n", "thresholds", *PROMPT_MAPS, "exceptions")
+    return audit_job(i, *fields)[0]["prompts"]
 
 
 # The audit context holds all rules of a project, not only the enabled ones.
@@ -251,8 +256,7 @@ left join (select project_id, string_agg(level || ' ' || message, chr(10) order
 )
 def audit_context(i):
     """The written JSON, read again by its documented names."""
-    setup, found = configs(i), rules(i)
-    job = jobs.audit(i.sql(I.PROJECT_FILES), setup, found, i.locales(), parsed_projects(i))
+    job, found = audit_job(i)
     written = as_json(jobs.audit_context(job["projects"], found, job["evidence"], job["findings"]), "project_id")
     read = written.select("project_id", F.from_json("json", CONTEXT_FORM, {"mode": "FAILFAST"}).alias("j")).select("project_id", "j.*")
     joined = lambda items, text, sep=",": F.array_join(F.transform(items, text), sep)
@@ -269,7 +273,7 @@ def audit_context(i):
 
 
 def enriched_reports(i: I.Inputs) -> DataFrame:
-    return jobs.fix_issues(report_violations(i), rules(i), configs(i))
+    return jobs.fix_issues(report_violations(i), rules(i, *P.RULE_COLUMNS), configs(i, *LIST_KEYS))
 
 
 def enriched_issues(i: I.Inputs) -> DataFrame:
@@ -358,7 +362,7 @@ FIX_ONE = FIX.replace("from clean c left join", "from chosen c left join").repla
 def fix_prompt_of_issue(i):
     issue = F.concat(F.lit("ISSUE-"), "report_id", F.lit("-1"))
     rule = F.concat(F.lit("EXTRA-"), F.regexp_replace("project_id", "proj-", ""))
-    chosen = jobs.fix_issues(report_violations(i), rules(i), configs(i), issue, rule)
+    chosen = jobs.fix_issues(report_violations(i), rules(i, *P.RULE_COLUMNS), configs(i, *LIST_KEYS), issue, rule)
     return P.fix_prompts_by_rule(chosen).withColumn("first_pos", F.col("first_pos").cast("bigint"))
 
 

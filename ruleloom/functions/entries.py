@@ -16,7 +16,7 @@ def key_groups(flat: Column) -> Column:
     Groups come in the order in which their keys first appear. Values stay out of the sort, as a
     VARIANT has no order.
     """
-    placed = F.array_sort(F.transform(flat, lambda e, at: F.struct(e["key"].alias("key"), at.alias("place"))))
+    placed = F.sort_array(F.transform(flat, lambda e, at: F.struct(e["key"].alias("key"), at.alias("place"))))
 
     def grouped(rows: Column) -> Column:
         opens = F.filter(
@@ -28,7 +28,7 @@ def key_groups(flat: Column) -> Column:
             end = lambda k: F.coalesce(F.get(firsts, k + 1)["at"], F.size(rows))
             return F.transform(firsts, lambda r, k: F.struct(r["place"].alias("place"), r["at"].alias("at"), (end(k) - r["at"]).alias("size")))
 
-        groups = F.array_sort(bind(opens, sized))  # by the place of the first
+        groups = F.sort_array(bind(opens, sized))  # by the place of the first
         return F.struct(F.transform(rows, lambda r: r["place"]).alias("places"), groups.alias("groups"))
 
     return bind(placed, grouped)
@@ -53,7 +53,7 @@ def occurrences(keys: Column) -> Column:
     def counted(found: Column) -> Column:
         own = lambda g: F.slice(found["places"], g["at"] + 1, g["size"])
         numbered = F.transform(found["groups"], lambda g: F.transform(own(g), lambda p, n: F.struct(p.alias("place"), (n + 1).alias("nth"))))
-        return F.transform(F.array_sort(F.flatten(numbered)), lambda x: x["nth"])
+        return F.transform(F.sort_array(F.flatten(numbered)), lambda x: x["nth"])
 
     return bind(key_groups(F.transform(keys, lambda k: F.struct(k.alias("key")))), counted)
 

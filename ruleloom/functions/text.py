@@ -23,6 +23,16 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def made_once(value: Column, name: str) -> Column:
+    """``value`` under ``name`` as the output of a generator, for a select of the row's other columns.
+
+    A filter on a plain computed column is moved below the projection that makes it, and below exchanges,
+    and so makes it a second time; one on a generator's output stays above. Spark adds such filters itself
+    before :func:`inline` and :func:`explode`.
+    """
+    return F.explode(F.array(value)).alias(name)
+
+
 #: Items that a fold handles before its output is put aside.
 FOLD_PART = 256
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ruleloom.functions.text import bind
+
 _NUMBER = r"\A(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
 
 
@@ -26,8 +28,7 @@ def as_text(value: Column) -> Column:
 
 def string_only(value: Column, path: str) -> Column:
     """Text at ``path`` when it is a JSON string, else NULL. An empty string counts."""
-    found = field(value, path)
-    return F.when(kind(found) == "STRING", as_text(found))
+    return bind(field(value, path), lambda found: F.when(kind(found) == "STRING", as_text(found)))
 
 
 def _falsy(text: Column, value: Column) -> Column:
@@ -38,12 +39,11 @@ def _falsy(text: Column, value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """The value itself unless it is absent, null, "", 0 or false."""
-    return F.when(~_falsy(as_text(value), value), value)
+    return bind(value, lambda v: bind(as_text(v), lambda text: F.when(~_falsy(text, v), v)))
 
 
 def truthy_text(value: Column, path: str) -> Column:
-    text = F.try_variant_get(value, path, "string")
-    return F.when(~_falsy(text, field(value, path)), text)
+    return bind(F.try_variant_get(value, path, "string"), lambda text: F.when(~_falsy(text, field(value, path)), text))
 
 
 def cascade_text(value: Column, *paths: str) -> Column:

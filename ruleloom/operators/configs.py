@@ -23,6 +23,8 @@ DETECT_LISTS = ("include", "exclude")
 PROMPT_MAPS = ("promptTemplates", "promptTemplateKeys")
 # Objects whose own entries are merged one by one.
 NESTED = ("prompt", "detectOptions")
+#: Columns of :func:`effective_configs`, in order; ``locale`` of a project comes from ``i18n``.
+MERGED = (*SCALAR_KEYS, "plain", *LIST_KEYS, *DETECT_LISTS, *MAP_KEYS, *PROMPT_MAPS, *NESTED, "exceptions", "exception_entries")
 
 _ENTRY = "array<struct<key:string,value:variant>>"
 _TEXTS = "array<string>"
@@ -84,44 +86,56 @@ def entry_value(entries: Column, key: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
-def config_documents(configs: DataFrame) -> DataFrame:
+def config_documents(configs: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """``(path, parent, body)`` rows for :func:`resolve_chains` from ``(path, content)`` JSON texts.
 
     The body is the parsed document: all entries as written but ``extends``, and the parts with
-    a merge rule of their own. ``readable`` is false for a text that is no JSON.
+    a merge rule of their own. ``readable`` is false for a text that is no JSON. ``fields`` names the
+    columns of :func:`effective_configs` that the parts are wanted for, by default all; of the plain
+    entries those stay that a wanted column comes from. Both lists are always there.
     """
-    nested = ", ".join(f"`{k}`: string" for k in (*MAP_KEYS, "exceptions", *NESTED))
-    prompts = ", ".join(f"`{k}`: string" for k in PROMPT_MAPS)
+    wanted = set(MERGED if fields is None else fields)
+    scalars = [k for k in SCALAR_KEYS if k in wanted]
+    if "exception_entries" in wanted:
+        wanted.add("exceptions")
+    plain = F.filter(object_entries(F.col("content")), lambda e: (e["key"] != "extends") if "plain" in wanted else e["key"].isin(*scalars))
+    own = [k for k in (*MAP_KEYS, "exceptions") if k in wanted]
+    shown = [k for k in PROMPT_MAPS if k in wanted]
+    parts = (*own, *(k for k in NESTED if k in wanted or k == "prompt" and shown))
+    nested = ", ".join(f"`{k}`: string" for k in (*parts, "extends"))
+    prompts = ", ".join(f"`{k}`: string" for k in (*shown, "extends"))
     texts = configs.select(
         "path",
         F.try_parse_json("content").alias("doc"),
-        F.filter(object_entries(F.col("content")), lambda e: e["key"] != "extends").alias("plain"),
+        plain.alias("plain"),
         F.from_json("content", f"struct<{nested}>").alias("part"),
-    ).withColumn("promptMaps", F.from_json("part.prompt", f"struct<{prompts}>"))
+    ).withColumn("promptMaps", F.from_json(F.col("part.prompt") if shown else F.lit(None).cast("string"), f"struct<{prompts}>"))
     doc = F.col("doc")
     listed = lambda path: F.coalesce(F.try_variant_get(doc, path, _TEXTS), F.array().cast(_TEXTS))
     body = F.struct(
-        "plain",
+        *(["plain"] if "plain" in wanted or scalars else []),
         *[listed(f"$.{k}").alias(k) for k in LIST_KEYS],
-        *[listed(f"$.detectOptions.{k}").alias(k) for k in DETECT_LISTS],
-        *[object_entries(F.col(f"part.{k}")).alias(k) for k in (*MAP_KEYS, "exceptions")],
-        *[object_entries(F.col(f"promptMaps.{k}")).alias(k) for k in PROMPT_MAPS],
-        *[object_entries(F.col(f"part.{k}")).alias(k) for k in NESTED],
+        *[listed(f"$.detectOptions.{k}").alias(k) for k in DETECT_LISTS if k in wanted],
+        *[object_entries(F.col(f"part.{k}")).alias(k) for k in own],
+        *[object_entries(F.col(f"promptMaps.{k}")).alias(k) for k in shown],
+        *[object_entries(F.col(f"part.{k}")).alias(k) for k in NESTED if k in wanted],
     )
     parent = bind(V.truthy_text(doc, "$.extends"), lambda p: F.when(p.isNotNull(), resolve_from(F.col("path"), p)))
     return texts.select("path", parent.alias("parent"), body.alias("body"), F.col("doc").isNotNull().alias("readable"))
 
 
-def config_chains(configs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    return resolve_chains(config_documents(configs), starts)
+def config_chains(configs: DataFrame, starts: DataFrame | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    return resolve_chains(config_documents(configs, fields), starts)
 
 
-def effective_configs(chains: DataFrame) -> DataFrame:
+def effective_configs(chains: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Merged configuration of every unbroken chain (U4).
 
     A key the child sets wins even when it sets null; lists and maps merge as above. A lone
-    document keeps its lists as written (Q14).
+    document keeps its lists as written (Q14). ``fields`` names the columns to make beside
+    ``config_path`` and ``n_documents``, by default all; they must be in the chains' bodies.
     """
+    wanted = MERGED if fields is None else [c for c in MERGED if c in fields]
     bodies = F.col("bodies")
     part = lambda key: F.transform(bodies, lambda b: b[key])
     several = F.size(bodies) > 1
@@ -130,21 +144,18 @@ def effective_configs(chains: DataFrame) -> DataFrame:
         b["exceptions"], lambda e: F.struct(level.alias("level"), e["key"].alias("key"), e["value"].alias("value"))
     )
     root_first = F.reverse(F.transform("chain", lambda c: c["body"]))
-    merged = (
-        chains.where("status = 'ok'")
-        .select(F.col("start").alias("config_path"), root_first.alias("bodies"))
-        .select(
-            "config_path",
-            merge_entries(part("plain")).alias("plain"),
-            *[listed(k).alias(k) for k in (*LIST_KEYS, *DETECT_LISTS)],
-            *[merge_entries(part(k)).alias(k) for k in (*MAP_KEYS, *PROMPT_MAPS, *NESTED)],
-            merge_list_entries(part("exceptions")).alias("exceptions"),
-            F.flatten(F.transform(bodies, with_level)).alias("exception_entries"),
-            F.size(bodies).alias("n_documents"),
-        )
-    )
-    scalars = [V.as_text(entry_value(F.col("plain"), k)).alias(k) for k in SCALAR_KEYS]
-    return merged.select("config_path", *scalars, *[c for c in merged.columns if c != "config_path"])
+
+    def merged(name: str) -> Column:
+        if name in SCALAR_KEYS:  # the last one that any document sets
+            return V.as_text(entry_value(F.flatten(part("plain")), name))
+        if name in (*LIST_KEYS, *DETECT_LISTS):
+            return listed(name)
+        if name == "exceptions":
+            return merge_list_entries(part(name))
+        return F.flatten(F.transform(bodies, with_level)) if name == "exception_entries" else merge_entries(part(name))
+
+    whole = chains.where("status = 'ok'").select(F.col("start").alias("config_path"), root_first.alias("bodies"))
+    return whole.select("config_path", *[merged(name).alias(name) for name in wanted], F.size(bodies).alias("n_documents"))
 
 
 def text_entries(entries: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.session import broadcast_if_small, shuffled, staged
+from ruleloom.session import broadcast_if_small, dealt_join, shuffled, staged
+
+#: A parent that more documents share is copied, so that these are dealt to several tasks.
+SHARED_BY = 4096
 
 
 def _until_repeat(walk: Column) -> Column:
@@ -63,7 +66,8 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
     Only documents that serve as a parent, few next to all, are followed round by round
     (:func:`parent_walks`). Their bodies are attached in long form by one join, and gathered for
     each: a group is one chain. A start then meets the chain of its parent in one join, for which
-    that side is broadcast when it is small; otherwise AQE splits a parent that many share.
+    that side is broadcast when it is small; otherwise documents that share a parent with many, or have
+    none, are dealt to several tasks.
     """
     # Parsed once here; everything below reads the parsed form.
     if "readable" not in documents.columns:
@@ -85,7 +89,7 @@ def resolve_chains(documents: DataFrame, starts: DataFrame | None = None) -> Dat
     above = staged(above.join(broadcast_if_small(readable_parents), "parent"), "chain-parents")
 
     own = documents if starts is None else documents.join(shuffled(starts.select(F.col("start").alias("path"))), "path", "left_semi")
-    met = own.select("path", "parent", "readable", link).join(broadcast_if_small(above), "parent", "left")
+    met = dealt_join(own.select("path", "parent", "readable", link), above, "parent", "path", SHARED_BY)
     # The parent's chain up to the start itself, if it leads back to it.
     back = F.array_position("walk", F.col("path")).cast("int")
     circle = F.coalesce(back, F.lit(0)) > 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import variants as V
 from ruleloom.functions.entries import grouped
-from ruleloom.functions.text import BLANK, bind, first_text, fold_out, indent_block, joined_or_none, lines_of, replace_first, trim_blank
+from ruleloom.functions.text import BLANK, bind, first_text, fold_out, indent_block, joined_or_none, lines_of, made_once, replace_first, trim_blank
 from ruleloom.operators.configs import entries_text, entry_value, exception_summary, object_entries, raw_field
 from ruleloom.operators.evidence import MATCHES_SHOWN
 from ruleloom.operators.reports import REPORT_KEY, location_text
@@ -176,6 +176,9 @@ def audit_prompts(headers: DataFrame, rule_texts: DataFrame, evidence_texts: Dat
 
 # --- repair texts ---------------------------------------------------------------------------
 
+#: What :func:`enrich_issues` reads of a rule.
+RULE_COLUMNS = ("rule_id", "severity", "scope", "intent", "fix", "context", "prompt")
+
 
 def enrich_issues(reports: DataFrame, rules: DataFrame) -> DataFrame:
     """Reports whose ``violations`` carry the metadata of their rule as struct ``rule``, NULL when unknown.
@@ -187,7 +190,7 @@ def enrich_issues(reports: DataFrame, rules: DataFrame) -> DataFrame:
     maps = rules.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("rule_id", meta.alias("rule")))).alias("_rules"))
     met = reports.join(broadcast_if_small(staged(maps, "rule-maps")), "project_id", "left")
     rule = lambda v: F.try_element_at("_rules", v["rule_id"])
-    return met.select(*REPORT_KEY, F.transform("violations", lambda v: v.withField("rule", rule(v))).alias("violations"))
+    return met.select(*REPORT_KEY, made_once(F.transform("violations", lambda v: v.withField("rule", rule(v))), "violations"))
 
 
 def merged_context(issue_context: Column, rule_context: Column) -> Column:

@@ -24,10 +24,12 @@ def load_projects(config_table: DataFrame, project_configs: DataFrame) -> DataFr
     return projects_of(chains, project_configs)
 
 
-def projects_of(chains: DataFrame, project_configs: DataFrame) -> DataFrame:
-    named = string_only(entry_value(F.col("i18n"), "defaultLocale"), "$")
-    locale = F.coalesce(F.nullif(named, F.lit("")), F.lit("en"))
-    projects = effective_configs(chains).join(shuffled(project_configs), "config_path").withColumn("locale", locale)
+def projects_of(chains: DataFrame, project_configs: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """``fields`` names the merged columns that are read later, by default all (:func:`effective_configs`)."""
+    projects = effective_configs(chains, fields).join(shuffled(project_configs), "config_path")
+    if fields is None or "i18n" in fields:
+        named = string_only(entry_value(F.col("i18n"), "defaultLocale"), "$")
+        projects = projects.withColumn("locale", F.coalesce(F.nullif(named, F.lit("")), F.lit("en")))
     # Small next to the corpus, and every check reads it again.
     return staged(projects, "projects")
 
@@ -48,9 +50,11 @@ def load_rules(rule_table: DataFrame, project_rules: DataFrame) -> DataFrame:
     return rules_of(chains, project_rules)
 
 
-def rules_of(chains: DataFrame, project_rules: DataFrame) -> DataFrame:
+def rules_of(chains: DataFrame, project_rules: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """``fields`` names the columns that are read later, by default all."""
     rules = effective_rules(chains).join(shuffled(project_rules.withColumnRenamed("rules_path", "document")), "document")
-    return staged(with_detect_columns(rules), "rules")
+    rules = with_detect_columns(rules)
+    return staged(rules if fields is None else rules.select("project_id", "rule_pos", *fields), "rules")
 
 
 def audit(

@@ -87,6 +87,23 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, max_bytes: int = BR
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, by: str, many: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` left-joined to a ``table`` that has one row for each ``key``, of which a few may hold most of ``rows``.
+
+    A small table is broadcast. Otherwise its rows of keys that more than ``many`` rows have are copied to
+    ``SALTS`` salts, and those rows are dealt to them by the column ``by``, and rows without a key, too. Such
+    keys are at most one in ``many`` rows.
+    """
+    if _is_small(table, max_bytes):
+        return rows.join(F.broadcast(table), key, "left")
+    hot = F.broadcast(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > many).select(key, F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col(key).isNull() | F.col("_hot"), salt).otherwise(0))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted.drop("_hot").join(shuffled(copies), [key, "_salt"], "left").drop("_salt")
+
+
 def _width(value: Column, kind: DataType) -> Column:
     """Bytes of a value, roughly: texts by length, lists by their elements, the rest flat."""
     if isinstance(kind, StringType | BinaryType):
