@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -37,9 +37,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @dataclass
 class Spec:
-    """What an encoder needs of a vocabulary file; small enough to send to each executor."""
+    """What an encoder needs of a vocabulary file; made in the task, as the file's text is a fraction of it."""
 
     vocab: dict[str, int]
     merges: list[tuple[str, str]]
@@ -51,8 +56,12 @@ class Spec:
     @staticmethod
     def load(path: str) -> Spec:
         """Read a vocabulary file in JSON, as the driver sees it."""
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
+        return Spec.parse(_content(path))
+
+    @staticmethod
+    def parse(content: bytes) -> Spec:
+        """Read the content of a vocabulary file in JSON."""
+        found = json.loads(content)
         model = found["model"]
         kinds = [n["type"] for n in found["normalizer"]["normalizers"]]
         return Spec(
@@ -103,8 +112,8 @@ class Encoder:
         self.find = regex.compile(spec.pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, spec.specials)) + ")") if spec.specials else None
         self.specials, self.lower = spec.specials, spec.lower
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merge rules leave ``a`` and ``b`` side by side: nothing ever joins over their border.
@@ -167,7 +176,7 @@ class Encoder:
                 at -= size[token]
         return [self.ids[r] for r in out]
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> Sequence[int]:
         """Token ids of a run without white space."""
         known = self.chunks.get(chunk)
         if known is not None:
@@ -181,10 +190,10 @@ class Encoder:
             if ids is None:
                 ids = self.word(w.encode("utf-8", "surrogatepass"))
                 if len(self.words) < CACHED_WORDS:  # frequent words come early
-                    self.words[w] = ids
+                    self.words[w] = tuple(ids)
             out += ids
         if len(self.chunks) < CACHED_CHUNKS:
-            self.chunks[chunk] = out
+            self.chunks[chunk] = tuple(out)
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -243,12 +252,14 @@ def encode(spark: SparkSession, text: Column, path: str, decoded: bool = False)
 
     With ``decoded``: a struct of those ids and of the text that they decode to.
     """
-    spec = spark.sparkContext.broadcast(vars(Spec.load(path)))
+    content = spark.sparkContext.broadcast(_content(path))
     ids_type = ArrayType(IntegerType(), containsNull=False)
 
     @F.arrow_udf(StructType().add("ids", ids_type).add("decoded", StringType()) if decoded else ids_type)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, decoder = Encoder(Spec(**spec.value)), Decoder(Spec(**spec.value))
+        spec = Spec.parse(content.value)
+        encoder, decoder = Encoder(spec), Decoder(spec)
+        del spec  # its memory serves what the encoder remembers
         for texts in _parts(batches):
             ids = [encoder.encode(t) for t in texts.to_pylist()]
             if decoded:
@@ -262,11 +273,11 @@ def encode(spark: SparkSession, text: Column, path: str, decoded: bool = False)
 
 def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     """The tokens' texts joined by one space, for an array<int> column; null is empty."""
-    spec = spark.sparkContext.broadcast(vars(Spec.load(path)))
+    content = spark.sparkContext.broadcast(_content(path))
 
     @F.arrow_udf(StringType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = Decoder(Spec(**spec.value))
+        decoder = Decoder(Spec.parse(content.value))
         for rows in _parts(batches):
             yield pa.array([decoder.decode(np.array(i or [], dtype=np.int64)) for i in rows.to_pylist()], type=pa.string())
 
