@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval, verified word by word.
 
 The terms are the benchmark's words, weighted by their document frequency in the whole corpus. A
-randomised SVD of TF-IDF passages, distributed over a bounded sample of documents and joined by the
-items themselves, gives one latent space for all items. Passages of every document are searched in
-it: windows whose benchmark terms hold too little of their weight for the cosine asked are passed
+randomised SVD of the TF-IDF passages of all documents and of the items themselves gives one latent
+space for all items. The passages enter it by the sums of the products of their terms' values, a table
+of pairs of terms that one pass makes; the corpus weighs the same beside the items at any size.
+Passages of every document are searched in the space: windows whose benchmark terms hold too little of their weight for the cosine asked are passed
 over, the others are projected and compared with all items. Words outside the benchmark weigh as the
 words of the item with the lightest words, at any size of the table. Candidates are then
 checked by the longest common subsequence of words, and for paraphrases by the item's answer too.
@@ -37,9 +38,16 @@ WIDTHS = (16, WINDOW)
 BLOCK_ITEMS = 4096
 MOST_DIMENSIONS = 512
 OVERSAMPLING = 32
-#: About so many documents fit the latent space; the search covers all.
-SAMPLE_DOCS = 4000
+#: All documents weigh together as so many single ones, beside items of ITEM_WEIGHT.
+CORPUS_WEIGHT = 4000.0
 ITEM_WEIGHT = 30.0
+#: Words of passages taken at once; pairs of so many terms, the most frequent ones, are summed in place.
+PIECE = 1 << 16
+FREQUENT = 2048
+#: Other pairs kept by a task before it passes their sums on.
+MOST_PAIRS = 1 << 20
+#: Cells of a block of rows of the table of pairs, when it is multiplied.
+BLOCK_CELLS = 1 << 22
 COSINE = 0.5
 #: Share of an item's words found in order: alone, or with as great a share of its answer.
 COPIED = 0.8
@@ -119,51 +127,109 @@ def _document_frequency(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return int(total[0]), total
 
 
-def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Sum of float matrices, block of rows by block of rows, from (block, data)."""
+def _pieces(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
+    """Term numbers of a few rows, or of whole passages of a long one."""
+    piece: list[np.ndarray] = []
+    words = 0
+    for ids in _lists(column, size):
+        for at in range(0, len(ids), PIECE):
+            piece.append(ids[at : at + PIECE])
+            words += len(piece[-1])
+            if words >= PIECE:
+                yield piece
+                piece, words = [], 0
+    if piece:
+        yield piece
+
+
+def _passage_pairs(piece: list[np.ndarray], m: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, col, product of values) of all pairs row <= col of the block's terms in a TF-IDF passage, each passage of unit length."""
+    sizes = np.array([len(ids) for ids in piece])
+    ids = np.concatenate(piece)
+    passages = -(-sizes // WINDOW)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    passage = np.repeat(np.cumsum(passages) - passages, sizes) + place // WINDOW
+    length = np.sqrt(np.bincount(passage, m["idf"][ids] ** 2))
+    term, terms = m["local"][ids], len(m["mine"])
+    held = term > 0
+    codes, n = np.unique(passage[held] * terms + term[held] - 1, return_counts=True)
+    passage, term = np.divmod(codes, terms)
+    value = n * m["idf"][m["mine"]][term] / length[passage]
+    counts = np.bincount(passage)
+    starts = np.cumsum(counts) - counts
+    for k in np.unique(counts[counts > 0]):
+        at = starts[counts == k] + np.arange(k)[:, None]
+        row, col = np.triu_indices(k)
+        t, v = term[at], value[at]
+        yield t[row].ravel(), t[col].ravel(), (v[row] * v[col]).ravel()
+
+
+def _pair_sums(rows: DataFrame, model: dict) -> DataFrame:
+    """(row, col, value): the matrix A^T A of the TF-IDF passages A of all rows of :func:`numbered`, where it is not zero."""
+    shared = rows.sparkSession.sparkContext.broadcast({k: model[k] for k in ("idf", "local", "mine")})
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(codes)
+        codes = codes[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[first], np.add.reduceat(values[order], first) if len(first) else values
+
+    def batch_of(codes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(values)], names=["code", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        m = shared.value
+        terms = len(m["mine"])
+        few = min(FREQUENT, terms)
+        often = np.zeros(few * few)
+        raw: list[tuple[np.ndarray, np.ndarray]] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(data, dtype=np.float32).astype(np.float64)
-                sums[block] = sums[block] + part if block in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "data"])
-
-    out = np.zeros(shape)
-    for r in parts.repartition("block").mapInArrow(run, "block long, data binary").collect():
-        rows = np.frombuffer(r["data"]).reshape(-1, shape[1])
-        out[r["block"] * 256 : r["block"] * 256 + len(rows)] = rows
+            for piece in _pieces(batch.column(0), len(m["idf"]) - 1):
+                for row, col, value in _passage_pairs(piece, m):
+                    inside = col < few
+                    np.add.at(often, row[inside] * few + col[inside], value[inside])
+                    raw.append((row[~inside] * terms + col[~inside], value[~inside]))
+                if sum(len(c) for c, _ in raw) >= MOST_PAIRS:
+                    done, raw = [summed(done + raw)], []
+                    if len(done[0][0]) >= MOST_PAIRS:
+                        yield batch_of(*done.pop())
+        if raw:
+            yield batch_of(*summed(done + raw))
+        elif done:
+            yield batch_of(*done[0])
+        held = np.flatnonzero(often)
+        yield batch_of(held // few * terms + held % few, often[held])
+
+    # A task passes on each pair that it met once, so fewer and longer tasks pass on less.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 3)
+    parts = rows.select("ids").coalesce(tasks).mapInArrow(run, "code long, value double")
+    half = staged(parts.groupBy("code").agg(F.sum("value").alias("value")))
+    terms = len(model["mine"])
+    half = half.selectExpr(f"code div {terms} AS row", f"code % {terms} AS col", "value")
+    return half.unionByName(half.where("row <> col").select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
+
+
+def _times(sums: DataFrame, right: np.ndarray) -> np.ndarray:
+    """A^T A R, for the matrix A^T A of :func:`_pair_sums`; each group has some of its rows."""
+    shared = sums.sparkSession.sparkContext.broadcast(right.astype(np.float32))
+    blocks = -(-len(right) // max(1, min(256, BLOCK_CELLS // len(right))))
+
+    def run(group: pa.Table) -> pa.Table:
+        r = shared.value
+        block = group.column("block")[0].as_py()
+        dense = np.zeros((len(range(block, len(r), blocks)), len(r)), dtype=np.float32)
+        dense[group.column("row").to_numpy() // blocks, group.column("col").to_numpy()] = group.column("value").to_numpy()
+        return pa.table({"block": pa.array([block], pa.int64()), "data": pa.array([(dense @ r).tobytes()], pa.binary())})
+
+    out = np.zeros(right.shape)
+    dealt = sums.withColumn("block", F.pmod("row", F.lit(blocks))).groupBy("block")
+    for r in dealt.applyInArrow(run, "block long, data binary").collect():
+        out[r["block"] :: blocks] = np.frombuffer(r["data"], dtype=np.float32).reshape(-1, right.shape[1])
     return out
 
 
-def _passages(sample: DataFrame, model: dict, right: np.ndarray, square: bool) -> np.ndarray:
-    """A^T (A R), or with ``square`` (A R)^T (A R), for the TF-IDF matrix A of all passages of the sample."""
-    shared = sample.sparkSession.sparkContext.broadcast((model, right.astype(np.float32)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, r = shared.value
-        total = np.zeros((r.shape[1] if square else len(r), r.shape[1]), dtype=np.float32)
-        for batch in batches:
-            for ids in _lists(batch.column(0), len(m["idf"]) - 1):
-                for at in range(0, len(ids), WINDOW):
-                    part = ids[at : at + WINDOW]
-                    weight = m["idf"][part]
-                    part = m["local"][part]
-                    held = part > 0
-                    if held.any():
-                        value = (weight[held] / np.sqrt((weight**2).sum())).astype(np.float32)
-                        projected = value @ r[part[held] - 1]
-                        if square:
-                            total += np.outer(projected, projected)
-                        else:
-                            np.add.at(total, part[held] - 1, np.outer(value, projected))
-        blocks = range(0, len(total), 256)
-        yield pa.RecordBatch.from_arrays([pa.array([b // 256 for b in blocks]), pa.array([total[b : b + 256].tobytes() for b in blocks], pa.binary())], names=["block", "data"])
-
-    return _summed(sample.mapInArrow(run, "block long, data binary"), (right.shape[1] if square else len(right), right.shape[1]))
-
-
 def weights(rows: int, seen: np.ndarray, lines: Iterable[list[int]]) -> np.ndarray:
     """Weight of each term by the rows that hold it; at 0, of the words outside the benchmark.
 
@@ -232,29 +298,31 @@ def rarest(lines: list[np.ndarray], share: np.ndarray) -> dict:
     return {"sizes": sizes, "least": least, "starts": starts, "rare_items": rare[:, 1], "rare_counts": rare[:, 2]}
 
 
-def fit(known: dict, items: list[tuple[int, str]], sample_docs: int = SAMPLE_DOCS) -> dict:
+def fit(known: dict, items: list[tuple[int, str]]) -> dict:
     """Latent space of a block of items: terms, their weights and latent vectors, the items' vectors.
 
-    ``known`` is the :func:`vocabulary` of all blocks; ``local`` gives the block's own number of each term.
+    ``known`` is the :func:`vocabulary` of all blocks; ``local`` gives the block's own number of each term,
+    frequent terms first, and ``mine`` the term of each such number.
     """
     lines = [words_of(t) for _, t in items]
     terms, idf, rows = known["terms"], known["idf"], known["rows"]
     numbers = [np.array([terms[w] for w in line]) for line in lines]
     mine = np.unique(np.concatenate(numbers))
+    mine = mine[np.argsort(-known["share"][mine], kind="stable")]
     local = np.zeros(len(terms) + 1, dtype=np.int64)
     local[mine] = np.arange(1, len(mine) + 1)
-    model = {"idf": idf, "local": local, "items": [i for i, _ in items], "lines": [n.tolist() for n in numbers]} | rarest(numbers, known["share"])
+    model = {"idf": idf, "local": local, "mine": mine, "items": [i for i, _ in items], "lines": [n.tolist() for n in numbers]} | rarest(numbers, known["share"])
     own = ItemRows([local[n] - 1 for n in numbers], idf[mine])
     rank = min(len(mine), len(items) + OVERSAMPLING // 2, MOST_DIMENSIONS)
     width = min(len(mine), rank + OVERSAMPLING // 2)
-    place = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1_000_000)) / 1_000_000
-    sample = staged(known["ids"].where(F.coalesce(place < min(1.0, sample_docs / max(rows, 1)), F.lit(False))).select("ids").coalesce(64))
+    sums = _pair_sums(known["ids"], model)
     start = np.random.default_rng(7).standard_normal((len(mine), width))
     strong = ITEM_WEIGHT**2
-    spread = _passages(sample, model, start, square=False) + strong * own.transposed_times(own.times(start))
+    weight = min(1.0, CORPUS_WEIGHT / max(rows, 1))
+    spread = weight * _times(sums, start) + strong * own.transposed_times(own.times(start))
     basis, _ = np.linalg.qr(spread)
     inner = own.times(basis)
-    values, vectors = np.linalg.eigh(_passages(sample, model, basis, square=True) + strong * (inner.T @ inner))
+    values, vectors = np.linalg.eigh(weight * (basis.T @ _times(sums, basis)) + strong * (inner.T @ inner))
     latent = basis @ vectors[:, np.argsort(-values)[:rank]]
     vectors = own.times(latent)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

@@ -120,3 +120,58 @@ def test_a_very_long_item(spark):
     rows = [(1, " ".join(words(50, rng) + line + words(50, rng))), (2, " ".join(words(3000, rng))), (3, None), (4, "")]
     found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(8, " ".join(line))], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.kind) for r in found] == [(1, 8, "copy")]
+
+
+def plain_passages(texts, known, mine):
+    """TF-IDF rows of all passages, each of unit length with the words outside the items."""
+    rows = []
+    for text in texts:
+        ids = decontam.term_ids(text, known["terms"])
+        for at in range(0, len(ids), decontam.WINDOW):
+            part = ids[at : at + decontam.WINDOW]
+            row = np.zeros(len(known["idf"]))
+            np.add.at(row, part, known["idf"][part])
+            rows.append(row[mine] / np.sqrt((known["idf"][part] ** 2).sum()))
+    return np.array(rows)
+
+
+def test_latent_space_is_that_of_all_documents(spark):
+    """With as many columns as terms the randomised SVD is exact, so the space is known."""
+    rng = random.Random(4)
+    vocabulary = [f"t{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(9))) for k in range(6)]
+    texts = [" ".join(rng.choice(vocabulary + ["x", "y"]) for _ in range(rng.randint(0, 70))) for _ in range(6000)]
+    table = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    known = decontam.vocabulary(table, [t for _, t in items])
+    model = decontam.fit(known, items)
+    numbers = np.flatnonzero(model["local"])
+    mine = numbers[np.argsort(model["local"][numbers])]
+    rows = plain_passages(texts, known, mine)
+    own = np.zeros((len(items), len(mine)))
+    for row, (_, text) in zip(own, items, strict=True):
+        np.add.at(row, model["local"][decontam.term_ids(text, known["terms"])] - 1, 1)
+    own *= known["idf"][mine]
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    rank = len(items) + decontam.OVERSAMPLING // 2
+    assert model["table"].shape == (len(mine) + 1, rank) and rank < len(mine)
+    values, vectors = np.linalg.eigh(4000 / 6001 * rows.T @ rows + 900 * own.T @ own)
+    wanted = vectors[:, np.argsort(-values)[:rank]]
+    latent = model["table"][1:] / known["idf"][mine, None]
+    assert np.abs(latent @ latent.T - wanted @ wanted.T).max() < 1e-3
+
+
+@pytest.mark.parametrize("few", [3, 2048])
+def test_pair_sums_are_those_of_all_passages(spark, monkeypatch, few):
+    monkeypatch.setattr(decontam, "FREQUENT", few)
+    monkeypatch.setattr(decontam, "MOST_PAIRS", 50)
+    monkeypatch.setattr(decontam, "PIECE", 64)
+    rng = random.Random(5)
+    items, texts = [(0, "a b c d e f g"), (1, "e f g h i j")], ["", None, "x " * 300]
+    texts += [" ".join(rng.choice("aabcdefghijxyz") for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    known = decontam.vocabulary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [t for _, t in items])
+    mine = np.arange(1, 11)[np.argsort(-known["share"][1:], kind="stable")]
+    local = np.zeros(11, dtype=np.int64)
+    local[mine] = np.arange(1, 11)
+    sums = decontam._pair_sums(known["ids"], {"idf": known["idf"], "local": local, "mine": mine})
+    rows = plain_passages(texts, known, mine)
+    assert np.allclose(decontam._times(sums, np.eye(10)), rows.T @ rows, rtol=1e-5)
