@@ -26,7 +26,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not near-copies, five-word shingle similarity 0.8 or more, of an earlier one that stays."""
+    """Documents that are not near-copies, five-word shingle similarity 0.8 or more, of an earlier one that stays.
+
+    Pairs come from linked SimHash fingerprints and, as few bits miss many, from MinHash bands.
+    """
     return drop_near_copies(docs)
 
 

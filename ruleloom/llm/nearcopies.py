@@ -1,12 +1,15 @@
-"""Near-copies of texts by shingle similarity, for the pipeline's stage.
+"""Near-copies of texts by SimHash and shingle similarity, for the pipeline's stage.
 
-Sets of five-word shingles get MinHash signatures, cut into bands; texts that share a band are
-compared shingle by shingle. A pair of Jaccard similarity ``s`` shares one of ``BANDS`` bands with
+Texts get the fingerprints of :mod:`simhash`, over five-word shingles; those that differ in few bits
+are linked by the join on combinations of blocks, and linked ones make components. As few bits are far
+less than a similarity of 0.8 allows, a wider search follows: sets of shingles get MinHash signatures,
+cut into bands. Texts of one component, and those that share a band, are compared shingle by shingle. A
+pair of Jaccard similarity ``s`` shares one of ``BANDS`` bands with
 probability ``1 - (1 - s ** ROWS) ** BANDS``: 0.9958 at 0.80, 0.9998 at 0.85.
 
 A text stays unless it is near an earlier one that stays. Texts that come first in all their bands
-stay; what is near them goes; so do rounds settle groups of copies without pairs among them. When a
-round settles few, the texts left are mostly unlike each other although they share bands. They are
+and in their component stay; what is near them goes; so do rounds settle groups of copies without
+pairs among them. When a round settles few, the texts left are mostly unlike each other although they share bands. They are
 met by their rarest shingles instead: two sets of similarity ``s`` have a shingle in common among the
 rarest ``n - ceil(s * n) + 1`` of each, in any order that holds for all, and early enough that as many
 can follow as must be in common. Texts that differ by words of their own have those first, and meet
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
 from ruleloom.llm.common import staged
+from ruleloom.llm.components import components
+from ruleloom.llm.simhash import fingerprint, links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -67,18 +72,32 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, same, keys) of each row: ``same`` numbers the set of shingles."""
+    """(doc_id, text_hash, same, keys, fp) of each row: ``same`` numbers the set of shingles, ``fp`` is the text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [shingles(t) for t in part.column(2).to_pylist()]
+                texts = part.column(2).to_pylist()
+                found = [shingles(t) for t in texts]
+                prints = np.array([fingerprint(t, SHINGLE) for t in texts], dtype=np.uint64)
                 same = pa.array([xxh64_intdigest(f.tobytes()) >> 1 for f in found], pa.int64())
                 keys = pa.array([bands(f) for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), same, keys], names=["doc_id", "text_hash", "same", "keys"])
+                columns = [part.column(0), part.column(1), same, keys, pa.array(prints.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "same", "keys", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, same long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, same long, keys array<long>, fp long")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """(same, groups): a key of each component of linked fingerprints that a set of shingles of :func:`_sketches` has a text in.
+
+    Texts of equal fingerprints are linked, too; the key of a fingerprint without links is its own.
+    """
+    prints = staged(rows.select("same", "fp").distinct())
+    roots = staged(components(staged(links(prints.select("fp").distinct()))))
+    member = prints.join(roots, prints["fp"] == roots["node"], "left")
+    return member.groupBy("same").agg(F.collect_set(F.xxhash64(F.coalesce("root", "fp"), F.lit("component"))).alias("groups"))
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -111,7 +130,7 @@ def _alike(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
 
 
 def _rare_pairs(texts: DataFrame, places: DataFrame, least: float) -> DataFrame:
-    """Pairs (same, first) that can be ``least`` similar and share a band; ``first`` comes earlier.
+    """Pairs (same, first) that can be ``least`` similar and share a key; ``first`` comes earlier.
 
     ``places`` has (same, o, keys) of the texts. Pairs come from the rarest shingles, told by their
     number among these texts, so that what many share is the last to bring two together.
@@ -142,28 +161,30 @@ def _rare_pairs(texts: DataFrame, places: DataFrame, least: float) -> DataFrame:
     return a.join(b, on).select(F.col("b.o.same").alias("same"), F.col("a.o.same").alias("first")).distinct()
 
 
-def _losers(links: DataFrame) -> DataFrame:
+def _losers(near: DataFrame) -> DataFrame:
     """(same) of the texts that go, if each goes that is linked to an earlier (first) that stays."""
     gone = None
-    while not links.isEmpty():
-        stay = links.select(F.col("first").alias("node")).join(links.select(F.col("same").alias("node")), "node", "left_anti").distinct()
-        out = staged(links.join(stay, links["first"] == stay["node"], "left_semi").select("same").distinct())
+    while not near.isEmpty():
+        stay = near.select(F.col("first").alias("node")).join(near.select(F.col("same").alias("node")), "node", "left_anti").distinct()
+        out = staged(near.join(stay, near["first"] == stay["node"], "left_semi").select("same").distinct())
         gone = out if gone is None else gone.unionByName(out)
-        links = staged(links.join(out, "same", "left_anti").join(out.withColumnRenamed("same", "first"), "first", "left_anti").select("same", "first"))
-    return links.select("same").limit(0) if gone is None else gone
+        near = staged(near.join(out, "same", "left_anti").join(out.withColumnRenamed("same", "first"), "first", "left_anti").select("same", "first"))
+    return near.select("same").limit(0) if gone is None else gone
 
 
 def first_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash) of the rows that stay: those near no earlier row that stays.
 
     Rows are ordered by id, nulls last. Of rows with the same shingles those with the least id stay,
-    of null ids all. Near are two rows that share a band and are ``least`` similar; so each row that
+    of null ids all. Near are two rows that are ``least`` similar and share a band or a component of
+    linked fingerprints; so each row that
     goes is near an earlier one that stays, and no two that stay are near each other.
     """
     rows = staged(_sketches(docs))
     # Ids first, null ids last; sets of shingles break ties.
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same", "text_hash")
-    classes = staged(rows.groupBy("same").agg(F.min(place).alias("place"), F.first("keys").alias("keys")))
+    classes = rows.groupBy("same").agg(F.min(place).alias("place"), F.first("keys").alias("keys"))
+    classes = staged(classes.join(_linked(rows), "same").select("same", "place", F.concat("keys", "groups").alias("keys")))
     order = F.struct("place.unnamed", "place.doc_id", "same")
     waiting = classes.select(F.explode("keys").alias("key"), order.alias("o"))
     gone = None
@@ -184,8 +205,8 @@ def first_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if leading + near.count() < LEAST_SETTLED * left:
             texts = _texts(docs, classes, waiting.select("o.same").distinct())
             places = classes.select("same", order.alias("o"), "keys")
-            links = staged(_alike(texts, staged(_rare_pairs(texts, places, least)), least))
-            gone = gone.unionByName(_losers(links))
+            alike = staged(_alike(texts, staged(_rare_pairs(texts, places, least)), least))
+            gone = gone.unionByName(_losers(alike))
             break
     kept = classes.select("same", F.col("place.doc_id").alias("first_id"))
     kept = kept if gone is None else kept.join(gone, "same", "left_anti")

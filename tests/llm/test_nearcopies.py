@@ -72,3 +72,37 @@ def test_nothing_from_nothing(spark):
     assert nearcopies.drop_near_copies(table).count() == 0
     one = spark.createDataFrame([(1, None, 1, None), (1, None, 1, None), (None, "a", 1, None), (None, "a", 1, None)], DOCS)
     assert sorted(str(r.doc_id) for r in nearcopies.drop_near_copies(one).collect()) == ["1", "None"]
+
+
+def test_pairs_that_share_no_band_are_met_by_their_fingerprints(spark):
+    """A pair of similarity 0.8 within four bits, which all bands miss; the unlike texts beside them stay."""
+    rng = random.Random(2308)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(94)]
+    other = list(base)
+    for at in (20, 50):
+        other[at] = f"n{rng.randrange(10**6)}"
+    a, b = " ".join(base), " ".join(other)
+    keys = [set(nearcopies.bands(nearcopies.shingles(t))) for t in (a, b)]
+    assert plain_similarity(a, b) >= 0.8 and not keys[0] & keys[1]
+    rows = [(1, a), (2, b), (3, a + " "), (4, " ".join(base[:47])), (5, None), (6, ""), (None, b)]
+    kept = nearcopies.first_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 4, 5]
+
+
+def test_linked_texts_that_are_unlike_stay(spark, monkeypatch):
+    """One component of all brings every two texts together; only the similarity lets one go."""
+    rows = corpus(random.Random(3))
+    monkeypatch.setattr(nearcopies, "links", lambda prints: prints.selectExpr("fp AS a", "0L AS b"))
+    monkeypatch.setattr(nearcopies, "components", lambda links: links.selectExpr("a AS node", "b AS root"))
+    kept = {r.doc_id for r in nearcopies.first_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == greedy_of_all(rows)
+
+
+def greedy_of_all(rows):
+    """As :func:`greedy`, with all pairs compared."""
+    kept = []
+    for i, text in sorted(rows):
+        found = nearcopies.shingles(text)
+        if not any(nearcopies.similarity(found, other) >= 0.8 for _, other in kept):
+            kept.append((i, found))
+    return {i for i, _ in kept}
