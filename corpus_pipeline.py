@@ -3,28 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.llm.bpe import default_vocabulary, encode
-from ruleloom.llm.common import release, staged, staged_so_far, table
+from ruleloom.llm.common import release, small_batches, staged, staged_so_far, table
 from ruleloom.llm.decontam import drop_leaks
 from ruleloom.llm.langid import keep_languages
 from ruleloom.llm.nearcopies import drop_near_copies
 from ruleloom.llm.toxicity import drop_toxic
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage, with whole texts sent to Python workers in batches of bounded size: workers of all stages stay beside one heap."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the documents' own labels name."""
     return keep_languages(docs)
 
 
+@_in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not near-copies, five-word shingle similarity 0.8 or more, of an earlier one that stays.
 
@@ -33,11 +50,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs)
 
 
+@_in_small_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_in_small_batches
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, their number, and a digest of the text that they decode to."""
     both = docs.select("doc_id", "lang", "source", encode(spark, F.col("text"), default_vocabulary(), decoded=True).alias("e"))
@@ -46,7 +65,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("toxicity", toxicity),
     ("near_dedup", near_dedup),

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: About so much of a table's rows goes to a Python worker at a time; Spark's own 64 MB is held there and, twice, beside the executor's heap.
+BATCH_BYTES = "2m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _STAGED: list[str] = []
 
 
@@ -15,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends batches of ``BATCH_BYTES`` to Python workers; a size that it was given stays.
+
+    What is planned later follows it, so it has to hold until a frame is written. Rows and results are the same with any.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder of ``spark.checkpoint.dir``; only where it is unset and Spark is local (tests) one below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -460,7 +461,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     Repeated rows come once each. Empty tables give an empty result. Other columns are ignored.
     """
     items = benchmark.select("item_id", "text").where(F.coalesce("text", F.lit("")).rlike(r"[\p{L}\p{N}_]"))
-    found = docs.sparkSession.createDataFrame([], PAIRS)
+    found = []
     blocks = -(-items.count() // BLOCK_ITEMS)
     # The benchmark's texts come to the driver; it is a set of test items, not a table of the corpus' size.
     known = vocabulary(docs, [r["text"] for r in items.select("text").distinct().collect()]) if blocks else None
@@ -469,8 +470,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
         block = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         block = [r for r in block if words_of(r[1])]
         if block:
-            found = found.unionByName(_search(known["ids"], fit(known, block), cosine))
-    return found
+            found.append(_search(known["ids"], fit(known, block), cosine))
+    # An empty frame made in the driver is read by Python workers of its own, so it stands only where nothing is searched.
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], PAIRS)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

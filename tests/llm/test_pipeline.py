@@ -1,5 +1,6 @@
 """The pipeline's stages on the small tables, against plain versions of what they decide."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -8,6 +9,7 @@ from ruleloom.llm.common import staged
 from ruleloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
+SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def test_stages_follow_each_other(spark):
@@ -52,3 +54,31 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Cluster)
+
+
+def _largest_batch(docs):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    return max(r.n for r in docs.select("text").coalesce(1).mapInArrow(run, "n long").collect())
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark):
+    """The default sends these 8 MB at once; each stage must bound it, as each may be called by itself."""
+    long_texts = spark.range(2000).selectExpr("id AS doc_id", "'en' AS lang", "'s' AS source", "repeat(cast(id AS string), 1000) AS text")
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(SETTING)
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        assert _largest_batch(long_texts) < 3 << 20, name
+    spark.conf.set(SETTING, "1m")
+    common.small_batches(spark)
+    assert spark.conf.get(SETTING) == "1m"
+    spark.conf.unset(SETTING)
+
+
+def test_a_search_needs_no_python_workers_for_an_empty_frame(spark):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert "ExistingRDD" not in decontam.leaks(docs, items)._jdf.queryExecution().toString()
+    none = decontam.leaks(docs, items.limit(0))
+    assert none.columns == [c.split()[0] for c in decontam.PAIRS.split(", ")] and none.isEmpty()
