@@ -37,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.stage"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, **options: str | int) -> DataFrame:
     """Cut the lineage: write a Parquet table into the shared folder and read it again.
 
-    Every executor and the driver read it from there, so a lost executor costs nothing.
+    Every executor and the driver read it from there, so a lost executor costs nothing. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

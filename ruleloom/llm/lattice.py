@@ -8,7 +8,8 @@ word is also one arc over itself as a whole, weighted by its count less a discou
 mass goes to the subword paths.
 
 The corpus is cut into chunks of bounded vocabulary. Only a chunk's distinct words travel: to their
-counts and probabilities, computed once for each distinct word of the corpus, and back.
+counts and probabilities, computed once for each distinct word of the corpus, and back. A chunk is
+many rows of about a megabyte, so that no reader, writer or sort holds more than a few of them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import held_out, staged
+from ruleloom.llm.common import held_out, small_batches, staged
+from ruleloom.session import shuffled
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words start with this letter, as in the vocabulary.
@@ -33,6 +35,13 @@ MARK = "▁"
 CHUNK_WORDS = 300_000
 CHUNK_DOCS = 20_000
 CHUNK_ENTRIES = 2_000_000
+#: Words and bag entries of one of a chunk's rows; one text's bag stays in one row.
+ROW_WORDS = 32_768
+ROW_ENTRIES = 131_072
+#: Parquet looks at the size of its pages and row groups after each row; by default after a hundred or more, all held till then, and read back as one batch.
+ROW_GROUPS = {"parquet.block.size": 8 << 20} | {f"parquet.{kind}.size.row.check.{end}": 1 for kind in ("block", "page") for end in ("min", "max")}
+#: Words that go back to their chunks are gathered to rows by so many at a time.
+GATHERED = 1_000_000
 ROUNDS = 2
 #: Weight, in occurrences, of the vocabulary's own order against the corpus.
 PRIOR = 100.0
@@ -40,9 +49,10 @@ DISCOUNT = 0.75
 PRIME = np.uint64(0x100000001B3)
 
 CHUNKS = (
-    "chunk long, words array<string>, train array<long>, doc_ids array<long>, held array<boolean>,"
+    "chunk long, first int, words array<string>, train array<long>, doc_ids array<long>, held array<boolean>,"
     " tokens array<long>, sizes array<int>, word_at array<int>, times array<int>"
 )
+TOLD = "chunk long, found_at array<int>, found_c array<long>, found_logp array<double>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -143,12 +153,12 @@ class Lattice:
 
 
 def _chunks(docs: DataFrame, remainder: int) -> DataFrame:
-    """One row for each chunk: its distinct words with their training counts, and each text's bag of them."""
+    """Rows of each chunk: its distinct words, from number ``first``, with their training counts, and texts with their bags of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("chunk", pa.int64()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64()))]
-            + [("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
+            [("chunk", pa.int64()), ("first", pa.int32()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64()))]
+            + [("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
             + [("word_at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
         )
         task: int | None = None
@@ -158,11 +168,20 @@ def _chunks(docs: DataFrame, remainder: int) -> DataFrame:
         docs_of: list[tuple] = []
         word_at, times = array("i"), array("i")  # four bytes an entry
 
-        def close() -> pa.RecordBatch:
-            words = [w.decode("utf-8", "replace") for w in place]
+        def close() -> Iterator[pa.RecordBatch]:
+            words = list(place)
             ids, held, tokens, sizes = (list(x) for x in zip(*docs_of, strict=True))
-            row = [(task << 32) + number, words, np.asarray(train), ids, held, tokens, sizes, np.asarray(word_at), np.asarray(times)]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            row_of = starts[:-1] // ROW_ENTRIES
+            for k in range(max(-(-len(words) // ROW_WORDS), int(row_of[-1]) + 1)):
+                w = slice(k * ROW_WORDS, (k + 1) * ROW_WORDS)
+                a, b = np.searchsorted(row_of, (k, k + 1)).tolist()
+                if a == b and not words[w]:
+                    continue
+                d, e = slice(a, b), slice(int(starts[a]), int(starts[b]))
+                row = [(task << 32) + number, w.start, [x.decode("utf-8", "replace") for x in words[w]], np.asarray(train[w])]
+                row += [ids[d], held[d], tokens[d], sizes[d], np.asarray(word_at[e]), np.asarray(times[e])]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
@@ -179,15 +198,42 @@ def _chunks(docs: DataFrame, remainder: int) -> DataFrame:
                     times.append(n)
                 docs_of.append((doc_id, held, bag.total() + 1, len(bag)))
                 if len(place) >= CHUNK_WORDS or len(docs_of) >= CHUNK_DOCS or len(word_at) >= CHUNK_ENTRIES:
-                    yield close()
+                    yield from close()
                     number += 1
                     place, train, docs_of = {}, array("q"), []
                     word_at, times = array("i"), array("i")
         if docs_of:
-            yield close()
+            yield from close()
 
     rows = docs.select("doc_id", held_out("doc_id", remainder).alias("held"), "text", F.spark_partition_id().cast("long").alias("task"))
-    return staged(rows.mapInArrow(run, CHUNKS))
+    return staged(rows.mapInArrow(run, CHUNKS), **ROW_GROUPS)
+
+
+def _gathered(found: DataFrame) -> DataFrame:
+    """(chunk, at, c, logp) as lists, one row for each chunk among ``GATHERED`` rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+
+        def close() -> pa.RecordBatch:
+            chunk, *lists = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(chunk, kind="stable")
+            chunk = chunk[order]
+            starts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+            offsets = pa.array(np.append(starts, len(chunk)), pa.int32())
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in lists]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), *columns], names=["chunk", "found_at", "found_c", "found_logp"])
+
+        for batch in batches:
+            if batch.num_rows:
+                parts.append([c.to_numpy() for c in batch.columns])
+            if sum(len(p[0]) for p in parts) >= GATHERED:
+                yield close()
+                parts = []
+        if parts:
+            yield close()
+
+    return found.select("chunk", "at", "c", "logp").mapInArrow(run, TOLD)
 
 
 def _weights(spark: SparkSession, words: DataFrame, pieces: list[str], rounds: int) -> np.ndarray:
@@ -225,6 +271,7 @@ def lattice_scores(docs: DataFrame, path: str | None = None, remainder: int = 1,
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if path is None:
         import public_tokenizers
 
@@ -232,8 +279,8 @@ def lattice_scores(docs: DataFrame, path: str | None = None, remainder: int = 1,
     pieces = read_pieces(path)
     chunks = _chunks(docs, remainder)
     ends = chunks.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    entries = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "e")).select(
-        "chunk", "at", F.col("e.words").alias("word"), F.col("e.train").alias("train")
+    entries = chunks.select("chunk", "first", F.posexplode(F.arrays_zip("words", "train")).alias("k", "e")).select(
+        "chunk", (F.col("first") + F.col("k")).alias("at"), F.col("e.words").alias("word"), F.col("e.train").alias("train")
     )
     words = staged(entries.groupBy("word").agg(F.sum("train").alias("c")))
     total, known = words.where("c > 0").agg(F.sum("c"), F.count("*")).first()
@@ -252,27 +299,32 @@ def lattice_scores(docs: DataFrame, path: str | None = None, remainder: int = 1,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["word", "c", "logp"])
 
     scored = staged(words.mapInArrow(score_words, "word string, c long, logp double"))
-    told = (
-        entries.select("chunk", "at", "word")
-        .join(scored, "word")
-        .groupBy("chunk")
-        # Three lists of numbers in one order take half the room of a list of structs.
-        .agg(*[F.collect_list(n).alias(f"found_{n}") for n in ("at", "c", "logp")])
-    )
-    bags = chunks.select("chunk", "doc_ids", "held", "tokens", "sizes", "word_at", "times").join(told, "chunk", "left")
+    told = _gathered(entries.join(shuffled(scored), "word"))
+    bags = chunks.where(F.size("doc_ids") > 0).select("chunk", "doc_ids", "held", "tokens", "sizes", "word_at", "times")
+    # Words before texts, chunk by chunk: a task holds the words of one chunk and the texts of one row.
+    met = bags.unionByName(told, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("doc_ids").isNotNull())
     norm, half = math.log10(train_tokens + 0.5 * (distinct + 1)), 0.5
     end_base, end_score = math.log10(ends + half) - norm, math.log10(end)
 
     def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: int | None = None
+        parts: list[list[np.ndarray]] = []
+        c, logp = np.zeros((2, 0))
         for batch in batches:
             column = {n: batch.column(n) for n in batch.schema.names}
             for i in range(batch.num_rows):
+                if column["chunk"][i].as_py() != chunk:
+                    chunk, parts = column["chunk"][i].as_py(), []
+                    c, logp = np.zeros((2, 0))
+                if column["found_at"][i].is_valid:
+                    parts.append([column[f"found_{n}"][i].values.to_numpy() for n in ("at", "c", "logp")])
+                    continue
+                if parts:
+                    at, c_at, logp_at = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    c, logp = np.zeros((2, len(at)))
+                    c[at], logp[at], parts = c_at, logp_at, []
                 part = {n: column[n][i].values for n in ("doc_ids", "held", "tokens", "sizes", "word_at", "times")}
                 sizes, word_at, times = (part[n].to_numpy() for n in ("sizes", "word_at", "times"))
-                c, logp = np.zeros((2, int(word_at.max(initial=-1)) + 1))
-                if column["found_at"][i].is_valid:
-                    at, c_at, logp_at = (column[f"found_{n}"][i].values.to_numpy() for n in ("at", "c", "logp"))
-                    c[at], logp[at] = c_at, logp_at
                 base, own = np.log10(c + half) - norm, logp / math.log(10)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 add = lambda x: np.bincount(doc, x[word_at] * times, minlength=len(sizes))  # noqa: B023, E731
@@ -284,4 +336,4 @@ def lattice_scores(docs: DataFrame, path: str | None = None, remainder: int = 1,
                 )
 
     columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
-    return bags.mapInArrow(score_texts, SCORES).select(*columns)
+    return met.mapInArrow(score_texts, SCORES).select(*columns)
