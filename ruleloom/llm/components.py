@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm.common import staged
+from ruleloom.session import shuffled
 
 
 def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
@@ -14,10 +15,10 @@ def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
     near = back if smaller else edges.unionByName(back)
     least = staged(near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
     if smaller:
-        moved = near.join(least, "a").select(F.col("b").alias("x"), "m")
+        moved = near.join(shuffled(least), "a").select(F.col("b").alias("x"), "m")
         moved = moved.unionByName(least.select(F.col("a").alias("x"), "m"))
     else:
-        moved = near.where("b > a").join(least, "a").select(F.col("b").alias("x"), "m")
+        moved = near.where("b > a").join(shuffled(least), "a").select(F.col("b").alias("x"), "m")
     return moved.where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
 
 

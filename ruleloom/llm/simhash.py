@@ -18,6 +18,7 @@ from xxhash import xxh64_digest
 
 from ruleloom.llm.common import staged
 from ruleloom.llm.components import components
+from ruleloom.session import shuffled
 
 SHINGLE = 4
 SEED = 42
@@ -70,7 +71,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     ``prints`` holds each fingerprint once. The join on (blocks, their bits) meets a close pair in
     each combination of blocks it agrees on; only the combination of its lowest agreeing blocks
     returns it, so each link comes once. Rows of a key that many fingerprints share stay in the
-    join's exchange, whose partitions adaptive execution splits.
+    join's exchange, whose partitions adaptive execution splits. Neither side is broadcast: Spark
+    sizes the combinations of all fingerprints like one for each.
     """
     agree = blocks - distance
     if agree < 1:
@@ -81,7 +83,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
         for c in combinations(range(blocks), agree)
     ]
     keyed = prints.select("fp", F.explode(F.array(*combos)).alias("k")).select("fp", "k.combo", "k.part")
-    left, right = keyed.alias("l"), keyed.alias("r")
+    left, right = keyed.alias("l"), shuffled(keyed).alias("r")
     differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     same = F.lit(0)
     for i, m in enumerate(bits):
@@ -109,17 +111,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     pairs = staged(links(classes.select("fp"), distance, blocks))
     roots = staged(components(pairs))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    member = roots.select(F.col("node").alias("fp"), "root").join(degree, "fp")
-    named = staged(classes.join(member, "fp", "left"))
+    member = roots.select(F.col("node").alias("fp"), "root").join(shuffled(degree), "fp")
+    named = staged(classes.join(shuffled(member), "fp", "left"))
     least = staged(named.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least_id")))
-    label = staged(
-        named.join(least, "root", "left").select(
-            "fp",
-            F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        )
-    )
-    return rows.join(label, "fp").select(
+    linked = named.where("root is not null").join(shuffled(least), "root").select("fp", F.col("least_id").alias("component_id"), "n_links")
+    alone = named.where("root is null").select("fp", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    label = staged(linked.unionByName(alone))
+    return rows.join(shuffled(label), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links"
     )
 
