@@ -57,6 +57,8 @@ ANSWER_WORDS = 8
 #: Item lengths in which an item's words may be spread.
 STRETCH = 4
 
+#: Up to so many ids of documents with leaks are broadcast to drop them; beyond it by one exchange of the texts.
+BROADCAST_IDS = 500_000
 _WORD = re.compile(r"\w+")
 PAIRS = "doc_id long, item_id long, cosine double, lcs double, answer double, kind string"
 
@@ -478,4 +480,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows, with all their columns, in which no benchmark item was found; rows without an id stay."""
     found = staged(leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found.hint("merge")
     return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")

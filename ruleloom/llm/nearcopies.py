@@ -29,6 +29,7 @@ from xxhash import xxh64_digest, xxh64_intdigest
 from ruleloom.llm.common import staged
 from ruleloom.llm.components import components
 from ruleloom.llm.simhash import fingerprint, links
+from ruleloom.session import shuffled
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,7 +37,7 @@ BANDS = 18
 ROWS = 6
 #: Rounds go on while each one settles this share of the texts still waiting; results are the same with any.
 LEAST_SETTLED = 1 / 3
-#: Up to so many texts to compare (three longs each, 12 MB) are picked by broadcast; beyond it by one exchange of the texts.
+#: Up to so many texts or pairs to compare (three longs each, 12 MB) are picked by broadcast; beyond it by one exchange of the texts.
 BROADCAST_TEXTS = 500_000
 
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,14 +97,19 @@ def _linked(rows: DataFrame) -> DataFrame:
     """
     prints = staged(rows.select("same", "fp").distinct())
     roots = staged(components(staged(links(prints.select("fp").distinct()))))
-    member = prints.join(roots, prints["fp"] == roots["node"], "left")
+    member = prints.join(shuffled(roots), prints["fp"] == roots["node"], "left")
     return member.groupBy("same").agg(F.collect_set(F.xxhash64(F.coalesce("root", "fp"), F.lit("component"))).alias("groups"))
 
 
+def _picking(rows: DataFrame) -> DataFrame:
+    """Counted rows of a few longs, as the side of a join with texts."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TEXTS else shuffled(rows)
+
+
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(same, text), one for each of the distinct ``wanted`` (same)."""
-    wanted = staged(classes.join(wanted, "same").select("same", F.col("place.doc_id").alias("__id"), F.col("place.text_hash").alias("__hash")))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    wanted = staged(classes.join(shuffled(wanted), "same").select("same", F.col("place.doc_id").alias("__id"), F.col("place.text_hash").alias("__hash")))
+    wanted = _picking(wanted)
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
     return staged(own.join(wanted, on).select("same", "text").dropDuplicates(["same"]))
@@ -123,7 +129,7 @@ def _alike(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                     near.append((same, first))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in near], pa.int64()) for i in (0, 1)], names=["same", "first"])
 
-    mine = pairs.join(texts, "same")
+    mine = texts.join(_picking(pairs), "same")
     others = texts.select(F.col("same").alias("first"), F.col("text").alias("other"))
     met = mine.join(others.hint("merge"), "first").select("same", "text", "first", "other")
     return met.mapInArrow(run, "same long, first long")
@@ -146,14 +152,14 @@ def _rare_pairs(texts: DataFrame, places: DataFrame, least: float) -> DataFrame:
     sets = staged(texts.mapInArrow(run, "same long, found array<long>"))
     held = sets.select("same", F.size("found").alias("n"), F.explode("found").alias("shingle"))
     shared = held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    mine = held.join(shared, "shingle").groupBy("same", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("shared"))
+    mine = held.join(shuffled(shared), "shingle").groupBy("same", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("shared"))
     # Shingles of one text only are the rarest and meet nothing; ``at`` counts them, too.
     alone = F.col("n") - F.size("shared")
     rest = F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1 - alone
     rare = mine.where(rest > 0).select("same", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), rest)).alias("k", "s"))
     rare = rare.select("same", "n", (F.col("alone") + F.col("k") + 1).alias("at"), "s.shingle")
-    rare = staged(rare.join(places, "same").select("shingle", "n", "at", "o", "keys"))
-    a, b = rare.alias("a"), rare.alias("b")
+    rare = staged(rare.join(shuffled(places), "same").select("shingle", "n", "at", "o", "keys"))
+    a, b = rare.alias("a"), shuffled(rare).alias("b")
     # If a pair's first shingle in common stands here, this many can be in common, and so many must be.
     can = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + 1
     must = F.ceil((F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
@@ -165,10 +171,10 @@ def _losers(near: DataFrame) -> DataFrame:
     """(same) of the texts that go, if each goes that is linked to an earlier (first) that stays."""
     gone = None
     while not near.isEmpty():
-        stay = near.select(F.col("first").alias("node")).join(near.select(F.col("same").alias("node")), "node", "left_anti").distinct()
-        out = staged(near.join(stay, near["first"] == stay["node"], "left_semi").select("same").distinct())
+        stay = near.select(F.col("first").alias("node")).join(shuffled(near.select(F.col("same").alias("node"))), "node", "left_anti").distinct()
+        out = staged(near.join(shuffled(stay), near["first"] == stay["node"], "left_semi").select("same").distinct())
         gone = out if gone is None else gone.unionByName(out)
-        near = staged(near.join(out, "same", "left_anti").join(out.withColumnRenamed("same", "first"), "first", "left_anti").select("same", "first"))
+        near = staged(near.join(shuffled(out), "same", "left_anti").join(shuffled(out.withColumnRenamed("same", "first")), "first", "left_anti").select("same", "first"))
     return near.select("same").limit(0) if gone is None else gone
 
 
@@ -184,24 +190,24 @@ def first_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Ids first, null ids last; sets of shingles break ties.
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same", "text_hash")
     classes = rows.groupBy("same").agg(F.min(place).alias("place"), F.first("keys").alias("keys"))
-    classes = staged(classes.join(_linked(rows), "same").select("same", "place", F.concat("keys", "groups").alias("keys")))
+    classes = staged(classes.join(shuffled(_linked(rows)), "same").select("same", "place", F.concat("keys", "groups").alias("keys")))
     order = F.struct("place.unnamed", "place.doc_id", "same")
     waiting = classes.select(F.explode("keys").alias("key"), order.alias("o"))
     gone = None
     while True:
         firsts = waiting.groupBy("key").agg(F.min("o").alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f")
-        met = staged(waiting.join(firsts, "key"))  # keys that one text only waits in are done
+        met = staged(waiting.join(shuffled(firsts), "key"))  # keys that one text only waits in are done
         open_ = staged(met.groupBy("o").agg(F.bool_and(F.col("o") == F.col("f")).alias("leads")))
         left, leading = open_.agg(F.count("*"), F.count_if("leads")).first()
         if not left:
             break
         leaders = open_.where("leads").select(F.col("o").alias("f"))
-        pairs = staged(met.where("o <> f").join(leaders, "f", "left_semi").select("o.same", F.col("f.same").alias("first")).distinct())
+        pairs = staged(met.where("o <> f").join(shuffled(leaders), "f", "left_semi").select("o.same", F.col("f.same").alias("first")).distinct())
         wanted = pairs.select("same").distinct().unionByName(pairs.select(F.col("first").alias("same")).distinct()).distinct()
         near = staged(_alike(_texts(docs, classes, wanted), pairs, least).select("same").distinct())
         gone = near if gone is None else gone.unionByName(near)
         settled = leaders.select("f.same").unionByName(near)
-        waiting = met.select("key", "o", F.col("o.same").alias("same")).join(settled, "same", "left_anti").select("key", "o")
+        waiting = met.select("key", "o", F.col("o.same").alias("same")).join(shuffled(settled), "same", "left_anti").select("key", "o")
         if leading + near.count() < LEAST_SETTLED * left:
             texts = _texts(docs, classes, waiting.select("o.same").distinct())
             places = classes.select("same", order.alias("o"), "keys")
@@ -209,8 +215,8 @@ def first_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             gone = gone.unionByName(_losers(alike))
             break
     kept = classes.select("same", F.col("place.doc_id").alias("first_id"))
-    kept = kept if gone is None else kept.join(gone, "same", "left_anti")
-    return rows.join(kept, "same").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_hash").distinct()
+    kept = kept if gone is None else kept.join(shuffled(gone), "same", "left_anti")
+    return rows.join(shuffled(kept), "same").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_hash").distinct()
 
 
 def _free(df: DataFrame, name: str) -> str:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ruleloom.llm import common, components, simhash
+from ruleloom.llm import common, components, decontam, nearcopies, simhash
 
 
 @pytest.fixture
@@ -16,7 +16,7 @@ def plans(monkeypatch):
         seen.append(plan_of(df))
         return common.staged(df, **options)
 
-    for module in (components, simhash):
+    for module in (components, decontam, nearcopies, simhash):
         monkeypatch.setattr(module, "staged", staged)
     return seen
 
@@ -50,3 +50,24 @@ def test_near_duplicates_broadcast_nothing(docs, plans):
     found = simhash.near_duplicates(docs)
     assert found.count() == docs.count()
     assert len(plans) > 6 and not [p for p in [*plans, plan_of(found)] if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("least_settled", [0.0, 1.1])
+def test_near_copies_broadcast_only_what_was_counted(docs, plans, monkeypatch, least_settled):
+    monkeypatch.setattr(nearcopies, "LEAST_SETTLED", least_settled)
+    want = {r.doc_id for r in nearcopies.drop_near_copies(docs).collect()}
+    plans.clear()
+    monkeypatch.setattr(nearcopies, "BROADCAST_TEXTS", -1)
+    found = nearcopies.drop_near_copies(docs)
+    assert {r.doc_id for r in found.collect()} == want
+    assert len(plans) > 10 and not [p for p in [*plans, plan_of(found)] if "Broadcast" in p]
+
+
+def test_leaked_ids_are_broadcast_by_their_number(spark, docs, plans, monkeypatch):
+    items = spark.createDataFrame([(1, " ".join(f"c{k}" for k in range(30)))], "item_id long, text string")
+    want = {r.doc_id for r in decontam.drop_leaks(docs, items).collect()}
+    assert 0 < len(want) < docs.count()
+    monkeypatch.setattr(decontam, "BROADCAST_IDS", -1)
+    found = decontam.drop_leaks(docs, items)
+    assert {r.doc_id for r in found.collect()} == want
+    assert "Broadcast" not in plan_of(found)
